@@ -1,3 +1,47 @@
-"""SQL twins of the queries that SQL can express."""
+"""SQL twins (DuckDB) of the queries that SQL can express; the others are held against brute force in tests/llm."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from docspark.llm.common import UPPER
+from docspark.llm.license_scan import BASE, NOT_WORD, WORDINGS
+from docspark.llm.url_filter import MARKS, RULES
+
+
+def _op1() -> str:
+    def places(text: str) -> str:
+        ws = text.split()
+        return "list_filter(generate_series(1, len(ws)), lambda i: " + " AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(ws)) + ")"
+
+    # A long wording that is not whole has no SQL form; the SQL looks for whole ones.
+    wordings = ", ".join(f"CASE WHEN contains(joined, ' {t.text} ') THEN '{t.label}' END" for t in WORDINGS)
+    base = ", ".join(f"CASE WHEN len({t.label}_at) > 0 THEN '{t.label}' END" for t in BASE)
+    listed = lambda x: f"coalesce(array_to_string(list_sort(list_distinct(list_filter({x}, lambda v: v IS NOT NULL))), ','), '')"
+    every = "list_concat(" + ", ".join(f"{t.label}_at" for t in BASE[:2]) + f"), {BASE[2].label}_at"
+    return f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{NOT_WORD}'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, len(ws) AS n_words, ' ' || array_to_string(ws, ' ') || ' ' AS joined, {", ".join(f"{places(t.text)} AS {t.label}_at" for t in BASE)} FROM w),
+q AS (SELECT *, list_concat({every}) AS places, [{base}] AS b, [{wordings}] AS o FROM p)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word, {listed("b")} AS base_labels, {listed("list_concat(b, o)")} AS labels,
+CASE WHEN len(list_filter(list_concat(b, o), lambda v: v IS NOT NULL)) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM q"""
+
+
+def _op8() -> str:
+    def chain(column: str) -> str:
+        order = sorted(RULES, key=lambda r: (-len(r.name), r.name))
+        whens = [f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{getattr(r, column)}'" for r in order]
+        return "CASE " + " ".join(whens) + " END"
+
+    return f"""WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{UPPER.lower()}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+j AS (SELECT *, {chain("name")} AS rule, {chain("action")} AS action, regexp_replace(host, '^(?:www|m)\\.', '') || regexp_replace(path, '(?:\\.html|/)$', '') AS canonical, regexp_matches(host, '(?:^|[.-])(?:{"|".join(MARKS)})(?:$|[.-])') AS marked FROM u)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN host <> '' AND canonical IN (SELECT canonical FROM j WHERE marked) THEN 'block' ELSE 'allow' END) AS verdict FROM j"""
+
+
+OP9 = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+w AS (SELECT doc_id, pos, line || chr(10) || lead(line, 1) OVER d || chr(10) || lead(line, 2) OVER d AS joint FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+v AS (SELECT * FROM w WHERE joint IS NOT NULL AND regexp_matches(joint, '\S')),
+f AS (SELECT *, row_number() OVER (PARTITION BY joint ORDER BY doc_id, pos) AS n FROM v),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM f, (VALUES (0), (1), (2)) AS o(k) WHERE n > 1),
+kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) AS text FROM l ANTI JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id),
+c AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN c.n IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text, coalesce(len(string_split(d.text, chr(10))), 0) AS lines_before, coalesce(c.n, 0) AS lines_removed FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op1_license_scan": _op1(), "op8_url_filter": _op8(), "op9_line_dedup": OP9}
