@@ -1,0 +1,207 @@
+"""Sections, tables, figures, formulas and metadata from page, line and box tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from docspark.functions.text import CITATION, token_count
+
+# Heading patterns, tried in this order; the least number of headings; the groups that hold the title.
+HEADINGS = [
+    ("markdown", r"^(#{1,4})\s+(.+)$", 1), ("chapter", r"^(?:Chapter|CHAPTER)\s+(\d+|[IVXLC]+|[A-Za-z]+)(?:\s*[:.–—]\s*|\s+)([A-Z][A-Za-z\s:,\-–—]+)$", 1),
+    ("numbered", r"^(\d+(?:\.\d+)*)\s+([A-Z][A-Za-z\s:,\-–—]+)$", 1), ("roman", r"^([IVXLC]+)[.\)]\s+([A-Z][A-Za-z\s:,\-–—]+)$", 2),
+]
+# What counts as a formula.
+SYMBOLS = (
+    r"(?:\\(?:frac|sqrt|sum|prod|int|partial|nabla|infty|alpha|beta|gamma|delta|epsilon|theta|lambda|mu|sigma|omega|phi|psi|pi|mathbb|mathcal|mathbf|mathrm|hat|bar|tilde|vec|dot|ddot|left|right|Big|big|"
+    r"lim|max|min|sup|inf|log|ln|exp|sin|cos|tan|leq|geq|neq|approx|equiv|sim|propto|forall|exists|in|subset|cup|cap)|[∑∏∫∂∇∞≈±÷√∀∃⊂⊃∪∩])"
+)
+TABLE_FRAGMENT = r"[|].*[|]|<br>|<tr|<td|<th|^[\s✓✗×☑☐●○◯■□▪▫\-–—|,.\d]+$"
+DOI = r"(?i)(?:doi[:\s]*|https?://(?:dx\.)?doi\.org/)?(10\.\d{4,9}/[^\s,;\"')\]]+)"
+MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec"
+
+
+def split_sections(lines: DataFrame) -> DataFrame:
+    """doc_id, order, title, level, content: the first heading rule with enough headings splits the whole document; none gives one section.
+
+    Needs doc_id, line_no, text.  Flags by line, counts by document, then gaps and islands; text before the first heading is dropped.
+    """
+    doc = Window.partitionBy("doc_id")
+    counted = lines
+    for name, pattern, _ in HEADINGS:
+        counted = counted.withColumn(f"_{name}", F.col("text").rlike(pattern)).withColumn(f"_n_{name}", F.count_if(F.col(f"_{name}")).over(doc))
+    rule, is_heading, title, level = F.lit(None).cast("string"), F.lit(False), F.lit(None).cast("string"), F.lit(1)
+    for name, pattern, least in reversed(HEADINGS):
+        ok = F.col(f"_n_{name}") >= least
+        rule, is_heading = F.when(ok, name).otherwise(rule), F.when(ok, F.col(f"_{name}")).otherwise(is_heading)
+        title = F.when(ok, F.regexp_extract("text", pattern, 2)).otherwise(title)
+        level = F.when(ok, F.length(F.regexp_extract("text", pattern, 1)) if name == "markdown" else F.lit(1)).otherwise(level)
+    flagged = counted.select("doc_id", "line_no", "text", rule.alias("rule"), is_heading.alias("h"), title.alias("title"), level.alias("level"))
+    flagged = flagged.withColumn("section", F.sum(F.col("h").cast("int")).over(doc.orderBy("line_no")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("h"), F.struct("line_no", "text")))), lambda x: x["text"]), "\n")
+    out = flagged.groupBy("doc_id", "section").agg(F.first("rule").alias("rule"), F.max(F.when(F.col("h"), F.trim("title"))).alias("title"), F.max(F.when(F.col("h"), F.col("level"))).alias("level"), F.trim(body).alias("content"))
+    out = out.where(F.col("rule").isNull() | ((F.col("section") > 0) & (F.col("content") != "")))
+    whole = F.col("rule").isNull()
+    return out.select("doc_id", F.when(whole, 0).otherwise(F.col("section") - 1).cast("long").alias("order"), F.when(whole, "Full Document").otherwise(F.col("title")).alias("title"), F.when(whole, 1).otherwise(F.col("level")).alias("level"), "content")
+
+
+def table_islands(lines: DataFrame, least: int = 2) -> DataFrame:
+    """doc_id, first_line, n_lines, cols: runs of consecutive pipe lines with enough rows and columns."""
+    piped = lines.where(F.trim("text").rlike(r"^\|.*\|$"))
+    island = F.col("line_no") - F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
+    data = ~F.trim("text").rlike(r"^\|[\s\-:|]+\|$")
+    runs = piped.withColumn("island", island).groupBy("doc_id", "island").agg(
+        F.min("line_no").alias("first_line"), F.count("*").alias("n_lines"), F.count_if(data).alias("rows"), (F.regexp_count(F.min_by("text", "line_no"), F.lit(r"\|")) - 1).cast("long").alias("cols")
+    )
+    return runs.where(F.col("n_lines") >= least).where((F.col("rows") >= 2) & (F.col("cols") >= 2)).drop("island")
+
+
+def row_boxes(cells: DataFrame) -> DataFrame:
+    """Bounding box of every table row; row 0 is the header."""
+    return cells.groupBy("table_id", "row").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), (F.min("row") == 0).alias("is_header"))
+
+
+def first_by_key(df: DataFrame, keys: list[str], has_bbox: str, ord_: str) -> DataFrame:
+    """One row per key: the first, unless it has no box and a later one has (tables and figures from two readers)."""
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in df.columns if c not in keys]), F.struct((~F.col(has_bbox)).cast("int"), ord_)).alias("r")).select(*keys, "r.*")
+
+
+def is_formula(c: Column) -> Column:
+    """At least 3 characters, no piece of a table, and symbols, two operators, or a digit with a relation."""
+    operators = F.length(F.regexp_replace(c, r"[^+\-*/=<>^_{}()\[\]]", ""))
+    return (F.length(c) >= 3) & ~c.rlike(TABLE_FRAGMENT) & (c.rlike(SYMBOLS) | (operators >= 2) | (c.rlike(r"\d") & c.rlike("[=<>≤≥≠≈]")))
+
+
+def display_formulas(docs: DataFrame) -> DataFrame:
+    """doc_id, place, content of ``$$..$$`` formulas that are meaningful."""
+    found = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)\$\$(.+?)\$\$"), 1)).alias("place", "content"))
+    return found.withColumn("content", F.trim("content")).where(is_formula(F.col("content")))
+
+
+def dedup_formulas(formulas: DataFrame) -> DataFrame:
+    """First of equal contents in each document."""
+    return formulas.groupBy("doc_id", F.trim("content").alias("content")).agg(F.min("place").alias("place"))
+
+
+def formula_type_counts(formulas: DataFrame) -> DataFrame:
+    kinds = ["display", "inline", "numbered", "unicode"]
+    return formulas.groupBy("doc_id").pivot("kind", kinds).count().na.fill(0)
+
+
+def formula_context(formulas: DataFrame, docs: DataFrame, radius: int = 300) -> DataFrame:
+    """doc_id, place, context: last sentence of the ``radius`` characters before and first of those after, at most 500 characters."""
+    joined = formulas.join(docs.select("doc_id", "text"), "doc_id")
+    at = F.call_function("locate", F.col("content"), F.col("text"))
+    start = F.greatest(F.lit(1), at - radius)
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    before, after = trim(F.substring(F.col("text"), start, at - start)), trim(F.substring(F.col("text"), at + F.length("content"), F.lit(radius)))
+    parts = F.array(F.element_at(F.split(before, r"(?<=[.!?])\s+"), -1), F.element_at(F.split(after, r"(?<=[.!?])\s+"), 1))
+    context = F.substring(F.array_join(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""), " "), 1, 500)
+    return joined.select("doc_id", "place", F.when(at > 0, context).otherwise("").alias("context"))
+
+
+def box_captions(boxes: DataFrame, near: float = 40.0) -> DataFrame:
+    """Caption of each picture: the first caption box of its page whose top is within ``near`` of the picture's top or bottom.
+
+    A band join on (doc, page): both sides of one page meet, nothing else does.
+    """
+    pictures = boxes.where("kind = 'picture'").select("doc_id", "page", F.col("box_idx").alias("picture"), F.col("y0").alias("top"), F.col("y1").alias("bottom"))
+    captions = boxes.where("kind = 'caption'").select("doc_id", "page", F.col("box_idx").alias("caption_idx"), F.col("y0").alias("c"), F.col("text").alias("caption"))
+    close = (F.abs(F.col("c") - F.col("top")) < near) | (F.abs(F.col("c") - F.col("bottom")) < near)
+    found = pictures.join(captions, ["doc_id", "page"]).where(close).groupBy("doc_id", "page", "picture").agg(F.min_by("caption", "caption_idx").alias("caption"))
+    return pictures.select("doc_id", "page", "picture").join(found, ["doc_id", "page", "picture"], "left").withColumn("caption", F.coalesce("caption", F.lit("")))
+
+
+def drop_small_figures(boxes: DataFrame, ratio: float = 0.03) -> DataFrame:
+    return boxes.where((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) >= ratio * F.col("page_area"))
+
+
+def overlap_join(a: DataFrame, b: DataFrame, share: float = 0.3) -> DataFrame:
+    """First box of ``b`` on the same page that covers more than ``share`` of each box of ``a``."""
+    x = a.select("doc_id", "page", F.col("box_idx").alias("a_idx"), *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
+    y = b.select("doc_id", "page", F.col("box_idx").alias("b_idx"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
+    wide = F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0")
+    high = F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0")
+    area = (F.col("a_x1") - F.col("a_x0")) * (F.col("a_y1") - F.col("a_y0"))
+    return x.join(y, ["doc_id", "page"]).where((wide > 0) & (high > 0) & (wide * high > share * area)).groupBy("doc_id", "page", "a_idx").agg(F.min("b_idx").alias("b_idx"))
+
+
+def group_words(words: DataFrame, gap: float = 100.0) -> DataFrame:
+    """Words of a row, sorted by x, joined into one name while the gap to the word before is less than ``gap``."""
+    w = Window.partitionBy("doc_id", "row").orderBy("x0", "word_idx")
+    new = F.coalesce((F.col("x0") - F.lag("x1").over(w) >= gap).cast("int"), F.lit(1))
+    grouped = words.withColumn("new", new).withColumn("name_idx", F.sum("new").over(w))
+    name = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_idx", "text"))), lambda s: s["text"]), " ")
+    return grouped.groupBy("doc_id", "row", "name_idx").agg(name.alias("name")).where(F.length("name") >= 3)
+
+
+def parse_vision_text(raw: Column) -> tuple[Column, Column]:
+    """Type and description of a model's answer: its last TYPE: and DESCRIPTION: lines, else "unknown" and the answer itself."""
+    lines = F.transform(F.split(raw, "\n"), lambda x: F.trim(x))
+
+    def last(name: str) -> Column:
+        hits = F.filter(lines, lambda x: F.upper(x).startswith(f"{name}:"))
+        return F.trim(F.substring(F.try_element_at(hits, F.lit(-1)), len(name) + 2, 1 << 30))
+
+    return F.coalesce(F.lower(last("TYPE")), F.lit("unknown")), F.coalesce(last("DESCRIPTION"), raw)
+
+
+def extract_year(text: Column, meta: Column) -> Column:
+    """Year of the file's dates, else a year after a publishing word, else after a month, else any, in the first 5000 characters."""
+    head = F.substring(text, 1, 5000)
+    year = lambda c, p, g=1: F.when(F.regexp_extract(c, p, g) != "", F.regexp_extract(c, p, g).cast("int"))
+    of_file = F.coalesce(year(meta, r"D:(\d{4})"), year(meta, r"((?:19|20)\d{2})"))
+    after_word = year(head, r"(?i)(?:©|copyright|published|received|accepted|submitted|\(|,\s*)\s*((?:19|20)\d{2})\b")
+    return F.coalesce(F.when(of_file.between(1900, 2100), of_file), after_word, year(head, rf"(?i)(?:{MONTHS})[\s.,]+(?:\d{{1,2}}[\s.,]+)?((?:19|20)\d{{2}})"), year(head, r"\b((?:19|20)\d{2})\b"))
+
+
+def extract_doi(text: Column, meta: Column) -> Column:
+    one = lambda c: F.nullif(F.regexp_replace(F.regexp_extract(c, DOI, 1), r"\.+$", ""), F.lit(""))
+    return F.coalesce(one(meta), one(F.substring(text, 1, 8000)))
+
+
+def extract_abstract(text: Column) -> Column:
+    """The text after the first "Abstract" up to the next heading, cleaned, if it has 31 to 4999 characters."""
+    after = F.regexp_extract(F.substring(text, 1, 20_000), r"(?is)[_*]*\bAbstract\b[_*]*(.*)", 1)
+    after = F.regexp_replace(F.regexp_replace(after, r"^[^\S\n]*[_*—\-:.]+[^\S\n]*", ""), r"^\s+", "")
+    end = r"(?i)\n\s*#{1,3}\s|\n\s*[_*]{0,4}(?:1[\s.]|I[\s.]|Introduction|Keywords|Index\s+Terms|CCS\s+Concepts)[_*]{0,4}|\n\s*\n\s*\n"
+    body = F.substring(F.get(F.split(after, end, 2), F.lit(0)), 1, 3000)
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(body), r"^[_*—\s.]+", ""), r"\n+", " "), r"\s{2,}", " ")
+    return F.when((F.length(clean) > 30) & (F.length(clean) < 5000) & ~clean.rlike(r"^(?i)(?:Keywords?|Index\s+Terms|CCS\s+Concepts)\b"), clean)
+
+
+def figure_chunk(title: Column, page: Column, kind: Column, caption: Column, description: Column) -> tuple[Column, Column]:
+    """Display and enriched text of a figure."""
+    has = F.coalesce(caption, F.lit("")) != ""
+    prefix = F.concat_ws(" ", F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.lit("["), title, F.lit("]"))), F.concat(F.lit("[Figure on page "), page.cast("string"), F.lit(", type: "), kind, F.lit("]")), F.when(has, F.concat(F.lit("[Caption: "), caption, F.lit("]"))))
+    return F.concat(prefix, F.lit(" "), F.when(has, F.concat(caption, F.lit("\n"), description)).otherwise(description)), F.concat(prefix, F.lit(" "), description)
+
+
+def table_chunk(title: Column, page: Column, rows: Column, cols: Column, caption: Column, content: Column) -> tuple[Column, Column]:
+    """Display and enriched text of a table; the enriched one has a sentence on what it holds."""
+    s = lambda c: c.cast("string")
+    has = F.coalesce(caption, F.lit("")) != ""
+    prefix = F.concat_ws(" ", F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.lit("["), title, F.lit("]"))), F.concat(F.lit("[TABLE, page "), s(page), F.lit(", "), s(rows), F.lit(" rows × "), s(cols), F.lit(" cols]")), F.when(has, F.concat(F.lit("[Caption: "), caption, F.lit("]"))))
+    about = F.concat_ws(" ", F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.lit("This table is from the paper '"), title, F.lit("'."))), F.when(has, F.concat(F.lit("It presents: "), caption, F.lit("."))), F.when((rows > 0) | (cols > 0), F.concat(F.lit("The table contains "), s(rows), F.lit(" data rows across "), s(cols), F.lit(" columns."))))
+    display = F.concat_ws("\n", prefix, F.when(has, caption), content)
+    return display, F.concat_ws("\n", prefix, F.when(about != "", about), content)
+
+
+def route_vision(kind: Column) -> Column:
+    """Where a described figure goes: table, formula or figure."""
+    low = F.lower(kind)
+    return F.when(low.rlike("table|tabular|spreadsheet|grid"), "table").when(low.rlike("equation|formula|mathematical|math expression"), "formula").otherwise("figure")
+
+
+def display_source(text: Column, kind: Column, most: int = 300) -> Column:
+    """A source as shown: without citations; text and others cut at ``most``, formulas as their first two lines."""
+    clean = F.trim(F.regexp_replace(text, CITATION, ""))
+    lines = F.filter(F.transform(F.split(clean, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("##"))
+    shown = F.when(kind == "formula", F.array_join(F.slice(lines, 1, 2), " ")).when(kind == "figure", F.when(F.get(F.split(clean, "\n"), F.lit(0)).rlike(r"Figure|Fig\."), F.get(F.split(clean, "\n"), F.lit(0))).otherwise("Figure/Image Content")).when(kind == "table", F.trim(F.get(F.split(clean, "\n"), F.lit(0)))).otherwise(clean)
+    shown = F.when(shown == "", clean).otherwise(shown)
+    return F.when(F.length(shown) > most, F.concat(F.rtrim(F.substring(shown, 1, most)), F.lit("..."))).otherwise(shown)
+
+
+def chunk_tokens(df: DataFrame) -> DataFrame:
+    return df.withColumn("token_count", token_count(F.col("text")))

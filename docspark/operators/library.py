@@ -105,6 +105,20 @@ def latest_status(events: DataFrame) -> DataFrame:
     return events.groupBy("paper_id").agg(F.max_by(F.struct("progress", "event_type"), F.struct("ts", "event_id")).alias("l")).select("paper_id", "l.progress", "l.event_type")
 
 
+def batch_complete(events: DataFrame) -> DataFrame:
+    """Per batch: papers, how many completed or failed, and whether all are terminal, whatever the case of the status."""
+    last = events.groupBy("batch_id", "paper_id").agg(F.max_by(F.lower("status"), F.struct("ts", "event_id")).alias("s"))
+    return last.groupBy("batch_id").agg(F.count("*").alias("total"), F.count_if(F.col("s") == "completed").alias("completed"), F.count_if(F.col("s") == "failed").alias("failed"), F.every(F.col("s").isin("completed", "failed")).alias("done"))
+
+
+def sessions_recent(sessions: DataFrame, key: str, last: str) -> DataFrame:
+    """Adds ``place``: newest first, ties by key. Rows are ranked within each value of ``last``; what stands before it comes from the counts of the values, a small table."""
+    counts = sessions.groupBy(last).agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.desc(last)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    own = F.row_number().over(Window.partitionBy(last).orderBy(key))
+    return sessions.withColumn("own", own).join(before, last).withColumn("place", F.col("before") + F.col("own")).drop("own", "before")
+
+
 def rolling_usage(calls: DataFrame, *, window: str = "60 seconds", day: str = "1 day") -> DataFrame:
     """Adds tokens and requests of the last window and requests of the last day, per provider; both ends count. One sort for all three."""
     calls.createOrReplaceTempView("_usage_calls")

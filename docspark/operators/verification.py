@@ -30,7 +30,7 @@ def split_short(claims: DataFrame, least_words: int = 5) -> DataFrame:
 
 def rerank_candidates(claims: DataFrame, sources: DataFrame, k: int = 3) -> DataFrame:
     """For claims that need it: the first ``3 k`` sources of the request in order, and the last sentence of the cited paragraph; distinct."""
-    w = Window.partitionBy("answer_id").orderBy("ord")
+    w = Window.partitionBy("answer_id").orderBy("ord", "text")
     first = sources.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 3 * k)
     asked = claims.where("needs_rerank").select("answer_id", "claim_idx", F.regexp_extract("claim", CITATION, 1).alias("cited"))
     pool = asked.select("answer_id", "claim_idx").join(first.select("answer_id", "text"), "answer_id")
