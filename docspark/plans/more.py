@@ -151,11 +151,11 @@ def x19_extract_abstract(spark, d):
     return table(spark, d, "orders").select("o_orderkey", extraction.extract_abstract(text).alias("abstract"))
 
 
-@query("""WITH w AS (SELECT l_orderkey AS doc_id, l_linenumber % 2 AS "row", l_linenumber AS word_idx, l_linenumber * 120 + l_quantity AS x0, l_linenumber * 120 + l_quantity + 60 AS x1, l_returnflag || l_linestatus AS text FROM lineitem), n AS (SELECT *, coalesce((x0 - lag(x1) OVER (PARTITION BY doc_id, "row" ORDER BY x0, word_idx) >= 190)::INT, 1) AS new FROM w),
+@query("""WITH w AS (SELECT l_orderkey AS doc_id, l_linenumber % 2 AS "row", l_linenumber * 10000000 + l_partkey AS word_idx, l_linenumber * 120 + l_quantity AS x0, l_linenumber * 120 + l_quantity + 60 AS x1, l_returnflag || l_linestatus AS text FROM lineitem), n AS (SELECT *, coalesce((x0 - lag(x1) OVER (PARTITION BY doc_id, "row" ORDER BY x0, word_idx) >= 190)::INT, 1) AS new FROM w),
 g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, "row" ORDER BY x0, word_idx) AS name_idx FROM n) SELECT doc_id, "row", name_idx::BIGINT AS name_idx, string_agg(text, ' ' ORDER BY x0, word_idx) AS name FROM g GROUP BY 1, 2, 3 HAVING length(string_agg(text, ' ')) >= 3""")
 def x22_group_words(spark, d):
     x = F.col("l_linenumber") * 120 + F.col("l_quantity")
-    words = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 2).alias("row"), F.col("l_linenumber").alias("word_idx"), x.alias("x0"), (x + 60).alias("x1"), F.concat("l_returnflag", "l_linestatus").alias("text"))
+    words = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 2).alias("row"), (F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("word_idx"), x.alias("x0"), (x + 60).alias("x1"), F.concat("l_returnflag", "l_linestatus").alias("text"))
     return extraction.group_words(words, 190.0)
 
 
