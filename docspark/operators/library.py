@@ -212,6 +212,9 @@ def best_page(spans: DataFrame, pages: DataFrame, least: float = 0.4) -> DataFra
     found = F.array_distinct(F.filter(F.split("needle", r"\s+"), lambda w: F.length(w) >= 4))
     share = F.when(F.size(found) > 0, F.size(F.filter(found, lambda w: F.contains(F.col("hay"), w))) / F.size(found)).otherwise(0.0)
     scored = joined.select("span_id", "target", "page", F.contains("hay", "needle").alias("exact"), share.alias("share"))
-    rank = F.when(F.col("exact") & (F.col("page") == F.col("target")), F.struct(F.lit(3).alias("r"), F.lit(0.0).alias("s"), (-F.col("page")).alias("p"))).when(F.col("exact"), F.struct(F.lit(2), F.lit(0.0), -F.col("page"))).when(F.col("share") >= least, F.struct(F.lit(1), F.col("share"), -F.col("page"))).otherwise(F.struct(F.lit(0), F.lit(0.0), F.lit(0)))
+    place = lambda r, s, p: F.struct(F.lit(r).alias("r"), s.alias("s"), p.alias("p"))
+    none = F.lit(0.0)
+    rank = F.when(F.col("exact") & (F.col("page") == F.col("target")), place(3, none, -F.col("page"))).when(F.col("exact"), place(2, none, -F.col("page")))
+    rank = rank.when(F.col("share") >= least, place(1, F.col("share"), -F.col("page"))).otherwise(place(0, none, F.lit(0)))
     best = scored.groupBy("span_id", "target").agg(F.max_by(F.struct("page", rank["r"].alias("r")), rank).alias("b"))
     return best.select("span_id", F.when(F.col("b.r") == 0, F.col("target")).otherwise(F.col("b.page")).alias("page"))
