@@ -128,6 +128,12 @@ def rolling_usage(calls: DataFrame, *, window: str = "60 seconds", day: str = "1
     return calls.sparkSession.sql(f"SELECT *, sum(tokens) OVER {short} AS tokens_window, count(*) OVER {short} AS requests_window, count(*) OVER {long} AS requests_day FROM _usage_calls")
 
 
+def usage_summary(usage: DataFrame) -> DataFrame:
+    """Tokens and requests of each provider at its last call."""
+    last = F.max_by(F.struct("tokens_window", "requests_window", "requests_day"), F.struct("ts", "event_id"))
+    return usage.groupBy("provider").agg(last.alias("l")).select("provider", F.col("l.tokens_window").alias("tokens"), F.col("l.requests_window").alias("requests"), F.col("l.requests_day").alias("day"))
+
+
 def over_budget(usage: DataFrame, limits: DataFrame, *, share: float = 0.85) -> DataFrame:
     """Adds within_budget: window tokens, requests and the day's requests stay within ``int(limit * share)``."""
     joined = usage.join(F.broadcast(limits), "provider")
@@ -179,6 +185,12 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return joined.agg(F.count("*").alias("pairs"), F.round(F.avg((F.col("x") == F.col("y")).cast("double")), 6).alias("agreement"))
 
 
+def calibration(cases: DataFrame, least: float = 0.8) -> DataFrame:
+    """Cases, share classified as wanted, and whether it reaches ``least``."""
+    share = F.avg((F.col("want") == F.col("got")).cast("double"))
+    return cases.agg(F.count("*").alias("cases"), F.round(share, 6).alias("share"), (share >= least).alias("calibrated"))
+
+
 # Analysis.
 
 
