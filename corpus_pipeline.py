@@ -35,8 +35,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each class of near-duplicates; shingles of five words."""
-    return simhash.drop_near_duplicates(docs.select(COLUMNS), width=5)
+    """One document, that of the least id, of each class of near-duplicates: shingles of five words, similarity 0.8 or more."""
+    return simhash.drop_near_duplicates(docs.select(COLUMNS), width=5, similarity=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

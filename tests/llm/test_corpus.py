@@ -182,7 +182,7 @@ def test_bloom_filter_has_no_false_negatives_and_few_positives(spark):
 
 
 def test_pipeline(spark, sf_dir):
-    from docspark.llm.simhash import simhash_classes
+    from docspark.llm.simhash import similar_classes
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "simhash near-dedup", "mixing", "byte-level BPE"]
@@ -197,7 +197,7 @@ def test_pipeline(spark, sf_dir):
         if k == 1:
             assert after.count() == after.select("doc_id").distinct().count()
         if k == 2:
-            classes = simhash_classes(after, width=5)
+            classes = similar_classes(after)
             assert classes.select("component_id").distinct().count() == classes.count() == after.count()
         before = after
     assert after.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and after.count() > 50

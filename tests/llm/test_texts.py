@@ -170,7 +170,7 @@ def test_compared_finds_every_link():
     base = rng.integers(-(2**62), 2**62, 8)
     f = np.array([b ^ sum(1 << int(x) for x in rng.choice(62, rng.integers(0, 5), replace=False)) for b in base for _ in range(40)])
     group = np.repeat(np.arange(4), 80)
-    label = simhash.compared(f, group)
+    label = simhash.compared(np.unpackbits(f.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), group)
     for a in range(len(f)):
         for b in range(a):
             if group[a] == group[b] and bin((int(f[a]) ^ int(f[b])) & (2**64 - 1)).count("1") <= 2:
@@ -192,4 +192,25 @@ def test_one_document_of_each_class_stays(spark):
     text = " ".join(f"w{k}" for k in range(400))
     rows = [(3, text), (1, text), (1, text), (2, text + " more"), (9, "other words " * 20), (None, text)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in simhash.drop_near_duplicates(docs, width=5).collect()) == [(False, 1), (False, 9), (True, None)]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in simhash.drop_near_duplicates(docs, width=5).collect()) == [(False, 1), (False, 9), (True, 0)]
+
+
+def test_similar_texts_are_found(spark):
+    rng = random.Random(8)
+    rows, group = [], {}
+    for g in range(60):
+        ws = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        for c in range(4):
+            copy = list(ws)
+            for _ in range(0 if c == 0 else rng.randint(1, 5)):
+                copy[rng.randrange(len(copy))] = "edit"
+            rows.append((4 * g + c, " ".join(copy)))
+            group[4 * g + c] = 4 * g
+    shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(296)} for i, t in rows}
+    near = {i: len(shingles[i] & shingles[g]) / len(shingles[i] | shingles[g]) for i, g in group.items()}
+    made = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(made[i] in (i, group[i]) or made[i] // 4 == i // 4 for i in made)
+    sure = [i for i in group if near[i] >= 0.85]
+    assert len(sure) > 150 and sum(made[i] == group[i] for i in sure) >= 0.98 * len(sure)
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.similar_classes(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
