@@ -166,3 +166,66 @@ def formula_chunk(title: Column, page: Column, kind: Column, number: Column, con
     return display, F.concat(prefix, F.lit("\n"), display)
 
 
+
+
+# Publishers and programs that are no authors; commands of formulas and their words.
+PUBLISHERS = "ieee,acm,springer,elsevier,wiley,nature,science,oxford university press,cambridge university press,taylor & francis,mdpi,frontiers,plos,arxiv,biorxiv,medrxiv,microsoft word,microsoft,latex,overleaf,apple,google,meta,openai".split(",")
+MATH = [
+    (r"\\(?:text|mathrm|operatorname)\{([^{}]*)\}", "$1"), (r"\$\$|\$|\\\(|\\\)|\\\[|\\\]", ""), (r"\\times", " x "), (r"\\cdot", " * "), (r"\\leq?", " <= "), (r"\\geq?", " >= "), (r"\\neq?", " != "), (r"\\approx", " ~ "), (r"\\infty", "infinity"),
+    (r"\\(alpha|beta|gamma|delta|theta|lambda|sigma|sum|sqrt|mu)", "$1"), (r"[{}]", ""), (r"\s+", " "),
+]
+
+
+def extract_authors(text: Column, meta: Column, title: Column) -> Column:
+    """Authors of the file unless it is a publisher or a template, else the first line of names after the title, up to the abstract."""
+    ok = (F.length(F.trim(meta)) > 1) & ~F.lower(F.trim(meta)).isin(PUBLISHERS) & ~meta.rlike("(?i)template|author")
+    lines = F.transform(F.split(F.split_part(text, title, F.lit(2)), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[*_0-9†‡]", "")))
+    stop = F.array_position(F.transform(lines, lambda x: x.rlike(r"(?i)^(?:#|abstract|introduction|keyword)")), F.lit(True))
+    head = F.slice(lines, 1, F.when(stop > 0, (stop - 1).cast("int")).otherwise(F.lit(20)))
+    names = F.filter(head, lambda x: x.rlike(r"^\p{Lu}[\p{L}.'-]+(?: \p{Lu}[\p{L}.'-]*)+(?:(?:,| and|;) \p{Lu}[\p{L}.'-]+(?: \p{Lu}[\p{L}.'-]*)+)*\z"))
+    return F.coalesce(F.when(ok, F.trim(meta)), F.regexp_replace(F.try_element_at(names, F.lit(1)), r",| and", ";"))
+
+
+def plain_math(c: Column) -> Column:
+    """A formula as plain words and signs."""
+    for pattern, to in MATH:
+        c = F.regexp_replace(c, pattern, to)
+    return F.trim(c)
+
+
+def latin1(c: Column) -> Column:
+    """Text that Latin-1 can hold: quotes and dashes plain, accents kept where it has them, other letters without accents, else ``?``; only rows with other than ASCII go through Python."""
+
+    @F.pandas_udf("string")
+    def folded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(t: str | None) -> str | None:
+            if t is None or t.isascii():
+                return t
+            return "".join(x if ord(x) < 256 else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode() or "?" for x in t)
+
+        for batch in batches:
+            yield batch.map(one)
+
+    return folded(F.regexp_replace(F.translate(c, "‘’“”–—•", "''\"\"--*"), "…", "..."))
+
+
+def pipe_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row, cells: pipe lines of the width that the separator line has; other widths are dropped, the separator too."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).where(F.trim("line").startswith("|"))
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
+    typed = lines.select("doc_id", "n", cells.alias("cells"), F.trim("line").rlike(r"^\|[\s\-:|]+\|?$").alias("sep"))
+    width = F.max(F.when(F.col("sep"), F.size("cells"))).over(Window.partitionBy("doc_id"))
+    kept = typed.withColumn("w", F.coalesce(width, F.size("cells"))).where(~F.col("sep") & (F.size("cells") == F.col("w")))
+    return kept.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("n")) - 1).alias("row"), "cells")
+
+
+def formula_boxes(boxes: DataFrame, number_width: float = 30.0) -> DataFrame:
+    """Boxes of formulas with the box of their number: the right ``number_width`` units."""
+    right = F.struct((F.col("x1") - number_width).alias("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    return boxes.where("kind = 'formula'").withColumn("number_box", right)
+
+
+def chunks_by_papers(chunks: DataFrame, papers: DataFrame) -> DataFrame:
+    """Chunks of the wanted papers in the order of paper and paragraph; a paper without chunks appears once, empty."""
+    joined = papers.select("paper_id").distinct().join(chunks, "paper_id", "left")
+    return joined.withColumn("place", F.row_number().over(Window.partitionBy("paper_id").orderBy("paragraph_id")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docspark.operators import documents
+from docspark.operators import cleaning, documents, extraction
 from docspark.plans import fixtures as fx
 from docspark.plans.fixtures import table
 from docspark.plans.registry import query
@@ -92,3 +92,55 @@ def k06_formula_chunks(spark, d):
     k = F.col("p_partkey")
     display, enriched = documents.formula_chunk(F.col("p_brand"), F.col("p_size"), F.lit("display"), F.when(k % 2 == 0, k.cast("string")), F.when(k % 3 == 0, F.col("p_type")), F.concat("p_name", F.lit("![x](y.png)")))
     return table(spark, d, "part").select("p_partkey", display.alias("display"), enriched.alias("enriched"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Ann Lee; Bob Ray' WHEN 1 THEN 'Kim Park; Lee Chan' END AS authors FROM orders")
+def x17_extract_authors(spark, d):
+    n = F.col("o_orderkey") % 3
+    meta = F.when(n == 0, "Ann Lee; Bob Ray").when(n == 1, "IEEE").otherwise("Template author")
+    text = F.when(n == 1, "A Title\nlower line here\nKim Park*1, Lee Chan2\nAbstract\nNot Me").otherwise("A Title\nAbstract\nKim Park")
+    return table(spark, d, "orders").select("o_orderkey", documents.extract_authors(text, meta, F.lit("A Title")).alias("authors"))
+
+
+@query(r"""SELECT o_orderkey, 'a <= ' || CAST(o_orderkey AS VARCHAR) || ' x alpha' AS plain FROM orders""")
+def f08_math(spark, d):
+    text = F.concat(F.lit("$$a \\leq "), F.col("o_orderkey").cast("string"), F.lit(" \\times \\alpha$$"))
+    return table(spark, d, "orders").select("o_orderkey", documents.plain_math(text).alias("plain"))
+
+
+@query()
+def f08_latin1(spark, d):
+    return table(spark, d, "documents").select("doc_id", documents.latin1(F.col("text")).alias("latin1"))
+
+
+@query(r"""WITH a AS (SELECT conv_id, turn, '## ' || text || ' **b** [ab_P1]' AS text FROM conversations) SELECT conv_id, turn, trim(regexp_replace(text, '\[(?:[a-f0-9]{1,8}_)?[PTFE]\d+(?:-S\d+)?\]', '', 'g')) AS normalised FROM a""")
+def f08_uncite(spark, d):
+    text = F.concat(F.lit("## "), "text", F.lit(" **b** [ab_P1]"))
+    return cleaning.normalise_text(table(spark, d, "conversations").withColumn("text", text), "uncite").select("conv_id", "turn", "normalised")
+
+
+@query("SELECT o_orderkey AS doc_id, r AS \"row\", CASE r WHEN 0 THEN 'h1,h2' ELSE '1,' || o_orderpriority END AS cells FROM orders, (VALUES (0), (1)) AS a(r)")
+def m04_pipe_table_rows(spark, d):
+    text = F.concat(F.lit("intro\n| h1 | h2 |\n|---|---|\n| 1 | "), "o_orderpriority", F.lit(" |\n| odd |\nend"))
+    rows = documents.pipe_rows(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
+    return rows.select("doc_id", "row", F.array_join("cells", ",").alias("cells"))
+
+
+@query("SELECT p_partkey AS box_idx, (p_partkey % 100 + 50 - 30)::DOUBLE AS x0 FROM part WHERE p_partkey % 4 = 0")
+def x06_formulas_from_boxes(spark, d):
+    k = F.col("p_partkey")
+    z = F.lit(0.0)
+    boxes = table(spark, d, "part").select(k.alias("box_idx"), F.when(k % 4 == 0, "formula").otherwise("text").alias("kind"), z.alias("x0"), z.alias("y0"), (k % 100 + 50).cast("double").alias("x1"), z.alias("y1"))
+    return documents.formula_boxes(boxes).select("box_idx", "number_box.x0")
+
+
+@query("WITH t AS (SELECT 'i' || CAST(l_partkey % 700 AS VARCHAR) AS path, l_orderkey * 10 + l_linenumber AS ord, l_suppkey % 5 = 0 AS has_bbox FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY has_bbox DESC, ord) AS n FROM t) SELECT path, min(ord) AS ord, has_bbox FROM r WHERE n = 1 GROUP BY path, has_bbox")
+def x13_merge_figures(spark, d):
+    t = table(spark, d, "lineitem").select(F.concat(F.lit("i"), (F.col("l_partkey") % 700).cast("string")).alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), (F.col("l_suppkey") % 5 == 0).alias("has_bbox"))
+    return extraction.first_by_key(t, ["path"], "has_bbox", "ord")
+
+
+@query(f"WITH {fx.CHUNKS_SQL}, w AS (SELECT DISTINCT doc_id AS paper_id FROM labels) SELECT w.paper_id, c.paragraph_id, row_number() OVER (PARTITION BY w.paper_id ORDER BY c.paragraph_id) AS place FROM w LEFT JOIN chunks c ON c.paper_id = w.paper_id")
+def q07_chunks_by_papers(spark, d):
+    wanted = table(spark, d, "labels").select(F.col("doc_id").alias("paper_id"))
+    return documents.chunks_by_papers(fx.chunks(spark, d).select("paper_id", "paragraph_id"), wanted).select("paper_id", "paragraph_id", "place")
