@@ -40,7 +40,8 @@ def best_tier(extracts: DataFrame, min_chars: int = 100) -> DataFrame:
 
 
 def papers_by_session(papers: DataFrame, status: str | None = None) -> DataFrame:
-    return (papers if status is None else papers.where(F.col("status") == status)).withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy("created_at", "paper_id")))
+    """Papers by session and time; a sort by range, so a large session is spread."""
+    return (papers if status is None else papers.where(F.col("status") == status)).orderBy("session_id", "created_at", "paper_id")
 
 
 def stuck_papers(papers: DataFrame) -> DataFrame:
@@ -119,13 +120,26 @@ def sessions_recent(sessions: DataFrame, key: str, last: str) -> DataFrame:
     return sessions.withColumn("own", own).join(before, last).withColumn("place", F.col("before") + F.col("own")).drop("own", "before")
 
 
-def rolling_usage(calls: DataFrame, *, window: str = "60 seconds", day: str = "1 day") -> DataFrame:
-    """Adds tokens and requests of the last window and requests of the last day, per provider; both ends count. One sort for all three."""
-    calls.createOrReplaceTempView("_usage_calls")
-    frame = "(PARTITION BY provider ORDER BY ts RANGE BETWEEN INTERVAL '{}' PRECEDING AND CURRENT ROW)"
-    amount = lambda t: " ".join(t.split())
-    short, long = frame.format(amount(window)), frame.format(amount(day))
-    return calls.sparkSession.sql(f"SELECT *, sum(tokens) OVER {short} AS tokens_window, count(*) OVER {short} AS requests_window, count(*) OVER {long} AS requests_day FROM _usage_calls")
+def _in_slices(df: DataFrame, seconds: float) -> DataFrame:
+    """Every row in the time slice of its ``ts``, and once more, as ``_copy``, in the next: all that a frame of this length looks back on is in a row's own slice.
+
+    A provider with most of the calls is thus many groups, one a slice.
+    """
+    micros = int(seconds * 1_000_000)
+    timed = df.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    number = F.floor(F.col("_us") / micros)
+    both = F.array(F.struct(number.alias("slice"), F.lit(False).alias("copy")), F.struct((number + 1).alias("slice"), F.lit(True).alias("copy")))
+    return timed.withColumn("_in", F.explode(both)).withColumns({"_slice": F.col("_in.slice"), "_copy": F.col("_in.copy")}).drop("_in")
+
+
+def rolling_usage(calls: DataFrame, *, window_s: float = 60.0, day_s: float = 86_400.0) -> DataFrame:
+    """Adds tokens and requests of the last window and requests of the last day, per provider; both ends count."""
+    out = calls
+    for seconds, columns in ((window_s, {"tokens_window": F.sum("tokens"), "requests_window": F.count("*")}), (day_s, {"requests_day": F.count("*")})):
+        frame = Window.partitionBy("provider", "_slice").orderBy("_us").rangeBetween(-int(seconds * 1_000_000), 0)
+        sliced = _in_slices(out, seconds)
+        out = sliced.withColumns({name: c.over(frame) for name, c in columns.items()}).where("not _copy").drop("_us", "_slice", "_copy")
+    return out
 
 
 def usage_summary(usage: DataFrame) -> DataFrame:
@@ -141,11 +155,15 @@ def over_budget(usage: DataFrame, limits: DataFrame, *, share: float = 0.85) ->
     return joined.withColumn("within_budget", (F.col("tokens_window") <= cap("tpm")) & (F.col("requests_window") <= cap("rpm")) & (F.col("requests_day") <= cap("rpd")))
 
 
-def cooldowns(events: DataFrame, *, default: float = 60.0) -> DataFrame:
-    """Adds until_s: the running maximum of event time plus the wait (at least a second)."""
-    wait = F.greatest(F.lit(1.0), F.coalesce("retry_after", F.lit(default)))
-    until = _seconds(F.col("ts")) + wait
-    return events.withColumn("until_s", F.max(until).over(Window.partitionBy("provider").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+def cooldowns(events: DataFrame, *, default: float = 60.0, slice_s: float = 86_400.0) -> DataFrame:
+    """Adds until_s: the running maximum of event time plus the wait (at least a second); within a slice of time by rows, before it by the maxima of the slices."""
+    until = _seconds(F.col("ts")) + F.greatest(F.lit(1.0), F.coalesce("retry_after", F.lit(default)))
+    rows = events.withColumns({"_until": until, "_slice": F.floor(_seconds(F.col("ts")) / slice_s)})
+    maxima = rows.groupBy("provider", "_slice").agg(F.max("_until").alias("_top"))
+    before = maxima.select("provider", "_slice", F.max("_top").over(Window.partitionBy("provider").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    own = F.max("_until").over(Window.partitionBy("provider", "_slice").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    joined = rows.withColumn("_own", own).join(before, ["provider", "_slice"])
+    return joined.withColumn("until_s", F.greatest("_own", "_before")).drop("_until", "_slice", "_own", "_before")
 
 
 def admit(requests: DataFrame, max_calls: int, window_s: float = 60.0) -> DataFrame:

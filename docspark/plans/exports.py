@@ -86,7 +86,7 @@ def fx_confidence(score):
 @query("WITH u AS (SELECT event_type AS provider, ts, event_id, sum(value) OVER w AS t, count(*) OVER w AS r FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)), n AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY ts DESC, event_id DESC) AS n FROM u) SELECT provider, round(t, 4) AS tokens, r AS requests, 400 AS tpm FROM n WHERE n = 1")
 def e10_usage_summary(spark, d):
     calls = table(spark, d, "events").select("event_id", F.col("event_type").alias("provider"), "ts", F.col("value").alias("tokens"))
-    return library.usage_summary(library.rolling_usage(calls, window="1 hour")).select("provider", F.round("tokens", 4).alias("tokens"), "requests", F.lit(400).alias("tpm"))
+    return library.usage_summary(library.rolling_usage(calls, window_s=3600)).select("provider", F.round("tokens", 4).alias("tokens"), "requests", F.lit(400).alias("tpm"))
 
 
 @query(f"WITH {fx.RESULTS_SQL}, t AS (SELECT CASE WHEN score < 0.4 THEN 'unsupported' ELSE 'other' END AS want, CASE WHEN cross_encoder < 0.4 THEN 'unsupported' ELSE 'other' END AS got FROM results) SELECT count(*) AS cases, round(avg((want = got)::INT::DOUBLE), 6) AS share, avg((want = got)::INT::DOUBLE) >= 0.8 AS calibrated FROM t")

@@ -465,7 +465,7 @@ def a01_string_similarity(spark, d):
 # Library: sessions, papers, messages
 
 
-@query(f"WITH {fx.PAPERS_SQL} SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at, paper_id) AS place FROM papers WHERE status = 'completed'")
+@query(f"WITH {fx.PAPERS_SQL} SELECT * FROM papers WHERE status = 'completed'")
 def q01_papers_by_session(spark, d):
     return library.papers_by_session(fx.papers(spark, d), "completed")
 
@@ -537,7 +537,7 @@ USAGE_SQL = "usage AS (SELECT event_id, event_type AS provider, ts, value, sum(v
 
 def _usage(spark, d):
     calls = table(spark, d, "events").select("event_id", F.col("event_type").alias("provider"), "ts", F.col("value").alias("tokens"))
-    return library.rolling_usage(calls, window="1 hour")
+    return library.rolling_usage(calls, window_s=3600)
 
 
 @query(f"WITH {USAGE_SQL} SELECT event_id, provider, round(tokens_window, 4) AS tokens_window, requests_window, requests_day FROM usage")
