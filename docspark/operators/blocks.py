@@ -53,7 +53,7 @@ def markdown_blocks(docs: DataFrame) -> DataFrame:
     table = (F.col("kind") == "table") & has_separator & (F.size("lines") >= 2)
     rows = F.transform(F.filter("lines", lambda x: ~x.rlike(SEPARATOR)), lambda x: F.transform(cells(x), lambda c: flat(c)))
     first = F.get("lines", F.lit(0))
-    text = F.when(F.col("kind") == "heading", F.regexp_replace(first, r"^#{1,6}\s+", "")).when(F.col("kind") == "bullet", F.regexp_replace(first, r"^(?:[-*+]|\d+\.)\s+", "")).otherwise(F.regexp_replace(F.array_join("lines", "\n"), r"-\n(?=\p{Ll})|\n", " "))
+    text = F.when(F.col("kind") == "heading", F.regexp_replace(first, r"^#{1,6}\s+", "")).when(F.col("kind") == "bullet", F.regexp_replace(first, r"^(?:[-*+]|\d+\.)\s+", "")).otherwise(F.regexp_replace(F.regexp_replace(F.array_join("lines", "\n"), r"-\n(?=\p{Ll})", ""), r"\n", " "))
     level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract(first, r"^(#{1,6})", 1))).otherwise(0)
     out = made.select("doc_id", F.when(table, "table").when(F.col("kind") == "table", "paragraph").otherwise(F.col("kind")).alias("kind"), level.alias("level"), F.when(table, "").otherwise(flat(text)).alias("text"), F.when(table, rows).alias("rows"), "run")
     return out.withColumn("block", F.row_number().over(Window.partitionBy("doc_id").orderBy("run")) - 1).drop("run")

@@ -57,6 +57,16 @@ def table_islands(lines: DataFrame, least: int = 2) -> DataFrame:
     return runs.where(F.col("n_lines") >= least).where((F.col("rows") >= 2) & (F.col("cols") >= 2)).drop("island")
 
 
+def tables_from_boxes(boxes: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, number, page, content of layout boxes of tables: the piece of the page text that a box spans, if it has at least two rows of data and two columns; numbered by page and place."""
+    joined = boxes.where("kind = 'table'").join(pages, ["doc_id", "page"])
+    content = F.trim(F.substring(F.col("text"), F.col("pos_start") + 1, F.col("pos_end") - F.col("pos_start")))
+    lines = F.filter(F.transform(F.split(content, "\n"), lambda x: F.trim(x)), lambda x: x.startswith("|") & ~x.rlike(r"^\|[\s\-:|]+\|?$"))
+    cols = F.regexp_count(F.try_element_at(lines, F.lit(1)), F.lit(r"\|")) - 1
+    kept = joined.where((F.size(lines) >= 2) & (cols >= 2)).select("doc_id", "page", "pos_start", content.alias("content"))
+    return kept.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "pos_start")).alias("number"), "page", "content")
+
+
 def row_boxes(cells: DataFrame) -> DataFrame:
     """Bounding box of every table row; row 0 is the header."""
     return cells.groupBy("table_id", "row").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), (F.min("row") == 0).alias("is_header"))

@@ -50,6 +50,14 @@ def x01_extract_md_tables(spark, d):
     return extraction.table_islands(_md(spark, d))
 
 
+@query("""SELECT o_orderkey AS doc_id, 1 AS number, 0 AS page, '| a | b |' || chr(10) || '| 1 | ' || o_orderpriority || ' |' AS content FROM orders WHERE o_orderkey % 3 > 0""")
+def x02_tables_from_boxes(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.concat(F.lit("head\n| a | b |\n| 1 | "), "o_orderpriority", F.lit(" |\ntail")).alias("text"))
+    spans = F.array(F.struct(F.lit(5).alias("pos_start"), (F.length("text") - 5).alias("pos_end")), F.struct(F.lit(0).alias("pos_start"), F.lit(4).alias("pos_end")))
+    boxes = orders.select("doc_id", "page", F.when(F.col("doc_id") % 3 > 0, "table").otherwise("text").alias("kind"), F.inline(spans))
+    return extraction.tables_from_boxes(boxes, orders)
+
+
 CELLS_SQL = "cells AS (SELECT l_orderkey AS table_id, l_linenumber - 1 AS \"row\", (l_partkey % 100)::DOUBLE AS x0, (l_suppkey % 70)::DOUBLE AS y0, (l_partkey % 100 + l_quantity)::DOUBLE AS x1, (l_suppkey % 70 + 12)::DOUBLE AS y1 FROM lineitem)"
 
 

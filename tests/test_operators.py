@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from docspark.functions import text as tx
-from docspark.operators import answers, cleaning, extraction, library, retrieval, structure, vectors, verification
+from docspark.operators import answers, blocks, cleaning, documents, extraction, flows, library, retrieval, structure, vectors, verification
 from docspark.sources import tables
 from docspark.streaming import events as streaming
 
@@ -168,6 +168,29 @@ def test_labels_and_writers(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/e").count() == 2
 
 
+def test_blocks_of_markdown(spark):
+    text = "# Title\nOne two-\nthree\n[P1]\n* item\n\n| a | b |\n|---|---|\n| 1 | **2** |\n\n| lone |\n"
+    made = blocks.markdown_blocks(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id int, text string")).orderBy("doc_id", "block").collect()
+    assert [(r["kind"], r["level"], r["text"], r["rows"]) for r in made] == [
+        ("heading", 1, "Title", None), ("paragraph", 0, "One twothree [P1]", None), ("bullet", 0, "item", None), ("table", 0, "", [["a", "b"], ["1", "2"]]), ("paragraph", 0, "| lone |", None),
+    ]
+
+
+def test_clean_sources_and_latin1(spark):
+    rows = spark.createDataFrame([("ﬁne\u200b work-\n ing “q” –  x",), (None,), ("",)], "text string")
+    assert [r["clean"] for r in documents.clean_source(rows).collect()] == ["fine working \"q\" - x", None, ""]
+    assert one(spark, documents.latin1(F.lit("é ś 日 … “a”"))) == "é s ? ... \"a\""
+
+
+def test_flow_finds_a_quoted_sentence(spark):
+    chunks = [(p, "s", o, f"Paper {p} paragraph {o} speaks of topic{o} and of subject{p} in its very own words.", f"{p}_P{o}", 20, "text", "Section 0") for p in range(3) for o in range(6)]
+    table = spark.createDataFrame(chunks, "paper_id long, session_id string, ord long, text string, paragraph_id string, token_count long, chunk_type string, section string")
+    texts = spark.createDataFrame([(7, "Paper 1 paragraph 4 speaks of topic4 and of subject1 in its very own words. No."), (8, "")], "answer_id long, text string")
+    rows = {r["claim_idx"]: r for r in flows.verify_texts(texts, table, k=5).collect()}
+    assert rows[0]["paragraph_id"] == "1_P4" and rows[0]["confidence"] == "high" and rows[0]["attribution"] == "direct_quote"
+    assert rows[1]["method"] == "skipped" and rows[1]["score"] == 0.0 and rows[1]["attribution"] is None
+
+
 T0 = dt.datetime(2024, 1, 1)
 
 
@@ -206,7 +229,10 @@ def test_entry_and_names(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) and len(__spark_entry__.queries()) > 80
 
 
-SAMPLE = ["s03_drop_duplicate_content", "d02_page_of_offset", "d05_split_sections", "r05_classify_query", "r12_add_non_text", "v04_best_source", "a07_attribution_summary", "e05_rolling_usage", "n06_comparison_contexts"]
+SAMPLE = [
+    "x02_tables_from_boxes", "x16_extract_title", "d07_sections_from_boxes", "m01_markdown_blocks", "c05_parse_comparison", "v08_correct_citations", "v13_table_region", "n10_highlight_items", "e08_cooldowns", "f02_noise_reason", "k06_formula_chunks", "r06_paper_boosts",
+    "s03_drop_duplicate_content", "d02_page_of_offset", "d05_split_sections", "r05_classify_query", "r12_add_non_text", "v04_best_source", "a07_attribution_summary", "e05_rolling_usage", "n06_comparison_contexts",
+]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
