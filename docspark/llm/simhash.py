@@ -208,12 +208,15 @@ def wide_radius(similarity: float, bits: int = WIDE) -> int:
     return math.ceil(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def similar_classes(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_classes(
+    docs: DataFrame, *, width: int = 5, similarity: float = 0.8, files: int = FILES, file_bits: int = FILE_BITS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """id_col, component_id of every row: classes of texts whose shingles of ``width`` words have about this Jaccard similarity or more.
 
     A radius of 2 in 64 bits finds only texts that are almost equal (0.97 and up), so this takes fingerprints of ``WIDE`` bits, a radius for the similarity and one
-    standard deviation, and ``FILES`` files of ``FILE_BITS`` drawn bits each.  Texts of similarity 0.8 meet in one with probability 0.93, of 0.9 with 0.998; within a file no
-    link is lost.
+    standard deviation, and ``files`` files of ``file_bits`` drawn bits each.  Texts of similarity 0.8 meet in one with probability 0.92, of 0.9 with 0.998; within a file no
+    link is lost.  A file holds about one of ``2 ** file_bits`` texts, and comparing it costs its square (64 pairs an operation), so a corpus of billions of texts wants more
+    bits, and more files to keep the probabilities: 20 bits in 64 files meet with 0.91 and 0.9996.
     """
     def print_of(hashes):
         return (wide_bits(hashes),)
@@ -221,14 +224,14 @@ def similar_classes(docs: DataFrame, *, width: int = 5, similarity: float = 0.8,
     rows = docs.select(F.col(id_col).alias("id"), shingle_hashes(F.col(text_col), width).alias("hashes"))
     printed = cut(computed(rows, ["hashes"], "bits binary", lambda: print_of))
     first = cut(cut(printed.groupBy("bits").agg(F.min("id").alias("least_id"))).withColumn("node", F.monotonically_increasing_id()))
-    drawn = np.stack([np.random.default_rng(k).choice(WIDE, FILE_BITS, replace=False) for k in range(FILES)])
-    weights = 1 << np.arange(FILE_BITS, dtype=np.int64)
+    drawn = np.stack([np.random.default_rng(k).choice(WIDE, file_bits, replace=False) for k in range(files)])
+    weights = 1 << np.arange(file_bits, dtype=np.int64)
 
-    def files(bits: bytes) -> tuple[list[int]]:
+    def files_of(bits: bytes) -> tuple[list[int]]:
         x = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(np.int64)
-        return ((x[drawn] @ weights + (np.arange(FILES) << 32)).tolist(),)
+        return ((x[drawn] @ weights + (np.arange(files) << 32)).tolist(),)
 
-    filed = computed(first.select("node", "bits", F.col("bits").alias("_in")), ["_in"], "files array<long>", lambda: files)
+    filed = computed(first.select("node", "bits", F.col("bits").alias("_in")), ["_in"], "files array<long>", lambda: files_of)
     unpacked = lambda column: np.unpackbits(np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1), axis=1, bitorder="little")
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = wide_radius(similarity) + round(math.sqrt(WIDE * p * (1 - p)))
