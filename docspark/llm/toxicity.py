@@ -215,7 +215,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, lexicon:
     if len(totals) < 2:
         return Model([], [], [], prior)
     some = [usable.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (0, 1)]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(some[0].union(some[1]), "id")
+    # At most twice ``sample`` rows of an id and a label: broadcast, so that no text is moved to find the sampled ones.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some[0].union(some[1])), "id")
     # Copies of a text would each count its every word.
     rows = rows.groupBy(F.xxhash64("text").alias("hash")).agg(F.min(F.struct("id", "text", "toxic")).alias("row")).select("row.*")
     rows = rows.where("text is not null").persist()
