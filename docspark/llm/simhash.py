@@ -84,7 +84,11 @@ def compared(bits: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> np.nd
         return i
 
     for d in range(1, int(left.max(initial=1))):
-        alive = int.from_bytes(np.packbits(left > d, bitorder="little").tobytes(), "little")
+        open_ = left > d
+        open_[: n - d] &= label[: n - d] != label[d:]  # lanes within one class need no comparison
+        alive = int.from_bytes(np.packbits(open_, bitorder="little").tobytes(), "little")
+        if not alive:
+            continue
         counters = [0] * (radius.bit_length() + 1)  # carry-save: weights 1, 2, 4, ...; the last is never cleared
         for k, plane in enumerate(planes):
             carry = plane ^ (plane >> d)
@@ -99,12 +103,12 @@ def compared(bits: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> np.nd
                     break
         if alive:
             near = np.flatnonzero(np.unpackbits(np.frombuffer(alive.to_bytes((n + 7) // 8, "little"), np.uint8), bitorder="little"))
-            for i in near[label[near] != label[near + d]].tolist():
+            for i in near.tolist():
                 a, b = find(i), find(i + d)
                 if a != b:
                     label[max(a, b)] = min(a, b)
-    while (up := label[label]).tolist() != label.tolist():
-        label = up
+            while not np.array_equal(up := label[label], label):
+                label = up
     return label
 
 
@@ -161,22 +165,35 @@ def stars(filed: DataFrame, unpacked, radius: int) -> DataFrame:
         if rest is not None and len(rest):
             yield of(rest)
 
-    together = grouped.repartition(F.col("group")).sortWithinPartitions("group")
+    # Sorted by node, a class of a group is named by its least node, which is much the same in all its files: few different edges are left.
+    together = grouped.repartition(F.col("group")).sortWithinPartitions("group", "node")
     return together.mapInPandas(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root for every node of the edges (a, b); root is the least node of its component."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        nearer = labels.join(seen, labels["node"] == seen["a"]).select("node", F.least("root", "near").alias("via"), F.col("root").alias("old"))
-        jump = labels.select(F.col("node").alias("via"), F.col("root").alias("far"))
-        new = cut(nearer.join(jump, "via", "left").select("node", F.least("via", F.coalesce("far", "via")).alias("root"), "old"))
-        if new.where("root <> old").isEmpty():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
+    """node, root for every node of the edges (a, b); nodes of one component share a root.
+
+    Each round points every node to its least neighbour, follows the pointers to their ends by doubling, and contracts the edges to
+    those ends.  What is left shrinks by half of its nodes at least, and in stars at once, so later rounds move little.
+    """
+    left = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    total = left.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    first = True
+    while not left.isEmpty():
+        both = left.union(left.select("b", "a"))
+        forest = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
+        while True:
+            ends = forest.select(F.col("node").alias("root"), F.col("root").alias("end"))
+            jumped = cut(forest.join(ends, "root").select("node", "root", "end"))
+            forest = jumped.select("node", F.col("end").alias("root"))
+            if jumped.where("root <> end").isEmpty():
+                break
+        ends = forest.select(F.col("node").alias("root"), F.col("root").alias("end"))
+        total = forest if first else cut(total.join(ends, "root", "left").select("node", F.coalesce("end", "root").alias("root")))
+        first = False
+        at_a, at_b = forest.select(F.col("node").alias("a"), F.col("root").alias("x")), forest.select(F.col("node").alias("b"), F.col("root").alias("y"))
+        left = cut(left.join(at_a, "a").join(at_b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return total
 
 
 def simhash_classes(docs: DataFrame, *, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
