@@ -13,7 +13,7 @@ linked if their fingerprints differ in at most ``radius`` (2) bits; a class is a
   radius); the distance is abandoned as soon as no lane is left.  A group gives its classes as a spanning star, not as pairs.
 * The stars are joined across groups by label propagation with pointer jumping, on fingerprints, each round written to the checkpoint folder.
 
-``similar_classes`` does the same for a similarity of shingle sets, with longer fingerprints and a wider radius.
+``similar_classes`` does the same for a similarity of shingle sets, with longer fingerprints and a wider radius, and then compares the sets themselves.
 
 Null texts count as empty; a text without words has fingerprint zero and links like any other.  Repeated rows get a row each.
 Ids may be null; the class of a class without any id is null.
@@ -37,6 +37,10 @@ BLOCK = 2048
 LANES = 16384
 #: Bits of the longer fingerprints, and the drawn bits by which they are filed.
 WIDE, FILES, FILE_BITS = 256, 24, 14
+#: Standard deviations of a pair's distance that the wider radius adds to the mean.
+SPREAD = 1
+#: Texts of a block when candidates are compared by their shingles.
+VERIFY = 512
 SALTS = np.random.default_rng(1).integers(0, 2**64, 16, dtype=np.uint64)
 
 
@@ -134,13 +138,15 @@ def links(fingerprints: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     return stars(filed, lambda column: np.unpackbits(column.to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), radius)
 
 
-def stars(filed: DataFrame, unpacked, radius: int) -> DataFrame:
+def stars(filed: DataFrame, unpacked, radius: int, few: bool = False) -> DataFrame:
     """Stars (a, b) of the nodes that are linked within a file; ``filed`` has node, bits and file, a row for each node and file.
 
     ``unpacked`` turns a series of ``bits`` into a matrix of 0 and 1.  Files with one node are dropped before anything moves twice.
+    With ``few`` the number of files has a bound and ``filed`` is read from the checkpoint folder already, so the sizes are broadcast and no row moves to find its own.
     """
-    filed = cut(filed)
+    filed = filed if few else cut(filed)
     sizes = cut(filed.groupBy("file").agg(F.count("*").alias("rows")).where("rows > 1"))
+    sizes = F.broadcast(sizes) if few else sizes
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     dealt = filed.join(sizes, "file").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = dealt.select("node", "bits", "file", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -225,22 +231,65 @@ def wide_radius(similarity: float, bits: int = WIDE) -> int:
     return math.ceil(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def similar_classes(
-    docs: DataFrame, *, width: int = 5, similarity: float = 0.8, files: int = FILES, file_bits: int = FILE_BITS, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """id_col, component_id of every row: classes of texts whose shingles of ``width`` words have about this Jaccard similarity or more.
+def verified(members: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Links (a, b) that span the classes of pairs with at most ``radius`` different bits and at least this Jaccard similarity within each root.
 
-    A radius of 2 in 64 bits finds only texts that are almost equal (0.97 and up), so this takes fingerprints of ``WIDE`` bits, a radius for the similarity and one
-    standard deviation, and ``files`` files of ``file_bits`` drawn bits each.  Texts of similarity 0.8 meet in one with probability 0.92, of 0.9 with 0.998; within a file no
-    link is lost.  A file holds about one of ``2 ** file_bits`` texts, and comparing it costs its square (64 pairs an operation), so a corpus of billions of texts wants more
-    bits, and more files to keep the probabilities: 20 bits in 64 files meet with 0.91 and 0.9996.
+    ``members`` has node, root, bits and the distinct shingle ``hashes`` in order.  A root's members are dealt into blocks of about ``VERIFY``, and every two
+    blocks meet in a group of their own, where pairs that are in one class already are passed over.  Only links leave a group, fewer than it has rows.
     """
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / VERIFY).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = dealt.select("node", "bits", "hashes", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    grouped = met.select("node", "bits", "hashes", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("group"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, rows = None, []
+        for batch in batches:
+            found = []
+            for row in zip(batch["group"], batch["node"], batch["bits"], batch["hashes"], strict=True):
+                if row[0] != group:
+                    found += linked_pairs(rows, similarity, radius)
+                    group, rows = row[0], []
+                rows.append(row[1:])
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+        if found := linked_pairs(rows, similarity, radius):
+            yield pd.DataFrame(found, columns=["a", "b"])
+
+    return grouped.repartition(F.col("group")).sortWithinPartitions("group", "node").mapInPandas(run, "a long, b long").distinct()
+
+
+def linked_pairs(rows: list[tuple[int, bytes, np.ndarray]], similarity: float, radius: int) -> list[tuple[int, int]]:
+    """Pairs of nodes that span the classes of the links among (node, bits, hashes in order)."""
+    if len(rows) < 2:
+        return []
+    bits = np.frombuffer(b"".join(r[1] for r in rows), np.uint64).reshape(len(rows), -1)
+    sizes, label, found = np.array([len(r[2]) for r in rows]), np.arange(len(rows)), []
+    for i in range(len(rows) - 1):
+        rest = slice(i + 1, None)
+        alike = np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i]) - 1e-9
+        near = np.flatnonzero(alike & (np.bitwise_count(bits[rest] ^ bits[i]).sum(1) <= radius) & (label[rest] != label[i])) + i + 1
+        for j in near.tolist():
+            if label[j] == label[i]:
+                continue
+            x, y = sorted((rows[i][2], rows[j][2]), key=len)
+            common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            if common >= similarity * (len(x) + len(y) - common) - 1e-9:
+                found.append((rows[i][0], rows[j][0]))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def classes_of(docs: DataFrame, *, width: int, similarity: float, files: int, file_bits: int, id_col: str, text_col: str) -> DataFrame:
+    """id, text_hash and the class's ``least`` (null_id, id, text_hash) of every row."""
     def print_of(hashes):
         return (wide_bits(hashes),)
 
-    rows = docs.select(F.col(id_col).alias("id"), shingle_hashes(F.col(text_col), width).alias("hashes"))
-    printed = cut(computed(rows, ["hashes"], "bits binary", lambda: print_of))
-    first = cut(cut(printed.groupBy("bits").agg(F.min("id").alias("least_id"))).withColumn("node", F.monotonically_increasing_id()))
+    distinct = F.array_sort(F.array_distinct(shingle_hashes(F.col("text"), width)))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    printed = cut(computed(texts.select("id", "text_hash", distinct.alias("hashes")), ["hashes"], "bits binary", lambda: print_of))
+    least = F.min(F.struct(F.col("id").isNull().alias("null_id"), "id", "text_hash")).alias("least")
+    first = cut(cut(printed.groupBy("bits").agg(least)).withColumn("node", F.monotonically_increasing_id()))
     drawn = np.stack([np.random.default_rng(k).choice(WIDE, file_bits, replace=False) for k in range(files)])
     weights = 1 << np.arange(file_bits, dtype=np.int64)
 
@@ -248,15 +297,34 @@ def similar_classes(
         x = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(np.int64)
         return ((x[drawn] @ weights + (np.arange(files) << 32)).tolist(),)
 
-    filed = computed(first.select("node", "bits", F.col("bits").alias("_in")), ["_in"], "files array<long>", lambda: files_of)
+    some = first.where(F.col("bits") != F.lit(bytes(WIDE // 8)))  # texts without words are equal, and like no other
+    filed = cut(computed(some.select("node", "bits", F.col("bits").alias("_in")), ["_in"], "files array<long>", lambda: files_of))
     unpacked = lambda column: np.unpackbits(np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1), axis=1, bitorder="little")
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = wide_radius(similarity) + round(math.sqrt(WIDE * p * (1 - p)))
-    roots = components(stars(filed.select("node", "bits", F.explode("files").alias("file")), unpacked, radius))
-    rooted = cut(first.join(roots, "node", "left").select("bits", "least_id", F.coalesce("root", "node").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = cut(rooted.join(least, "root").select("bits", "component_id"))
-    return printed.join(classes, "bits").select(F.col("id").alias(id_col), "component_id")
+    radius = wide_radius(similarity) + round(SPREAD * math.sqrt(WIDE * p * (1 - p)))
+    near = components(stars(filed.select("node", "bits", F.explode("files").alias("file")), unpacked, radius, few=True))
+    chosen = near.join(first, "node").select("node", "root", "bits", F.col("least.id").alias("_id"), F.col("least.text_hash").alias("_text_hash"))
+    here = texts.join(chosen, texts["id"].eqNullSafe(chosen["_id"]) & (texts["text_hash"] == chosen["_text_hash"]))
+    members = cut(here.dropDuplicates(["node"]).select("node", "root", "bits", distinct.alias("hashes")))
+    roots = components(verified(members, similarity, radius))
+    rooted = cut(first.join(roots, "node", "left").select("bits", "least", F.coalesce("root", "node").alias("root")))
+    of_root = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    return printed.join(cut(rooted.select("bits", "root").join(of_root, "root").select("bits", "least")), "bits").select("id", "text_hash", "least")
+
+
+def similar_classes(
+    docs: DataFrame, *, width: int = 5, similarity: float = 0.8, files: int = FILES, file_bits: int = FILE_BITS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """id_col, component_id of every row: classes that links of texts reach whose sets of shingles of ``width`` words have at least this Jaccard similarity.
+
+    A radius of 2 in 64 bits finds only texts that are almost equal (0.97 and up), so candidates are found by fingerprints of ``WIDE`` bits, a radius for the similarity and
+    ``SPREAD`` standard deviations, and ``files`` files of ``file_bits`` drawn bits each; within a file no candidate is lost.  Candidates that hang together are then
+    compared by their shingles themselves (one text for each distinct fingerprint), so no link is below the similarity.
+    A file holds about one of ``2 ** file_bits`` texts, and comparing it costs its square (64 pairs an operation), so a corpus of billions of texts wants more
+    bits, and more files to keep the probabilities.
+    """
+    rows = classes_of(docs, width=width, similarity=similarity, files=files, file_bits=file_bits, id_col=id_col, text_col=text_col)
+    return rows.select(F.col("id").alias(id_col), F.col("least.id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

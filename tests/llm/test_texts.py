@@ -214,3 +214,28 @@ def test_similar_texts_are_found(spark):
     assert len(sure) > 150 and sum(made[i] == group[i] for i in sure) >= 0.98 * len(sure)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.similar_classes(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
+
+
+def jaccard(a, b, width=5):
+    x, y = ({tuple(t.split()[k : k + width]) for k in range(len(t.split()) - width + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_texts_below_the_similarity_are_no_class(spark):
+    rng, rows = random.Random(4), []
+    for g in range(300):
+        ws = [f"g{g}w{rng.randrange(9000)}" for _ in range(10 if g % 2 else 150)]
+        other = [*ws[:-1], "edit"] if g % 2 else ["edit" if k % 30 == 9 else w for k, w in enumerate(ws)]
+        rows += [(2 * g, " ".join(ws)), (2 * g + 1, " ".join(other))]
+    assert all(0.65 < jaccard(a[1], b[1]) < 0.8 for a, b in zip(rows[::2], rows[1::2], strict=True))
+    docs = spark.createDataFrame([*rows, (None, rows[0][1]), (900, None), (901, " "), (902, "a b c d e f")], "doc_id long, text string")
+    made = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(docs).collect()}
+    assert made == {i: i for i, _ in rows} | {None: 0, 900: 900, 901: 900, 902: 902}
+    assert simhash.drop_near_duplicates(docs).count() == 603
+
+
+def test_links_across_verified_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "VERIFY", 4)
+    ws = [f"w{k}" for k in range(400)]
+    rows = [(i, " ".join(ws[:i] + ["edit"] + ws[i:])) for i in range(40)]
+    assert {r["component_id"] for r in simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
