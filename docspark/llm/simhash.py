@@ -36,9 +36,11 @@ BLOCK = 2048
 #: Rows whose files are compared together, if they are small.
 LANES = 16384
 #: Bits of the longer fingerprints, and the drawn bits by which they are filed.
-WIDE, FILES, FILE_BITS = 256, 24, 14
+WIDE, FILES, FILE_BITS = 256, 56, 12
 #: Standard deviations of a pair's distance that the wider radius adds to the mean.
-SPREAD = 1
+SPREAD = 4.5
+#: Texts of so few shingles are filed by their shingles as well; their bits differ by more than the angle says.
+SHORT = 24
 #: Texts of a block when candidates are compared by their shingles.
 VERIFY = 512
 SALTS = np.random.default_rng(1).integers(0, 2**64, 16, dtype=np.uint64)
@@ -283,22 +285,24 @@ def linked_pairs(rows: list[tuple[int, bytes, np.ndarray]], similarity: float, r
 def classes_of(docs: DataFrame, *, width: int, similarity: float, files: int, file_bits: int, id_col: str, text_col: str) -> DataFrame:
     """id, text_hash and the class's ``least`` (null_id, id, text_hash) of every row."""
     def print_of(hashes):
-        return (wide_bits(hashes),)
+        few = np.asarray([] if hashes is None else hashes, np.int64)
+        prefix = len(few) - math.ceil(similarity * len(few) - 1e-9) + 1 if 0 < len(few) <= SHORT else 0
+        return wide_bits(hashes), np.unique(few[:prefix] % 2**file_bits).tolist()
 
     distinct = F.array_sort(F.array_distinct(shingle_hashes(F.col("text"), width)))
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    printed = cut(computed(texts.select("id", "text_hash", distinct.alias("hashes")), ["hashes"], "bits binary", lambda: print_of))
+    printed = cut(computed(texts.select("id", "text_hash", distinct.alias("hashes")), ["hashes"], "bits binary, prefix array<long>", lambda: print_of))
     least = F.min(F.struct(F.col("id").isNull().alias("null_id"), "id", "text_hash")).alias("least")
-    first = cut(cut(printed.groupBy("bits").agg(least)).withColumn("node", F.monotonically_increasing_id()))
+    first = cut(cut(printed.groupBy("bits").agg(least, F.min("prefix").alias("prefix"))).withColumn("node", F.monotonically_increasing_id()))
     drawn = np.stack([np.random.default_rng(k).choice(WIDE, file_bits, replace=False) for k in range(files)])
     weights = 1 << np.arange(file_bits, dtype=np.int64)
 
-    def files_of(bits: bytes) -> tuple[list[int]]:
+    def files_of(bits: bytes, prefix: np.ndarray) -> tuple[list[int]]:
         x = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(np.int64)
-        return ((x[drawn] @ weights + (np.arange(files) << 32)).tolist(),)
+        return ((x[drawn] @ weights + (np.arange(files) << 32)).tolist() + [(files << 32) + int(k) for k in prefix],)
 
     some = first.where(F.col("bits") != F.lit(bytes(WIDE // 8)))  # texts without words are equal, and like no other
-    filed = cut(computed(some.select("node", "bits", F.col("bits").alias("_in")), ["_in"], "files array<long>", lambda: files_of))
+    filed = cut(computed(some.select("node", "bits", F.col("bits").alias("_in"), "prefix"), ["_in", "prefix"], "files array<long>", lambda: files_of))
     unpacked = lambda column: np.unpackbits(np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1), axis=1, bitorder="little")
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = wide_radius(similarity) + round(SPREAD * math.sqrt(WIDE * p * (1 - p)))
@@ -318,8 +322,9 @@ def similar_classes(
     """id_col, component_id of every row: classes that links of texts reach whose sets of shingles of ``width`` words have at least this Jaccard similarity.
 
     A radius of 2 in 64 bits finds only texts that are almost equal (0.97 and up), so candidates are found by fingerprints of ``WIDE`` bits, a radius for the similarity and
-    ``SPREAD`` standard deviations, and ``files`` files of ``file_bits`` drawn bits each; within a file no candidate is lost.  Candidates that hang together are then
-    compared by their shingles themselves (one text for each distinct fingerprint), so no link is below the similarity.
+    ``SPREAD`` standard deviations, and ``files`` files of ``file_bits`` drawn bits each; within a file no candidate is lost.  Texts of at most ``SHORT`` shingles are
+    also filed by their least shingles, so many that two sets of this similarity share one.  Simulated, a lone pair of similarity 0.8 is a candidate with probability 0.99 or more
+    (README).  Candidates that hang together are then compared by their shingles themselves (one text for each distinct fingerprint), so no link is below the similarity.
     A file holds about one of ``2 ** file_bits`` texts, and comparing it costs its square (64 pairs an operation), so a corpus of billions of texts wants more
     bits, and more files to keep the probabilities.
     """

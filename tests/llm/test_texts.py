@@ -239,3 +239,16 @@ def test_links_across_verified_blocks(spark, monkeypatch):
     ws = [f"w{k}" for k in range(400)]
     rows = [(i, " ".join(ws[:i] + ["edit"] + ws[i:])) for i in range(40)]
     assert {r["component_id"] for r in simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+
+
+@pytest.mark.parametrize(("shingles", "shared"), [((4, 5), 4), ((9, 9), 8), ((54, 54), 48), ((288, 288), 256)])
+def test_lone_pairs_at_the_similarity_are_found(spark, shingles, shared):
+    pairs, rows = 1500, []
+    for g in range(pairs):  # a common beginning of shared + 4 words; the rest of each text is its own
+        for c, n in enumerate(shingles):
+            rows.append((2 * g + c, " ".join([f"g{g}s{k}" for k in range(shared + 4)] + [f"g{g}c{c}k{k}" for k in range(n - shared)])))
+    assert jaccard(rows[0][1], rows[1][1]) == pytest.approx(0.8)
+    made = simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = made.where("component_id = doc_id - 1 and doc_id % 2 = 1").count()
+    print("found", shingles, found / pairs)
+    assert found >= 0.99 * pairs and made.where("component_id < doc_id - 1").count() == 0
