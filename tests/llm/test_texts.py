@@ -252,3 +252,11 @@ def test_lone_pairs_at_the_similarity_are_found(spark, shingles, shared):
     found = made.where("component_id = doc_id - 1 and doc_id % 2 = 1").count()
     print("found", shingles, found / pairs)
     assert found >= 0.99 * pairs and made.where("component_id < doc_id - 1").count() == 0
+
+
+def test_lines_of_documents_without_an_id_of_their_own(spark):
+    same = "a\nb\nc"
+    rows = [(None, f"{same}\nx{k}\ny{k}\nz{k}") for k in range(5)] + [(None, f"u{k}\nv{k}\nw{k}") for k in range(5)] + [(None, "only"), (7, f"{same}\nlong\nlonger"), (7, "p\nq\nr"), (7, None), (8, "p\nq\nr\ns")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, f"x{k}\ny{k}\nz{k}", 6, 3) for k in range(5)] + [(None, f"u{k}\nv{k}\nw{k}", 3, 0) for k in range(5)] + [(None, "only", 1, 0), (7, rows[11][1], 5, 0), (7, "p\nq\nr", 3, 0), (7, None, 0, 0), (8, "s", 4, 3)]
+    assert Counter(map(tuple, got)) == Counter(want)
