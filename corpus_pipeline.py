@@ -35,15 +35,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each class of near-duplicates: shingles of five words, similarity 0.8 or more."""
+    """One document, that of the least id and hash of the text, of each class of near-duplicates: shingles of five words, similarity 0.8 or more."""
     return simhash.drop_near_duplicates(docs.select(COLUMNS), width=5, similarity=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    taken = mixing.mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.expr("cast(taken div size as int)").alias("_times"))
-    kept = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(COLUMNS)
+    taken = mixing.mix_sources(docs, keep=tuple(COLUMNS)).where("taken > 0")
+    return taken.select("row", F.explode(F.expr("sequence(1, cast(taken div size as int))"))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

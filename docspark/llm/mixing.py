@@ -9,7 +9,8 @@ dynamic programming (sums as bits of an integer, a length with its remaining cou
 budget.  A source's table has one row per distinct length, however many documents it has, so it is fitted in one task.
 
 Of each length the chosen number of documents is taken in the order of a seeded hash.  The order is found in 256 slices of the hash range
-by their counts, so no task ranks a whole source or length.  Between jobs only (id, source, length, hash) moves.
+by their counts, so no task ranks a whole source or length.  Between jobs only (id, source, length, hashes) moves, and once the columns to keep, if any.
+The hash is of the id, of the text where there is no id.
 
 Null texts have length 0 and are taken 0 times, empty ones too; null is a source of its own.  Repeated rows are ranked as rows of their own. Reruns agree.
 """
@@ -81,15 +82,22 @@ def fitted(lengths: list[int], counts: list[int], budget: float) -> list[int]:
 
 
 def mix_sources(
-    docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeat: int = REPEAT, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text"
+    docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeat: int = REPEAT, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: tuple[str, ...] | None = None
 ) -> DataFrame:
-    """id_col, size, source_size, target, taken (words, repeats counted) of every row."""
+    """id_col, size, source_size, target, taken (words, repeats counted) of every row.
+
+    With ``keep`` the columns of that name come in a struct ``row`` in place of the id, so that no join back by id is needed.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     pieces = F.size(F.split(text, SPACE))
     size = pieces - text.rlike(r"^[\x20\x09-\x0D]").cast("int") - text.rlike(r"[\x20\x09-\x0D]\z").cast("int")
     size = F.when(text.rlike(r"[^\x20\x09-\x0D]"), size).otherwise(0).cast("long")
-    h = F.xxhash64(F.lit(seed), F.col(id_col))
-    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), h.alias("hash")).withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))
+    text_hash = F.xxhash64(text_col)
+    h = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(seed), text_hash)).otherwise(F.xxhash64(F.lit(seed), F.col(id_col)))
+    carried = [] if keep is None else [F.struct(*keep).alias("row")]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), h.alias("hash"), text_hash.alias("text_hash"), *carried)
+    rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    rows = cut(rows) if keep is None else rows  # whole rows are not written once more, the sizes are computed twice
     sliced = rows.withColumn("slice", F.shiftright("hash", 56))
     per_slice = cut(sliced.groupBy("key", "source", "size", "slice").agg(F.count("*").alias("n")))
     per_length = per_slice.groupBy("key", "source", "size").agg(F.sum("n").alias("n"))
@@ -110,7 +118,7 @@ def mix_sources(
     up_to = Window.partitionBy("key", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = per_slice.select("key", "size", "slice", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("before"))
     slices = cut(slices.join(plan, ["key", "size"]).join(targets, "key").select("key", "size", "slice", "before", "extra", "rounds", "source_size", "target"))
-    rank = F.row_number().over(Window.partitionBy("key", "size", "slice").orderBy("hash", "id"))
+    rank = F.row_number().over(Window.partitionBy("key", "size", "slice").orderBy("hash", "id", "text_hash"))
     placed = sliced.withColumn("rank", rank).join(slices, ["key", "size", "slice"])
     taken = F.col("size") * (F.col("rounds") + (F.col("before") + F.col("rank") <= F.col("extra")).cast("int"))
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select(F.col("id").alias(id_col) if keep is None else "row", "size", "source_size", "target", taken.cast("long").alias("taken"))

@@ -333,8 +333,12 @@ def similar_classes(
 
 
 def drop_near_duplicates(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class of similar texts: that of its least id; rows that repeat this id are one document and keep one row. Rows without an id stay."""
-    classes = similar_classes(docs, width=width, similarity=similarity, id_col=id_col, text_col=text_col)
-    keep = classes.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    with_id = docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
+    """One row of each class of similar texts: that of its least id, and of the least hash of the text under this id; rows that repeat both are one document and keep one row.
+
+    Rows without an id stay.
+    """
+    classes = classes_of(docs, width=width, similarity=similarity, files=FILES, file_bits=FILE_BITS, id_col=id_col, text_col=text_col)
+    least = (F.col("id") == F.col("least.id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    keep = classes.where(least).select(F.col("id").alias(id_col), F.col("text_hash").alias("_text_hash")).distinct()
+    with_id = docs.withColumn("_text_hash", F.xxhash64(text_col)).join(keep, [id_col, "_text_hash"], "left_semi").dropDuplicates([id_col, "_text_hash"])
     return with_id.select(docs.columns).union(docs.where(F.col(id_col).isNull()))

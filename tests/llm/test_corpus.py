@@ -205,3 +205,20 @@ def test_pipeline(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, sf_dir)
     assert none.count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none_are_rows_of_their_own(spark, sf_dir):
+    rng = random.Random(6)
+    rows = [(None if k % 3 else k % 9, " ".join(f"k{k}w{j}" for j in range(rng.randint(8, 60))), "en", "ab"[k % 2], k) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()]
+    assert Counter(kept) == Counter(rows)
+    made = Counter(map(tuple, corpus_pipeline.mix(spark, docs, sf_dir).collect()))
+    assert set(made) <= set(rows) and max(made.values()) <= mixing.REPEAT
+    got, sizes = defaultdict(int), defaultdict(int)
+    for r, n in made.items():
+        got[r[3]] += n * words(r[1])
+    for r in rows:
+        sizes[r[3]] += words(r[1])
+    assert all(abs(got[s] - t) <= 4 for s, t in brute_targets(dict(sizes)).items())  # half of the shortest text
+    assert made == Counter(map(tuple, corpus_pipeline.mix(spark, docs.repartition(5), sf_dir).collect()))
