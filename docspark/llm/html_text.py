@@ -5,7 +5,8 @@ space inside a line becomes one space.  Each line keeps its length, 0 if it stan
 and footers, sidebars, notices, adverts, forms, reader comments; by element, role, or a word of its class or id).  Where the page marks its
 article (article, main, or a role or item property that says so), lines outside count 0 too.  Sums over windows of ``WINDOW`` lines give the distribution: the text surges where
 a window after an empty one holds text and dives where an empty one follows, and the lines between each surge and dive, less those of length 0, are the main text.
-Without a mark of an article, only the stretches with at least ``SHARE`` of the longest stretch's text count, and lines that are mostly links count 0.
+Without a mark of an article, every stretch counts, however short, and lines that are mostly links count 0.
+So lines are weighed 0 or by their length, and the text is that of all lines that count; the distribution only cuts it into stretches.
 
 Null and empty pages give an empty text.  A page is worked on in the task that holds it; time and memory grow with its length.
 """
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 from docspark.llm.common import computed
 
 WINDOW = 3
-SHARE = 0.3
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|math|textarea|select|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -146,9 +146,6 @@ def main_text(page: str | None) -> str:
     if not marked:
         lengths = [0 if 2 * links > n else n for n, (_, _, _, links) in zip(lengths, lines, strict=True)]
     found = stretches(lengths)
-    if not marked and found:
-        weights = [sum(lengths[a : b + 1]) for a, b in found]
-        found = [s for s, w in zip(found, weights, strict=True) if w >= SHARE * max(weights)]
     return " ".join(lines[i][0] for a, b in found for i in range(a, b + 1) if lengths[i])
 
 

@@ -121,6 +121,11 @@ def test_main_text(wrap):
     assert html_text.main_text(PAGE % wrap.format(BODY)) == WANT
 
 
+def test_a_short_last_section_of_an_unmarked_page_stays():
+    adverts = "<div class='ad'>Buy!</div>" * 4
+    assert html_text.main_text("<p>" + "A long first section. " * 30 + f"</p>{adverts}<p>The end.</p>").endswith("first section. The end.")
+
+
 def test_surges_and_dives():
     assert html_text.stretches([0, 5, 0, 0, 0, 7, 8, 0, 9, 0, 0, 0]) == [(1, 1), (5, 8)]
     assert html_text.stretches([]) == [] and html_text.stretches([0, 0]) == [] and html_text.stretches([3]) == [(0, 0)]
