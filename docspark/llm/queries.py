@@ -27,16 +27,17 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ranged, order = neighbours.with_ranges(docs, "doc_id")
+    ranged, order, n = neighbours.with_ranges(docs, "doc_id", text_col="text")
+    ranged = ranged.repartitionById(n, F.col("_range"))
     after = lambda c, *ties: F.lead(c).over(neighbours.window_of(order, *ties))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.coalesce(after("text", "text"), "text"), F.lit(1), half))
     rows = ranged.select("doc_id", "_range", "_after", "text", edited.alias("edited"))
     rows = rows.select(
         "doc_id", "_range", "_after", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.sha2("text", 256).alias("_tie"),
-        fingerprint.term_hashes(F.col("text")).alias("_terms"), fingerprint.term_hashes(F.col("edited")).alias("_edited_terms"),
+        fingerprint.word_hashes(F.col("text")).alias("_words"), fingerprint.word_hashes(F.col("edited")).alias("_edited_words"),
     )
-    rows = fingerprint.add_fingerprints(rows, {"_terms": "fingerprint", "_edited_terms": "edited_fingerprint"})
+    rows = fingerprint.add_fingerprints(rows, {"_words": "fingerprint", "_edited_words": "edited_fingerprint"})
     rows = rows.withColumn("next", F.coalesce(after("fingerprint", "_tie"), "fingerprint")).where("not _after")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
