@@ -1,20 +1,22 @@
 """Byte-level BPE encoding and decoding by tree reduction.
 
-A text is a sequence over a monoid: the encoding of ``a + b`` is made from the encodings of ``a`` and ``b``.  ``encode`` halves a text
-until a part has ``LEAF`` characters, encodes the parts, and joins neighbours on the way up.  Three things can change at a
-seam, and each is redone in a window that grows until what is outside is proven stable:
+A text is a sequence over a monoid: the encoding of ``a + b`` is made from the encodings of ``a`` and ``b``.  Two trees are reduced, one inside the other: ``parts`` halves a
+text until a part has ``LEAF`` characters, and ``tokens`` halves each match of the pattern, as bytes, until a part has ``BYTES`` bytes.  Neighbours are joined on the
+way up.  Only what stands at a seam can change, and it is redone in a window that grows until what is outside is proven stable:
 
-* The runs that a blank starts.  A blank before anything but white space always starts a match, and no match looks past it, so
-  only the two runs that touch a seam are encoded anew; the search for their ends is the growing window.
-* The matches of the pattern within a long run.  Where a match starts decides all later ones, and a match is certain once two characters follow
+* The matches of the pattern.  Where a match starts decides all later ones, and a match is certain once two characters follow
   it (the longest look-ahead is a contraction of three characters).  The window starts after the last certain match of the left part
   and grows to the right until one of its certain matches ends where a match of the right part starts.
-* The tokens of one match.  Matches of over ``LEAF`` bytes are halved themselves.  A token sequence is the encoding of its bytes exactly if
+* The tokens of one match.  A token sequence is the encoding of its bytes exactly if
   every two neighbours are the encoding of their joint bytes, so a window of tokens around the seam is re-encoded and grows until
   its outer tokens and their outer neighbours form such pairs.
 
-The leaves and short windows are encoded by the tokenizer library; everything above them is done here.  Decoding goes up the same tree and concatenates bytes.  Texts are cut inside the task that holds the row, and a row's memory is a small
-multiple of its text.  Null counts as empty text: no ids, empty bytes.
+The ids of a match are remembered, at most ``REMEMBERED`` of them a task, since most matches are frequent words.  Decoding goes up the same tree and concatenates bytes.  The proof of the first step holds
+for patterns without look-behind that look at most two characters past a match, as the one of the driver's tables does; ``Encoder`` refuses a pattern with a look-behind.  No tokenizer library
+is called; the tests compare with one.
+
+Texts are cut inside the task that holds the row, and a row's memory is a small multiple of its text.  Null counts as empty text: no ids, empty bytes.  Every row gives a row, repeated
+ones too, and an empty table an empty one; columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,30 +24,33 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 from functools import lru_cache
 
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.common import computed
 
-LEAF = 4096
-#: Bytes from which on merging keeps its candidates in a heap; also the characters that the search for a run's ends starts with.
+#: Characters of a text, and bytes of a match, that are encoded without being halved.
+LEAF, BYTES = 512, 8
+#: Long matches are cut at multiples of this, so that the two halves of a run of one character agree in phase and their seam is stable at once.
+EVEN = 192
+REMEMBERED = 200_000
+#: Bytes from which on merging keeps its candidates in a heap.
 LONG = 64
 #: Characters that must follow a match to make it certain.
 AHEAD = 2
-BEFORE_BLANK = re.compile(r" (?=\S)")
 
 
 class Encoder:
     """Encodes and decodes by a table of ranks; ``pattern`` cuts a text into the matches that are encoded separately."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        if regex.search(r"\(\?<[=!]|\\[bBG]", pattern):
+            raise ValueError("the seams of a pattern that looks back are not proven")
         self.ranks, self.bytes_of, self.matches = ranks, {n: b for b, n in ranks.items()}, regex.compile(pattern).findall
-        self.leaf = tiktoken.Encoding("leaf", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.known: dict[str, list[int]] = {}
         self.written = [str(i) for i in range(max(ranks.values(), default=-1) + 1)]
 
     def merged(self, piece: bytes) -> list[int]:
@@ -91,10 +96,13 @@ class Encoder:
         return ids
 
     def tokens(self, piece: bytes) -> list[int]:
-        """The ids of one match, of any length."""
-        if len(piece) <= LEAF or piece in self.ranks:
+        """The ids of a piece of one match, of any length."""
+        if (whole := self.ranks.get(piece)) is not None:
+            return [whole]
+        if len(piece) <= BYTES:
             return self.merged(piece)
         half = len(piece) // 2
+        half = half // EVEN * EVEN or half
         return self.joined_tokens(self.tokens(piece[:half]), self.tokens(piece[half:]))
 
     def stable(self, a: int, b: int) -> bool:
@@ -110,29 +118,17 @@ class Encoder:
             reach *= 2
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= LEAF:
-            return self.leaf(text)
-        half = len(text) // 2
-        start, end = self.run_around(text, half)
-        if end - start > 2 * LEAF:  # no blank near: down to the matches, and to the tokens of long ones
-            window = [i for match in self.parts(text[start:end]) for i in self.tokens(match.encode("utf-8"))]
-        else:
-            window = self.leaf(text[start:end])
-        left, right = self.encode(text[:half]) if start else [], self.encode(text[half:]) if end < len(text) else []
-        stay = len(left) - len(self.encode(text[start:half])) if start else 0
-        return left[:stay] + window + (right[len(self.encode(text[half:end])) :] if right else [])
-
-    def run_around(self, text: str, at: int) -> tuple[int, int]:
-        """Where the run before ``at`` starts and the one after it ends; only the runs that touch the seam can change."""
-        reach = LONG
-        while True:
-            low, high = max(0, at - reach), min(len(text), at + reach)
-            starts = [m.start() + low for m in BEFORE_BLANK.finditer(text[low : at + 1])]
-            starts = [x for x in starts if x < at]
-            end = BEFORE_BLANK.search(text, at + 1, high)
-            if (starts or not low) and (end or high == len(text)):
-                return starts[-1] if starts else 0, end.start() if end else len(text)
-            reach *= 2
+        known, ids = self.known, []
+        for match in self.parts(text):
+            found = known.get(match)
+            if found is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                found = self.tokens(match.encode("utf-8"))
+                if len(match) <= LONG:
+                    known[match] = found
+            ids += found
+        return ids
 
     def parts(self, text: str) -> list[str]:
         """The matches of the whole text, joined up the tree."""

@@ -28,19 +28,22 @@ ALPHABET = ["a", "the", " ", "  ", "\n", "'", "'re", "'s", "é", "1", "23", "!",
 def test_every_tree_gives_the_library_s_ids(parts, leaf):
     e = bpe.encoder(PATH, public_tokenizers.PATTERN)
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=e.ranks, special_tokens={})
-    text, before = "".join(parts), (bpe.LEAF, bpe.LONG)
-    bpe.LEAF = bpe.LONG = leaf
+    text, before = "".join(parts), (bpe.LEAF, bpe.BYTES, bpe.LONG, bpe.EVEN)
+    bpe.LEAF, bpe.BYTES, bpe.LONG, bpe.EVEN = leaf, max(2, leaf // 3), leaf, leaf - 1
+    e.known.clear()
     try:
         ids = e.encode(text)
         assert ids == enc.encode_ordinary(text) and e.decode(ids) == text.encode()
     finally:
-        bpe.LEAF, bpe.LONG = before
+        bpe.LEAF, bpe.BYTES, bpe.LONG, bpe.EVEN = before
 
 
 def test_long_matches(library):
     e = bpe.encoder(PATH, public_tokenizers.PATTERN)
     rng = random.Random(2)
-    for text in ("ab" * 20_000, "".join(rng.choice("aeioußé日") for _ in range(20_000)), " " * 9000 + "x", "z" * 9001):
+    with pytest.raises(ValueError, match="looks back"):
+        bpe.Encoder(e.ranks, r"(?<=a)b|.")
+    for text in ("." * 100_003, "字" * 30_001, "ab" * 20_000, "".join(rng.choice("aeioußé日") for _ in range(20_000)), " " * 9000 + "x", "z" * 9001):
         assert e.encode(text) == library.encode_ordinary(text)
 
 
