@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -31,14 +32,19 @@ def split_words(c: Column, separator: str = SPACE) -> Column:
     return F.array_remove(F.split(F.coalesce(c, F.lit("")), separator), "")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read again, so that a lost executor costs no earlier stage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a local session that has none gets a temporary one, elsewhere executors would not share it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (folder or tempfile.mkdtemp(prefix="docspark-")).rstrip("/")
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (a local test) a temporary one is made.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read again, so that a lost executor costs no earlier stage."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docspark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -58,7 +64,9 @@ def computed(rows: DataFrame, inputs: list[str], outputs: str, make: Callable[[]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            results = zip(*map(of, *[_values(batch.column(c)) for c in ins]), strict=True)
+            # No generator: a StopIteration of ``of`` must end the task, not the batch.
+            rows = [of(*row) for row in zip(*[_values(batch.column(c)) for c in ins], strict=True)]
+            results = zip(*rows, strict=True)
             columns = [pa.array(list(x), type=k) for x, k in zip(results, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in through] + columns, names=names)
 

@@ -4,8 +4,10 @@
 (stts, stsc, stsz, stco, co64, stss, or a fragment's trun) and gives for every track codec, time scale, duration, number of samples, bytes of media and
 the byte range of each keyframe.  It never looks into a payload.  A track without a sync table has only keyframes, as the format has it.
 
-Null contents give no tracks and the error ``null``; bytes that are not a container, or one cut short, give the tracks read so far and an error text.
-Everything is done inside the task that holds the row; memory is a small multiple of one file.
+Null contents give no tracks and the error ``null``; bytes that are not a container, one cut short, or one whose tables contradict each other (a count that the file cannot hold, a fragment of
+a track that it does not describe, places beyond 63 bits) give the tracks read so far and an error text, never an exception.  Every row gives a row, repeated ones too, and an empty table an empty
+one; columns other than id and content are not read, whatever their names.  Everything is done inside the task that holds the row; memory is a small multiple of one file: a table is refused where its
+count exceeds what the file's bytes can hold, and samples of no bytes count against the file's length too.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ UNIT = 64
 RATE = 8000
 KEY_EVERY = 16
 
-TRACKS = "array<struct<track:int,kind:string,codec:string,timescale:long,duration:long,samples:long,media_bytes:long,keyframes:array<struct<start:long,end:long>>>>"
+TRACKS = "array<struct<track:long,kind:string,codec:string,timescale:long,duration:long,samples:long,media_bytes:long,keyframes:array<struct<start:long,end:long>>>>"
 
 
 def boxes(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
@@ -50,7 +52,7 @@ def boxes(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]
 
 def _table(data: bytes, at: int, end: int, fields: str) -> list[tuple]:
     """The entries of a full box: version and flags, a count, then entries of equal size."""
-    n = struct.unpack_from(">I", data, at + 4)[0]
+    n = _read(data, ">I", at + 4, end)[0]
     size = struct.calcsize(">" + fields)
     if at + 8 + n * size > end:
         raise ValueError("table cut short")
@@ -61,30 +63,44 @@ def read_index(data: bytes) -> tuple[list[dict], str | None]:
     """The tracks of a container, and what was wrong with it if anything."""
     tracks: list[dict] = []
     try:
-        _walk(data, 0, len(data), tracks, {})
+        _walk(data, tracks)
         error = None if tracks else "no track"
     except (ValueError, struct.error, IndexError) as e:
-        error = str(e)
-    return [_finished(t) for t in tracks], error
-
-
-def _walk(data: bytes, start: int, end: int, tracks: list[dict], at: dict) -> None:
-    for kind, a, z in boxes(data, start, end):
+        error = str(e) or type(e).__name__
+    finished = []
+    for t in tracks:
+        try:
+            finished.append(_finished(t))
+        except ValueError as e:
+            error = error or str(e)
+    return finished, error
+
+
+def _walk(data: bytes, tracks: list[dict]) -> None:
+    """All boxes in the order of the file; the nested ones wait on a stack, so depth costs no recursion."""
+    at: dict = {}
+    open_ = [boxes(data, 0, len(data))]
+    while open_:
+        if (found := next(open_[-1], None)) is None:
+            open_.pop()
+            continue
+        kind, a, z = found
         t = tracks[-1] if tracks else {}
         if kind == b"moof":
-            at["moof"] = a - 8
+            at = {"moof": a - 8}
         if kind == b"trak":
             tracks.append({"ranges": [], "sync": None})
         if kind in NESTED:
-            _walk(data, a, z, tracks, at)
+            open_.append(boxes(data, a, z))
         elif kind == b"tkhd":
-            t["track"] = struct.unpack_from(">I", data, a + (20 if data[a] else 12))[0]
+            t["track"] = _read(data, ">I", a + (20 if _read(data, ">B", a, z)[0] else 12), z)[0]
         elif kind == b"mdhd":
-            t["timescale"], t["duration"] = struct.unpack_from(">IQ" if data[a] else ">II", data, a + (20 if data[a] else 12))
+            long = _read(data, ">B", a, z)[0]
+            t["timescale"], t["duration"] = _read(data, ">IQ" if long else ">II", a + (20 if long else 12), z)
         elif kind == b"hdlr":
-            t["kind"] = data[a + 8 : a + 12].decode("latin-1")
+            t["kind"] = data[a + 8 : min(a + 12, z)].decode("latin-1")
         elif kind == b"stsd":
-            t["codec"] = data[a + 12 : a + 16].decode("latin-1")
+            t["codec"] = data[a + 12 : min(a + 16, z)].decode("latin-1")
         elif kind == b"stts":
             t["times"] = _table(data, a, z, "II")
         elif kind == b"stsc":
@@ -94,61 +110,75 @@ def _walk(data: bytes, start: int, end: int, tracks: list[dict], at: dict) -> No
         elif kind in (b"stco", b"co64"):
             t["offsets"] = [x for (x,) in _table(data, a, z, "I" if kind == b"stco" else "Q")]
         elif kind == b"stsz":
-            size, n = struct.unpack_from(">II", data, a + 4)
-            t["sizes"] = [size] * n if size else [x for (x,) in struct.iter_unpack(">I", data[a + 12 : a + 12 + 4 * n])]
+            size, n = _read(data, ">II", a + 4, z)
+            if n * max(size, 1) > len(data):
+                raise ValueError(f"{n} samples of {size} bytes in a file of {len(data)}")
+            t["sizes"] = [size] * n if size else [x for (x,) in _table(data, a + 4, z, "I")]
         elif kind == b"tfhd":
-            _fragment_header(data, a, at)
+            _fragment_header(data, a, z, at)
         elif kind == b"trun":
-            _fragment_run(data, a, tracks, at)
+            _fragment_run(data, a, z, tracks, at)
+
+
+def _read(data: bytes, form: str, at: int, end: int) -> tuple:
+    if at + struct.calcsize(form) > end:
+        raise ValueError("box cut short")
+    return struct.unpack_from(form, data, at)
 
 
-def _fragment_header(data: bytes, a: int, at: dict) -> None:
-    flags, track = struct.unpack_from(">II", data, a)
+def _fragment_header(data: bytes, a: int, z: int, at: dict) -> None:
+    flags, track = _read(data, ">II", a, z)
     a += 8
     at |= {"track": track, "base": at.get("moof", 0), "size": 0, "time": 0, "flags": 0}
     for flag, name, form in ((1, "base", ">Q"), (2, "", ">I"), (8, "time", ">I"), (16, "size", ">I"), (32, "flags", ">I")):
         if flags & flag:
-            at[name], a = struct.unpack_from(form, data, a)[0], a + struct.calcsize(form)
+            at[name], a = _read(data, form, a, z)[0], a + struct.calcsize(form)
 
 
-def _fragment_run(data: bytes, a: int, tracks: list[dict], at: dict) -> None:
-    flags, n = struct.unpack_from(">II", data, a)
+def _fragment_run(data: bytes, a: int, z: int, tracks: list[dict], at: dict) -> None:
+    if "track" not in at:
+        raise ValueError("a fragment's run without a header")
+    of_track = [t for t in tracks if t.get("track") == at["track"]]
+    if not of_track:
+        raise ValueError(f"a fragment of track {at['track']}, which is not described")
+    flags, n = _read(data, ">II", a, z)
     flags, a = flags & 0xFFFFFF, a + 8
+    fields = [flag for flag in (0x100, 0x200, 0x400, 0x800) if flags & flag]
     place = at["base"]
     if flags & 1:
-        place, a = at["base"] + struct.unpack_from(">i", data, a)[0], a + 4
+        place, a = at["base"] + _read(data, ">i", a, z)[0], a + 4
     first = None
     if flags & 4:
-        first, a = struct.unpack_from(">I", data, a)[0], a + 4
-    t = next(t for t in tracks if t.get("track") == at["track"])
+        first, a = _read(data, ">I", a, z)[0], a + 4
+    if a + 4 * n * len(fields) > z or n * max(1, 0 if 0x200 in fields else at["size"]) > len(data):
+        raise ValueError(f"a run of {n} samples cut short")
     for i in range(n):
-        time, size, sample = at["time"], at["size"], first if i == 0 and first is not None else at["flags"]
-        for flag in (0x100, 0x200, 0x400, 0x800):
-            if flags & flag:
-                x, a = struct.unpack_from(">I", data, a)[0], a + 4
-                time, size, sample = (x if flag == 0x100 else time), (x if flag == 0x200 else size), (x if flag == 0x400 else sample)
-        t["ranges"].append((place, place + size, not sample & 0x10000))
-        t["fragment_time"] = t.get("fragment_time", 0) + time
+        given = dict(zip(fields, struct.unpack_from(f">{len(fields)}I", data, a), strict=True))
+        a += 4 * len(fields)
+        size, sample = given.get(0x200, at["size"]), given.get(0x400, first if i == 0 and first is not None else at["flags"])
+        of_track[0]["ranges"].append((place, place + size, not sample & 0x10000))
+        of_track[0]["fragment_time"] = of_track[0].get("fragment_time", 0) + given.get(0x100, at["time"])
         place += size
 
 
 def _finished(t: dict) -> dict:
     """Place every sample: chunk by chunk, each with the number of samples that holds for it."""
     ranges, sizes = [], t.get("sizes", [])
-    runs, sync, n = t.get("chunks", []), None if t["sync"] is None else set(t["sync"]), 0
+    runs, sync, n, run = t.get("chunks", []), None if t["sync"] is None else set(t["sync"]), 0, 0
     for k, offset in enumerate(t.get("offsets", []), 1):
-        while len(runs) > 1 and runs[1][0] <= k:
-            runs = runs[1:]
-        for _ in range(runs[0][1] if runs else 0):
-            if n == len(sizes):
-                break
+        while run + 1 < len(runs) and runs[run + 1][0] <= k:
+            run += 1
+        for _ in range(min(runs[run][1], len(sizes) - n) if runs else 0):
             n += 1
             ranges.append((offset, offset + sizes[n - 1], sync is None or n in sync))
             offset += sizes[n - 1]
     ranges += t["ranges"]
+    if any(a < 0 or b >= 1 << 63 for a, b, _ in ranges):
+        raise ValueError("samples at places that no file has")
     duration = t.get("duration", 0) or sum(n * d for n, d in t.get("times", []))
+    duration = min(duration + t.get("fragment_time", 0), (1 << 63) - 1)  # a column of 64 bits
     return {
-        "track": t.get("track"), "kind": t.get("kind"), "codec": t.get("codec"), "timescale": t.get("timescale"), "duration": duration + t.get("fragment_time", 0),
+        "track": t.get("track"), "kind": t.get("kind"), "codec": t.get("codec"), "timescale": t.get("timescale"), "duration": duration,
         "samples": len(ranges), "media_bytes": sum(b - a for a, b, _ in ranges), "keyframes": [(a, b) for a, b, key in ranges if key], "ranges": ranges,
     }
 

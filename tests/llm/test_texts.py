@@ -254,6 +254,14 @@ def test_lone_pairs_at_the_similarity_are_found(spark, shingles, shared):
     assert found >= 0.99 * pairs and made.where("component_id < doc_id - 1").count() == 0
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    rows = [(1, "a\nb\nc"), (2, "a\nb\nc\nd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "5 as starts", "6 as later_id", "7 as row", "8 as lines_before", "9 as `a.b`", "10 as _later_id")
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", "starts", "later_id", "row", "a.b", "_later_id", "lines_before", "lines_removed"]
+    assert sorted(map(tuple, got.collect())) == [(1, "a\nb\nc", 5, 6, 7, 9, 10, 3, 0), (2, "d", 5, 6, 7, 9, 10, 4, 3)]
+
+
 def test_lines_of_documents_without_an_id_of_their_own(spark):
     same = "a\nb\nc"
     rows = [(None, f"{same}\nx{k}\ny{k}\nz{k}") for k in range(5)] + [(None, f"u{k}\nv{k}\nw{k}") for k in range(5)] + [(None, "only"), (7, f"{same}\nlong\nlonger"), (7, "p\nq\nr"), (7, None), (8, "p\nq\nr\ns")]

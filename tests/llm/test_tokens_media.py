@@ -102,6 +102,35 @@ def test_fragments():
     assert tracks[0]["keyframes"] == [(base + 500, base + 510), (base + 530, base + 560)]
 
 
+def test_hostile_containers_give_an_error_text(spark):
+    box, full = media._box, media._full
+    rng = random.Random(8)
+    data = media.container(bytes(range(64)) * 3)
+    moov = box(b"moov", box(b"trak", full(b"tkhd", struct.pack(">III", 0, 0, 7), bytes(70))))
+    header, deep = full(b"tfhd", struct.pack(">I", 7)), b""
+    for _ in range(3000):
+        deep = box(b"moov", deep)
+    run = lambda n, flags=0: full(b"trun", struct.pack(">I", n), flags=flags)
+    broken = [
+        moov + box(b"moof", box(b"traf", run(1))), moov + box(b"moof", box(b"traf", full(b"tfhd", struct.pack(">I", 9)), run(1))), box(b"moof", box(b"traf", header, run(1))), deep,
+        moov + box(b"moof", box(b"traf", header, run(2**32 - 1))), moov + box(b"moof", box(b"traf", header, run(5, 0x200))),
+        box(b"moov", box(b"trak", full(b"stsz", struct.pack(">II", 1, 2**32 - 1)))), box(b"moov", box(b"trak", full(b"stsz", struct.pack(">II", 0, 2**32 - 1)))), box(b"moov", box(b"trak", full(b"stts", b"\xff" * 4))),
+        box(b"moov", box(b"trak", full(b"co64", struct.pack(">IQ", 1, 2**64 - 1)), full(b"stsc", struct.pack(">IIII", 1, 1, 1, 1)), full(b"stsz", struct.pack(">III", 0, 1, 5)))),
+        box(b"moov", box(b"trak", box(b"tkhd"), box(b"mdhd"), box(b"hdlr"), box(b"stsd"))),
+    ]
+    assert all(media.read_index(b)[1] for b in broken)
+    for k in range(len(data)):
+        media.read_index(data[:k])
+        some = bytearray(data)
+        for _ in range(rng.randint(1, 6)):
+            some[rng.randrange(len(some))] = rng.choice([0, 1, 255, rng.randrange(256)])
+        media.read_index(bytes(some))
+        broken.append(bytes(some))
+    files = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(broken)], "id long, content binary")
+    made = media.index_media(files).collect()
+    assert len(made) == len(broken) and all(r["error"] for r in made if r["id"] < 11)
+
+
 def test_media_tables(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (2, "x"), (None, "y" * 100_000)], "doc_id long, text string").selectExpr("*", "1 as content", "2 as tracks")
     stored = media.store_texts(docs)
