@@ -1,20 +1,24 @@
 """Main text of HTML pages by line-block distribution.
 
 A page is cut at its block-level tags into lines; markup, comments, scripts and styles go, character references are decoded, white
-space inside a line becomes one space.  Each line keeps its length, 0 if it stands in a part that is not article text (menus, page headers
-and footers, sidebars, notices, adverts, forms, reader comments; by element, role, or a word of its class or id).  Where the page marks its
-article (article, main, or a role or item property that says so), lines outside count 0 too.  Sums over windows of ``WINDOW`` lines give the distribution: the text surges where
-a window after an empty one holds text and dives where an empty one follows, and the lines between each surge and dive, less those of length 0, are the main text.
-Without a mark of an article, every stretch counts, however short, and lines that are mostly links count 0.
-So lines are weighed 0 or by their length, and the text is that of all lines that count; the distribution only cuts it into stretches.
-
-Null and empty pages give an empty text.  A page is worked on in the task that holds it; time and memory grow with its length.
+space inside a line becomes one space.  Each line has a weight, its length less its link text, and more by ``SURGE`` in an element that holds prose (a paragraph, a heading, a list item and the like) or
+in what the page marks as its article (article, main, or a role or item property that says so; there link text counts).  What is certainly not article text stands as ``WINDOW`` empty lines in its place:
+menus, page headers and footers, sidebars, notices, adverts, forms and reader comments, by element, role, or a word of the class or id, and where a page marks its article, all outside it.
+
+Sums over windows of ``WINDOW`` lines give the distribution.  The text surges at the first line after an empty window and dives where a window is empty again; a stretch whose sums
+never reach ``SURGE`` (a lone short block that no element calls prose) is dropped, unless the page has no other, and the main text is all lines of the other stretches from surge to dive.  So a line without weight, such
+as one that is a link and nothing else, stays between lines of text, and a list of links does not.
+
+The scanner reads a page from left to right once; an unclosed tag, comment or raw element reaches to the end, as in a browser, so time and memory grow in proportion to the page.  Null and empty
+pages give an empty text.  Every row gives a row, repeated ones too, and an empty table an empty one; the columns to keep pass as they are, others are not read, whatever their names.  A page is worked on in the task that holds it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,13 +26,14 @@ from pyspark.sql import functions as F
 from docspark.llm.common import computed
 
 WINDOW = 3
-
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|math|textarea|select|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+SURGE = 30
+
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+ATTRIBUTE = re.compile(r"[\s/]*+(?:([^\s/>=]++|=)(?:\s*+=\s*+(?:\"([^\"]*+)\"?+|'([^']*+)'?+|([^\s>\"'][^\s>]*+)?+))?+)?+")
+#: Elements whose content is not text: to the end of the page if unclosed, and those that are only skipped if closed.
+RAW = frozenset("script style textarea title iframe".split())
+SKIPPED = frozenset("noscript template svg math select".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre figcaption".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never article text.
@@ -42,11 +47,10 @@ MARKS = frozenset(
 CLOSED_BY = {"p": frozenset("p div ul ol li table article section aside header footer nav form h1 h2 h3 h4 h5 h6 pre blockquote hr main dl figure".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 
 
-def _kind(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+
+
+def _kind(tag: str, found: dict[str, str], inside: bool) -> tuple[bool, bool]:
     """Whether an element is beside the text, and whether it is marked as the article."""
-    found = {}
-    if attributes.strip(" /\n\t"):
-        found = {k.lower(): (a or b or c).lower() for k, a, b, c in ATTRIBUTE.findall(attributes)}
     role = found.get("role", "")
     article = tag in ("article", "main") or role in ("main", "article") or found.get("itemprop") == "articlebody"
     words = set(re.split(r"[^a-z0-9]+", found.get("class", "") + " " + found.get("id", "")))
@@ -58,95 +62,147 @@ def _kind(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     return beside, article and not beside
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
-    """Text, length that counts, whether in a marked article, and length of link text of every line that is not empty."""
-    lines: list[tuple[str, int, bool, int]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, beside, article, link: each true for all that is inside
-    parts: list[str] = []
-    link = 0
-    at = 0
+def tags_of(page: str) -> Iterator[tuple[int, int, str, bool, dict[str, str]]]:
+    """First and last character, name, end tag or not, and attributes of every tag; comments, declarations and the content of raw elements come with no name."""
+    at, unclosed = 0, set()
+    while (lt := page.find("<", at)) >= 0:
+        if page.startswith("<!--", lt):
+            at = page.find("-->", lt + 4)
+            at = len(page) if at < 0 else at + 3
+            yield lt, at, "", False, {}
+            continue
+        name = NAME.match(page, lt)
+        if name is None:
+            if page[lt + 1 : lt + 2] in ("!", "?", "/"):
+                at = page.find(">", lt)
+                at = len(page) if at < 0 else at + 1
+                yield lt, at, "", False, {}
+            else:
+                at = lt + 1  # a sign in the text
+            continue
+        at, found = name.end(), {}
+        while at < len(page) and page[at] != ">":
+            m = ATTRIBUTE.match(page, at)
+            at = m.end()
+            if m[1] and m[1].lower() not in found:
+                found[m[1].lower()] = (m[2] or m[3] or m[4] or "").lower()
+        at, tag, end = min(at + 1, len(page)), name[1].lower(), page[lt + 1] == "/"
+        if not end and (tag in RAW or tag in SKIPPED and tag not in unclosed):
+            close = _end_of(tag).search(page, at)
+            if close is not None or tag in RAW:
+                at = close.end() if close else len(page)
+                yield lt, at, "", False, {}
+                continue
+            unclosed.add(tag)
+        yield lt, at, tag, end, found
+
+
+def _end_of(tag: str) -> re.Pattern[str]:
+    return re.compile(rf"</{tag}(?:\s[^>]*+)?+(?:>|\Z)", re.IGNORECASE)
+
+
+def lines_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
+    """Text, length of link text, whether beside the text, in a marked article, in an element of prose, of every line that is not empty."""
+    lines: list[tuple[str, int, bool, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, beside, article, link, prose: each true for all that is inside
+    open_, parts, link, at = Counter(), [], 0, 0
+    none = ("", False, False, False, False)
 
     def flush() -> None:
         nonlocal link
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            beside, article = stack[-1][1:3] if stack else (False, False)
-            lines.append((text, 0 if beside else len(text), article, link))
+            _, beside, article, _, prose = stack[-1] if stack else none
+            lines.append((text, link, beside, article, prose))
         link = 0
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
-            parts.append(piece)
+    def push(*of) -> None:
+        stack.append(of)
+        open_[of[0]] += 1
+
+    def pop() -> None:
+        open_[stack.pop()[0]] -= 1
+
+    for start, stop, tag, end, found in tags_of(page):
+        if start > at:
+            parts.append(page[at:start])
             if stack and stack[-1][3]:
-                link += len(piece)
-        at = m.end()
-        tag = (m["tag"] or "").lower()
+                link += start - at
+        at = stop
         if not tag:
             continue
         if tag == "br":
             parts.append(" ")
             continue
+        up = stack[-1] if stack else none
         if tag in INLINE:
-            if tag == "a" or any(s[0] == tag for s in stack[-8:]):
-                if m["end"]:
-                    if stack and stack[-1][0] == tag:
-                        stack.pop()
-                elif tag == "a":
-                    up = stack[-1] if stack else ("", False, False, False)
-                    stack.append(("a", up[1], up[2], True))
-            elif not m["end"] and m["attributes"].strip():
-                beside, _ = _kind(tag, m["attributes"], True)
-                if beside and not tag == "img":
-                    flush()
-                    up = stack[-1] if stack else ("", False, False, False)
-                    stack.append((tag, True, up[2], up[3]))
+            if end:
+                if up[0] == tag:
+                    if tag != "a":
+                        flush()
+                    pop()
+            elif tag == "a":
+                push("a", up[1], up[2], True, up[4])
+            elif found and tag != "img" and tag not in VOID and _kind(tag, found, True)[0]:
+                flush()
+                push(tag, True, up[2], up[3], up[4])
+            elif open_[tag]:  # its end must not close the one that is beside the text
+                push(tag, up[1], up[2], up[3], up[4])
             continue
         flush()
-        if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+        if end:
+            while open_[tag]:
+                if stack[-1][0] == tag:
+                    pop()
                     break
+                pop()
             continue
         while stack and (stack[-1][0] == "a" or tag in CLOSED_BY.get(stack[-1][0], ())):
-            stack.pop()
-        if tag in VOID or m["attributes"].endswith("/") and tag in ("svg", "path"):
+            pop()
+        if tag in VOID:
             continue
-        up = stack[-1] if stack else ("", False, False, False)
-        beside, article = _kind(tag, m["attributes"], up[2])
-        stack.append((tag, up[1] or beside, up[2] or article, up[3]))
+        up = stack[-1] if stack else none
+        beside, article = _kind(tag, found, up[2])
+        push(tag, up[1] or beside, up[2] or article, up[3], up[4] or tag in PROSE)
     parts.append(page[at:])
     flush()
     return lines
 
 
-def stretches(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """From each surge to its dive: the first and last line that hold text while no window of lines is empty."""
-    n = len(lengths)
-    sums = [sum(lengths[max(0, i - window + 1) : i + 1]) for i in range(n)]  # the window that ends at a line
-    found, surge = [], None
-    for i, total in enumerate(sums):
-        if total and surge is None:
-            surge = i
-        if surge is not None and (not total or i == n - 1):
-            last = i
-            while not lengths[last]:
-                last -= 1
-            found.append((surge, last))
-            surge = None
+def weighed(lines: list[tuple[str, int, bool, bool, bool]], window: int = WINDOW, surge: int = SURGE) -> list[tuple[str, int]]:
+    """Text and weight of every line; what is certainly not the text is a window of empty lines."""
+    marked = any(article and not beside for _, _, beside, article, _ in lines)
+    out: list[tuple[str, int]] = []
+    for text, link, beside, article, prose in lines:
+        if beside or marked and not article:
+            out += [("", 0)] * window
+            continue
+        weight = len(text) if article else 0 if 2 * link > len(text) else len(text) - link
+        out.append((text, weight + surge if weight and (article or prose) else weight))
+    return out
+
+
+def stretches(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """From each surge to its dive: first and last line with a weight while no window is empty, where a window's sum reaches ``surge``."""
+    found, first, last, peak, total = [], None, 0, 0, 0
+    for i, weight in enumerate([*weights, *[0] * window]):
+        total += weight - (weights[i - window] if window <= i < len(weights) + window else 0)
+        if weight:
+            first, last = i if first is None else first, i
+        peak = max(peak, total)
+        if not total and first is not None:
+            if peak >= surge:
+                found.append((first, last))
+            first, peak = None, 0
     return found
 
 
 def main_text(page: str | None) -> str:
-    lines = lines_of(page or "")
-    marked = any(article and n for _, n, article, _ in lines)
-    lengths = [n if article or not marked else 0 for _, n, article, _ in lines]
-    if not marked:
-        lengths = [0 if 2 * links > n else n for n, (_, _, _, links) in zip(lengths, lines, strict=True)]
-    found = stretches(lengths)
-    return " ".join(lines[i][0] for a, b in found for i in range(a, b + 1) if lengths[i])
+    rows = weighed(lines_of(page or ""))
+    weights = [w for _, w in rows]
+    found = stretches(weights) or stretches(weights, surge=1)
+    return " ".join(text for a, b in found for text, _ in rows[a : b + 1] if text)
 
 
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

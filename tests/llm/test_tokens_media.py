@@ -2,6 +2,7 @@
 
 import random
 import struct
+import time
 from collections import Counter
 
 import public_tokenizers
@@ -159,8 +160,40 @@ def test_a_short_last_section_of_an_unmarked_page_stays():
 
 
 def test_surges_and_dives():
-    assert html_text.stretches([0, 5, 0, 0, 0, 7, 8, 0, 9, 0, 0, 0]) == [(1, 1), (5, 8)]
-    assert html_text.stretches([]) == [] and html_text.stretches([0, 0]) == [] and html_text.stretches([3]) == [(0, 0)]
+    assert html_text.stretches([0, 5, 0, 0, 0, 7, 8, 0, 9, 0, 0, 0], surge=1) == [(1, 1), (5, 8)]
+    assert html_text.stretches([0, 5, 0, 0, 0, 7, 8, 0, 9, 0, 0, 0], surge=15) == [(5, 8)]
+    assert html_text.stretches([]) == [] and html_text.stretches([0, 0]) == [] and html_text.stretches([3], surge=3) == [(0, 0)] and html_text.stretches([3]) == []
+
+
+def test_a_lone_short_block_is_dropped_by_the_window():
+    gap = "<nav>menu</nav>"
+    text = "<div>" + "A section of plain text. " * 5 + "</div>"
+    assert html_text.main_text(f"<div>Log in</div>{gap}{text}<div>Short.</div>{gap}<div>v1.2</div>") == ("A section of plain text. " * 5 + "Short.")
+    links = "<div><a href=x>A link on its own</a></div>"
+    assert html_text.main_text(text + links + text).count("A link on its own") == 1
+    assert "A link" not in html_text.main_text(text + links * 3 + text) and html_text.main_text(text + links * 3 + text).count("A section") == 10
+
+
+def test_inline_parts_beside_the_text():
+    nested = "<b>" * 12 + "x" + "</b>" * 12
+    assert html_text.main_text(f"<article><p>One <span class='share'>Share <span>this</span> {nested}</span> two.</p></article>") == "One two."
+    assert html_text.main_text("<article><p>a <b x=\"1>2\" y='<p>'>bold</b> 1 < 2 <c d</p>") == "a bold 1 < 2"
+
+
+@pytest.mark.parametrize("unit", ["<script", "<div x=", '<a "', "<!--", "<a b='", "<select>", "</", "<b>", "<div>", "<script>", "&", "<a href=x>", "</p>", "<svg>x", "<div class=ad>"])
+def test_hostile_markup_takes_time_in_proportion(unit):
+    page = "<p>some text that is kept in any case</p>" + unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    assert html_text.main_text(page).startswith("some text that is kept in any case")
+    assert time.process_time() - began < 10
+
+
+def test_the_distribution_decides_on_the_tables(spark, sf_dir, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    before = [html_text.main_text(p) for p in pages]
+    monkeypatch.setattr(html_text, "stretches", lambda weights: [(0, len(weights) - 1)])
+    monkeypatch.setattr(html_text, "weighed", lambda lines: [(text, len(text)) for text, *_ in lines])
+    assert all(a != b for a, b in zip(before, map(html_text.main_text, pages), strict=True))
 
 
 def test_pages(spark, sf_dir):
