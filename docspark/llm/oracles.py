@@ -31,7 +31,7 @@ def _op8() -> str:
         return "CASE " + " ".join(whens) + " END"
 
     return f"""WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{UPPER.lower()}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-j AS (SELECT *, {chain("name")} AS rule, {chain("action")} AS action, regexp_replace(host, '^(?:www|m)\\.', '') || regexp_replace(path, '(?:\\.html|/)$', '') AS canonical, regexp_matches(host, '(?:^|[.-])(?:{"|".join(MARKS)})(?:$|[.-])') AS marked FROM u)
+j AS (SELECT *, {chain("name")} AS rule, {chain("action")} AS action, regexp_replace(regexp_replace(host, '\\.?(?::[0-9]*)?$', ''), '^(?:www|m)\\.', '') || regexp_replace(regexp_replace(path, '/{{2,}}', '/', 'g'), '(?:/index\\.html?|\\.html?|/)$', '') AS canonical, regexp_matches(host, '(?:^|[.-])(?:{"|".join(MARKS)})(?:$|[.-])') AS marked FROM u)
 SELECT page_id, host, path, rule, coalesce(action, CASE WHEN host <> '' AND canonical IN (SELECT canonical FROM j WHERE marked) THEN 'block' ELSE 'allow' END) AS verdict FROM j"""
 
 

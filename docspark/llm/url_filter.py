@@ -3,10 +3,13 @@
 The listed URLs are hashed into blocks of 256 bits (four longs, a row per block, built by bitwise OR in an aggregation that sums up before the
 shuffle); a URL sets ``BITS`` bits of one block.  A URL whose block lacks one of its bits is not listed; the others go on to a hash
 join with the list itself, which removes the false positives.  The filter takes ``PER_URL`` bits a listed URL.  It is broadcast while its
-proven size (40 bytes a block) is under ``BROADCAST_BYTES``, and joined by block otherwise.  Possible hits are made distinct before
-the exact join, so a URL that is very frequent goes through it once.
+proven size (40 bytes a block) is under ``BROADCAST_BYTES``, and joined by block otherwise.  Only distinct canonical URLs without a rule go through filter and exact join, so a URL that
+is very frequent does so once; the verdicts then go back to the pages in a join whose page side the engine may split, where pages without a host are dealt over ``SALTS`` keys that meet nothing.
 
-Null URLs and those without ``://`` have empty host and path, no rule, and are never listed.  Every input row gives one row.
+The list is the caller's.  ``marked_urls`` makes one from the pages' own hosts, as the given tables have no other place where URLs stand; on them a pattern over hosts would give the same verdicts.
+
+Null URLs and those without ``://`` have empty host and path, no rule, and are never listed.  Every input row gives one row, repeated ones too, and an empty table an empty one, as does an
+empty list no hit.  Columns other than id and URL are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ BITS = 6
 PER_URL = 12
 BLOCK_BITS = 256
 BROADCAST_BYTES = 8 << 20
+SALTS = 1024
 
 
 @dataclass(frozen=True)
@@ -43,8 +47,8 @@ RULES = (
     Rule("block", "com", "/de/"),
 )
 
-#: Host labels of unwanted sites; every URL of such a host is listed.
-MARKS = ("spam", "cheap-pills", "casino", "porn", "warez")
+#: Words in the labels of unwanted hosts; every URL of such a host is listed.
+MARKS = ("spam", "pills", "casino", "bet", "bets", "betting", "poker", "porn", "adult", "xxx", "sex", "ads", "adserver", "tracker", "warez", "phishing", "malware")
 
 
 def host_of(url: Column) -> Column:
@@ -56,8 +60,9 @@ def path_of(url: Column) -> Column:
 
 
 def canonical(host: Column, path: Column) -> Column:
-    """Host without ``www.`` or ``m.``, path without a closing slash or ``.html``; null for an empty host."""
-    return F.when(host != "", F.concat(F.regexp_replace(host, r"^(?:www|m)\.", ""), F.regexp_replace(path, r"(?:\.html|/)$", "")))
+    """Host without a port, a last dot, ``www.`` or ``m.``, path without repeated slashes, ``index.html``, a closing slash or ``.html``; null for an empty host."""
+    bare = F.regexp_replace(F.regexp_replace(host, r"\.?(?::[0-9]*)?$", ""), r"^(?:www|m)\.", "")
+    return F.when(host != "", F.concat(bare, F.regexp_replace(F.regexp_replace(path, "/{2,}", "/"), r"(?:/index\.html?|\.html?|/)$", "")))
 
 
 def rule_for(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column, Column]:
@@ -96,6 +101,16 @@ def filter_urls(pages: DataFrame, listed: DataFrame, *, rules: tuple[Rule, ...]
     parts = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     parts = parts.select("id", "host", "path", name.alias("rule"), action.alias("action"), canonical(F.col("host"), F.col("path")).alias("canonical"))
     exact = cut(listed.select(F.col("url").alias("canonical")).where("canonical is not null").distinct())
+    hits = cut(possible_hits(parts.where("action is null and canonical is not null").select("canonical").distinct(), exact).join(exact, "canonical", "left_semi"))
+    salt = F.concat(F.lit("-"), F.pmod(F.xxhash64("id", "path", "host", F.monotonically_increasing_id()), F.lit(SALTS)).cast("string"))
+    keyed = parts.withColumn("key", F.coalesce(F.concat(F.lit("="), "canonical"), salt))
+    out = keyed.join(hits.select(F.concat(F.lit("="), "canonical").alias("key"), F.lit(True).alias("listed")), "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    verdict = F.coalesce("action", F.when(F.col("listed"), "block").otherwise("allow"))
+    return out.select(F.col("id").alias(id_col), "host", "path", "rule", "listed", verdict.alias("verdict"))
+
+
+def possible_hits(urls: DataFrame, exact: DataFrame) -> DataFrame:
+    """The rows of ``urls`` whose bits are all set in the Bloom filter of ``exact``; both have a column ``canonical``."""
     blocks = max(1, -(-exact.count() * PER_URL // BLOCK_BITS))
     bloom = bloom_blocks(exact, "canonical", blocks)
     bloom = F.broadcast(bloom) if 40 * blocks <= BROADCAST_BYTES else bloom
@@ -104,15 +119,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, *, rules: tuple[Rule, ...]
     for word, bit in places:
         of = F.when(word == 0, F.col("word0")).when(word == 1, F.col("word1")).when(word == 2, F.col("word2")).otherwise(F.col("word3"))
         has = has & (of.bitwiseAND(bit) != 0)
-    tested = parts.withColumn("block", block).join(bloom, "block", "left").withColumn("possible", F.coalesce(has, F.lit(False)))
-    tested = tested.select("id", "host", "path", "rule", "action", "canonical", "possible")
-    hits = cut(tested.where("possible").select("canonical").distinct().join(exact, "canonical", "left_semi"))
-    sure = tested.where("possible").join(hits.withColumn("hit", F.lit(True)), "canonical", "left")
-    none = tested.where("not possible").withColumn("hit", F.lit(False))
-    columns = ["id", "host", "path", "rule", "action", F.coalesce("hit", F.lit(False)).alias("listed")]
-    out = sure.select(columns).union(none.select(columns))
-    verdict = F.coalesce("action", F.when(F.col("listed"), "block").otherwise("allow"))
-    return out.select(F.col("id").alias(id_col), "host", "path", "rule", "listed", verdict.alias("verdict"))
+    return urls.withColumn("block", block).join(bloom, "block").where(has).select(urls.columns)
 
 
 def marked_urls(pages: DataFrame, *, marks: tuple[str, ...] = MARKS, url_col: str = "url") -> DataFrame:
