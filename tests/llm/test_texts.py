@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -57,6 +58,37 @@ def test_license_wordings(spark):
     assert found == {0: {"mit"}, 1: {"apache", "apache-2.0"}, 2: {"cc-by-nc"}, 3: {"gpl", "gpl-3.0"}, 4: set()}
 
 
+def test_license_spans_follow_the_order_of_words(spark):
+    rng = random.Random(3)
+    apache = next(t for t in license_scan.WORDINGS if t.text.startswith("unless"))
+    ws, texts, want = apache.text.split(), [], []
+    for k in range(60):
+        edited, edits = list(ws), k % 5
+        for place in sorted(rng.sample(range(2, len(ws) - 3, 5), edits), reverse=True):
+            kind = rng.choice(["insert", "lose", "change"])
+            edited[place : place + (kind != "insert")] = [] if kind == "lose" else ["other"]
+        before = [f"w{j}" for j in range(rng.randrange(5))]
+        texts.append(" ".join(before + edited + ["after"]))
+        want.append((len(before), len(before) + len(edited) - 1))
+    shuffled = ws[16:] + ws[:16]
+    turned = [w for a, b in zip(ws[1::2], ws[::2], strict=False) for w in (a, b)]
+    texts += [" ".join(turned), " ".join(ws[::-1]), " ".join(ws + ["x"] * 9 + ws), " ".join(shuffled)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [s for s in r["spans"] if s["label"] == "apache-2.0"] for r in license_scan.scan_licenses(docs).collect()}
+    for k, (a, b) in enumerate(want):
+        assert [(s["first_word"], s["last_word"]) for s in found[k]] == [(a, b)], (k, texts[k])
+        assert found[k][0]["share"] == 1 if k % 5 == 0 else 0.8 <= found[k][0]["share"] < 1
+    assert not found[60] and not found[61] and [s["share"] for s in found[62]] == [1.0, 1.0] and not found[63]
+
+
+def test_a_text_of_hits_only_takes_time_in_proportion(spark):
+    license_scan.scan_licenses(spark.createDataFrame([(0, "mit license")], "doc_id long, text string")).collect()
+    for unit, n in (("mit license ", 87_000), ("the software of the software to deal in the software in all copies or ", 15_000)):
+        began = time.time()
+        row = license_scan.scan_licenses(spark.createDataFrame([(1, unit * n)], "doc_id long, text string")).selectExpr("size(filter(spans, s -> s.exact)) as n").collect()[0]
+        assert row["n"] == (n if unit.startswith("mit") else 0) and time.time() - began < 20
+
+
 def test_fingerprint_estimates_generalised_jaccard(spark):
     rng = random.Random(3)
     words = [f"w{k}" for k in range(60)]
