@@ -1,17 +1,17 @@
 """Toxicity: a lexicon in a trie, met by Levenshtein automata, with context-window scores.
 
-Learning.  Of the labelled rows whose hashed id is not held out, at most ``SAMPLE`` of each label (those of the least hash) are taken.  Words and word
-beginnings of 4 to 6 letters that stand in many toxic texts and hardly in others become the lexicon, at most ``LEXICON`` of either; it is the only thing besides the
-sample's features, ``FEATURES`` numbers a row, that comes to the driver, and neither grows with the corpus.
+Learning.  Of the labelled rows whose hashed id is not held out, at most ``SAMPLE`` of each label (those of the least hash) are taken.  All words and word
+beginnings of 4 to 6 letters that stand in ``LEAST_TEXTS`` toxic texts and hardly in others become the lexicon; it is the only thing besides the
+sample's features, ``FEATURES`` numbers a row, that comes to the driver, and neither grows with the corpus, as the sample does not.  Of several texts with one id, the one of the least hash counts.
 
 Matching.  The terms form a trie.  The Levenshtein automata of all terms are run over a word as one automaton whose states are sets of (trie node, edits);
 states are made when first met and remembered, and most words leave it after a few letters.  Terms of 4 to 7 letters may be met with one edit, longer ones with two.
 
 Context.  A hit counts more with other hits or an address (you) among the ``REACH`` words on either side, and less inside quotation marks or next to a word of
-reporting.  A logistic regression of the counts by number of edits, the sum and greatest of the context scores and the density gives the score.
+reporting; quotations may have any length.  A logistic regression of the counts by number of edits, the sum and greatest of the context scores and the density gives the score.
 
 Null and empty texts have no hits and get the score of a text without hits.  Without labels of both kinds the score is the share of toxic labels (0 without any).
-Every row gives one row; other columns are not read.
+Every row gives one row, repeated ones too, an empty table none; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from docspark.llm.common import computed
 
 SAMPLE = 10_000
-LEXICON = 400
 FEATURES = 7
 REACH = 6
 REMEMBERED = 200_000
@@ -148,7 +147,7 @@ def features_of(text: str, automaton: Automaton) -> list[float]:
         while high < len(at) and at[high] <= i + REACH:
             high += 1
         near = words[max(0, i - REACH) : i + REACH + 1]
-        score = 1.0 + 0.5 * min(high - low - 1, 3) + 0.5 * any(w in ADDRESS for w in near)
+        score = 1.0 + 0.7 * math.log1p(high - low - 1) + 0.5 * any(w in ADDRESS for w in near)
         if i in quoted:
             score *= 0.25
         if any(w in REPORT for w in near):
@@ -158,7 +157,7 @@ def features_of(text: str, automaton: Automaton) -> list[float]:
 
 
 def _quoted(text: str, n: int) -> set[int]:
-    """Numbers of the words inside quotation marks of up to 40 words."""
+    """Numbers of the words inside quotation marks; a mark that is never closed opens nothing."""
     if not any(q in text for q in QUOTES):
         return set()
     inside: set[int] = set()
@@ -166,13 +165,12 @@ def _quoted(text: str, n: int) -> set[int]:
     for k, m in enumerate(WORD.finditer(text)):
         for c in text[end : m.start()]:
             if opened is not None and c == QUOTES[mark]:
-                if k - opened <= 40:
-                    inside.update(range(opened, k))
+                inside.update(range(opened, k))
                 opened = None
             elif opened is None and c in QUOTES:
                 opened, mark = k, c
         end = m.end()
-    if opened is not None and n - opened <= 40 and QUOTES[mark] in text[end:]:
+    if opened is not None and QUOTES[mark] in text[end:]:
         inside.update(range(opened, n))
     return inside
 
@@ -206,7 +204,7 @@ def _features(rows: DataFrame, words: list[str], beginnings: list[str]) -> DataF
     return computed(rows, ["text"], "features array<double>", make)
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, lexicon: int = LEXICON, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model of the labelled rows that are not held out. Several labels of an id count as toxic if one is."""
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).where(F.col("toxic").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     usable = usable.groupBy("id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -217,14 +215,15 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, lexicon:
     some = [usable.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (0, 1)]
     # At most twice ``sample`` rows of an id and a label: broadcast, so that no text is moved to find the sampled ones.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some[0].union(some[1])), "id")
-    # Copies of a text would each count its every word.
+    # One text an id, so that the sample has a bound in texts too; and copies of a text would each count its every word.
+    rows = rows.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "toxic")).alias("row")).select("id", "row.text", "row.toxic")
     rows = rows.groupBy(F.xxhash64("text").alias("hash")).agg(F.min(F.struct("id", "text", "toxic")).alias("row")).select("row.*")
     rows = rows.where("text is not null").persist()
     try:
         there = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         if len(there) < 2:
             return Model([], [], [], prior)
-        words, beginnings = _lexicon(rows, there, lexicon)
+        words, beginnings = _lexicon(rows, there)
         made = _features(rows, words, beginnings).select("toxic", "features").toPandas()
     finally:
         rows.unpersist()
@@ -233,14 +232,14 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, lexicon:
     return Model(words, beginnings, _regression(x, y, weight / weight.mean()), prior)
 
 
-def _lexicon(rows: DataFrame, there: dict[int, int], most: int) -> tuple[list[str], list[str]]:
-    terms = F.array_distinct(F.filter(F.split(F.lower("text"), NOT_WORD), lambda w: (F.length(w) >= 3) & (F.length(w) <= 40)))
+def _lexicon(rows: DataFrame, there: dict[int, int]) -> tuple[list[str], list[str]]:
+    terms = F.array_distinct(F.array_remove(F.split(F.lower("text"), NOT_WORD), ""))
     starts = F.array_distinct(F.flatten(F.transform(F.filter(terms, lambda w: F.length(w) > 4), lambda w: F.transform(F.sequence(F.lit(4), F.least(F.length(w) - 1, F.lit(6))), lambda n: F.substring(w, F.lit(1), n)))))
     found = []
     for column in (terms, starts):
         counts = rows.select("toxic", F.explode(column).alias("term")).groupBy("term").agg(F.sum("toxic").alias("yes"), F.sum(1 - F.col("toxic")).alias("no")).where(F.col("yes") >= LEAST_TEXTS)
         odds = ((F.col("yes") + 0.5) / (there[1] + 1)) / ((F.col("no") + 0.5) / (there[0] + 1))
-        kept = counts.withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy((F.log("odds") * F.col("yes")).desc(), "term").limit(most)
+        kept = counts.withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy("term")
         found.append([r["term"] for r in kept.collect()])
     return found[0], found[1]
 

@@ -113,6 +113,16 @@ def test_context_separates_quotation_from_abuse():
     assert abuse[4] > quoted[4] and abuse[5] > quoted[5]
     assert toxicity.features_of("such an idiiot", automaton)[1] > 0 and toxicity.features_of("", automaton) == [0.0] * toxicity.FEATURES
     assert toxicity.features_of("an 1diot here", automaton)[1] > 0
+    long = "a " * 90 + "idiot " + "b " * 90
+    assert toxicity.features_of(f'"{long}"', automaton)[5] < toxicity.features_of(long, automaton)[5] == toxicity.features_of(f'"{long}', automaton)[5]
+
+
+def test_many_texts_of_one_labelled_id_count_once(spark):
+    rows = [(1, f"bad{k} word", 1) for k in range(200)] + [(10 + k, f"fine text {k}", 0) for k in range(20)] + [(50 + k, f"nasty text {k}", 1) for k in range(20)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame(sorted({(r[0], r[2]) for r in rows}), "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert "nasty" in model.words and not any(w.startswith("bad") for w in model.words)
 
 
 def auc(pairs):
