@@ -35,8 +35,10 @@ RADIUS = 2
 BLOCK = 2048
 #: Rows whose files are compared together, if they are small.
 LANES = 16384
-#: Bits of the longer fingerprints, and the drawn bits by which they are filed.
-WIDE, FILES, FILE_BITS = 256, 56, 12
+#: Bits of the longer fingerprints; the least number of drawn bits by which they are filed, the fingerprints that a file should hold, and the share of pairs that no file may hold together.
+WIDE, FILE_BITS, PER_FILE, MISSED = 256, 12, 1024, 2.2e-4
+#: Files up to which their sizes are broadcast.
+FEW = 1 << 19
 #: Standard deviations of a pair's distance that the wider radius adds to the mean.
 SPREAD = 4.5
 #: Texts of so few shingles are filed by their shingles as well; their bits differ by more than the angle says.
@@ -144,7 +146,7 @@ def stars(filed: DataFrame, unpacked, radius: int, few: bool = False) -> DataFra
     """Stars (a, b) of the nodes that are linked within a file; ``filed`` has node, bits and file, a row for each node and file.
 
     ``unpacked`` turns a series of ``bits`` into a matrix of 0 and 1.  Files with one node are dropped before anything moves twice.
-    With ``few`` the number of files has a bound and ``filed`` is read from the checkpoint folder already, so the sizes are broadcast and no row moves to find its own.
+    With ``few`` the number of files is at most ``FEW`` and ``filed`` is read from the checkpoint folder already, so the sizes are broadcast and no row moves to find its own.
     """
     filed = filed if few else cut(filed)
     sizes = cut(filed.groupBy("file").agg(F.count("*").alias("rows")).where("rows > 1"))
@@ -282,31 +284,40 @@ def linked_pairs(rows: list[tuple[int, bytes, np.ndarray]], similarity: float, r
     return found
 
 
-def classes_of(docs: DataFrame, *, width: int, similarity: float, files: int, file_bits: int, id_col: str, text_col: str) -> DataFrame:
+def filing(count: int, similarity: float) -> tuple[int, int]:
+    """Number of files of a fingerprint, and their bits, for so many fingerprints: more bits keep files short, and more files then keep the share of pairs that meet in one."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = max(FILE_BITS, math.ceil(math.log2(max(1, count) / PER_FILE)))
+    return math.ceil(math.log(MISSED) / math.log1p(-((1 - p) ** bits))), bits
+
+
+def classes_of(docs: DataFrame, *, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """id, text_hash and the class's ``least`` (null_id, id, text_hash) of every row."""
+
     def print_of(hashes):
         few = np.asarray([] if hashes is None else hashes, np.int64)
         prefix = len(few) - math.ceil(similarity * len(few) - 1e-9) + 1 if 0 < len(few) <= SHORT else 0
-        return wide_bits(hashes), np.unique(few[:prefix] % 2**file_bits).tolist()
+        return wide_bits(hashes), few[:prefix].tolist()
 
     distinct = F.array_sort(F.array_distinct(shingle_hashes(F.col("text"), width)))
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     printed = cut(computed(texts.select("id", "text_hash", distinct.alias("hashes")), ["hashes"], "bits binary, prefix array<long>", lambda: print_of))
     least = F.min(F.struct(F.col("id").isNull().alias("null_id"), "id", "text_hash")).alias("least")
     first = cut(cut(printed.groupBy("bits").agg(least, F.min("prefix").alias("prefix"))).withColumn("node", F.monotonically_increasing_id()))
+    files, file_bits = filing(first.count(), similarity)
     drawn = np.stack([np.random.default_rng(k).choice(WIDE, file_bits, replace=False) for k in range(files)])
     weights = 1 << np.arange(file_bits, dtype=np.int64)
 
     def files_of(bits: bytes, prefix: np.ndarray) -> tuple[list[int]]:
         x = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(np.int64)
-        return ((x[drawn] @ weights + (np.arange(files) << 32)).tolist() + [(files << 32) + int(k) for k in prefix],)
+        return ((x[drawn] @ weights + (np.arange(files) << 32)).tolist() + ((files << 32) + np.unique(prefix % 2**file_bits)).tolist(),)
 
     some = first.where(F.col("bits") != F.lit(bytes(WIDE // 8)))  # texts without words are equal, and like no other
     filed = cut(computed(some.select("node", "bits", F.col("bits").alias("_in"), "prefix"), ["_in", "prefix"], "files array<long>", lambda: files_of))
     unpacked = lambda column: np.unpackbits(np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1), axis=1, bitorder="little")
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = wide_radius(similarity) + round(SPREAD * math.sqrt(WIDE * p * (1 - p)))
-    near = components(stars(filed.select("node", "bits", F.explode("files").alias("file")), unpacked, radius, few=True))
+    near = components(stars(filed.select("node", "bits", F.explode("files").alias("file")), unpacked, radius, few=(files + 1) << file_bits <= FEW))
     chosen = near.join(first, "node").select("node", "root", "bits", F.col("least.id").alias("_id"), F.col("least.text_hash").alias("_text_hash"))
     here = texts.join(chosen, texts["id"].eqNullSafe(chosen["_id"]) & (texts["text_hash"] == chosen["_text_hash"]))
     members = cut(here.dropDuplicates(["node"]).select("node", "root", "bits", distinct.alias("hashes")))
@@ -317,18 +328,17 @@ def classes_of(docs: DataFrame, *, width: int, similarity: float, files: int, fi
 
 
 def similar_classes(
-    docs: DataFrame, *, width: int = 5, similarity: float = 0.8, files: int = FILES, file_bits: int = FILE_BITS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """id_col, component_id of every row: classes that links of texts reach whose sets of shingles of ``width`` words have at least this Jaccard similarity.
 
     A radius of 2 in 64 bits finds only texts that are almost equal (0.97 and up), so candidates are found by fingerprints of ``WIDE`` bits, a radius for the similarity and
-    ``SPREAD`` standard deviations, and ``files`` files of ``file_bits`` drawn bits each; within a file no candidate is lost.  Texts of at most ``SHORT`` shingles are
+    ``SPREAD`` standard deviations, and files of drawn bits; within a file no candidate is lost.  Number and bits of the files follow from the number of fingerprints (``filing``), so a file
+    holds about ``PER_FILE`` at any corpus size and the share of pairs that share no file stays ``MISSED``.  Texts of at most ``SHORT`` shingles are
     also filed by their least shingles, so many that two sets of this similarity share one.  Simulated, a lone pair of similarity 0.8 is a candidate with probability 0.99 or more
     (README).  Candidates that hang together are then compared by their shingles themselves (one text for each distinct fingerprint), so no link is below the similarity.
-    A file holds about one of ``2 ** file_bits`` texts, and comparing it costs its square (64 pairs an operation), so a corpus of billions of texts wants more
-    bits, and more files to keep the probabilities.
     """
-    rows = classes_of(docs, width=width, similarity=similarity, files=files, file_bits=file_bits, id_col=id_col, text_col=text_col)
+    rows = classes_of(docs, width=width, similarity=similarity, id_col=id_col, text_col=text_col)
     return rows.select(F.col("id").alias(id_col), F.col("least.id").alias("component_id"))
 
 
@@ -337,7 +347,7 @@ def drop_near_duplicates(docs: DataFrame, *, width: int = 5, similarity: float =
 
     Rows without an id stay.
     """
-    classes = classes_of(docs, width=width, similarity=similarity, files=FILES, file_bits=FILE_BITS, id_col=id_col, text_col=text_col)
+    classes = classes_of(docs, width=width, similarity=similarity, id_col=id_col, text_col=text_col)
     least = (F.col("id") == F.col("least.id")) & (F.col("text_hash") == F.col("least.text_hash"))
     keep = classes.where(least).select(F.col("id").alias(id_col), F.col("text_hash").alias("_text_hash")).distinct()
     with_id = docs.withColumn("_text_hash", F.xxhash64(text_col)).join(keep, [id_col, "_text_hash"], "left_semi").dropDuplicates([id_col, "_text_hash"])

@@ -239,3 +239,110 @@ def test_rows_that_share_an_id_or_have_none_are_rows_of_their_own(spark, sf_dir)
         sizes[r[3]] += words(r[1])
     assert all(abs(got[s] - t) <= 4 for s, t in brute_targets(dict(sizes)).items())  # half of the shortest text
     assert made == Counter(map(tuple, corpus_pipeline.mix(spark, docs.repartition(5), sf_dir).collect()))
+
+
+def shingle_set(t, width=5):
+    ws = ascii_words(t)
+    return {tuple(ws[k : k + width]) for k in range(len(ws) - width + 1)} or ({tuple(ws)} if ws else set())
+
+
+def ascii_words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+
+
+def brute_representatives(rows):
+    """Rows that stay: of every class of links the least (id, hash of the text); those without an id stay all."""
+    sets, root = [shingle_set(r[1]) for r in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[i] | sets[j])
+        if both and len(sets[i] & sets[j]) >= 0.8 * both or not both:
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    classes = defaultdict(list)
+    for i, r in enumerate(rows):
+        classes[find(i)].append(r)
+    return classes
+
+
+def test_every_stage_equals_brute_force(spark, sf_dir, tmp_path):
+    """Rows with equal ids and unequal texts, many without an id, repeated rows, null and empty texts; each stage gets what the one before kept."""
+    rng = random.Random(12)
+    word = lambda: "w" + str(rng.randrange(4000))
+    prose = lambda n: "\n".join(" ".join(word() for _ in range(12)) for _ in range(n))
+    rows = [(None if k % 4 == 0 else k % 70, prose(rng.randint(1, 9)), "en", f"s{k % 5}" if k % 6 else None, k) for k in range(160)]
+    shared = prose(4)
+    rows += [(1000 + k, f"{prose(2)}\n{shared}\n{prose(1)}", "en", "s1", k) for k in range(6)] + [(None, f"{shared}\n{prose(2)}", "en", "s2", 7)]
+    for k in range(20):  # near copies, exact copies and rows that repeat whole
+        base = [word() for _ in range(60)]
+        rows += [(2000 + 3 * k, " ".join(base), "fr", "s3", k), (2001 + 3 * k, " ".join([*base[:-1], "other"]), "fr", "s3", k), (2002 + 3 * k, " ".join(base), "fr", "s4", k)]
+    rows += [rows[-1]] * 3 + [(3000, None, None, None, None), (3001, "", "en", "s1", 0), (None, None, None, None, None)]
+    toxic = [(4000 + k, f"{prose(1)} you filthyname and vilename you {word()}", "en", "s2", k) for k in range(60)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(r[0], 1) for r in toxic] + [(r[0], 0) for r in rows if r[0] is not None and r[0] < 3000], "doc_id long, toxic int").distinct().write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows + toxic, schema)
+    stages = dict(corpus_pipeline.STAGES)
+    counted = lambda df: Counter(map(tuple, df.collect()))
+
+    kept = stages["toxicity"](spark, docs, str(tmp_path)).cache()
+    assert counted(kept) == Counter(rows)
+
+    first, lines = {}, [(r, r[1].split("\n") if r[1] is not None else []) for r in rows]
+    windows = lambda ls: [(k, tuple(ls[k : k + 3])) for k in range(len(ls) - 2) if "".join(ls[k : k + 3]).strip()]
+    hashed = {r["text"]: r["h"] for r in docs.selectExpr("text", "xxhash64(text) as h").collect()}
+    for r, ls in lines:
+        for k, w in windows(ls):
+            place = (r[0] is None, r[0] or 0, hashed[r[1]], k)
+            first[w] = min(first.get(w, place), place)
+    want = Counter()
+    for r, ls in lines:
+        gone = {k + j for k, w in windows(ls) if first[w] != (r[0] is None, r[0] or 0, hashed[r[1]], k) for j in range(3)}
+        left = "\n".join(x for k, x in enumerate(ls) if k not in gone)
+        if not gone:
+            want[r] += 1
+        elif len(gone) < len(ls):
+            want[r[0], left, r[2], r[3], len(left)] += 1
+    deduped = stages["line dedup"](spark, kept, str(tmp_path)).cache()
+    assert counted(deduped) == want and sum(want.values()) > 200
+
+    rows = [tuple(r) for r in deduped.collect()]
+    near = stages["simhash near-dedup"](spark, deduped, str(tmp_path)).cache()
+    got, classes = counted(near), brute_representatives(rows)
+    hashed = {r["text"]: r["h"] for r in deduped.selectExpr("text", "xxhash64(text) as h").collect()}
+    want = Counter()
+    for members in classes.values():
+        want.update(r for r in members if r[0] is None)
+        if with_id := [r for r in members if r[0] is not None]:
+            want[min(with_id, key=lambda r: (r[0], hashed.get(r[1]) or 42))] += 1
+    assert got == want
+
+    rows = list(got.elements())
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += words(r[1])
+    mixed = stages["mixing"](spark, near, str(tmp_path)).cache()
+    made, taken = counted(mixed), Counter()
+    assert all(made[r] <= mixing.REPEAT * got[r] for r in made) and set(made) <= set(rows)
+    for r, n in made.items():
+        taken[r[3]] += n * words(r[1])
+    assert all(abs(taken[s] - t) <= 12 for s, t in brute_targets(dict(sizes)).items())
+
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+
+    from docspark.llm import bpe
+
+    ranks = bpe.encoder(public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN).ranks
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = Counter()
+    for r, n in made.items():
+        ids = library.encode_ordinary(r[1] or "")
+        want[r[0], len(ids), sha(",".join(map(str, ids)).encode()), sha((r[1] or "").encode())] += n
+    assert counted(stages["byte-level BPE"](spark, mixed, str(tmp_path))) == want
