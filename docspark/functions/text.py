@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 CITATION = r"\[((?:[a-f0-9]{1,8}_)?[PTFE]\d+)\]"
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value computed once, however often ``of`` names it; the optimiser would write it out each time."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def words(c: Column) -> Column:
     """The words between white space."""
     return F.array_remove(F.split(c, r"\s+"), "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.functions.text import paragraph_type, token_count
+from docspark.functions.text import let, paragraph_type, token_count
 
 # Abbreviations after which a sentence goes on.
 ABBREVIATIONS = (
@@ -42,26 +42,23 @@ def raw_sentences(text: Column) -> Column:
     return F.split(text, r'(?<=[.!?])\s+(?=[A-Z"])')
 
 
-def _goes_on(buffer: Column) -> Column:
-    return (
-        buffer.rlike(rf"(?i)\b(?:{ABBREVIATIONS})\.$") | buffer.rlike(r"\d\.\d\s*$") | buffer.rlike(r"(?i)(?:Figure|Table|Equation)\s+\d+\.\s*$")
-        | (buffer.rlike(r"\]\.\s*$") & (F.size(F.array_remove(F.split(buffer, r"\s+"), "")) < 4))
-    )
+#: Stands for a sentence end while fragments are joined; no text has it.
+END = "\x01"
 
+#: Sentence ends that are none, as (pattern, passes): neighbouring matches share a character, so every other one waits for the next pass.
+JOINED = [
+    (rf"(?i)(^|[^\p{{L}}\p{{N}}_])((?:{ABBREVIATIONS})\.|(?:Figure|Table|Equation)\s+\d+\.){END}", 2),  # after an abbreviation or the number of a figure
+    (rf"(^|{END})((?:[^\s{END}]+\s+){{0,2}}[^\s{END}]*\]\.){END}", 3),  # a citation with at most two words before it
+]
 
-def sentences(text: Column) -> Column:
-    """Fragments, those after an abbreviation or the like joined to the next; a fold per paragraph."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buffer"))
-
-    def step(acc: Column, fragment: Column) -> Column:
-        buffer = F.when(acc["buffer"] == "", fragment).otherwise(F.trim(F.concat(acc["buffer"], F.lit(" "), fragment)))
-        on = _goes_on(buffer)
-        return F.struct(F.when(on, acc["out"]).otherwise(F.array_append(acc["out"], buffer)).alias("out"), F.when(on, buffer).otherwise(F.lit("")).alias("buffer"))
 
-    def finish(acc: Column) -> Column:
-        return F.when(acc["buffer"] != "", F.array_append(acc["out"], acc["buffer"])).otherwise(acc["out"])
-
-    return F.filter(F.transform(F.aggregate(raw_sentences(text), start, step, finish), lambda s: F.trim(s)), lambda s: s != "")
+def sentences(text: Column) -> Column:
+    """Fragments, those after an abbreviation or the like joined to the next by a blank; each step is one pass over the text."""
+    marked = F.regexp_replace(F.translate(text, END, " "), r'(?<=[.!?])\s+(?=[A-Z"])', END)
+    for pattern, passes in JOINED:
+        for _ in range(passes):
+            marked = F.regexp_replace(marked, pattern, "$1$2 ")
+    return F.filter(F.transform(F.split(marked, END), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def sentence_map(text: Column, paragraph_id: Column) -> Column:
@@ -82,22 +79,28 @@ def sentence_map(text: Column, paragraph_id: Column) -> Column:
 
 
 def pack_sentences(paragraphs: DataFrame, *, target: int = TARGET_TOKENS, most: int = MAX_TOKENS) -> DataFrame:
-    """doc_id, para, sub, text, tokens: paragraphs of up to ``most`` tokens stay whole, others are packed greedily from sentences."""
-    kind = "array<struct<text:string,tokens:long>>"
-    start = F.struct(F.array().cast(kind).alias("out"), F.lit("").alias("text"), F.lit(0).cast("long").alias("tokens"))
+    """doc_id, para, sub, text, tokens: paragraphs of up to ``most`` tokens stay whole, others are packed greedily from sentences.
+
+    The fold keeps only where chunks start; their texts are cut out afterwards.
+    """
+    begin = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("tokens"))
 
     def step(acc: Column, s: Column) -> Column:
-        n = token_count(s)
-        full = (acc["tokens"] + n > target) & (acc["text"] != "")
-        done = F.struct(acc["text"].alias("text"), acc["tokens"].alias("tokens"))
-        return F.struct(
-            F.when(full, F.array_append(acc["out"], done)).otherwise(acc["out"]).alias("out"),
-            F.when(full | (acc["text"] == ""), s).otherwise(F.concat(acc["text"], F.lit(" "), s)).alias("text"), F.when(full, n).otherwise(acc["tokens"] + n).alias("tokens"),
-        )
-
-    last = lambda acc: F.when(acc["text"] != "", F.array_append(acc["out"], F.struct(acc["text"].alias("text"), acc["tokens"].alias("tokens")))).otherwise(acc["out"])
-    whole = F.array(F.struct(F.col("text").alias("text"), token_count(F.col("text")).alias("tokens")))
-    chunks = F.when(token_count(F.col("text")) <= most, whole).otherwise(F.aggregate(sentences(F.col("text")), start, step, last))
+        full = (acc["at"] == 0) | (acc["tokens"] + s["tokens"] > target)
+        starts = F.when(full, F.array_append(acc["starts"], acc["at"])).otherwise(acc["starts"])
+        return F.struct(starts.alias("starts"), (acc["at"] + 1).alias("at"), F.when(full, s["tokens"]).otherwise(acc["tokens"] + s["tokens"]).alias("tokens"))
+
+    def packed(found: Column) -> Column:
+        def chunk(starts: Column, start: Column, k: Column) -> Column:
+            own = F.slice(found, start + 1, F.coalesce(F.get(starts, k + 1), F.size(found)) - start)
+            tokens = F.aggregate(own, F.lit(0).cast("long"), lambda n, s: n + s["tokens"])
+            return F.struct(F.array_join(F.transform(own, lambda s: s["text"]), " ").alias("text"), tokens.alias("tokens"))
+
+        return let(F.aggregate(found, begin, step, lambda acc: acc["starts"]), lambda starts: F.transform(starts, lambda start, k: chunk(starts, start, k)))
+
+    sized = F.transform(sentences(F.col("text")), lambda s: F.struct(s.alias("text"), token_count(s).alias("tokens")))
+    whole = lambda n: F.array(F.struct(F.col("text").alias("text"), n.alias("tokens")))
+    chunks = let(token_count(F.col("text")), lambda n: F.when(n <= most, whole(n)).otherwise(let(sized, packed)))
     return paragraphs.select("doc_id", "para", F.posexplode(chunks).alias("sub", "chunk")).select("doc_id", "para", "sub", "chunk.text", "chunk.tokens")
 
 

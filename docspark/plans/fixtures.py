@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; a table of fewer splits than cores is dealt over all cores first, since texts are dear to work on. Larger ones are taken as they are read."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 #: Word and token counts as the SQL twins write them.
 WORDS_SQL = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> ''))"
 TOKENS_SQL = "greatest(1, CAST(floor(" + WORDS_SQL + " * 1.3::DOUBLE) AS BIGINT))"
@@ -22,7 +28,7 @@ LINES_SQL = "lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, line_no, text."""
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    return documents(spark, sf_dir).select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
 
 
 PARAS_SQL = LINES_SQL + r", paras AS (SELECT doc_id, source, line_no AS para, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM lines WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 20)"
@@ -30,7 +36,7 @@ PARAS_SQL = LINES_SQL + r", paras AS (SELECT doc_id, source, line_no AS para, re
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, para, text: lines of 20 characters or more."""
-    return split_paragraphs(table(spark, sf_dir, "documents"), separator="\n")
+    return split_paragraphs(documents(spark, sf_dir), separator="\n")
 
 
 CHUNKS_SQL = (
@@ -43,7 +49,7 @@ CHUNKS_SQL = (
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """paper_id, session_id, ord, text, paragraph_id, chunk_type, token_count, section: one chunk a paragraph."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").repartition("doc_id")  # the numbering below needs this anyway, and whole texts move as one row
     pieces = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("para", "text"))
     pieces = pieces.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).where(F.length("text") >= 20)
     ord_ = (F.row_number().over(Window.partitionBy("doc_id").orderBy("para")) - 1).cast("long")

@@ -134,7 +134,16 @@ def d09_split_sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(found).cast("long").alias("fragments"), F.aggregate(found, F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("chars"))
 
 
-@query()
+def _sentences_sql() -> str:
+    """``sents``: the sentences of each paragraph as a list; the patterns are those of the operator, in the dialect of the twin."""
+    marked = r"""regexp_replace(text, '([.!?])\s+([A-Z"])', '\1' || chr(1) || '\2', 'g')"""
+    for pattern, passes in structure.JOINED:
+        for _ in range(passes):
+            marked = f"regexp_replace({marked}, '{pattern}', '\\1\\2 ', 'g')"
+    return f"sents AS (SELECT doc_id, para, text, list_filter(list_transform(string_split({marked}, chr(1)), lambda s: trim(s)), lambda s: s <> '') AS ss FROM paras)"
+
+
+@query(f"WITH {fx.PARAS_SQL}, {_sentences_sql()} SELECT doc_id, para, generate_subscripts(ss, 1) - 1 AS place, unnest(ss) AS sentence FROM sents")
 def d09_merge_sentences(spark, d):
     return fx.paragraphs(spark, d).select("doc_id", "para", F.posexplode(structure.sentences(F.col("text"))).alias("place", "sentence"))
 
@@ -155,7 +164,11 @@ def d12_section_headers(spark, d):
     return structure.section_headers(fx.chunks(spark, d).select(F.col("paper_id").alias("doc_id"), "ord", "section"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {fx.PARAS_SQL}, {_sentences_sql()}, sized AS (SELECT doc_id, para, text, ss, {fx.TOKENS_SQL.format("text")} AS n FROM sents),
+each AS (SELECT doc_id, para, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM sized WHERE n > 80), e AS (SELECT *, {fx.TOKENS_SQL.format("s")} AS n FROM each),
+packed AS (SELECT doc_id, para, s, i, n, 0 AS sub, n AS tokens FROM e WHERE i = 1
+UNION ALL SELECT e.doc_id, e.para, e.s, e.i, e.n, CASE WHEN p.tokens + e.n > 40 THEN p.sub + 1 ELSE p.sub END, CASE WHEN p.tokens + e.n > 40 THEN e.n ELSE p.tokens + e.n END FROM packed p JOIN e ON e.doc_id = p.doc_id AND e.para = p.para AND e.i = p.i + 1)
+SELECT doc_id, para, 0 AS sub, text, n AS tokens FROM sized WHERE n <= 80 UNION ALL SELECT doc_id, para, sub, string_agg(s, ' ' ORDER BY i), sum(n)::BIGINT FROM packed GROUP BY doc_id, para, sub""")
 def k01_pack_sentences(spark, d):
     return structure.pack_sentences(fx.paragraphs(spark, d), target=40, most=80)
 
