@@ -7,37 +7,65 @@ from pyspark.sql import functions as F
 
 from docspark.functions.text import CITATION, token_count
 
-# Heading patterns, tried in this order; the least number of headings; the groups that hold the title.
+# Heading patterns, tried in this order; the least number of headings; the group that holds the title.
 HEADINGS = [
-    ("markdown", r"^(#{1,4})\s+(.+)$", 1), ("chapter", r"^(?:Chapter|CHAPTER)\s+(\d+|[IVXLC]+|[A-Za-z]+)(?:\s*[:.–—]\s*|\s+)([A-Z][A-Za-z\s:,\-–—]+)$", 1),
-    ("numbered", r"^(\d+(?:\.\d+)*)\s+([A-Z][A-Za-z\s:,\-–—]+)$", 1), ("roman", r"^([IVXLC]+)[.\)]\s+([A-Z][A-Za-z\s:,\-–—]+)$", 2),
+    ("markdown", r"^(#{1,4})\s+(.+)$", 1, 2), ("chapter", r"^(?:Chapter|CHAPTER)\s+(\d+|[IVXLC]+|[A-Za-z]+)(?:\s*[:.–—]\s*|\s+)([A-Z][A-Za-z\s:,\-–—]+)$", 1, 2),
+    ("numbered", r"^(\d+(?:\.\d+)*)\s+([A-Z][A-Za-z\s:,\-–—]+)$", 1, 2), ("roman", r"^([IVXLC]+)[.\)]\s+([A-Z][A-Za-z\s:,\-–—]+)$", 2, 2),
+    ("bold_parts", r"^\*{2}(\d+(?:\.\d+)*|[IVXLC]+|[A-Z])[.\)\s]*\*{2}\s*\*{2}([^*\n]+)\*{2}\s*$", 2, 2), ("bold_numbered", r"^\*{2}(\d+(?:\.\d+)*|[IVXLC]+|[A-Z])[.\)\s]+([A-Z][^*\n]+)\*{2}\s*$", 2, 2),
+    ("bold_named", r"^\*{2}([A-Z][A-Za-z\s]{2,60})\*{2}\s*$", 1, 1), ("capitals", r"^([A-Z][A-Z\s]{2,50})$", 3, 1),
 ]
+# Names of sections.
+SECTIONS = (
+    "abstract,introduction,background,related work,related works,methodology,methods,method,approach,proposed method,experimental setup,experiments,experiment,evaluation,results,result,discussion,analysis,"
+    "conclusion,conclusions,summary,future work,references,bibliography,acknowledgments,acknowledgements,appendix,appendices,supplementary material,literature review,theoretical framework,data collection,findings,"
+    "implications,limitations,recommendations,case study,case studies,implementation,design,overview,problem statement,research questions,materials and methods,procedures,ethical considerations,table of contents,"
+    "list of figures,list of tables,dedication,preface,glossary,abbreviations,executive summary,scope,objectives,contributions"
+).split(",")
+#: Two to five words of capitals: a person's name, if it is not the name of a section.
+NAME_IN_CAPITALS = r"^[A-Z]{2,}(?:\s+[A-Z]{2,}){1,4}$"
 # What counts as a formula.
 SYMBOLS = (
     r"(?:\\(?:frac|sqrt|sum|prod|int|partial|nabla|infty|alpha|beta|gamma|delta|epsilon|theta|lambda|mu|sigma|omega|phi|psi|pi|mathbb|mathcal|mathbf|mathrm|hat|bar|tilde|vec|dot|ddot|left|right|Big|big|"
     r"lim|max|min|sup|inf|log|ln|exp|sin|cos|tan|leq|geq|neq|approx|equiv|sim|propto|forall|exists|in|subset|cup|cap)|[∑∏∫∂∇∞≈±÷√∀∃⊂⊃∪∩])"
 )
+DISPLAY = r"(?s)\$\$(.+?)\$\$"
+ENVIRONMENT = "(?s)" + "|".join(rf"\\begin\{{{e}\*?\}}.+?\\end\{{{e}\*?\}}" for e in ("equation", "align", "gather", "multline", "eqnarray"))
+NUMBERED = r"(?m)^\s*\((\d+(?:\.\d+)*)\)\s*(.+)$"
+UNICODE = "∑∏∫∂∇∞≈±÷√∀∃⊂⊃∪∩"
 TABLE_FRAGMENT = r"[|].*[|]|<br>|<tr|<td|<th|^[\s✓✗×☑☐●○◯■□▪▫\-–—|,.\d]+$"
 DOI = r"(?i)(?:doi[:\s]*|https?://(?:dx\.)?doi\.org/)?(10\.\d{4,9}/[^\s,;\"')\]]+)"
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec"
 
 
+def plausible_section(name: Column) -> Column:
+    """The name of a known section, one in capitals, or up to 8 words of which every one of over 3 letters, at least one, has a capital."""
+    ws = F.array_remove(F.split(name, r"\s+"), "")
+    long = F.filter(ws, lambda w: F.length(w) > 3)
+    return F.lower(name).isin(SECTIONS) | (name == F.upper(name)) | ((F.size(ws) <= 8) & (F.size(long) > 0) & F.forall(long, lambda w: w.rlike("^[A-Z]")))
+
+
+def is_heading(line: Column, rule: str) -> Column:
+    _, pattern, _, group = next(h for h in HEADINGS if h[0] == rule)
+    name = F.trim(F.regexp_extract(line, pattern, group))
+    extra = {"bold_named": plausible_section(name), "capitals": F.lower(name).isin(SECTIONS) | ~name.rlike(NAME_IN_CAPITALS)}
+    return line.rlike(pattern) & extra.get(rule, F.lit(True))
+
+
 def split_sections(lines: DataFrame) -> DataFrame:
     """doc_id, order, title, level, content: the first heading rule with enough headings splits the whole document; none gives one section.
 
     Needs doc_id, line_no, text.  Flags by line, counts by document, then gaps and islands; text before the first heading is dropped.
     """
     doc = Window.partitionBy("doc_id")
-    counted = lines
-    for name, pattern, _ in HEADINGS:
-        counted = counted.withColumn(f"_{name}", F.col("text").rlike(pattern)).withColumn(f"_n_{name}", F.count_if(F.col(f"_{name}")).over(doc))
-    rule, is_heading, title, level = F.lit(None).cast("string"), F.lit(False), F.lit(None).cast("string"), F.lit(1)
-    for name, pattern, least in reversed(HEADINGS):
+    flags = {f"_{name}": is_heading(F.col("text"), name) for name, *_ in HEADINGS}
+    counted = lines.select("doc_id", "line_no", "text").withColumns(flags).withColumns({f"_n_{name}": F.count_if(F.col(f"_{name}")).over(doc) for name, *_ in HEADINGS})
+    rule, heading, title, level = F.lit(None).cast("string"), F.lit(False), F.lit(None).cast("string"), F.lit(1)
+    for name, pattern, least, group in reversed(HEADINGS):
         ok = F.col(f"_n_{name}") >= least
-        rule, is_heading = F.when(ok, name).otherwise(rule), F.when(ok, F.col(f"_{name}")).otherwise(is_heading)
-        title = F.when(ok, F.regexp_extract("text", pattern, 2)).otherwise(title)
+        rule, heading = F.when(ok, name).otherwise(rule), F.when(ok, F.col(f"_{name}")).otherwise(heading)
+        title = F.when(ok, F.regexp_extract("text", pattern, group)).otherwise(title)
         level = F.when(ok, F.length(F.regexp_extract("text", pattern, 1)) if name == "markdown" else F.lit(1)).otherwise(level)
-    flagged = counted.select("doc_id", "line_no", "text", rule.alias("rule"), is_heading.alias("h"), title.alias("title"), level.alias("level"))
+    flagged = counted.select("doc_id", "line_no", "text", rule.alias("rule"), heading.alias("h"), title.alias("title"), level.alias("level"))
     flagged = flagged.withColumn("section", F.sum(F.col("h").cast("int")).over(doc.orderBy("line_no")))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("h"), F.struct("line_no", "text")))), lambda x: x["text"]), "\n")
     out = flagged.groupBy("doc_id", "section").agg(F.first("rule").alias("rule"), F.max(F.when(F.col("h"), F.trim("title"))).alias("title"), F.max(F.when(F.col("h"), F.col("level"))).alias("level"), F.trim(body).alias("content"))
@@ -83,10 +111,37 @@ def is_formula(c: Column) -> Column:
     return (F.length(c) >= 3) & ~c.rlike(TABLE_FRAGMENT) & (c.rlike(SYMBOLS) | (operators >= 2) | (c.rlike(r"\d") & c.rlike("[=<>≤≥≠≈]")))
 
 
-def display_formulas(docs: DataFrame) -> DataFrame:
-    """doc_id, place, content of ``$$..$$`` formulas that are meaningful."""
-    found = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)\$\$(.+?)\$\$"), 1)).alias("place", "content"))
-    return found.withColumn("content", F.trim("content")).where(is_formula(F.col("content")))
+def has_maths(c: Column) -> Column:
+    """Symbols, a sub- or superscript, or one sign of maths: an equation of under 200 characters, two operators, or a relation."""
+    operators = F.length(F.regexp_replace(c, r"[^+\-*/=<>^_{}()\[\]]", ""))
+    return c.rlike(SYMBOLS) | c.rlike(r"[a-z]_\{|[a-z]\^|\\[a-z]+\{") | (c.contains("=") & (F.length(c) < 200)) | (operators >= 2) | c.rlike(r"[\^_{}\\≤≥≠≈]")
+
+
+def find_formulas(docs: DataFrame) -> DataFrame:
+    """doc_id, place, kind, content, number of the formulas in each text: all of one matcher before those of the next.
+
+    ``$$..$$``; environments; lines "(n) .."; ``$..$`` within a line, at most 500 characters; lines with a sign of Unicode maths, 5 to 200 characters, not mostly words.  Every one must be a formula by ``is_formula``.
+    """
+    text, squeezed = F.coalesce("text", F.lit("")), lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+
+    def made(kind: str, found: Column, content, number=None, keep=None, wrap=lambda x, c: c) -> Column:
+        each = F.transform(found, lambda m: F.struct(m.alias("m"), squeezed(content(m)).alias("c")))
+        each = F.filter(each, lambda x: is_formula(x["c"]) & (F.lit(True) if keep is None else keep(x["c"])))
+        no = (lambda m: F.lit(None).cast("string")) if number is None else number
+        return F.transform(each, lambda x: F.struct(F.lit(kind).alias("kind"), wrap(x["m"], x["c"]).alias("content"), no(x["m"]).alias("number")))
+
+    name = lambda m: F.regexp_extract(m, r"^\\begin\{(\w+)", 1)
+    singles = F.regexp_replace(text, r"\${2,}", "\x01")  # so that a sign that is left stands alone
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: (F.length(x) >= 5) & x.rlike(f"[{UNICODE}]") & ~x.rlike(r"[|].*[|]|<br>|<tr"))
+    few_words = lambda c: (F.length(c) <= 200) & ~((F.regexp_count(c, F.lit(r"\b[a-zA-Z]{4,}\b")) > 5) & (F.length(F.regexp_replace(c, f"[^{UNICODE}]", "")) <= 2))
+    found = F.concat(
+        made("display", F.regexp_extract_all(text, F.lit(DISPLAY), 1), lambda m: m, wrap=lambda m, c: F.concat(F.lit("$$"), c, F.lit("$$"))),
+        made("display", F.regexp_extract_all(text, F.lit(ENVIRONMENT), 0), lambda m: F.regexp_replace(m, r"^\\begin\{\w+\*?\}|\\end\{\w+\*?\}$", ""), wrap=lambda m, c: F.concat(F.lit("\\begin{"), name(m), F.lit("}"), c, F.lit("\\end{"), name(m), F.lit("}"))),
+        made("numbered", F.regexp_extract_all(text, F.lit(NUMBERED), 0), lambda m: F.regexp_extract(m, NUMBERED, 2), number=lambda m: F.regexp_extract(m, NUMBERED, 1), keep=has_maths),
+        made("inline", F.regexp_extract_all(singles, F.lit(r"\$([^\n]+?)\$"), 1), lambda m: F.replace(m, F.lit("\x01"), F.lit("$$")), keep=lambda c: F.length(c) <= 500, wrap=lambda m, c: F.concat(F.lit("$"), c, F.lit("$"))),
+        made("unicode", lines, lambda m: m, keep=few_words),
+    )
+    return docs.select("doc_id", F.posexplode(found).alias("place", "f")).select("doc_id", F.col("place").cast("long"), "f.kind", "f.content", "f.number")
 
 
 def dedup_formulas(formulas: DataFrame) -> DataFrame:

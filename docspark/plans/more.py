@@ -10,29 +10,45 @@ from docspark.plans.fixtures import table
 from docspark.plans.registry import query
 
 KEY = "CAST(o_orderkey AS VARCHAR)"
-MD_SQL = (
-    f"md AS (SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN ['Preface', '# Intro', 'Body ' || {KEY}, '## Methods ' || o_orderstatus, 'More', 'text'] WHEN 1 THEN ['Chapter 1 Start', 'Text ' || {KEY}, 'Chapter 2 End', 'Tail']"
-    f" WHEN 2 THEN ['I. First part', 'abc', 'II. Second part', '', 'x ' || {KEY}] ELSE ['plain', '| a | b |', '|---|---|', '| 1 | ' || {KEY} || ' |', '| x | y |', 'end', '| no | table |'] END AS ls FROM orders),"
-    " lines AS (SELECT doc_id, unnest(ls) AS text, generate_subscripts(ls, 1) - 1 AS line_no FROM md)"
-)
+
+
+def _sql_list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+#: Headings of every rule, tables, and what looks like either, put over the documents' lines.
+MD_EDGES = [
+    ["Preface", "# Intro", "Body", "## Methods and more", "More", "text"], ["Chapter 1 Start", "Text", "CHAPTER Two: End", "Tail"], ["I. First part", "abc", "II. Second part", "", "x"], ["I. Only one", "abc"],
+    ["plain", "| a | b |", "|---|---|", "| 1 | 2 |", "| x | y |", "end", "| no | table |"], ["before", "1 Introduction", "a", "1.2 More: of it", "b", "2 no capital"],
+    ["**1.** **First: of all**", "a", "**II** **Second**", "b"], ["**1. One**", "a", "**B) Two**", "b", "**C lower**", "**D. **"], ["**3. Alone**", "**Related Work**", "a", "**Some of the words here**", "b", "**Results**  ", "c"],
+    ["ABSTRACT", "a", "JOHN SMITH", "b", "RELATED WORK", "c", "DATA", "d"], ["ABSTRACT", "a", "MARY ANN SMITH", "b", "RESULTS", "c"], ["**lower case**", "**Ab**", "#no", "##### five", "A", "AB"],
+]
+MD_SQL = f"md AS (SELECT doc_id, list_concat([{', '.join(_sql_list(e) for e in MD_EDGES)}][doc_id % {len(MD_EDGES)} + 1], string_split(text, chr(10))) AS ls FROM documents), lines AS (SELECT doc_id, unnest(ls) AS text, generate_subscripts(ls, 1) - 1 AS line_no FROM md)"
 
 
 def _md(spark, d):
-    k, n = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 4
-    a = lambda *x: F.array(*[F.lit(v) if isinstance(v, str) else v for v in x])
-    c = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
-    lines = (
-        F.when(n == 0, a("Preface", "# Intro", c("Body ", k), c("## Methods ", F.col("o_orderstatus")), "More", "text")).when(n == 1, a("Chapter 1 Start", c("Text ", k), "Chapter 2 End", "Tail"))
-        .when(n == 2, a("I. First part", "abc", "II. Second part", "", c("x ", k))).otherwise(a("plain", "| a | b |", "|---|---|", c("| 1 | ", k, " |"), "| x | y |", "end", "| no | table |"))
-    )
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(lines).alias("line_no", "text"))
+    edges = F.array(*[F.array(*[F.lit(x) for x in e]) for e in MD_EDGES])
+    docs = table(spark, d, "documents").repartition("doc_id")  # sections and tables are put together by document
+    return docs.select("doc_id", F.posexplode(F.concat(F.get(edges, (F.col("doc_id") % len(MD_EDGES)).cast("int")), F.split("text", "\n"))).alias("line_no", "text"))
+
+
+def _heading_sql(name: str) -> str:
+    _, pattern, _, group = next(h for h in extraction.HEADINGS if h[0] == name)
+    t, known = f"trim(regexp_extract(text, '{pattern}', {group}))", "(" + ", ".join(f"'{x}'" for x in extraction.SECTIONS) + ")"
+    words = f"list_filter(string_split_regex({t}, '\\s+'), lambda w: w <> '')"
+    long = f"list_filter({words}, lambda w: length(w) > 3)"
+    extra = {
+        "bold_named": f" AND (lower({t}) IN {known} OR {t} = upper({t}) OR (len({words}) <= 8 AND len({long}) > 0 AND len(list_filter({long}, lambda w: NOT regexp_matches(w, '^[A-Z]'))) = 0))",
+        "capitals": f" AND (lower({t}) IN {known} OR NOT regexp_matches({t}, '{extraction.NAME_IN_CAPITALS}'))",
+    }
+    return f"(regexp_matches(text, '{pattern}'){extra.get(name, '')})"
 
 
-H = {name: p for name, p, _ in extraction.HEADINGS}
-SECTIONS_SQL = f"""WITH {MD_SQL}, f AS (SELECT *, {", ".join(f"regexp_matches(text, '{p}') AS h_{n}" for n, p in H.items())} FROM lines),
+H = [name for name, *_ in extraction.HEADINGS]
+SECTIONS_SQL = f"""WITH {MD_SQL}, f AS (SELECT *, {", ".join(f"{_heading_sql(n)} AS h_{n}" for n in H)} FROM lines),
 c AS (SELECT *, {", ".join(f"count(*) FILTER (WHERE h_{n}) OVER (PARTITION BY doc_id) AS n_{n}" for n in H)} FROM f),
-r AS (SELECT *, CASE {" ".join(f"WHEN n_{n} >= {least} THEN '{n}'" for n, _, least in extraction.HEADINGS)} END AS rule FROM c),
-g AS (SELECT *, CASE rule {" ".join(f"WHEN '{n}' THEN h_{n}" for n in H)} ELSE FALSE END AS h, CASE rule {" ".join(f"WHEN '{n}' THEN regexp_extract(text, '{p}', 2)" for n, p in H.items())} END AS title FROM r),
+r AS (SELECT *, CASE {" ".join(f"WHEN n_{n} >= {least} THEN '{n}'" for n, _, least, _ in extraction.HEADINGS)} END AS rule FROM c),
+g AS (SELECT *, CASE rule {" ".join(f"WHEN '{n}' THEN h_{n}" for n in H)} ELSE FALSE END AS h, CASE rule {" ".join(f"WHEN '{n}' THEN regexp_extract(text, '{p}', {k})" for n, p, _, k in extraction.HEADINGS)} END AS title FROM r),
 s AS (SELECT *, sum(h::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM g),
 o AS (SELECT doc_id, section, max(rule) AS rule, max(CASE WHEN h THEN trim(title) END) AS title, max(CASE WHEN h THEN CASE WHEN rule = 'markdown' THEN length(regexp_extract(text, '^(#{{1,4}})\\s', 1)) ELSE 1 END END) AS level, trim(coalesce(string_agg(CASE WHEN NOT h THEN text END, chr(10) ORDER BY line_no), '')) AS content FROM s GROUP BY doc_id, section)
 SELECT doc_id, CASE WHEN rule IS NULL THEN 0 ELSE section - 1 END::BIGINT AS "order", CASE WHEN rule IS NULL THEN 'Full Document' ELSE title END AS title, CASE WHEN rule IS NULL THEN 1 ELSE level END AS level, content FROM o WHERE rule IS NULL OR (section > 0 AND content <> '')"""
@@ -77,34 +93,72 @@ def x03_merge_tables(spark, d):
     return extraction.first_by_key(t, ["doc_id", "content"], "has_bbox", "ord")
 
 
-FORMULA_SQL = f"fdocs AS (SELECT o_orderkey AS doc_id, 'Intro here. We have $$E_{{k}} = ' || {KEY} || '^2$$ so it holds. Then $$xy$$ and $$E_{{k}} = ' || {KEY} || '^2$$ end.' AS text FROM orders)"
-FOUND_SQL = rf"raw AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s)\$\$(.+?)\$\$', 1)) AS content, generate_subscripts(regexp_extract_all(text, '(?s)\$\$(.+?)\$\$', 1), 1) - 1 AS place FROM fdocs), found AS (SELECT doc_id, place, trim(content) AS content FROM raw WHERE length(trim(content)) >= 3)"
+#: Formulas, and what looks like one, put under the documents' texts.
+FORMULA_EDGES = [
+    "We have $$E_{k} = mc^2$$ so it holds. Then $$xy$$ and $$E_{k}  = mc^2$$ end.", "See \\begin{equation} a + b = c \\end{equation} and \\begin{align*}x &= 1\n y &= 2\\end{align*} here.", "(1.2) x = y + 1\n (3) the plain words of this line\n(4) F = ma",
+    "Costs $a_1 + b_2$ or $x$, and $$y^2 = 4$$ with $\\alpha$ left.", "∑ x_i over all i\na long line of very plain words that only mentions ± once\n∫ f(x) dx ≈ 0.5", "| a | b = c |\n$| a | b |$ and <td>1 = 1</td>", "", "$one sign only and $$ no end", "∀x ∃y: x < y\n≈\n1 ± 2 | 3 | 4",
+    "\\begin{gather}no\\end{align} \\begin{multline}p = \\frac{1}{2}\\end{multline}",
+]
+
+
+FORMULA_SQL = f"fdocs AS (SELECT doc_id, text || chr(10) || {_sql_list(FORMULA_EDGES)}[doc_id % {len(FORMULA_EDGES)} + 1] AS text FROM documents)"
+
+
+def _found_sql() -> str:
+    e = extraction
+    operators = "length(regexp_replace(c, '[^+\\-*/=<>^_{}()\\[\\]]', '', 'g'))"
+    formula = f"length(c) >= 3 AND NOT regexp_matches(c, '{e.TABLE_FRAGMENT}') AND (regexp_matches(c, '{e.SYMBOLS}') OR {operators} >= 2 OR (regexp_matches(c, '\\d') AND regexp_matches(c, '[=<>≤≥≠≈]')))"
+    maths = f"(regexp_matches(c, '{e.SYMBOLS}') OR regexp_matches(c, '[a-z]_\\{{|[a-z]\\^|\\\\[a-z]+\\{{') OR (contains(c, '=') AND length(c) < 200) OR {operators} >= 2 OR regexp_matches(c, '[\\^_{{}}\\\\≤≥≠≈]'))"
+    few = f"length(c) <= 200 AND NOT (len(regexp_extract_all(c, '\\b[a-zA-Z]{{4,}}\\b')) > 5 AND length(regexp_replace(c, '[^{e.UNICODE}]', '', 'g')) <= 2)"
+    singles = "regexp_replace(text, '\\${2,}', chr(1), 'g')"
+    lines = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) >= 5 AND regexp_matches(x, '[{e.UNICODE}]') AND NOT regexp_matches(x, '[|].*[|]|<br>|<tr'))"
+    name = "regexp_extract(m, '^\\\\begin\\{(\\w+)', 1)"
+    rules = [
+        ("display", f"regexp_extract_all(text, '{e.DISPLAY}', 1)", "m", "true", "'$$' || c || '$$'", "NULL"),
+        ("display", f"regexp_extract_all(text, '{e.ENVIRONMENT}')", "regexp_replace(m, '^\\\\begin\\{\\w+\\*?\\}|\\\\end\\{\\w+\\*?\\}$', '', 'g')", "true", f"'\\begin{{' || {name} || '}}' || c || '\\end{{' || {name} || '}}'", "NULL"),
+        ("numbered", f"regexp_extract_all(text, '{e.NUMBERED}')", f"regexp_extract(m, '{e.NUMBERED}', 2)", maths, "c", f"regexp_extract(m, '{e.NUMBERED}', 1)"),
+        ("inline", f"regexp_extract_all({singles}, '\\$([^\\n]+?)\\$', 1)", "replace(m, chr(1), '$$')", "length(c) <= 500", "'$' || c || '$'", "NULL"),
+        ("unicode", lines, "m", few, "c", "NULL"),
+    ]
+    raw = " UNION ALL ".join(f"SELECT doc_id, {r} AS r, '{kind}' AS kind, unnest({found}) AS m, generate_subscripts({found}, 1) AS i FROM fdocs" for r, (kind, found, *_) in enumerate(rules))
+    case = lambda k: "CASE r " + " ".join(f"WHEN {r} THEN {rule[k]}" for r, rule in enumerate(rules)) + " END"
+    return (
+        f"raw AS ({raw}), squeezed AS (SELECT *, trim(regexp_replace({case(2)}, '\\s+', ' ', 'g')) AS c FROM raw), "
+        f"found AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY r, i) - 1 AS place, kind, {case(4)} AS content, {case(5)} AS number FROM squeezed WHERE {formula} AND {case(3)})"
+    )
+
+
+FOUND_SQL = _found_sql()
 
 
 def _fdocs(spark, d):
-    k = F.col("o_orderkey").cast("string")
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("Intro here. We have $$E_{k} = "), k, F.lit("^2$$ so it holds. Then $$xy$$ and $$E_{k} = "), k, F.lit("^2$$ end.")).alias("text"))
+    edge = F.get(F.array(*[F.lit(x) for x in FORMULA_EDGES]), (F.col("doc_id") % len(FORMULA_EDGES)).cast("int"))
+    return fx.documents(spark, d).select("doc_id", F.concat("text", F.lit("\n"), edge).alias("text"))
 
 
-@query(f"WITH {FORMULA_SQL}, {FOUND_SQL} SELECT doc_id, place, content FROM found")
+@query(f"WITH {FORMULA_SQL}, {FOUND_SQL} SELECT doc_id, place, kind, content, number FROM found")
 def x05_extract_formulas(spark, d):
-    return extraction.display_formulas(_fdocs(spark, d))
+    return extraction.find_formulas(_fdocs(spark, d))
 
 
 @query(f"WITH {FORMULA_SQL}, {FOUND_SQL} SELECT doc_id, content, min(place) AS place FROM found GROUP BY doc_id, content")
 def x07_dedup_formulas(spark, d):
-    return extraction.dedup_formulas(extraction.display_formulas(_fdocs(spark, d)))
+    return extraction.dedup_formulas(extraction.find_formulas(_fdocs(spark, d)))
+
+
+_AROUND = "list_filter([trim(string_split(regexp_replace(before, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[-1]), trim(string_split(regexp_replace(after, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1])], lambda x: x <> '')"
 
 
-@query(f"WITH {FORMULA_SQL}, {FOUND_SQL} SELECT f.doc_id, place, 'We have $$ $$ so it holds.' AS context FROM found f")
+@query(f"""WITH {FORMULA_SQL}, {FOUND_SQL}, a AS (SELECT f.doc_id, place, f.content, text, strpos(text, f.content) AS pos FROM found f JOIN fdocs USING (doc_id)),
+b AS (SELECT *, regexp_replace(substr(text, greatest(1, pos - 300), pos - greatest(1, pos - 300)), '^\s+|\s+$', '', 'g') AS before, regexp_replace(substr(text, pos + length(content), 300), '^\s+|\s+$', '', 'g') AS after FROM a)
+SELECT doc_id, place, CASE WHEN pos > 0 THEN substr(array_to_string({_AROUND}, ' '), 1, 500) ELSE '' END AS context FROM b""")
 def x08_formula_context(spark, d):
-    return extraction.formula_context(extraction.display_formulas(_fdocs(spark, d)), _fdocs(spark, d))
+    return extraction.formula_context(extraction.find_formulas(_fdocs(spark, d)), _fdocs(spark, d))
 
 
-@query("SELECT l_orderkey AS doc_id, count(*) FILTER (WHERE l_linenumber % 5 = 0) AS display, count(*) FILTER (WHERE l_linenumber % 5 = 1) AS inline, count(*) FILTER (WHERE l_linenumber % 5 = 2) AS numbered, count(*) FILTER (WHERE l_linenumber % 5 = 3) AS unicode FROM lineitem GROUP BY 1")
+@query(f"WITH {FORMULA_SQL}, {FOUND_SQL} SELECT doc_id, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {k}" for k in ("display", "inline", "numbered", "unicode")) + " FROM found GROUP BY doc_id")
 def x09_formula_type_counts(spark, d):
-    kinds = F.array(*[F.lit(x) for x in ("display", "inline", "numbered", "unicode", "other")])
-    return extraction.formula_type_counts(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.get(kinds, (F.col("l_linenumber") % 5).cast("int")).alias("kind")))
+    return extraction.formula_type_counts(extraction.find_formulas(_fdocs(spark, d)))
 
 
 BOXES_SQL = "boxes AS (SELECT p_partkey // 12 AS doc_id, p_partkey % 2 AS page, p_partkey AS box_idx, CASE WHEN p_partkey % 3 = 0 THEN 'picture' ELSE 'caption' END AS kind, (p_partkey * 7 % 100)::DOUBLE AS x0, (p_partkey * 13 % 300)::DOUBLE AS y0, (p_partkey * 7 % 100 + 20 + p_size)::DOUBLE AS x1, (p_partkey * 13 % 300 + 30 + p_size)::DOUBLE AS y1, p_name AS text, 100000.0::DOUBLE AS page_area FROM part)"
