@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -96,16 +96,23 @@ def sections_from_boxes(headings: DataFrame, docs: DataFrame) -> DataFrame:
     return each.select("doc_id", "order", F.col("h.title").alias("title"), F.trim(F.substring(F.col("text"), begin, F.greatest(F.lit(0), end - begin))).alias("content"))
 
 
-def correct_citations(results: DataFrame, sources: DataFrame) -> DataFrame:
-    """Results whose claim cites a paragraph get its first source: by full id, or by a short id that only one paragraph of the answer has; the score is taken anew from ``similarity`` of the source.
+def correct_citations(results: DataFrame, sources: DataFrame, *, scorer: Callable[[Column, Column], Column]) -> DataFrame:
+    """Results whose claim cites a paragraph of the answer's sources get that paragraph's first source, with a score taken anew.
 
-    ``sources`` has answer_id, paragraph_id, ord, text and similarity (to the claim's answer); ambiguous short ids stay as they are.
+    The first citation of a claim counts.  Candidates are the sources of a paragraph with this full id, or with this short id, of any paper.  One candidate is taken as it is; of several the paragraph with the best
+    ``scorer(claim, text)`` wins, if that is above -1, else the first.  A result that has the paragraph already stays, and so does one without candidates.  ``sources`` has answer_id, paragraph_id, ord, text and ``similarity``
+    (to the answer's claims).  Only claims with a citation meet sources, those of their own answer.
     """
-    first = sources.groupBy("answer_id", "paragraph_id").agg(F.min_by(F.struct("text", "similarity"), "ord").alias("s"))
-    short = first.withColumn("cited", F.substring_index("paragraph_id", "_", -1)).groupBy("answer_id", "cited").agg(F.count("*").alias("n"), F.first("paragraph_id").alias("paragraph_id"), F.first("s").alias("s")).where("n = 1").drop("n")
-    keys = first.select("answer_id", F.col("paragraph_id").alias("cited"), "paragraph_id", "s").unionByName(short.where(F.col("cited") != F.col("paragraph_id")))
+    ids = F.explode(F.array_distinct(F.array("paragraph_id", F.substring_index("paragraph_id", "_", -1))))
+    keys = sources.select("answer_id", ids.alias("cited"), F.col("paragraph_id").alias("new_id"), F.struct("ord", "text", "similarity").alias("s"))
     cited = results.withColumn("cited", F.nullif(F.regexp_extract("claim", CITATION, 1), F.lit("")))
-    joined = cited.join(keys.withColumnRenamed("paragraph_id", "new_id"), ["answer_id", "cited"], "left")
+    pairs = cited.where("cited is not null").select("answer_id", "claim_idx", "claim", "cited").join(keys, ["answer_id", "cited"])
+    each = pairs.groupBy("answer_id", "claim_idx", "new_id").agg(F.min("s").alias("s"), F.count("*").alias("n"), F.max(scorer(F.col("claim"), F.col("s.text"))).alias("raw"))
+    best = F.max(F.when(F.col("raw") > -1, F.struct("raw", (-F.col("s.ord")).alias("first"), "new_id", "s")))
+    chosen = each.groupBy("answer_id", "claim_idx").agg(F.sum("n").alias("n"), F.min(F.struct("s.ord", "new_id", "s")).alias("first"), best.alias("best"))
+    winner = lambda c: F.when(F.col("n") > 1, F.col(f"best.{c}"))
+    chosen = chosen.select("answer_id", "claim_idx", F.coalesce(winner("new_id"), F.col("first.new_id")).alias("new_id"), F.coalesce(winner("s"), F.col("first.s")).alias("s"))
+    joined = results.join(chosen, ["answer_id", "claim_idx"], "left")
     moved = F.col("new_id").isNotNull() & (F.col("new_id") != F.coalesce("paragraph_id", F.lit("")))
     score = F.when(moved, F.col("s.similarity")).otherwise(F.col("score"))
     return joined.select("answer_id", "claim_idx", F.when(moved, F.col("new_id")).otherwise(F.col("paragraph_id")).alias("paragraph_id"), score.alias("score"), confidence(score).alias("confidence"), moved.alias("corrected"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.functions.text import CITATION, token_count
+from docspark.functions.text import CITATION, let, token_count
 
 # Heading patterns, tried in this order; the least number of headings; the group that holds the title.
 HEADINGS = [
@@ -259,13 +259,31 @@ def route_vision(kind: Column) -> Column:
     return F.when(low.rlike("table|tabular|spreadsheet|grid"), "table").when(low.rlike("equation|formula|mathematical|math expression"), "formula").otherwise("figure")
 
 
+# What is cut from a source before it is shown.
+CAPTION = r"\[Caption:\s*(.+?)\]"
+METADATA = r"^\s*(?:\[[^\]]*\]\s*)+"
+DESCRIPTION = r"(?i)This (?:table|figure) is from the paper\s*'.+?'\.\s*(?:It presents:.*?\.)?\s*(?:The table contains.*?columns\.)?\s*"
+RULE_ROW = r"^\|[\s\-:|]+\|$"
+
+
 def display_source(text: Column, kind: Column, most: int = 300) -> Column:
-    """A source as shown: without citations; text and others cut at ``most``, formulas as their first two lines."""
-    clean = F.trim(F.regexp_replace(text, CITATION, ""))
-    lines = F.filter(F.transform(F.split(clean, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("##"))
-    shown = F.when(kind == "formula", F.array_join(F.slice(lines, 1, 2), " ")).when(kind == "figure", F.when(F.get(F.split(clean, "\n"), F.lit(0)).rlike(r"Figure|Fig\."), F.get(F.split(clean, "\n"), F.lit(0))).otherwise("Figure/Image Content")).when(kind == "table", F.trim(F.get(F.split(clean, "\n"), F.lit(0)))).otherwise(clean)
-    shown = F.when(shown == "", clean).otherwise(shown)
-    return F.when(F.length(shown) > most, F.concat(F.rtrim(F.substring(shown, 1, most)), F.lit("..."))).otherwise(shown)
+    """A source as shown, without citations and at most ``most`` characters.
+
+    Table: caption and first header row, or the first line; figure: caption, or a first line that names a figure; formula: the first two lines that are no headings.  Where that is empty the text stays whole.
+    """
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    lines = lambda c: F.transform(F.split(c, "\n"), strip)
+
+    def of(clean: Column) -> Column:
+        caption, bare = strip(F.regexp_extract(clean, CAPTION, 1)), strip(F.regexp_replace(clean, METADATA, ""))
+        table = let(strip(F.regexp_replace(bare, DESCRIPTION, "")), lambda t: F.when(caption != "", F.concat_ws("\n", caption, F.get(F.filter(lines(t), lambda x: x.startswith("|") & ~x.rlike(RULE_ROW)), F.lit(0)))).otherwise(F.get(lines(t), F.lit(0))))
+        first = F.get(lines(bare), F.lit(0))
+        figure = F.when(caption != "", F.regexp_replace(caption, r"\*{1,3}(.+?)\*{1,3}", "$1")).when(first.rlike(r"Figure|Fig\."), first).otherwise("Figure/Image Content")
+        formula = F.array_join(F.slice(F.filter(lines(bare), lambda x: (x != "") & ~x.startswith("##")), 1, 2), " ")
+        result = F.when(kind.isNull() | (kind == "text"), clean).when(kind == "table", table).when(kind == "figure", figure).when(kind == "formula", formula).otherwise(bare)
+        return let(result, lambda r: F.when(r == "", clean).when(F.length(r) > most, F.concat(F.regexp_replace(F.substring(r, 1, most), r"\s+$", ""), F.lit("..."))).otherwise(r))
+
+    return let(strip(F.regexp_replace(text, CITATION, "")), of)
 
 
 def chunk_tokens(df: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -166,24 +169,38 @@ def cooldowns(events: DataFrame, *, default: float = 60.0, slice_s: float = 86_4
     return joined.withColumn("until_s", F.greatest("_own", "_before")).drop("_until", "_slice", "_own", "_before")
 
 
-def admit(requests: DataFrame, max_calls: int, window_s: float = 60.0) -> DataFrame:
+def admit(requests: DataFrame, max_calls: int, window_s: float = 60.0, slice_s: float = 3600.0) -> DataFrame:
     """Adds admitted: fewer than ``max_calls`` admitted calls of the client in the last window; rejected calls do not count.
 
-    The choice is sequential within a client, whose rows are read in time order by one task; other state than the admitted times is not kept.
+    Nothing carries over a pause as long as the window, so a client's calls are cut there and each run of calls is a group of its own.  The cuts are found in time slices, whose last
+    calls and cuts are all that passes from one to the next.  A run's rows come sorted and in batches, and its state is the admitted times of one window, so a run of any length fits.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "event_id"])
-        seen: list[float] = []
-        out = []
-        for t in rows["ts"].astype("int64").to_numpy() / 1e9 if str(rows["ts"].dtype) == "datetime64[ns]" else rows["ts"].map(pd.Timestamp.timestamp):
-            seen = [x for x in seen if x > t - window_s]
-            out.append(len(seen) < max_calls)
-            if out[-1]:
-                seen.append(t)
-        return rows[["client", "event_id"]].assign(admitted=out)
-
-    return requests.select("client", "event_id", "ts").groupBy("client").applyInPandas(run, "client long, event_id long, admitted boolean")
+    window, kinds = round(window_s * 1e6), "client long, event_id long, admitted boolean"
+    rows = requests.select("client", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).withColumn("slice", F.floor(F.col("at") / round(slice_s * 1e6)))
+    in_slice, slices = Window.partitionBy("client", "slice").orderBy("at", "event_id"), Window.partitionBy("client").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("client", "slice").agg(F.max("at").alias("end")).withColumn("end_before", F.max("end").over(slices)).drop("end")
+    rows = rows.join(ends, ["client", "slice"])
+    before = F.coalesce(F.lag("at").over(in_slice), "end_before")
+    rows = rows.withColumn("cut", F.when(before.isNull() | (F.col("at") - before >= window), F.col("at")))
+    cuts = rows.groupBy("client", "slice").agg(F.max("cut").alias("cut")).withColumn("cut_before", F.max("cut").over(slices)).drop("cut")
+    run = F.coalesce(F.max("cut").over(in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "cut_before")
+    rows = rows.join(cuts, ["client", "slice"]).withColumn("run", run)
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, seen = None, deque()
+        for batch in batches:
+            out = []
+            for client, start, t in zip(batch["client"], batch["run"], batch["at"], strict=True):
+                if key != (client, start):
+                    key, seen = (client, start), deque()
+                while seen and seen[0] <= t - window:
+                    seen.popleft()
+                out.append(len(seen) < max_calls)
+                if out[-1]:
+                    seen.append(t)
+            yield batch[["client", "event_id"]].assign(admitted=out)
+
+    return rows.select("client", "run", "at", "event_id").repartition("client", "run").sortWithinPartitions("client", "run", "at", "event_id").mapInPandas(decide, kinds)
 
 
 # Evaluation.

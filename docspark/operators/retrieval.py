@@ -132,6 +132,21 @@ def missing_citations(hits: DataFrame, texts: DataFrame) -> DataFrame:
     return cited.join(hits.select("query_id", F.col("paragraph_id").alias("cited")), ["query_id", "cited"], "left_anti")
 
 
+def add_cited(hits: DataFrame, texts: DataFrame, papers: DataFrame, chunks: DataFrame, *, score: float = 0.9) -> DataFrame:
+    """query_id, paper_id, paragraph_id, text, score, added: the hits, and the chunks that a query's text cites and its hits lack.
+
+    The paper of a citation is the query's first (by ``ord``) whose id's first 8 characters begin the cited id; the chunk is then looked up in that paper.  The beginnings of a cited id are written out, at most 8, so
+    the match is a plain join.  A cited id without such a paper or chunk adds nothing.
+    """
+    missing = missing_citations(hits, texts)
+    starts = missing.select("query_id", "cited", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(8), F.length("cited"))), lambda n: F.substring(F.col("cited"), F.lit(1), n))).alias("start"))
+    named = papers.select("query_id", "paper_id", "ord", F.substring(F.col("paper_id").cast("string"), 1, 8).alias("start"))
+    target = starts.join(named, ["query_id", "start"]).groupBy("query_id", "cited").agg(F.min_by("paper_id", "ord").alias("paper_id"))
+    found = target.join(chunks.select("paper_id", F.col("paragraph_id").alias("cited"), "text"), ["paper_id", "cited"])
+    added = found.select("query_id", "paper_id", F.col("cited").alias("paragraph_id"), "text", F.lit(score).alias("score"), F.lit(True).alias("added"))
+    return hits.select("query_id", "paper_id", "paragraph_id", "text", "score", F.lit(False).alias("added")).unionByName(added)
+
+
 def context_block(hits: DataFrame) -> DataFrame:
     """One text per query: ``[P12] (Section: s)``, a line feed and the text of each hit, in rank order."""
     tag = F.concat(F.lit("["), F.substring_index("paragraph_id", "_", -1), F.lit("]"))

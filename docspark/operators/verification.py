@@ -46,12 +46,16 @@ def rerank(pairs: DataFrame, *, high: float = 0.85, medium: float = 0.75) -> Dat
 
 
 def merge_results(claims: DataFrame, level1: DataFrame, level2: DataFrame) -> DataFrame:
-    """One row per claim in claim order, by claim text; level 2 overrides; scores within 0 and 1."""
-    last = lambda df, *c: df.groupBy("claim").agg(F.max_by(F.struct(*c), "ord").alias("r"))
-    out = claims.join(last(level1, "score", "confidence").withColumnRenamed("r", "l1"), "claim", "left").join(last(level2, "score", "confidence").withColumnRenamed("r", "l2"), "claim", "left")
+    """One row per claim of each answer, by answer and claim text; level 2 overrides; scores within 0 and 1.
+
+    Claims of one answer with the same text share a result; those of different answers never meet, so a claim that many answers make is no hot key.
+    """
+    keys = ["answer_id", "claim"]
+    last = lambda df, to: df.groupBy(*keys).agg(F.max_by(F.struct("score", "confidence"), "ord").alias(to))
+    out = claims.join(last(level1, "l1"), keys, "left").join(last(level2, "l2"), keys, "left")
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("l2.score", "l1.score", F.lit(0.0))))
     method = F.when(F.col("l2").isNotNull(), "cross_encoder_rerank").when(F.col("l1").isNotNull(), "embedding_similarity").otherwise("skipped")
-    return out.select("claim_idx", "claim", score.alias("score"), F.coalesce("l2.confidence", "l1.confidence", F.lit("low")).alias("confidence"), method.alias("method"))
+    return out.select("answer_id", "claim_idx", "claim", score.alias("score"), F.coalesce("l2.confidence", "l1.confidence", F.lit("low")).alias("confidence"), method.alias("method"))
 
 
 def missing_sources(claims: DataFrame, sources: DataFrame) -> DataFrame:

@@ -44,14 +44,22 @@ def d07_sections_from_boxes(spark, d):
     return documents.sections_from_boxes(heads, docs)
 
 
-@query(f"""WITH {fx.RESULTS_SQL}, s AS (SELECT DISTINCT ON (answer_id, paper_id % 3) answer_id, paper_id % 3 AS p, score AS sim FROM results ORDER BY answer_id, paper_id % 3, claim_idx, score), r AS (SELECT answer_id, claim_idx, score, cross_encoder, claim_idx % 4 AS cites FROM results),
-j AS (SELECT r.answer_id, claim_idx, cites, CASE WHEN s.sim IS NOT NULL THEN 'ab_P' || CAST(p AS VARCHAR) ELSE 'ab_P9' END AS paragraph_id, coalesce(s.sim, r.score) AS score, s.sim IS NOT NULL AS corrected FROM r LEFT JOIN s ON s.answer_id = r.answer_id AND s.p = r.cites)
+@query(f"""WITH {fx.RESULTS_SQL}, s AS (SELECT answer_id, 'p' || CAST(paper_id % 2 AS VARCHAR) || '_P' || CAST(paper_id % 3 AS VARCHAR) AS new_id, claim_idx * 10 + score AS ord, cross_encoder * 4 - 2.5 AS raw, score AS sim FROM results),
+r AS (SELECT answer_id, claim_idx, score, CASE claim_idx % 5 WHEN 0 THEN '' WHEN 4 THEN 'p0_P1' ELSE 'P' || CAST(claim_idx % 5 AS VARCHAR) END AS cited, CASE WHEN claim_idx % 2 = 0 THEN 'p0_P1' ELSE 'p9_P9' END AS paragraph_id FROM results),
+e AS (SELECT r.answer_id, r.claim_idx, s.new_id, count(*) AS n, max(s.raw) AS raw, min(s.ord) AS ord, arg_min(s.sim, s.ord) AS sim FROM r JOIN s ON s.answer_id = r.answer_id AND (s.new_id = r.cited OR split_part(s.new_id, '_', 2) = r.cited) GROUP BY 1, 2, 3),
+o AS (SELECT *, sum(n) OVER c AS total, row_number() OVER (PARTITION BY answer_id, claim_idx ORDER BY ord, new_id) AS by_ord, row_number() OVER (PARTITION BY answer_id, claim_idx ORDER BY raw DESC, ord, new_id DESC) AS by_raw, max(raw) OVER c AS top FROM e WINDOW c AS (PARTITION BY answer_id, claim_idx)),
+w AS (SELECT * FROM o WHERE CASE WHEN total > 1 AND top > -1 THEN by_raw = 1 ELSE by_ord = 1 END),
+j AS (SELECT r.answer_id, r.claim_idx, coalesce(new_id, r.paragraph_id) AS paragraph_id, CASE WHEN new_id IS NOT NULL AND new_id <> r.paragraph_id THEN sim ELSE r.score END AS score, new_id IS NOT NULL AND new_id <> r.paragraph_id AS corrected FROM r LEFT JOIN w ON w.answer_id = r.answer_id AND w.claim_idx = r.claim_idx)
 SELECT answer_id, claim_idx, paragraph_id, score, {fx.CONFIDENCE_SQL.format("score")} AS confidence, corrected FROM j""")
 def v08_correct_citations(spark, d):
-    r = fx.results(spark, d)
-    claims = r.select("answer_id", "claim_idx", F.concat(F.lit("see [P"), (F.col("claim_idx") % 4).cast("string"), F.lit("]")).alias("claim"), F.lit("ab_P9").alias("paragraph_id"), "score")
-    sources = r.select("answer_id", F.concat(F.lit("ab_P"), (F.col("paper_id") % 3).cast("string")).alias("paragraph_id"), (F.col("claim_idx") * 10 + F.col("score")).alias("ord"), F.lit("t").alias("text"), F.col("score").alias("similarity"))
-    return documents.correct_citations(claims, sources)
+    """The scorer reads a given score out of the source's text, so that the twin knows it."""
+    r, n = fx.results(spark, d), F.col("claim_idx") % 5
+    cites = F.when(n == 0, "no citation").when(n == 4, "see [p0_P1]").otherwise(F.concat(F.lit("see [P"), n.cast("string"), F.lit("] and [P9]")))
+    claims = r.select("answer_id", "claim_idx", F.translate(cites, "p", "a").alias("claim"), F.when(F.col("claim_idx") % 2 == 0, "a0_P1").otherwise("a9_P9").alias("paragraph_id"), "score")
+    pid = F.concat(F.lit("a"), (F.col("paper_id") % 2).cast("string"), F.lit("_P"), (F.col("paper_id") % 3).cast("string"))
+    sources = r.select("answer_id", pid.alias("paragraph_id"), (F.col("claim_idx") * 10 + F.col("score")).alias("ord"), (F.col("cross_encoder") * 4 - 2.5).cast("string").alias("text"), F.col("score").alias("similarity"))
+    made = documents.correct_citations(claims, sources, scorer=lambda claim, text: text.cast("double"))
+    return made.withColumn("paragraph_id", F.regexp_replace("paragraph_id", "^a", "p"))
 
 
 @query()

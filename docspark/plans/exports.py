@@ -70,11 +70,10 @@ def n10_highlight_items(spark, d):
 @query(f"WITH {fx.RESULTS_SQL}, r AS (SELECT DISTINCT answer_id, claim FROM results), a AS (SELECT answer_id, claim, max(score) AS s FROM results GROUP BY 1, 2) SELECT answer_id, claim, s AS score, {fx.CONFIDENCE_SQL.format('s')} AS confidence FROM a")
 def v07_merge_results(spark, d):
     """Duplicate claim texts of an answer share one result, here that of the greatest score."""
-    r = fx.results(spark, d).withColumn("claim", F.concat(F.col("answer_id").cast("string"), F.lit("|"), "claim"))
-    claims = r.groupBy("claim").agg(F.min("claim_idx").alias("claim_idx"))
-    level1 = r.select("claim", "score", fx_confidence(F.col("score")).alias("confidence"), F.col("score").alias("ord"))
-    merged = verification.merge_results(claims, level1, level1.limit(0))
-    return merged.select(F.split_part("claim", F.lit("|"), F.lit(1)).cast("long").alias("answer_id"), F.split_part("claim", F.lit("|"), F.lit(2)).alias("claim"), "score", "confidence")
+    r = fx.results(spark, d)
+    claims = r.groupBy("answer_id", "claim").agg(F.min("claim_idx").alias("claim_idx"))
+    level1 = r.select("answer_id", "claim", "score", fx_confidence(F.col("score")).alias("confidence"), F.col("score").alias("ord"))
+    return verification.merge_results(claims, level1, level1.limit(0)).select("answer_id", "claim", "score", "confidence")
 
 
 def fx_confidence(score):

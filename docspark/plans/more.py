@@ -150,7 +150,7 @@ _AROUND = "list_filter([trim(string_split(regexp_replace(before, '([.!?])\\s+',
 
 
 @query(f"""WITH {FORMULA_SQL}, {FOUND_SQL}, a AS (SELECT f.doc_id, place, f.content, text, strpos(text, f.content) AS pos FROM found f JOIN fdocs USING (doc_id)),
-b AS (SELECT *, regexp_replace(substr(text, greatest(1, pos - 300), pos - greatest(1, pos - 300)), '^\s+|\s+$', '', 'g') AS before, regexp_replace(substr(text, pos + length(content), 300), '^\s+|\s+$', '', 'g') AS after FROM a)
+b AS (SELECT *, regexp_replace(substr(text, greatest(1, pos - 300), pos - greatest(1, pos - 300)), '^\\s+|\\s+$', '', 'g') AS before, regexp_replace(substr(text, pos + length(content), 300), '^\\s+|\\s+$', '', 'g') AS after FROM a)
 SELECT doc_id, place, CASE WHEN pos > 0 THEN substr(array_to_string({_AROUND}, ' '), 1, 500) ELSE '' END AS context FROM b""")
 def x08_formula_context(spark, d):
     return extraction.formula_context(extraction.find_formulas(_fdocs(spark, d)), _fdocs(spark, d))
@@ -243,11 +243,32 @@ def k08_route_vision(spark, d):
     return table(spark, d, "part").select("p_partkey", extraction.route_vision(F.concat(F.get(heads, (F.col("p_partkey") % 4).cast("int")), "p_type")).alias("route"))
 
 
-@query(rf"""WITH {fx.CHUNKS_SQL}, t AS (SELECT paragraph_id, chunk_type, trim(text || ' [ab_P1]') AS raw, trim(text) || ' ' AS x, trim(text) AS t FROM chunks)
-SELECT paragraph_id, CASE WHEN length(s) > 300 THEN rtrim(substr(s, 1, 300)) || '...' ELSE s END AS shown FROM (SELECT paragraph_id, CASE WHEN chunk_type = 'figure' AND NOT regexp_matches(t, 'Figure|Fig\.') THEN 'Figure/Image Content' ELSE t END AS s FROM t)""")
+#: What stands around a chunk's text: bracketed metadata, captions, descriptions, rows.
+SHOWN_EDGES = [
+    ("[Title] [Caption: **Cap** of it] ", "\n|---|\n | h | i |\n| 1 | 2 |"), ("", ""), ("This table is from the paper 'A b'. It presents: x. ", "\nmore"), ("[Caption:  ]", ""), ("Figure 3 shows ", "\nno"), ("## head\n", "\n\n## x\nlast"), ("[only metadata]", ""),
+]
+
+
+def _shown_sql() -> str:
+    e, n = extraction, len(SHOWN_EDGES)
+    strip = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    lines = lambda c: f"list_transform(string_split({c}, chr(10)), lambda x: {strip('x')})"
+    header = f"list_filter({lines('t2')}, lambda x: starts_with(x, '|') AND NOT regexp_matches(x, '{e.RULE_ROW}'))[1]"
+    return f"""WITH {fx.CHUNKS_SQL}, raw AS (SELECT paragraph_id, chunk_type, {_sql_list([a for a, _ in SHOWN_EDGES])}[ord % {n} + 1] || CASE WHEN ord % {n} IN (3, 6) THEN '' ELSE text END || {_sql_list([b for _, b in SHOWN_EDGES])}[ord % {n} + 1] || ' [ab_P1]' AS x FROM chunks),
+c AS (SELECT *, {strip("regexp_replace(x, '" + e.CITATION + "', '', 'g')")} AS c FROM raw),
+s AS (SELECT *, {strip("regexp_extract(c, '" + e.CAPTION + "', 1)")} AS caption, {strip("regexp_replace(c, '" + e.METADATA + "', '')")} AS t FROM c), s2 AS (SELECT *, {strip("regexp_replace(t, '" + e.DESCRIPTION.replace("'", "''") + "', '', 'g')")} AS t2 FROM s),
+r AS (SELECT paragraph_id, c, CASE chunk_type WHEN 'text' THEN c WHEN 'table' THEN CASE WHEN caption <> '' THEN caption || coalesce(chr(10) || {header}, '') ELSE {lines("t2")}[1] END
+WHEN 'figure' THEN CASE WHEN caption <> '' THEN regexp_replace(caption, '\\*{{1,3}}(.+?)\\*{{1,3}}', '\\1', 'g') WHEN regexp_matches({lines("t")}[1], 'Figure|Fig\\.') THEN {lines("t")}[1] ELSE 'Figure/Image Content' END
+ELSE array_to_string(list_filter({lines("t")}, lambda x: x <> '' AND NOT starts_with(x, '##'))[1:2], ' ') END AS r FROM s2)
+SELECT paragraph_id, CASE WHEN r = '' THEN c WHEN length(r) > 300 THEN regexp_replace(substr(r, 1, 300), '\\s+$', '') || '...' ELSE r END AS shown FROM r"""
+
+
+@query(_shown_sql())
 def f13_display_source(spark, d):
-    shown = extraction.display_source(F.concat("text", F.lit(" [ab_P1]")), F.col("chunk_type"))
-    return fx.chunks(spark, d).select("paragraph_id", shown.alias("shown"))
+    k, n = (F.col("ord") % len(SHOWN_EDGES)).cast("int"), len(SHOWN_EDGES)
+    edge = lambda i: F.get(F.array(*[F.lit(x[i]) for x in SHOWN_EDGES]), k)
+    text = F.concat(edge(0), F.when(F.col("ord") % n == 3, "").when(F.col("ord") % n == 6, "").otherwise(F.col("text")), edge(1), F.lit(" [ab_P1]"))
+    return fx.chunks(spark, d).select("paragraph_id", extraction.display_source(text, F.col("chunk_type")).alias("shown"))
 
 
 # Answers

@@ -368,6 +368,24 @@ def r18_missing_citations(spark, d):
     return retrieval.missing_citations(v.withColumnRenamed("answer_id", "query_id"), a.withColumnRenamed("answer_id", "query_id"))
 
 
+#: A query's text cites each of its paragraphs by turns: one of its hits, one that is none, one of no paper, one by its short id.
+R18_SQL = (
+    f"{fx.HITS_SQL}, top AS (SELECT * FROM hits WHERE rank <= 5), asked AS (SELECT query_id, string_agg('see [' || CASE rank % 4 WHEN 0 THEN paragraph_id WHEN 1 THEN paragraph_id WHEN 2 THEN '9' || paragraph_id ELSE split_part(paragraph_id, '_', 2) END || '].', ' ' ORDER BY rank) AS text FROM hits GROUP BY query_id)"
+    r", c AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(text, '\[((?:[a-f0-9]{1,8}_)?[PTFE]\d+)\]', 1)) AS cited FROM asked), m AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM top t WHERE t.query_id = c.query_id AND t.paragraph_id = c.cited))"
+    ", p AS (SELECT m.query_id, m.cited, min(d.doc_id) AS paper_id FROM m JOIN documents d ON d.doc_id // 10 = m.query_id AND starts_with(m.cited, substr(CAST(d.doc_id AS VARCHAR), 1, 8)) GROUP BY m.query_id, m.cited)"
+)
+
+
+@query(f"WITH {R18_SQL} SELECT query_id, paper_id, paragraph_id, text, score, FALSE AS added FROM top UNION ALL SELECT p.query_id, p.paper_id, p.cited, k.text, 0.9::DOUBLE, TRUE FROM p JOIN chunks k ON k.paper_id = p.paper_id AND k.paragraph_id = p.cited")
+def r18_add_cited(spark, d):
+    hits, pid = fx.hits(spark, d), F.col("paragraph_id")
+    cites = F.when(F.col("rank") % 4 <= 1, pid).when(F.col("rank") % 4 == 2, F.concat(F.lit("9"), pid)).otherwise(F.split_part(pid, F.lit("_"), F.lit(2)))
+    pieces = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("see ["), cites, F.lit("].")).alias("s")))).alias("p"))
+    texts = pieces.select("query_id", F.array_join(F.transform("p", lambda x: x["s"]), " ").alias("text"))
+    papers = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 10).alias("query_id"), F.col("doc_id").alias("paper_id"), F.col("doc_id").alias("ord"))
+    return retrieval.add_cited(hits.where("rank <= 5"), texts, papers, fx.chunks(spark, d))
+
+
 @query(f"""WITH {fx.HITS_SQL} SELECT query_id, string_agg('[' || split_part(paragraph_id, '_', 2) || ']' || CASE WHEN chunk_type <> 'text' THEN ' [' || upper(chunk_type) || ']' ELSE '' END || ' (Section: ' || section || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM hits GROUP BY query_id""")
 def r19_context_block(spark, d):
     return retrieval.context_block(fx.hits(spark, d))
@@ -571,7 +589,10 @@ def e08_cooldowns(spark, d):
     return library.cooldowns(calls).select("event_id", "provider", F.round("until_s", 3).alias("until_s"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS client, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT client, event_id, t, i, TRUE AS admitted, t AS last_at, NULL::BIGINT AS at_before FROM e WHERE i = 1
+UNION ALL SELECT e.client, e.event_id, e.t, e.i, ok, CASE WHEN ok THEN e.t ELSE last_at END, CASE WHEN ok THEN last_at ELSE at_before END FROM (SELECT e.*, r.last_at, r.at_before, NOT coalesce(r.at_before > e.t - 3600000000, FALSE) AS ok FROM r JOIN e ON e.client = r.client AND e.i = r.i + 1) e)
+SELECT client, event_id, admitted FROM r""")
 def e11_admit(spark, d):
     return library.admit(table(spark, d, "events").select(F.col("user_id").alias("client"), "event_id", "ts"), 2, 3600.0)
 

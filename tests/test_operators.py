@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import duckdb
 import pytest
@@ -115,11 +116,13 @@ def test_string_ratio():
 
 
 def test_merge_and_rerank(spark):
-    claims = spark.createDataFrame([(0, "x"), (1, "y"), (2, "x"), (3, "z")], "claim_idx int, claim string")
-    l1 = spark.createDataFrame([("x", 0.4, "low", 0), ("y", 1.4, "high", 1), ("x", 0.7, "medium", 2)], "claim string, score double, confidence string, ord int")
-    l2 = spark.createDataFrame([("x", 0.8, "medium", 0)], "claim string, score double, confidence string, ord int")
-    rows = {r["claim_idx"]: (r["score"], r["method"]) for r in verification.merge_results(claims, l1, l2).collect()}
-    assert rows == {0: (0.8, "cross_encoder_rerank"), 1: (1.0, "embedding_similarity"), 2: (0.8, "cross_encoder_rerank"), 3: (0.0, "skipped")}
+    claims = spark.createDataFrame([(1, 0, "x"), (1, 1, "y"), (1, 2, "x"), (1, 3, "z"), (2, 0, "x"), (2, 1, "y")], "answer_id int, claim_idx int, claim string")
+    kind = "answer_id int, claim string, score double, confidence string, ord int"
+    l1 = spark.createDataFrame([(1, "x", 0.4, "low", 0), (1, "y", 1.4, "high", 1), (1, "x", 0.7, "medium", 2), (2, "y", 0.3, "low", 0)], kind)
+    l2 = spark.createDataFrame([(1, "x", 0.8, "medium", 0)], kind)
+    rows = {(r["answer_id"], r["claim_idx"]): (r["score"], r["method"]) for r in verification.merge_results(claims, l1, l2).collect()}
+    one = {(1, 0): (0.8, "cross_encoder_rerank"), (1, 1): (1.0, "embedding_similarity"), (1, 2): (0.8, "cross_encoder_rerank"), (1, 3): (0.0, "skipped")}
+    assert rows == one | {(2, 0): (0.0, "skipped"), (2, 1): (0.3, "embedding_similarity")}  # the other answer's score of the same claim is its own
     pairs = spark.createDataFrame([(1, 0, 5.0, 0, "s1"), (1, 0, 1.0, 1, "s2"), (2, 0, 1.5, 0, "s"), (3, 0, -2.0, 0, "s")], "answer_id int, claim_idx int, raw_score double, ord int, source string")
     got = {r["answer_id"]: (r["source"], r["confidence"]) for r in verification.rerank(pairs).collect()}
     assert got == {1: ("s1", "high"), 2: ("s", "medium"), 3: (None, "low")}
@@ -224,6 +227,31 @@ def test_admission_ignores_rejected_calls(spark):
     assert [r["admitted"] for r in got.collect()] == [True, True, False, False, True, False, True]
 
 
+def test_admission_of_a_busy_client_equals_one_pass(spark):
+    rng = random.Random(2)
+    rows, t = [], 0.0
+    for k in range(3000):
+        t += rng.choice([0, 0, 1, 5, 20, 59, 60, 61, 500]) if k % 7 == 0 else rng.random() * 8
+        rows.append((1 if k % 5 else k % 3, k, T0 + dt.timedelta(seconds=round(t, 3))))
+    want, seen = {}, {}
+    for client, k, at in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        seen[client] = [x for x in seen.get(client, []) if x > at - dt.timedelta(seconds=60)]
+        want[k] = len(seen[client]) < 3
+        if want[k]:
+            seen[client].append(at)
+    got = library.admit(spark.createDataFrame(rows, "client long, event_id long, ts timestamp"), 3, 60.0, slice_s=100.0)
+    assert {r["event_id"]: r["admitted"] for r in got.collect()} == want and 0 < sum(want.values()) < 3000
+
+
+def test_cited_chunks_are_added(spark):
+    hits = spark.createDataFrame([(1, "ab", "ab_P1", "t1", 0.5)], "query_id int, paper_id string, paragraph_id string, text string, score double")
+    texts = spark.createDataFrame([(1, "see [ab_P1] and [ab_P2], [ab_P2] [P3] [cd_T1] [ef_P1]")], "query_id int, text string")
+    papers = spark.createDataFrame([(1, "ab", 1), (1, "a", 2), (1, "cd", 3), (2, "ef", 1)], "query_id int, paper_id string, ord int")
+    chunks = spark.createDataFrame([("ab", "ab_P2", "two"), ("a", "ab_P2", "wrong"), ("cd", "cd_P1", "other"), ("ef", "ef_P1", "of another query")], "paper_id string, paragraph_id string, text string")
+    got = sorted((r["paper_id"], r["paragraph_id"], r["text"], r["score"], r["added"]) for r in retrieval.add_cited(hits, texts, papers, chunks).collect())
+    assert got == [("ab", "ab_P1", "t1", 0.5, False), ("ab", "ab_P2", "two", 0.9, True)]
+
+
 def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) and len(__spark_entry__.queries()) > 80
