@@ -11,7 +11,7 @@ way up.  Only what stands at a seam can change, and it is redone in a window tha
   every two neighbours are the encoding of their joint bytes, so a window of tokens around the seam is re-encoded and grows until
   its outer tokens and their outer neighbours form such pairs.
 
-The ids of a match are remembered, at most ``REMEMBERED`` of them a task, since most matches are frequent words.  Decoding goes up the same tree and concatenates bytes.  The proof of the first step holds
+The ids of a match are remembered, of at most twice ``REMEMBERED`` matches a task, since most matches are frequent words.  Decoding goes up the same tree and concatenates bytes.  The proof of the first step holds
 for patterns without look-behind that look at most two characters past a match, as the one of the driver's tables does; ``Encoder`` refuses a pattern with a look-behind.  No tokenizer library
 is called; the tests compare with one.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from docspark.llm.common import computed
 
 #: Characters of a text, and bytes of a match, that are encoded without being halved.
-LEAF, BYTES = 512, 8
+LEAF, BYTES = 512, 16
 #: Long matches are cut at multiples of this, so that the two halves of a run of one character agree in phase and their seam is stable at once.
 EVEN = 192
 REMEMBERED = 200_000
@@ -51,6 +51,7 @@ class Encoder:
             raise ValueError("the seams of a pattern that looks back are not proven")
         self.ranks, self.bytes_of, self.matches = ranks, {n: b for b, n in ranks.items()}, regex.compile(pattern).findall
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         self.written = [str(i) for i in range(max(ranks.values(), default=-1) + 1)]
 
     def merged(self, piece: bytes) -> list[int]:
@@ -122,10 +123,11 @@ class Encoder:
         for match in self.parts(text):
             found = known.get(match)
             if found is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                found = self.tokens(match.encode("utf-8"))
+                found = self.older.get(match) or self.tokens(match.encode("utf-8"))
                 if len(match) <= LONG:
+                    if len(known) >= REMEMBERED:  # what was met since stays at hand, the rest goes
+                        self.older, known = known, {}
+                        self.known = known
                     known[match] = found
             ids += found
         return ids
