@@ -153,7 +153,7 @@ def usage_summary(usage: DataFrame) -> DataFrame:
 
 def over_budget(usage: DataFrame, limits: DataFrame, *, share: float = 0.85) -> DataFrame:
     """Adds within_budget: window tokens, requests and the day's requests stay within ``int(limit * share)``."""
-    joined = usage.join(F.broadcast(limits), "provider")
+    joined = usage.join(limits, "provider")
     cap = lambda c: F.floor(F.col(c) * share)
     return joined.withColumn("within_budget", (F.col("tokens_window") <= cap("tpm")) & (F.col("requests_window") <= cap("rpm")) & (F.col("requests_day") <= cap("rpd")))
 

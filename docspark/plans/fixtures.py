@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder where driver and executors share files: that of ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(folder or tempfile.mkdtemp(prefix='docspark-')).rstrip('/')}/{uuid.uuid4().hex}"
+
+
 #: Word and token counts as the SQL twins write them.
 WORDS_SQL = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> ''))"
 TOKENS_SQL = "greatest(1, CAST(floor(" + WORDS_SQL + " * 1.3::DOUBLE) AS BIGINT))"
