@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm import bpe, fingerprint, html_text, license_scan, line_dedup, media, mixing, neighbours, simhash, toxicity, url_filter
-from docspark.llm.common import table
+from docspark.llm.common import dealt, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = license_scan.scan_licenses(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")))
     base = F.filter("spans", lambda s: s["exact"])
     labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
     starts = F.transform(base, lambda s: s["first_word"].cast("long"))
@@ -46,7 +46,7 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encoding_digests(table(spark, sf_dir, "documents"), path=public_tokenizers.path(RANKS), pattern=public_tokenizers.PATTERN)
+    return bpe.encoding_digests(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), path=public_tokenizers.path(RANKS), pattern=public_tokenizers.PATTERN)
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract_text(table(spark, sf_dir, "pages"))
+    return html_text.extract_text(dealt(table(spark, sf_dir, "pages")))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = toxicity.learn(docs, table(spark, sf_dir, "labels")).score(docs)
+    scored = toxicity.learn(docs, table(spark, sf_dir, "labels")).score(dealt(docs.select("doc_id", "text")))
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -80,7 +80,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes = simhash.simhash_classes(table(spark, sf_dir, "documents"))
+    classes = simhash.simhash_classes(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return classes.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
