@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.operators.answers import split_parts
+
 # What is removed or rewritten before blocks are read, in this order.
 CLEAN = [
     (r"\r\n?", "\n"), (r"(?s)\n\n---\n_?⚠️.*\z", ""), (r"!\[[^\]]*\]\([^)]+\)", ""), (r"```[a-zA-Z0-9_-]*\n?|```", ""), (r"`([^`]+)`", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"(?m)^>\s?", ""), (r"(?m)^[-*_]{3,}\s*$", ""),
     (r"\[[a-f0-9]{8}_[PTFE]\d+\]", ""),
 ]
 CITATION_START = r"^\[(?:[a-f0-9]{1,8}_)?[PTFE]\d+(?:-S\d+)?\]"
+CITATION_ANY = r"\[(?:[a-f0-9]{8}_)?[PFTEpfte]\d+\]"
 SEPARATOR = r"^\|?[\s:]*-{2,}[\s:]*(?:\|[\s:]*-{2,}[\s:]*)+\|?\s*$"
 
 
@@ -59,23 +62,57 @@ def markdown_blocks(docs: DataFrame) -> DataFrame:
     return out.withColumn("block", F.row_number().over(Window.partitionBy("doc_id").orderBy("run")) - 1).drop("run")
 
 
-def blocks_to_text(blocks: DataFrame) -> DataFrame:
-    """One text per document: blocks joined by blank lines, table rows as ``header: cell`` pairs."""
+def labelled_rows() -> Column:
+    """Rows of a table block as ``header: cell`` pairs; a cell beyond the headers is labelled by its column's number."""
+    header = F.get("rows", F.lit(0))
+    label = lambda i: F.coalesce(F.get(header, i), F.concat(F.lit("Column "), (i + 1).cast("string")))
+    pairs = lambda row: F.array_join(F.transform(row, lambda c, i: F.concat(label(i), F.lit(": "), c)), " | ")
+    return F.transform(F.slice("rows", 2, F.greatest(F.lit(0), F.size("rows") - 1)), pairs)
+
+
+def blocks_to_text(blocks: DataFrame, style: str = "plain") -> DataFrame:
+    """One text per document: blocks joined by blank lines, empty ones left out, bullets with a dash.
+
+    Plain: table rows as ``header: cell`` pairs.  Structured: headings of the first two levels in capitals, the header row and rows filled up or cut to its width.
+    """
+    structured = style == "structured"
     header = F.get("rows", F.lit(0))
-    pairs = F.transform(F.slice("rows", 2, 1_000_000), lambda r: F.array_join(F.zip_with(header, r, lambda h, c: F.concat(F.coalesce(h, F.lit("")), F.lit(": "), F.coalesce(c, F.lit("")))), "; "))
-    text = F.when(F.col("kind") == "table", F.array_join(pairs, "\n")).otherwise(F.col("text"))
-    return blocks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", text.alias("t")))), lambda x: x["t"]), "\n\n").alias("text"))
+    filled = lambda row: F.array_join(F.transform(header, lambda h, i: F.coalesce(F.get(row, i), F.lit(""))), " | ")
+    heading = F.when(F.col("level") <= 2, F.upper("text")).otherwise(F.col("text")) if structured else F.col("text")
+    lines = F.when(F.col("kind") == "table", F.transform("rows", filled) if structured else labelled_rows()).otherwise(
+        F.array(F.when(F.col("kind") == "heading", heading).when(F.col("kind") == "bullet", F.concat(F.lit("- "), "text")).otherwise(F.col("text")))
+    )
+    each = F.array_sort(F.collect_list(F.struct("block", lines.alias("t"))))
+    text = F.array_join(F.filter(F.flatten(F.transform(each, lambda x: x["t"])), lambda x: x != ""), "\n\n")
+    return blocks.groupBy("doc_id").agg(F.regexp_replace(text, r"^\s+|\s+$", "").alias("text"))
+
+
+def chat_blocks_table(messages: DataFrame, most: int = 320) -> DataFrame:
+    """chat_id, message, role, kind, order, content: the blocks of every message, numbered ``block.part``; rows of a table as ``header: cell`` pairs, other texts in parts of ``most`` characters."""
+    key = F.struct("chat_id", "message", F.upper(F.coalesce("role", F.lit("user"))).alias("role"))
+    table = F.col("kind") == "table"
+    parts = F.when(table, labelled_rows()).otherwise(split_parts(F.col("text"), most))
+    made = markdown_blocks(messages.select(key.alias("doc_id"), "text"))
+    each = made.select("doc_id.*", F.concat(F.initcap("kind"), F.when(table, " Row").otherwise("")).alias("kind"), "block", F.posexplode(parts).alias("part", "content"))
+    return each.select("chat_id", "message", "role", "kind", F.concat_ws(".", (F.col("block") + 1).cast("string"), (F.col("part") + 1).cast("string")).alias("order"), "content")
+
+
+def comparison_narrative(blocks: DataFrame) -> DataFrame:
+    """doc_id, narrative: what a comparison says beside its tables; a block with a pipe or two tabs is left out."""
+    tabs = F.length(F.regexp_replace("text", r"[^\t]", ""))
+    told = blocks.where((F.col("kind") != "table") & ~F.contains("text", F.lit("|")) & (tabs < 2) & (F.col("text") != ""))
+    return told.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n\n").alias("narrative"))
 
 
 def parse_comparison(blocks: DataFrame, papers: DataFrame) -> DataFrame:
-    """doc_id, row, dimension, paper_id, content, synthesis: the table with most rows (first on ties), unpivoted; missing cells are empty."""
+    """doc_id, row, dimension ("Comparison" if empty), paper_id, content, synthesis: the table with most rows (first on ties), unpivoted; missing cells are empty."""
     size = F.size("rows")
     best = blocks.where("kind = 'table'").groupBy("doc_id").agg(F.max_by("rows", F.struct(size.alias("s"), (-F.col("block")).alias("b"))).alias("rows"))
     rows = best.select("doc_id", F.posexplode(F.slice("rows", 2, 1_000_000)).alias("row", "c"))
     n = papers.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
-    cell = lambda i: F.coalesce(F.replace(F.get("c", i), F.lit("<br>"), F.lit("\n")), F.lit(""))
+    cell = lambda i: F.regexp_replace(F.regexp_replace(F.coalesce(F.get("c", i), F.lit("")), r"<br ?/?>", "\n"), r"^\s+|\s+$", "")
     each = rows.join(n, "doc_id").join(papers.select("doc_id", "paper_id", "place"), "doc_id")
-    return each.select("doc_id", "row", cell(F.lit(0)).alias("dimension"), "paper_id", cell(F.col("place").cast("int")).alias("content"), cell(F.col("n") + 1).alias("synthesis"))
+    return each.select("doc_id", "row", F.coalesce(F.nullif(cell(F.lit(0)), F.lit("")), F.lit("Comparison")).alias("dimension"), "paper_id", cell(F.col("place").cast("int")).alias("content"), cell(F.col("n") + 1).alias("synthesis"))
 
 
 def flatten_citations(messages: DataFrame) -> DataFrame:
@@ -84,9 +121,11 @@ def flatten_citations(messages: DataFrame) -> DataFrame:
     return messages.select("message_id", F.posexplode(F.from_json("results", kind)).alias("item", "r")).select("message_id", "item", "r.*")
 
 
-def paper_fields(papers: DataFrame, fields: list[str]) -> DataFrame:
-    """paper_id, field, content: one row per filled field."""
-    return papers.unpivot("paper_id", fields, "field", "content").where("content is not null and content <> ''")
+def paper_fields(papers: DataFrame, fields: list[str], most: int = 280) -> DataFrame:
+    """paper_id, field, part, content: every field in parts of ``most`` characters; an empty one has one empty part."""
+    each = papers.unpivot("paper_id", fields, "field", "text")
+    parts = each.select("paper_id", "field", F.posexplode(split_parts(F.coalesce("text", F.lit("")), most)).alias("part", "content"))
+    return parts.withColumn("part", F.col("part") + 1)
 
 
 def table_region(captions: DataFrame, images: DataFrame, reach: float = 250.0, margin: float = 30.0) -> DataFrame:
@@ -97,12 +136,28 @@ def table_region(captions: DataFrame, images: DataFrame, reach: float = 250.0, m
     return sides.select("doc_id", "page", "caption", F.when(under, F.col("y0") - margin).otherwise(F.greatest(F.lit(0.0), F.col("y0") - reach)).alias("top"), F.when(under, F.col("y1") + reach).otherwise(F.col("y1") + margin).alias("bottom"))
 
 
-def highlight_items(items: DataFrame, spans: DataFrame, *, least: int = 2, share: float = 0.3) -> DataFrame:
-    """Items of a page that belong to a span's text: contained (4 characters or more, blanks ignored), or at least ``least`` words and ``share`` of them."""
-    joined = items.join(spans.select("doc_id", "page", F.lower("needle").alias("needle")), ["doc_id", "page"])
-    item = F.lower(F.trim("item"))
-    plain = lambda c: F.regexp_replace(c, r"\s+", "")
-    ws = F.array_remove(F.split(item, r"\s+"), "")
-    found = F.size(F.filter(ws, lambda w: F.contains("needle", w)))
-    marked = (F.length(item) >= 4) & F.contains(plain(F.col("needle")), plain(item)) | (found >= least) & (found >= share * F.size(ws))
-    return joined.select("doc_id", "page", "item_idx", marked.alias("marked"))
+def highlight_items(items: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, page, item_idx, marked: items of a page that belong to a span's text; ``spans`` has needle, kind and fallback, a wider text or null.
+
+    Marked: an item with a digit and at most 10 characters that the text has; one that is contained, blanks ignored, from 4 characters on (3 for tables and figures); one with at least two words and 30 % of its words in the text
+    (one and 20 % for tables and figures).  Words of under 3 (2) characters and punctuation do not count.  The fallback is searched in the same way, from 4 characters on.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\w\s]", " "), r"\s+", " "))
+    closed = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    uncited = lambda c: plain(F.regexp_replace(F.coalesce(c, F.lit("")), CITATION_ANY, " "))
+    visual = F.coalesce(F.col("kind"), F.lit("text")).isin("table", "figure")
+    short = F.when(visual, 2).otherwise(3)
+    words = lambda c: F.filter(F.split(c, " "), lambda w: F.length(w) >= F.col("short"))
+    texts = spans.select("doc_id", "page", visual.alias("visual"), short.alias("short"), uncited("needle").alias("needle"), uncited("fallback").alias("wide"))
+    texts = texts.withColumns({"needle_words": words("needle"), "wide_words": words("wide")})
+    joined = items.select("doc_id", "page", "item_idx", "item", plain("item").alias("plain")).join(texts, ["doc_id", "page"]).withColumn("ws", words("plain"))
+
+    def within(text: str, has: str, least: Column) -> Column:
+        found = F.size(F.filter("ws", lambda w: F.array_contains(has, w)))
+        contained = (F.length("plain") >= least) & F.contains(closed(F.col(text)), closed(F.col("plain")))
+        return contained | ((found >= F.when(F.col("visual"), 1).otherwise(2)) & (found / F.size("ws") >= F.when(F.col("visual"), 0.2).otherwise(0.3)))
+
+    number = F.col("item").rlike(r"\d") & (F.length(F.trim("item")) <= 10) & (F.col("plain") != "") & F.contains("needle", "plain")
+    by_words = within("needle", "needle_words", F.when(F.col("visual"), 3).otherwise(4)) | within("wide", "wide_words", F.lit(4))
+    searched = (F.size("needle_words") > 0) | (F.size("wide_words") > 0)
+    return joined.select("doc_id", "page", "item_idx", F.when(searched, number | F.when(F.size("ws") > 0, by_words).otherwise(False)).otherwise(False).alias("marked"))

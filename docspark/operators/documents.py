@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions.text import CITATION, confidence
+from docspark.operators.blocks import SEPARATOR, cells, flat
+from docspark.operators.extraction import SECTIONS
 from docspark.operators.verification import cited_ids
 
 # Headings that are no titles, and phrases of templates.
@@ -17,7 +19,11 @@ SKIP = "abstract,introduction,references,contents,related work,related works,bac
 TEMPLATES = [
     r"paper\s+title", r"use\s+style", r"enter\s+(?:the\s+)?title", r"your\s+title\s+here", r"insert\s+title", r"title\s+of\s+(?:the\s+)?(?:paper|manuscript|article)", r"manuscript\s+title", r"^untitled", r"sample\s+(?:paper|article|manuscript)", r"template",
 ]
-ERRORS = ["i encountered an error", "something went wrong", "please try again", "unable to generate"]
+# Parts of answers that only say that there is none, headings and first words of comparisons, and words that head the columns of a table.
+ERRORS = ["i apologize, but i was unable", "this information is not available in the", "could not find relevant information", "unable to generate a verified response"]
+COMPARISON_PARTS = ["research problem and motivation", "methodology and approach", "key findings and results", "datasets used", "limitations acknowledged"]
+COMPARISON_INTRO = r"structured comparison of the (?:three|3) academic papers|paper comparison"
+HEADER_TERMS = ["model", "method", "dimension", "dataset", "metric", "language", "generation", "speed", "efficiency", "modality", "paper"]
 
 
 def normal_form(c: Column, form: str = "NFKC") -> Column:
@@ -68,17 +74,38 @@ def figure_captions(docs: DataFrame) -> DataFrame:
     return images.select("doc_id", "place", "path", F.coalesce(caption(after), caption(before), F.lit("")).alias("caption"))
 
 
+def captioned_figures(figures: DataFrame, blocks: DataFrame) -> DataFrame:
+    """doc_id, page, figure_idx, number, caption, box of the caption: the first "Figure n" block from 10 above to 50 below a figure's lower edge, or 50 above to 10 below its upper one; else a made-up caption under it.
+
+    The number is the first one in the caption.  Only blocks of a page that start like a caption meet its figures.
+    """
+    texts = blocks.where(F.col("text").rlike(r"(?i)^\s*(?:figure|fig\.?)\s*\d+")).select("doc_id", "page", "block_idx", F.trim("text").alias("caption"), F.struct("x0", "y0", "x1", "y1").alias("box"))
+    near = F.col("box.y0").between(F.col("y1") - 10, F.col("y1") + 50) | F.col("box.y1").between(F.col("y0") - 50, F.col("y0") + 10)
+    found = figures.join(texts, ["doc_id", "page"]).where(near).groupBy("doc_id", "page", "figure_idx").agg(F.min_by(F.struct("caption", "box"), "block_idx").alias("c"))
+    joined = figures.join(found, ["doc_id", "page", "figure_idx"], "left")
+    under = F.struct(F.col("x0"), (F.col("y1") + 5).alias("y0"), F.col("x1"), (F.col("y1") + 35).alias("y1"))
+    caption = F.coalesce("c.caption", F.concat(F.lit("Figure on page "), F.col("page").cast("string")))
+    number = F.coalesce(F.nullif(F.regexp_extract(caption, r"\d+", 0), F.lit("")).cast("long"), F.lit(1))
+    return joined.select("doc_id", "page", "figure_idx", number.alias("number"), caption.alias("caption"), F.coalesce("c.box", under).alias("box"))
+
+
 def figure_references(words: DataFrame, figures: DataFrame) -> DataFrame:
-    """doc_id, page, figure, places: words of a page that name a captioned figure of that page."""
-    number = F.regexp_extract("text", r"(?i)fig(?:ure|\.)?\s*(\d+)", 1)
-    named = words.select("doc_id", "page", "word_idx", F.when(number != "", number.cast("int")).alias("figure")).where("figure is not null")
-    return named.join(figures.select("doc_id", "page", "figure"), ["doc_id", "page", "figure"]).groupBy("doc_id", "page", "figure").agg(F.count("*").alias("n"), F.min("word_idx").alias("first"))
+    """Adds ``places`` to ``captioned_figures``: word_idx, text and box of the words of its page that name the figure."""
+    number = F.regexp_extract("text", r"^(?i)(?:fig\.|figure)\s*(\d+)\b", 1)
+    named = words.withColumn("number", F.nullif(number, F.lit("")).cast("long")).where("number is not null")
+    places = named.groupBy("doc_id", "page", "number").agg(F.array_sort(F.collect_list(F.struct("word_idx", "text", "x0", "y0", "x1", "y1"))).alias("places"))
+    return figures.join(places, ["doc_id", "page", "number"], "left")
 
 
 def sections_from_boxes(headings: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, order, title, content between consecutive headings of layout boxes, if at least two are found; a heading is searched from the one before on, else from the start."""
-    cleaned = F.trim(F.regexp_replace(F.regexp_replace("raw", r"^#+\s*|\*", ""), r"^\d+(?:\.\d+)*\.?\s+", ""))
-    ordered = headings.withColumn("title", cleaned).where("title <> ''").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "title"))).alias("hs"))
+    """doc_id, order, title, content between consecutive headings of layout boxes, if at least two are found; a heading is searched from the one before on, else from the start.
+
+    Marks and numbers are cut from headings; persons' names and headings of one character are none; a section without content is left out.
+    """
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    cleaned = strip(F.regexp_replace(strip(F.regexp_replace(F.regexp_replace(strip(F.col("raw")), r"^#+\s*", ""), r"^\*+|\*+$", "")), r"^\d+(?:\.\d+)*[.)\s]+", ""))
+    person = F.col("title").rlike(r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,4}$") & ~F.lower("title").isin(SECTIONS) & ~F.col("title").rlike(r"^(?:[IVXLC]+|[A-Z])[\s.)]+")
+    ordered = headings.withColumn("title", cleaned).where((F.length("title") >= 2) & ~person).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "title"))).alias("hs"))
     joined = ordered.join(docs.select("doc_id", "text"), "doc_id")
     kind = "array<struct<at:int,title:string>>"
     start = F.struct(F.array().cast(kind).alias("out"), F.lit(1).alias("from"))
@@ -87,13 +114,14 @@ def sections_from_boxes(headings: DataFrame, docs: DataFrame) -> DataFrame:
         here = F.call_function("locate", h["title"], F.col("text"), acc["from"])
         at = F.when(here > 0, here).otherwise(F.call_function("locate", h["title"], F.col("text")))
         item = F.struct(at.alias("at"), h["title"].alias("title"))
-        return F.struct(F.when(at > 0, F.array_append(acc["out"], item)).otherwise(acc["out"]).alias("out"), F.when(at > 0, at + F.length(h["title"])).otherwise(acc["from"]).alias("from"))
+        return F.struct(F.when(at > 0, F.array_append(acc["out"], item)).otherwise(acc["out"]).alias("out"), F.when(at > 0, at).otherwise(acc["from"]).alias("from"))
 
     found = joined.withColumn("found", F.array_sort(F.aggregate("hs", start, step, lambda a: a["out"]))).where(F.size("found") >= 2)
     each = found.select("doc_id", "text", "found", F.posexplode("found").alias("order", "h"))
     begin = F.col("h.at") + F.length("h.title")
     end = F.coalesce(F.get("found", F.col("order") + 1)["at"], F.length("text") + 1)
-    return each.select("doc_id", "order", F.col("h.title").alias("title"), F.trim(F.substring(F.col("text"), begin, F.greatest(F.lit(0), end - begin))).alias("content"))
+    content = strip(F.substring(F.col("text"), begin, F.greatest(F.lit(0), end - begin)))
+    return each.select("doc_id", "order", F.col("h.title").alias("title"), content.alias("content")).where("content <> ''")
 
 
 def correct_citations(results: DataFrame, sources: DataFrame, *, scorer: Callable[[Column, Column], Column]) -> DataFrame:
@@ -138,13 +166,20 @@ def cited_assets(items: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def drop_low_value_messages(messages: DataFrame) -> DataFrame:
-    """Without assistant messages that are errors, empty but for a disclaimer, or comparisons of paper 1 and paper 2 in at least three marked parts."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    body = F.trim(F.regexp_replace(low, r"(?s)\n\n---\n_?⚠️.*\z", ""))
-    marks = sum(F.contains(low, F.lit(m)).cast("int") for m in ("dimension", "synthesis", "similarities", "differences", "comparison"))
-    error = (body == "") | F.exists(F.array(*[F.lit(e) for e in ERRORS]), lambda e: F.contains(body, e))
-    comparison = (marks >= 3) & low.contains("paper 1") & low.contains("paper 2")
-    return messages.where(~((F.lower("role") == "assistant") & (error | comparison)))
+    """Without assistant messages that are errors, empty but for a disclaimer, or comparisons: by their first words, by a table of dimensions, papers and a synthesis, or by three of five headings with paper 1 and paper 2."""
+    text = F.coalesce("text", F.lit(""))
+    low = flat(F.lower(text))
+    body = F.trim(F.regexp_replace(F.lower(text), r"(?s)\n\n---\n_?⚠️.*\z", ""))
+    has = lambda c, values: F.exists(F.array(*[F.lit(v) for v in values]), lambda v: F.contains(c, v))
+    error = (F.regexp_replace(body, r"\s", "") == "") | has(body, ERRORS)
+    headers = lambda line: F.transform(cells(line), flat)
+    compared = lambda h: (F.get(h, F.lit(0)) == "dimension") & F.array_contains(h, "synthesis") & F.exists(F.slice(h, 2, F.greatest(F.lit(0), F.size(h) - 1)), lambda c: c.startswith("paper 1"))
+    lines = F.split(F.lower(text), "\n")
+    nexts = F.slice(lines, 2, F.greatest(F.lit(0), F.size(lines) - 1))
+    table = F.exists(F.zip_with(lines, nexts, lambda a, b: F.contains(a, F.lit("|")) & F.trim(b).rlike(SEPARATOR) & compared(headers(a))), lambda x: x)
+    marks = F.size(F.filter(F.array(*[F.lit(m) for m in COMPARISON_PARTS]), lambda m: F.contains(low, m)))
+    comparison = (F.trim(text) != "") & (low.rlike(COMPARISON_INTRO) | table | ((marks >= 3) & low.contains("paper 1") & low.contains("paper 2")))
+    return messages.where(~((F.lower(F.coalesce("role", F.lit(""))) == "assistant") & (error | comparison)))
 
 
 def needs_paragraph_fallback(spans: DataFrame, pages: DataFrame, least: float = 0.4) -> DataFrame:
@@ -156,12 +191,30 @@ def needs_paragraph_fallback(spans: DataFrame, pages: DataFrame, least: float =
 
 
 def locate_caption(captions: DataFrame, blocks: DataFrame) -> DataFrame:
-    """caption_id, page, block: where a caption stands: its page, the one before, the one after, then others; whole, then its first 12 characters."""
-    pairs = captions.select("doc_id", "caption_id", F.col("page").alias("want"), F.lower("caption").alias("c")).join(blocks.select("doc_id", F.col("page"), "block", F.lower("text").alias("t")), "doc_id")
-    rule = F.when(F.contains("t", "c"), 0).when(F.contains(F.col("t"), F.substring("c", 1, 12)), 1)
+    """caption_id, page, rule, x0, y0, x1, y1: where a caption stands: on its page, else the one before, the one after, the others in order.
+
+    On a page: the first block with the whole caption (rule 0), its first 12 characters (1), "Table n" (2) or "Tab. n" (3), else the box round all blocks that hold keywords of 3 characters or more, if these occur at least twice (4).
+    ``captions`` has doc_id, caption_id, page, caption, number, keywords; ``blocks`` doc_id, page, block, text and a box.
+    """
+    clean = lambda c: F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, r"[*|]", ""), r"\s+", " ")))
+    keywords = F.filter(F.transform("keywords", lambda k: F.lower(F.trim(F.regexp_replace(k, r"[*|]", "")))), lambda k: F.length(k) >= 3)
+    wanted = captions.select("doc_id", "caption_id", F.col("page").alias("want"), clean("caption").alias("c"), F.col("number").cast("string").alias("no"), keywords.alias("ks"))
+    pairs = wanted.join(blocks.select("doc_id", "page", "block", F.lower("text").alias("t"), "x0", "y0", "x1", "y1"), "doc_id")
+    numbered = lambda prefix: F.coalesce(F.contains("t", F.concat(F.lit(prefix), "no")), F.lit(False))
+    whole = F.coalesce((F.col("c") != "") & F.contains("t", "c"), F.lit(False))
+    begins = F.coalesce((F.length("c") > 12) & F.contains("t", F.substring("c", 1, 12)), F.lit(False))
+    rule = F.when(whole, 0).when(begins, 1).when(numbered("table "), 2).when(numbered("tab. "), 3)
+    times = lambda k: F.floor((F.length("t") - F.length(F.replace(F.col("t"), k, F.lit("")))) / F.length(k))
+    hits = F.coalesce(F.aggregate("ks", F.lit(0).cast("long"), lambda a, k: a + times(k)), F.lit(0))
+    found = pairs.withColumns({"rule": rule, "hits": hits}).where("rule is not null or hits > 0")
+    box = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    held = lambda f, c: f(F.when(F.col("hits") > 0, F.col(c))).alias(c)
+    pages = found.groupBy("caption_id", "want", "page").agg(F.min(F.when(F.col("rule").isNotNull(), F.struct("rule", "block", *box))).alias("first"), F.sum("hits").alias("n"), held(F.min, "x0"), held(F.min, "y0"), held(F.max, "x1"), held(F.max, "y1"))
     away = F.col("page") - F.col("want")
     near = F.when(away == 0, 0).when(away == -1, 1).when(away == 1, 2).otherwise(3)
-    return pairs.where(rule.isNotNull()).groupBy("caption_id").agg(F.min(F.struct(near.alias("near"), F.col("page"), rule.alias("rule"), "block")).alias("b")).select("caption_id", "b.page", "b.block")
+    either = F.when(F.col("first").isNotNull(), F.struct("first.rule", "first.x0", "first.y0", "first.x1", "first.y1")).when(F.col("n") >= 2, F.struct(F.lit(4).alias("rule"), *box))
+    best = pages.withColumn("b", either).where("b is not null").groupBy("caption_id").agg(F.min_by(F.struct("page", "b"), F.struct(near, "page")).alias("m"))
+    return best.select("caption_id", "m.page", "m.b.*")
 
 
 def formula_chunk(title: Column, page: Column, kind: Column, number: Column, context: Column, content: Column) -> tuple[Column, Column]:
@@ -217,13 +270,25 @@ def latin1(c: Column) -> Column:
 
 
 def pipe_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, row, cells: pipe lines of the width that the separator line has; other widths are dropped, the separator too."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).where(F.trim("line").startswith("|"))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
-    typed = lines.select("doc_id", "n", cells.alias("cells"), F.trim("line").rlike(r"^\|[\s\-:|]+\|?$").alias("sep"))
-    width = F.max(F.when(F.col("sep"), F.size("cells"))).over(Window.partitionBy("doc_id"))
-    kept = typed.withColumn("w", F.coalesce(width, F.size("cells"))).where(~F.col("sep") & (F.size("cells") == F.col("w")))
-    return kept.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("n")) - 1).alias("row"), "cells")
+    """doc_id, row, header, cells of the pipe lines of a text, by the widest separator line; empty cells do not count.
+
+    A line of more cells is cut into rows of that width, what is left over and lines of fewer cells are dropped.  The first row is the header if half of its cells, two at least, name something that heads tables and other rows
+    follow; else the columns are "Model", "Column 2" and so on.
+    """
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("line", F.trim("line")).where(F.contains("line", F.lit("|")))
+    parts = F.filter(F.transform(F.split(F.regexp_replace("line", r"^\|+|\|+$", ""), r"\|"), lambda x: F.trim(F.regexp_replace(flat(x), r"<br>|\n", " "))), lambda x: x != "")
+    typed = lines.select("doc_id", "n", parts.alias("cells"), F.col("line").rlike(SEPARATOR).alias("sep"))
+    doc = Window.partitionBy("doc_id")
+    width = F.coalesce(F.max(F.when(F.col("sep"), F.size("cells"))).over(doc), F.lit(0))
+    kept = typed.withColumn("w", width).where(~F.col("sep") & (F.size("cells") > 0) & (F.size("cells") >= F.col("w")))
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.size("cells") / F.col("w")).cast("int") - 1), lambda i: F.slice("cells", i * F.col("w") + 1, F.col("w")))
+    rows = kept.select("doc_id", "n", F.posexplode(F.when(F.col("w") > 0, cut).otherwise(F.array("cells"))).alias("part", "cells"))
+    numbered = rows.withColumns({"row": F.row_number().over(doc.orderBy("n", "part")) - 1, "first": F.first("cells").over(doc.orderBy("n", "part")), "total": F.count("*").over(doc)})
+    hits = F.size(F.filter("first", lambda c: F.exists(F.array(*[F.lit(t) for t in HEADER_TERMS]), lambda t: F.contains(F.lower(c), t))))
+    headed = (F.col("total") > 1) & (hits >= F.greatest(F.lit(2), F.floor(F.size("first") / 2)))
+    names = F.transform("first", lambda c, i: F.when(i == 0, "Model").otherwise(F.concat(F.lit("Column "), (i + 1).cast("string"))))
+    out = numbered.withColumn("headed", headed).where(~F.col("headed") | (F.col("row") > 0))
+    return out.select("doc_id", (F.col("row") - F.col("headed").cast("int")).alias("row"), F.when(F.col("headed"), F.col("first")).otherwise(names).alias("header"), "cells")
 
 
 def formula_boxes(boxes: DataFrame, number_width: float = 30.0) -> DataFrame:

@@ -74,25 +74,82 @@ def split_sections(lines: DataFrame) -> DataFrame:
     return out.select("doc_id", F.when(whole, 0).otherwise(F.col("section") - 1).cast("long").alias("order"), F.when(whole, "Full Document").otherwise(F.col("title")).alias("title"), F.when(whole, 1).otherwise(F.col("level")).alias("level"), "content")
 
 
-def table_islands(lines: DataFrame, least: int = 2) -> DataFrame:
-    """doc_id, first_line, n_lines, cols: runs of consecutive pipe lines with enough rows and columns."""
-    piped = lines.where(F.trim("text").rlike(r"^\|.*\|$"))
-    island = F.col("line_no") - F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
-    data = ~F.trim("text").rlike(r"^\|[\s\-:|]+\|$")
-    runs = piped.withColumn("island", island).groupBy("doc_id", "island").agg(
-        F.min("line_no").alias("first_line"), F.count("*").alias("n_lines"), F.count_if(data).alias("rows"), (F.regexp_count(F.min_by("text", "line_no"), F.lit(r"\|")) - 1).cast("long").alias("cols")
+# What a cell may hold without being text, what a table of signs is made of, and captions of tables.
+NO_TEXT = r"[\s✓✗×☑☐●○◯■□▪▫\-–—<>br/]"
+ONLY_SIGNS = r"^[\s✓✗×☑☐●○◯■□▪▫\-–—|,.\d<>br/]+$"
+TABLE_CAPTION = r"(?i)table\s+(\d+)[.:]?\s*(.*)"
+SEPARATOR_ROW = r"^\|[\s\-:|]+\|$"
+
+
+def data_rows(lines: Column) -> Column:
+    return F.filter(lines, lambda x: ~F.trim(x).rlike(SEPARATOR_ROW))
+
+
+def columns_of(rows: Column) -> Column:
+    """Number of columns by the pipes of the first row, at least 1."""
+    return F.greatest(F.lit(1), F.regexp_count(F.get(rows, F.lit(0)), F.lit(r"\|")) - 1)
+
+
+def has_content(rows: Column, share: float = 0.15) -> Column:
+    """Rows of which at least ``share`` of the cells hold more than one character of text, and which are not signs and digits only."""
+    inner = lambda row: F.transform(F.slice(row, 2, F.greatest(F.lit(0), F.size(row) - 2)), lambda c: F.trim(c))
+    cells = F.flatten(F.transform(F.transform(rows, lambda r: F.split(r, r"\|")), inner))
+    filled = lambda a: F.size(F.filter(a, lambda c: F.length(F.regexp_replace(c, NO_TEXT, "")) > 1))
+    return let(cells, lambda a: (F.size(a) > 0) & (filled(a) >= share * F.size(a)) & ~F.array_join(a, " ").rlike(ONLY_SIGNS))
+
+
+def extract_md_tables(lines: DataFrame) -> DataFrame:
+    """doc_id, number, first_line, rows, cols, caption, content: runs of at least two pipe lines with two rows and columns or more and with content.
+
+    The caption is the nearest "Table n" in the last five lines before the table, blank ones at the end not counted, and at most 300 characters away; else the table's number in its document.
+    """
+    doc = Window.partitionBy("doc_id").orderBy("line_no")
+    before = doc.rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.select("doc_id", "line_no", "text", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).alias("start"))
+    named = F.concat(F.lit("Table "), F.regexp_extract("text", TABLE_CAPTION, 1), F.lit(": "), F.trim(F.regexp_extract("text", TABLE_CAPTION, 2)))
+    at = F.col("start") + F.regexp_instr("text", F.lit(TABLE_CAPTION)) - 1
+    caption = F.when(F.col("text").rlike(TABLE_CAPTION), F.struct("line_no", at.alias("at"), F.regexp_replace(named, r"[:\s]+$", "").alias("text")))
+    filled = F.when(F.trim("text") != "", F.col("line_no"))
+    seen = placed.withColumns({"caption": caption, "filled": filled}).withColumns({"caption": F.last("caption", True).over(before), "filled": F.last("filled", True).over(before)})
+    piped = seen.where(F.col("text").rlike(r"^\|.+\|[ \t]*$")).withColumn("island", F.col("line_no") - F.row_number().over(doc))
+    runs = piped.groupBy("doc_id", "island").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]).alias("lines"), F.min("line_no").alias("first_line"), F.min("start").alias("start"), F.min_by("caption", "line_no").alias("c"), F.min_by("filled", "line_no").alias("filled")
     )
-    return runs.where(F.col("n_lines") >= least).where((F.col("rows") >= 2) & (F.col("cols") >= 2)).drop("island")
+    sized = runs.withColumn("data", data_rows(F.col("lines"))).withColumns({"rows": F.size("data"), "cols": columns_of(F.col("data"))})
+    kept = sized.where((F.size("lines") >= 2) & (F.col("rows") >= 2) & (F.col("cols") >= 2) & has_content(F.col("data")))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("first_line"))
+    near = (F.col("c.line_no") > F.col("filled") - 5) & (F.col("start") - F.col("c.at") <= 300)
+    text = F.when(near, F.col("c.text")).otherwise(F.concat(F.lit("Table "), F.col("number").cast("string")))
+    return kept.withColumn("number", number).select("doc_id", "number", "first_line", "rows", "cols", text.alias("caption"), F.trim(F.array_join("lines", "\n")).alias("content"))
 
 
-def tables_from_boxes(boxes: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc_id, number, page, content of layout boxes of tables: the piece of the page text that a box spans, if it has at least two rows of data and two columns; numbered by page and place."""
+def tables_from_boxes(boxes: DataFrame, pages: DataFrame, others: DataFrame) -> DataFrame:
+    """doc_id, number, page, content of tables: the piece of the page text that a layout box of a table spans, and ``others`` (doc_id, page, source, ord, content), such as tables of the text or of a raw parser.
+
+    All must have 10 characters, two rows of data, two columns and content; they are numbered by page, boxes first, then by source and place.
+    """
     joined = boxes.where("kind = 'table'").join(pages, ["doc_id", "page"])
-    content = F.trim(F.substring(F.col("text"), F.col("pos_start") + 1, F.col("pos_end") - F.col("pos_start")))
-    lines = F.filter(F.transform(F.split(content, "\n"), lambda x: F.trim(x)), lambda x: x.startswith("|") & ~x.rlike(r"^\|[\s\-:|]+\|?$"))
-    cols = F.regexp_count(F.try_element_at(lines, F.lit(1)), F.lit(r"\|")) - 1
-    kept = joined.where((F.size(lines) >= 2) & (cols >= 2)).select("doc_id", "page", "pos_start", content.alias("content"))
-    return kept.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "pos_start")).alias("number"), "page", "content")
+    content = F.substring(F.col("text"), F.col("pos_start") + 1, F.col("pos_end") - F.col("pos_start"))
+    spanned = joined.select("doc_id", "page", F.lit(0).alias("source"), F.col("pos_start").cast("long").alias("ord"), content.alias("content"))
+    every = spanned.unionByName(others.select("doc_id", "page", "source", F.col("ord").cast("long").alias("ord"), "content")).withColumn("content", F.regexp_replace("content", r"^\s+|\s+$", ""))
+    rows = data_rows(F.filter(F.split("content", "\n"), lambda x: F.trim(x) != ""))
+    kept = every.withColumn("data", rows).where((F.length("content") >= 10) & (F.size("data") >= 2) & (columns_of(F.col("data")) >= 2) & has_content(F.col("data")))
+    return kept.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "source", "ord")).alias("number"), "page", "content")
+
+
+def merge_tables(texts: DataFrame, natives: DataFrame) -> DataFrame:
+    """doc_id, number, page, y0, content of the tables of two readers (doc_id, ord, page, y0, content; y0 is null without a box), each once by its first 200 characters.
+
+    The first counts, those of the text before the native ones; the first native one with a box replaces one without.  Numbers go by page and y0 (0 without a box), then by the place of the first.
+    """
+    key = F.trim(F.substring("content", 1, 200))
+    columns = ["ord", "page", "y0", "content"]
+    first = texts.groupBy("doc_id", key.alias("key")).agg(F.min_by(F.struct(*columns), "ord").alias("r")).select("doc_id", "key", "r.*", F.lit(0).alias("source"))
+    both = first.unionByName(natives.select("doc_id", key.alias("key"), *columns, F.lit(1).alias("source")))
+    place = F.struct("source", "ord")
+    merged = both.groupBy("doc_id", "key").agg(F.min_by(F.struct("page", "y0", "content"), F.struct(F.col("y0").isNull(), place)).alias("t"), F.min(place).alias("place")).select("doc_id", "t.*", "place")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", F.coalesce("y0", F.lit(0.0)), "place"))
+    return merged.select("doc_id", number.alias("number"), "page", "y0", "content")
 
 
 def row_boxes(cells: DataFrame) -> DataFrame:
@@ -192,13 +249,32 @@ def overlap_join(a: DataFrame, b: DataFrame, share: float = 0.3) -> DataFrame:
     return x.join(y, ["doc_id", "page"]).where((wide > 0) & (high > 0) & (wide * high > share * area)).groupBy("doc_id", "page", "a_idx").agg(F.min("b_idx").alias("b_idx"))
 
 
-def group_words(words: DataFrame, gap: float = 100.0) -> DataFrame:
-    """Words of a row, sorted by x, joined into one name while the gap to the word before is less than ``gap``."""
+# Single words that are companies, and marks of an affiliation.
+COMPANY = r"(?i)^(?:apple|google|meta|openai|microsoft|amazon|nvidia|deepmind|anthropic|ibm|intel|adobe|samsung|huawei)$"
+AFFILIATION = r"(?i)university|institute|department|school|college|lab|center|centre|faculty|hospital|inc\.|corp\.|ltd\.|@|\.edu|\.ac\.|\.org"
+WORD_NOISE = [(r"[\w.+-]+@[\w-]+\.[\w.]+", ""), (r"[\d†‡§¶∗◦·•\[\]{}<>]", ""), (r"\*+[a-zA-Z]?", "")]
+
+
+def group_words(words: DataFrame, gap: float = 100.0, height: float = 50.0) -> DataFrame:
+    """doc_id, row, name_idx, name: words by rows, then joined into one name while the gap to the word before is less than ``gap``.
+
+    A row holds what lies within ``height`` of the vertical middle of its first word; the tops of the rows of a page are found in one pass over its middles.  Marks, digits and addresses are cut from words;
+    names under 3 characters, companies and affiliations are left out.  ``words`` has doc_id, word_idx, x0, x1, y0, y1, text.
+    """
+    middle = ((F.col("y0") + F.col("y1")) / 2).alias("middle")
+    clean = F.col("text")
+    for pattern, to in WORD_NOISE:
+        clean = F.regexp_replace(clean, pattern, to)
+    each = words.select("doc_id", "word_idx", "x0", "x1", middle, F.trim(clean).alias("text"))
+    tops = F.aggregate(F.array_sort(F.collect_set("middle")), F.array().cast("array<double>"), lambda rows, y: F.when((F.size(rows) > 0) & (y - F.element_at(rows, -1) <= height), rows).otherwise(F.array_append(rows, y)))
+    rows = each.groupBy("doc_id").agg(tops.alias("tops"))
+    placed = each.join(rows, "doc_id").withColumn("row", F.size(F.filter("tops", lambda t: t <= F.col("middle"))) - 1)
     w = Window.partitionBy("doc_id", "row").orderBy("x0", "word_idx")
     new = F.coalesce((F.col("x0") - F.lag("x1").over(w) >= gap).cast("int"), F.lit(1))
-    grouped = words.withColumn("new", new).withColumn("name_idx", F.sum("new").over(w))
-    name = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_idx", "text"))), lambda s: s["text"]), " ")
-    return grouped.groupBy("doc_id", "row", "name_idx").agg(name.alias("name")).where(F.length("name") >= 3)
+    grouped = placed.withColumn("new", new).withColumn("name_idx", F.sum("new").over(w))
+    name = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_idx", "text"))), lambda s: s["text"]), lambda t: t != ""), " ")
+    named = grouped.groupBy("doc_id", "row", "name_idx").agg(name.alias("name"))
+    return named.where((F.length("name") >= 3) & ~F.col("name").rlike(COMPANY) & ~F.col("name").rlike(AFFILIATION))
 
 
 def parse_vision_text(raw: Column) -> tuple[Column, Column]:

@@ -109,10 +109,18 @@ def latest_status(events: DataFrame) -> DataFrame:
     return events.groupBy("paper_id").agg(F.max_by(F.struct("progress", "event_type"), F.struct("ts", "event_id")).alias("l")).select("paper_id", "l.progress", "l.event_type")
 
 
-def batch_complete(events: DataFrame) -> DataFrame:
-    """Per batch: papers, how many completed or failed, and whether all are terminal, whatever the case of the status."""
-    last = events.groupBy("batch_id", "paper_id").agg(F.max_by(F.lower("status"), F.struct("ts", "event_id")).alias("s"))
-    return last.groupBy("batch_id").agg(F.count("*").alias("total"), F.count_if(F.col("s") == "completed").alias("completed"), F.count_if(F.col("s") == "failed").alias("failed"), F.every(F.col("s").isin("completed", "failed")).alias("done"))
+def batch_complete(events: DataFrame, batches: DataFrame, timeout_s: float = 600.0, grace_s: float = 60.0) -> DataFrame:
+    """Per batch: papers, how many completed, how many did not (both 0 while it is open), whether all are terminal, whatever the case of the status, and whether its time is up.
+
+    ``batches`` has batch_id, paper_id and started.  Only what happened up to ``timeout_s + grace_s`` after the start counts; papers without an event do not hold a batch up, and count as not completed.
+    """
+    deadline = _seconds(F.col("started")) + timeout_s + grace_s
+    timely = events.join(batches.select("batch_id", "paper_id", deadline.alias("_deadline")), ["batch_id", "paper_id"]).where(_seconds(F.col("ts")) <= F.col("_deadline"))
+    last = timely.groupBy("batch_id", "paper_id").agg(F.max_by(F.lower("status"), F.struct("ts", "event_id")).alias("s"))
+    papers = batches.select("batch_id", "paper_id").distinct().join(last, ["batch_id", "paper_id"], "left")
+    done = F.every(F.col("s").isNull() | F.col("s").isin("completed", "failed"))
+    counted = papers.groupBy("batch_id").agg(F.count("*").alias("total"), F.count_if(F.col("s") == "completed").alias("n"), done.alias("done"))
+    return counted.select("batch_id", "total", F.when(F.col("done"), F.col("n")).otherwise(0).alias("completed"), F.when(F.col("done"), F.col("total") - F.col("n")).otherwise(0).alias("failed"), "done", (~F.col("done")).alias("timed_out"))
 
 
 def sessions_recent(sessions: DataFrame, key: str, last: str) -> DataFrame:
@@ -145,10 +153,21 @@ def rolling_usage(calls: DataFrame, *, window_s: float = 60.0, day_s: float = 86
     return out
 
 
-def usage_summary(usage: DataFrame) -> DataFrame:
-    """Tokens and requests of each provider at its last call."""
-    last = F.max_by(F.struct("tokens_window", "requests_window", "requests_day"), F.struct("ts", "event_id"))
-    return usage.groupBy("provider").agg(last.alias("l")).select("provider", F.col("l.tokens_window").alias("tokens"), F.col("l.requests_window").alias("requests"), F.col("l.requests_day").alias("day"))
+def usage_summary(usage: DataFrame, limits: DataFrame, waits: DataFrame) -> DataFrame:
+    """Tokens, requests and requests of the day of each provider at its last call, their maxima (0 without a limit; the day is null without one), and the whole seconds of cooldown left then.
+
+    ``limits`` has provider, tpm, rpm, rpd; ``waits`` has provider and until_s, in seconds since 1970.
+    """
+    last = F.max_by(F.struct("ts", "tokens_window", "requests_window", "requests_day"), F.struct("ts", "event_id"))
+    current = usage.groupBy("provider").agg(last.alias("l"))
+    joined = current.join(limits, "provider", "left").join(waits.groupBy("provider").agg(F.max("until_s").alias("until_s")), "provider", "left")
+    daily = F.when(F.coalesce("rpd", F.lit(0)) > 0, F.col("l.requests_day"))
+    left = F.coalesce(F.greatest(F.lit(0.0), F.col("until_s") - _seconds(F.col("l.ts"))), F.lit(0.0)).cast("long")
+    most = lambda c: F.coalesce(c, F.lit(0))
+    return joined.select(
+        "provider", F.col("l.tokens_window").alias("tokens"), most("tpm").alias("max_tokens"), F.col("l.requests_window").alias("requests"), most("rpm").alias("max_requests"), daily.alias("day"),
+        F.nullif(F.col("rpd"), F.lit(0)).alias("max_day"), left.alias("cooldown_s"),
+    )
 
 
 def over_budget(usage: DataFrame, limits: DataFrame, *, share: float = 0.85) -> DataFrame:

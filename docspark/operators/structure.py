@@ -136,12 +136,21 @@ def section_headers(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("shows_header", ~F.col("section").eqNullSafe(before))
 
 
-def locate_text(spans: DataFrame, docs: DataFrame, *, snippet: int = 200, shortest: int = 50) -> DataFrame:
-    """Place of each span in its document: whole content, else its first ``snippet`` characters if longer than ``shortest``, else its title."""
+def locate_text(spans: DataFrame, docs: DataFrame, *, cascade: str = "section", snippet: int = 200, shortest: int = 50) -> DataFrame:
+    """Place of each span in its document: its whole content, else its first ``snippet`` characters, trimmed, if longer than ``shortest``.
+
+    Sections are searched by their title then, chunks by their first sentence if it is longer than 30 characters; chunks under 20 characters are not searched at all.
+    """
     joined = spans.join(docs.select("doc_id", F.col("text").alias("document")), "doc_id")
     at = lambda c: F.nullif(F.call_function("locate", c, F.col("document")), F.lit(0))
-    head = F.substring("content", 1, snippet)
-    place = F.coalesce(at(F.col("content")), F.when(F.length(head) > shortest, at(head)), F.when(F.col("title") != "Full Document", at(F.col("title"))))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    head = strip(F.substring("content", 1, snippet))
+    found = [F.when(F.col("content") != "", at(F.col("content"))), F.when(F.length(head) > shortest, at(head))]
+    if cascade == "section":
+        place = F.coalesce(*found, F.when((F.col("title") != "Full Document") & (F.col("title") != ""), at(F.col("title"))))
+    else:
+        sentence = strip(F.split_part(F.col("content"), F.lit(". "), F.lit(1)))
+        place = F.when(F.length("content") >= 20, F.coalesce(*found, F.when(F.length(sentence) > 30, at(sentence))))
     return joined.select("doc_id", "span_id", (place - 1).alias("offset"))
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docspark.operators import cleaning, documents, extraction
+from docspark.operators import blocks, cleaning, documents, extraction
 from docspark.plans import fixtures as fx
 from docspark.plans.fixtures import table
+from docspark.plans.more import BOXES_SQL, _boxes, _sql_list
 from docspark.plans.registry import query
 
 
@@ -29,18 +30,29 @@ def x10_figure_captions(spark, d):
     return documents.figure_captions(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
 
 
-@query("""WITH w AS (SELECT l_orderkey AS doc_id, 0 AS page, l_linenumber AS word_idx, CASE WHEN l_partkey % 2 = 0 THEN l_suppkey % 4 END AS figure FROM lineitem) SELECT doc_id, page, figure, count(*) AS n, min(word_idx) AS first FROM w WHERE figure < 3 GROUP BY 1, 2, 3""")
+@query(rf"""WITH {BOXES_SQL}, s AS (SELECT b.*, p_size FROM boxes b JOIN part ON p_partkey = box_idx), c AS (SELECT *, CASE WHEN box_idx % 4 > 0 THEN 'Fig. ' || CAST(p_size AS VARCHAR) || ': ' || text ELSE text END AS cap FROM s WHERE kind = 'caption'), f AS (SELECT * FROM s WHERE kind = 'picture'),
+m AS (SELECT f.doc_id, f.page, f.box_idx, arg_min(c.cap, c.box_idx) AS cap, arg_min(c.y0, c.box_idx) AS cy FROM f JOIN c ON c.doc_id = f.doc_id AND c.page = f.page AND regexp_matches(c.cap, '^(?i)\s*(?:figure|fig\.?)\s*\d+') AND (c.y0 BETWEEN f.y1 - 10 AND f.y1 + 50 OR c.y1 BETWEEN f.y0 - 50 AND f.y0 + 10) GROUP BY 1, 2, 3),
+k AS (SELECT f.doc_id, f.page, f.box_idx AS figure_idx, coalesce(cap, 'Figure on page ' || CAST(f.page AS VARCHAR)) AS caption, coalesce(cy, f.y1 + 5) AS top FROM f LEFT JOIN m ON m.box_idx = f.box_idx), n AS (SELECT *, coalesce(nullif(regexp_extract(caption, '\d+'), '')::BIGINT, 1) AS number FROM k),
+w AS (SELECT *, p_size AS no FROM s WHERE kind = 'caption' AND box_idx % 5 > 0 AND box_idx % 3 > 0), r AS (SELECT figure_idx, string_agg(CAST(w.box_idx AS VARCHAR) || ':' || CAST(w.x0::INT AS VARCHAR), ',' ORDER BY w.box_idx) AS places FROM n JOIN w ON w.doc_id = n.doc_id AND w.page = n.page AND w.no = n.number GROUP BY 1)
+SELECT n.doc_id, n.page, n.figure_idx, number, caption, top, places FROM n LEFT JOIN r ON r.figure_idx = n.figure_idx""")
 def x14_figure_references(spark, d):
-    text = F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("see Figure "), (F.col("l_suppkey") % 4).cast("string"))).otherwise("word")
-    words = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.col("l_linenumber").alias("word_idx"), text.alias("text"))
-    figures = words.select("doc_id", "page").distinct().select("doc_id", "page", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("figure"))
-    return documents.figure_references(words, figures)
-
-
-@query("""SELECT o_orderkey AS doc_id, k AS "order", CASE k WHEN 0 THEN 'Start' ELSE 'Finish' END AS title, CASE k WHEN 0 THEN 'body ' || o_orderpriority ELSE 'tail' END AS content FROM orders, (VALUES (0), (1)) AS a(k) WHERE o_orderkey % 3 > 0""")
+    """Parts as boxes: pictures, captions that name a figure by the part's size, and the same boxes once more as words."""
+    boxes = _boxes(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("box_idx"), F.col("p_size").cast("string").alias("size")), "box_idx")
+    captions = boxes.where("kind = 'caption'")
+    blocks = captions.select("doc_id", "page", F.col("box_idx").alias("block_idx"), F.when(F.col("box_idx") % 4 > 0, F.concat(F.lit("Fig. "), "size", F.lit(": "), "text")).otherwise(F.col("text")).alias("text"), "x0", "y0", "x1", "y1")
+    name = F.when(F.col("box_idx") % 2 == 0, F.concat(F.lit("Fig."), "size")).otherwise(F.concat(F.lit("figure "), "size", F.lit(".")))
+    words = captions.where("box_idx % 5 > 0").select("doc_id", "page", F.col("box_idx").alias("word_idx"), name.alias("text"), "x0", "y0", "x1", "y1")
+    figures = documents.captioned_figures(boxes.where("kind = 'picture'").withColumnRenamed("box_idx", "figure_idx"), blocks)
+    places = F.array_join(F.transform("places", lambda p: F.concat_ws(":", p["word_idx"].cast("string"), p["x0"].cast("int").cast("string"))), ",")
+    return documents.figure_references(words, figures).select("doc_id", "page", "figure_idx", "number", "caption", F.col("box.y0").alias("top"), places.alias("places"))
+
+
+@query("""SELECT o_orderkey AS doc_id, k AS "order", CASE k WHEN 0 THEN 'Start' ELSE 'Finish' END AS title, CASE k WHEN 0 THEN 'body ' || o_orderpriority ELSE 'tail John Smith end' END AS content FROM orders, (VALUES (0), (1)) AS a(k) WHERE o_orderkey % 3 > 0""")
 def d07_sections_from_boxes(spark, d):
-    docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("Head Start body "), "o_orderpriority", F.lit(" Finish tail")).alias("text"))
-    heads = docs.select("doc_id", F.posexplode(F.when(F.col("doc_id") % 3 > 0, F.array(F.lit("## 1.2 Start"), F.lit("**Finish**"), F.lit("Missing"))).otherwise(F.array(F.lit("Start")))).alias("ord", "raw"))
+    """Two headings that are found, a person's name, one letter and a heading that is not there; a third of the documents have one heading only."""
+    docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("Head Start body "), "o_orderpriority", F.lit(" Finish tail John Smith end")).alias("text"))
+    some = F.array(*[F.lit(x) for x in ("## 1.2) Start", "John Smith", "e", "**Finish**", "Missing")])
+    heads = docs.select("doc_id", F.posexplode(F.when(F.col("doc_id") % 3 > 0, some).otherwise(F.array(F.lit("Start"), F.lit("John Smith")))).alias("ord", "raw"))
     return documents.sections_from_boxes(heads, docs)
 
 
@@ -75,9 +87,16 @@ def m08_cited_assets(spark, d):
     return documents.cited_assets(items, chunks)
 
 
-@query("SELECT conv_id, turn FROM (SELECT *, lower(CASE WHEN turn % 5 = 1 THEN 'Something went wrong, sorry' WHEN turn % 5 = 3 THEN 'Dimension, synthesis, differences of paper 1 and paper 2' ELSE text END) AS t FROM conversations) WHERE NOT (role = 'assistant' AND (contains(t, 'something went wrong') OR contains(t, 'paper 1 and paper 2')))")
+@query("SELECT conv_id, turn FROM conversations WHERE NOT (role = 'assistant' AND turn % 9 IN (1, 2, 3, 4, 5))")
 def m06_drop_low_value_messages(spark, d):
-    text = F.when(F.col("turn") % 5 == 1, "Something went wrong, sorry").when(F.col("turn") % 5 == 3, "Dimension, synthesis, differences of paper 1 and paper 2").otherwise(F.col("text"))
+    """Turns that decline, hold a disclaimer only, and comparisons by first words, table and headings; then two headings only, and a table without a synthesis."""
+    kinds = [
+        ("I apologize, but I was unable to say. ", ""), ("\n\n---\n⚠️ Note: nothing was verified. ", "\nmore"), ("A **Structured comparison** of the 3 academic papers. ", ""), ("", "\n| **Dimension** | Paper 1: a | Paper 2 | Synthesis |\n|---|---|---|---|\n| x | y | z | w |"),
+        ("Datasets Used, Methodology and approach, limitations acknowledged of paper 1 and Paper 2. ", ""), ("Datasets used, methodology and approach of paper 1 and paper 2. ", ""), ("", "\n| Dimension | Paper 1 | Paper 2 |\n|---|---|---|\n| x | y | z |"),
+    ]
+    n, text = F.col("turn") % 9, F.col("text")
+    for k, (head, tail) in enumerate(kinds, 1):
+        text = F.when(n == k, F.concat(F.lit(head), "text", F.lit(tail))).otherwise(text)
     return documents.drop_low_value_messages(table(spark, d, "conversations").withColumn("text", text)).select("conv_id", "turn")
 
 
@@ -87,12 +106,24 @@ def n09_needs_paragraph_fallback(spark, d):
     return documents.needs_paragraph_fallback(docs.withColumn("span_id", F.col("doc_id")).withColumn("text", F.get(F.split("text", "\n"), F.lit(0))), docs)
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page FROM documents), c AS (SELECT doc_id AS caption_id, page AS want, lower(t) AS c FROM l WHERE page = 1), p AS (SELECT caption_id, page, CASE WHEN contains(lower(t), c) THEN 0 WHEN contains(lower(t), substr(c, 1, 12)) THEN 1 END AS rule, CASE page - want WHEN 0 THEN 0 WHEN -1 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS near FROM c JOIN l ON l.doc_id = caption_id)
-SELECT caption_id, arg_min(page, near * 1000000 + page) AS page, 0 AS block FROM p WHERE rule IS NOT NULL GROUP BY 1""")
+@query(rf"""WITH {fx.LINES_SQL}, b AS (SELECT doc_id, line_no // 3 AS page, line_no % 3 AS block, CASE WHEN line_no % 3 = 1 THEN CASE WHEN line_no % 2 = 0 THEN 'Table ' ELSE 'Tab. ' END || CAST(line_no // 3 AS VARCHAR) || ' ' ELSE '' END || text AS text, (line_no % 3 * 10)::DOUBLE AS x0, length(text)::DOUBLE AS x1 FROM lines),
+c AS (SELECT doc_id, doc_id % 2 AS want, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN substr(text, 1, 12) || 'zzz' ELSE 'zz' END AS c, CASE WHEN doc_id % 4 = 2 THEN doc_id % 3 END AS no, CASE WHEN doc_id % 4 = 3 THEN list_filter(string_split(text, ' ')[1:3], lambda k: length(k) >= 3) ELSE [] END AS ks FROM lines WHERE line_no = 3),
+cc AS (SELECT doc_id, want, lower(trim(regexp_replace(regexp_replace(c, '[*|]', '', 'g'), '\s+', ' ', 'g'))) AS c, CAST(no AS VARCHAR) AS no, list_transform(ks, lambda k: lower(k)) AS ks FROM c), p AS (SELECT cc.*, page, block, x0, x1, lower(text) AS t FROM cc JOIN b ON b.doc_id = cc.doc_id),
+h AS (SELECT *, CASE WHEN c <> '' AND contains(t, c) THEN 0 WHEN length(c) > 12 AND contains(t, substr(c, 1, 12)) THEN 1 WHEN coalesce(contains(t, 'table ' || no), FALSE) THEN 2 WHEN coalesce(contains(t, 'tab. ' || no), FALSE) THEN 3 END AS rule, coalesce(list_sum(list_transform(ks, lambda k: (length(t) - length(replace(t, k, ''))) // length(k))), 0) AS hits FROM p),
+g AS (SELECT doc_id, want, page, min(CASE WHEN rule IS NOT NULL THEN rule * 10 + block END) AS f, arg_min(x1, CASE WHEN rule IS NOT NULL THEN rule * 10 + block END) AS fx1, sum(hits) AS n, min(x0) FILTER (WHERE hits > 0) AS x0, max(x1) FILTER (WHERE hits > 0) AS x1 FROM h GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE page - want WHEN 0 THEN 0 WHEN -1 THEN 1 WHEN 1 THEN 2 ELSE 3 END, page) AS k FROM g WHERE f IS NOT NULL OR n >= 2)
+SELECT doc_id AS caption_id, page, CASE WHEN f IS NOT NULL THEN f // 10 ELSE 4 END AS rule, CASE WHEN f IS NOT NULL THEN f % 10 * 10 ELSE x0 END AS x0, CASE WHEN f IS NOT NULL THEN fx1 ELSE x1 END AS x1 FROM r WHERE k = 1""")
 def v12_locate_caption(spark, d):
-    lines = fx.lines(spark, d).withColumnRenamed("line_no", "page").withColumn("block", F.lit(0))
-    captions = lines.where("page = 1").select("doc_id", F.col("doc_id").alias("caption_id"), "page", F.col("text").alias("caption"))
-    return documents.locate_caption(captions, lines)
+    """Lines as blocks, three a page; captions whole, cut after 12 characters, by number only and by keywords only."""
+    lines, n = fx.lines(spark, d), F.col("doc_id") % 4
+    block, page = F.col("line_no") % 3, F.floor(F.col("line_no") / 3)
+    prefix = F.when(block == 1, F.concat(F.when(F.col("line_no") % 2 == 0, "Table ").otherwise("Tab. "), page.cast("string"), F.lit(" "))).otherwise("")
+    zero = F.lit(0.0)
+    blocks = lines.select("doc_id", page.alias("page"), block.alias("block"), F.concat(prefix, "text").alias("text"), (block * 10).cast("double").alias("x0"), zero.alias("y0"), F.length("text").cast("double").alias("x1"), zero.alias("y1"))
+    caption = F.when(n == 0, F.col("text")).when(n == 1, F.concat(F.substring("text", 1, 12), F.lit("zzz"))).otherwise("zz")
+    keywords = F.when(n == 3, F.slice(F.split("text", " "), 1, 3)).otherwise(F.array().cast("array<string>"))
+    captions = lines.where("line_no = 3").select("doc_id", F.col("doc_id").alias("caption_id"), (F.col("doc_id") % 2).alias("page"), caption.alias("caption"), F.when(n == 2, F.col("doc_id") % 3).alias("number"), keywords.alias("keywords"))
+    return documents.locate_caption(captions, blocks).drop("y0", "y1")
 
 
 @query(r"""WITH t AS (SELECT p_partkey, '[' || p_brand || '] [Equation on page ' || CAST(p_size AS VARCHAR) || ', type: display]' || CASE WHEN p_partkey % 2 = 0 THEN ' [Eq. ' || CAST(p_partkey AS VARCHAR) || ']' ELSE '' END || chr(10) AS p, CASE WHEN p_partkey % 3 = 0 THEN p_type || chr(10) || p_name ELSE p_name END AS b FROM part) SELECT p_partkey, p || b AS display, p || p || b AS enriched FROM t""")
@@ -127,11 +158,22 @@ def f08_uncite(spark, d):
     return cleaning.normalise_text(table(spark, d, "conversations").withColumn("text", text), "uncite").select("conv_id", "turn", "normalised")
 
 
-@query("SELECT o_orderkey AS doc_id, r AS \"row\", CASE r WHEN 0 THEN 'h1,h2' ELSE '1,' || o_orderpriority END AS cells FROM orders, (VALUES (0), (1)) AS a(r)")
+#: Pipe tables put over the documents' texts.
+PIPE_EDGES = [
+    "intro\n| Model | Data**set** | Note |\n|---|---|---|\n| 1 | **two** | a<br>b |\n| odd |", "| a | b |\n|:--|--:|\n| 1 | 2 | 3 | 4 | 5 |\n| x | | y |", "a | b\nc | d | e\n|only|", "| Method | Metric |\n|---|---|", "no table", "||model|paper||\n| --- | --- |\n| 7 | 8 |",
+]
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {_sql_list(PIPE_EDGES)}[doc_id % {len(PIPE_EDGES)} + 1] || chr(10) || text AS text FROM documents), l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM t),
+c AS (SELECT *, regexp_matches(line, '{blocks.SEPARATOR}') AS sep, list_filter(list_transform(string_split(regexp_replace(line, '^\|+|\|+$', '', 'g'), '|'), lambda x: trim(regexp_replace(regexp_replace(x, '\*{{1,2}}([^*\n]+)\*{{1,2}}', '\1', 'g'), '<br>', ' ', 'g'))), lambda x: x <> '') AS cs FROM l WHERE contains(line, '|')),
+w AS (SELECT *, coalesce(max(CASE WHEN sep THEN len(cs) END) OVER (PARTITION BY doc_id), 0) AS w FROM c), k AS (SELECT doc_id, n, w, cs, unnest(CASE WHEN w > 0 THEN generate_series(0, len(cs) // w - 1) ELSE [0] END) AS part FROM w WHERE NOT sep AND len(cs) > 0 AND len(cs) >= w),
+r AS (SELECT doc_id, n, part, CASE WHEN w > 0 THEN cs[part * w + 1:part * w + w] ELSE cs END AS cs FROM k), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n, part) - 1 AS "row", first(cs) OVER (PARTITION BY doc_id ORDER BY n, part) AS f, count(*) OVER (PARTITION BY doc_id) AS total FROM r),
+h AS (SELECT *, total > 1 AND len(list_filter(f, lambda x: regexp_matches(lower(x), '{"|".join(documents.HEADER_TERMS)}'))) >= greatest(2, len(f) // 2) AS headed FROM o)
+SELECT doc_id, "row" - headed::INT AS "row", array_to_string(CASE WHEN headed THEN f ELSE list_concat(['Model'], list_transform(generate_series(2, len(f)), lambda i: 'Column ' || CAST(i AS VARCHAR))) END, ',') AS header, array_to_string(cs, ',') AS cells FROM h WHERE NOT headed OR "row" > 0""")
 def m04_pipe_table_rows(spark, d):
-    text = F.concat(F.lit("intro\n| h1 | h2 |\n|---|---|\n| 1 | "), "o_orderpriority", F.lit(" |\n| odd |\nend"))
-    rows = documents.pipe_rows(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
-    return rows.select("doc_id", "row", F.array_join("cells", ",").alias("cells"))
+    edge = F.get(F.array(*[F.lit(x) for x in PIPE_EDGES]), (F.col("doc_id") % len(PIPE_EDGES)).cast("int"))
+    rows = documents.pipe_rows(table(spark, d, "documents").select("doc_id", F.concat(edge, F.lit("\n"), "text").alias("text")))
+    return rows.select("doc_id", "row", F.array_join("header", ",").alias("header"), F.array_join("cells", ",").alias("cells"))
 
 
 @query("SELECT p_partkey AS box_idx, (p_partkey % 100 + 50 - 30)::DOUBLE AS x0 FROM part WHERE p_partkey % 4 = 0")

@@ -21,17 +21,47 @@ def m01_markdown_blocks(spark, d):
     return blocks.markdown_blocks(_answers(spark, d)).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey AS doc_id, 'Head ' || CAST(o_orderkey AS VARCHAR) || chr(10) || chr(10) || 'Some bold text that goes on. [P1]' || chr(10) || chr(10) || 'one' || chr(10) || chr(10) || 'two' || chr(10) || chr(10) || 'Dimension: Size; Paper 1: a<br>b; Paper 2: ' || o_orderpriority || '; Synthesis: both' || chr(10) || 'Dimension: Cost; Paper 1: c; Paper 2: ; Synthesis: ' || chr(10) || chr(10) || 'End.' AS text FROM orders")
+def _text_sql(*parts: str) -> str:
+    return "SELECT o_orderkey AS doc_id, " + " || chr(10) || chr(10) || ".join(parts) + " AS text FROM orders"
+
+
+@query(_text_sql("'Head ' || CAST(o_orderkey AS VARCHAR)", "'Some bold text that goes on. [P1]'", "'- one'", "'- two'", "'Dimension: Size | Paper 1: a<br>b | Paper 2: ' || o_orderpriority || ' | Synthesis: both'", "'Dimension: Cost | Paper 1: c'", "'End.'"))
 def m02_blocks_to_text(spark, d):
     return blocks.blocks_to_text(blocks.markdown_blocks(_answers(spark, d)))
 
 
+@query(_text_sql("'HEAD ' || CAST(o_orderkey AS VARCHAR)", "'Some bold text that goes on. [P1]'", "'- one'", "'- two'", "'Dimension | Paper 1 | Paper 2 | Synthesis'", "'Size | a<br>b | ' || o_orderpriority || ' | both'", "'Cost | c |  | '", "'End.'"))
+def m02_structured_text(spark, d):
+    return blocks.blocks_to_text(blocks.markdown_blocks(_answers(spark, d)), "structured")
+
+
+def _parts_sql(source: str, keys: str, most: int) -> str:
+    """A recursive query ``parts`` with the parts of ``text``, numbered from 1."""
+    gap = f"strpos(reverse(substr(rest, 1, {most})), ' ')"
+    strip = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    return f"""parts AS (SELECT {keys}, 0 AS part, '' AS piece, {strip("coalesce(text, '')")} AS rest, FALSE AS over FROM {source} UNION ALL
+SELECT {keys}, part + 1, CASE WHEN length(rest) <= {most} THEN rest ELSE {strip("substr(rest, 1, stop)")} END, CASE WHEN length(rest) <= {most} THEN '' ELSE {strip("substr(rest, stop + 1)")} END, length(rest) <= {most} FROM (SELECT *, CASE WHEN {gap} = 0 THEN {most} ELSE {most} - {gap} END AS stop FROM parts WHERE NOT over))"""
+
+
+@query(rf"""WITH RECURSIVE src AS (SELECT conv_id, turn, role, replace(text || ' ' || text || ' ' || text, chr(10), ' ') AS text FROM conversations), {_parts_sql("src", "conv_id, turn, role", 320)},
+b AS (SELECT conv_id, turn, role, 'Paragraph' AS kind, '2.' || CAST(part AS VARCHAR) AS "order", piece AS content FROM parts WHERE part > 0 UNION ALL SELECT conv_id, turn, role, k, o, c FROM conversations, (VALUES ('Heading', '1.1', 'Head'), ('Bullet', '3.1', 'one'), ('Table Row', '4.1', 'a: 1 | b: 2'), ('Table Row', '4.2', 'a: 3 | b: 4 | Column 3: 5')) AS v(k, o, c))
+SELECT conv_id AS chat_id, turn AS message, upper(role) AS role, kind, "order", content FROM b""")
+def m11_chat_blocks(spark, d):
+    text = F.concat(F.lit("## Head\n"), F.replace(F.concat_ws(" ", "text", "text", "text"), F.lit("\n"), F.lit(" ")), F.lit("\n- **one**\n\n| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 | 5 |\n"))
+    return blocks.chat_blocks_table(table(spark, d, "conversations").select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("message"), "role", text.alias("text")))
+
+
 @query("""SELECT o_orderkey AS doc_id, r AS "row", CASE r WHEN 0 THEN 'Size' ELSE 'Cost' END AS dimension, p AS paper_id, CASE WHEN r = 0 AND p = 1 THEN 'a' || chr(10) || 'b' WHEN r = 0 THEN o_orderpriority WHEN p = 1 THEN 'c' ELSE '' END AS content, CASE r WHEN 0 THEN 'both' ELSE '' END AS synthesis FROM orders, (VALUES (0), (1)) AS a(r), (VALUES (1), (2)) AS b(p)""")
 def c05_parse_comparison(spark, d):
     papers = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("paper_id")).withColumn("place", F.col("paper_id"))
     return blocks.parse_comparison(blocks.markdown_blocks(_answers(spark, d)), papers)
 
 
+@query("SELECT o_orderkey AS doc_id, 'Head ' || CAST(o_orderkey AS VARCHAR) || chr(10) || chr(10) || 'Some bold text that goes on. [P1]' || chr(10) || chr(10) || 'one' || chr(10) || chr(10) || 'two' || chr(10) || chr(10) || 'End.' AS narrative FROM orders")
+def c05_narrative(spark, d):
+    return blocks.comparison_narrative(blocks.markdown_blocks(_answers(spark, d)))
+
+
 @query("SELECT l_orderkey * 10 + l_linenumber AS message_id, i AS item, 'c' || CAST(i AS VARCHAR) AS claim, (l_partkey % 10) / 10.0::DOUBLE AS score FROM lineitem, (VALUES (0), (1)) AS a(i)")
 def m07_flatten_citations(spark, d):
     score = ((F.col("l_partkey") % 10) / 10.0).cast("string")
@@ -39,9 +69,10 @@ def m07_flatten_citations(spark, d):
     return blocks.flatten_citations(table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("message_id"), js.alias("results"))).select("message_id", "item", "claim", "score")
 
 
-@query("SELECT p_partkey AS paper_id, f AS field, CASE f WHEN 'title' THEN p_name WHEN 'authors' THEN p_brand ELSE p_type END AS content FROM part, (VALUES ('title'), ('authors'), ('abstract')) AS a(f) WHERE f <> 'authors' OR p_partkey % 2 = 0")
+@query(f"""WITH RECURSIVE src AS (SELECT doc_id, f, CASE f WHEN 'abstract' THEN text WHEN 'authors' THEN CASE WHEN doc_id % 2 = 0 THEN source END ELSE lang END AS text FROM documents, (VALUES ('title'), ('authors'), ('abstract')) AS a(f)), {_parts_sql("src", "doc_id, f", 280)}
+SELECT doc_id AS paper_id, f AS field, part, piece AS content FROM parts WHERE part > 0""")
 def m12_paper_fields(spark, d):
-    papers = table(spark, d, "part").select(F.col("p_partkey").alias("paper_id"), F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("authors"), F.col("p_type").alias("abstract"))
+    papers = table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.col("lang").alias("title"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("authors"), F.col("text").alias("abstract"))
     return blocks.paper_fields(papers, ["title", "authors", "abstract"])
 
 
@@ -57,14 +88,30 @@ def v13_table_region(spark, d):
     return blocks.table_region(boxes.where("not img"), boxes.where("img"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page FROM documents), i AS (SELECT doc_id, page, unnest(string_split(text, '. ')) AS item, generate_subscripts(string_split(text, '. '), 1) - 1 AS item_idx FROM l),
-n AS (SELECT doc_id, page, lower(string_split(text, '. ')[1]) AS needle FROM l), j AS (SELECT i.doc_id, i.page, item_idx, needle, lower(trim(item)) AS item, list_filter(regexp_split_to_array(lower(trim(item)), '\s+'), lambda w: w <> '') AS ws FROM i JOIN n ON n.doc_id = i.doc_id AND n.page = i.page)
-SELECT doc_id, page, item_idx, (length(item) >= 4 AND contains(regexp_replace(needle, '\s+', '', 'g'), regexp_replace(item, '\s+', '', 'g'))) OR (len(list_filter(ws, lambda w: contains(needle, w))) >= 2 AND len(list_filter(ws, lambda w: contains(needle, w))) >= 0.3 * len(ws)) AS marked FROM j""")
+_PLAIN = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+_CLOSED = "contains(replace({0}, ' ', ''), replace(pi, ' ', ''))"
+_FOUND = "len(list_filter(ws, lambda w: list_contains({0}, w)))"
+
+
+def _within_sql(text: str, has: str, least: str) -> str:
+    return f"((length(pi) >= {least} AND {_CLOSED.format(text)}) OR ({_FOUND.format(has)} >= CASE WHEN vis THEN 1 ELSE 2 END AND {_FOUND.format(has)} / len(ws) >= CASE WHEN vis THEN 0.2::DOUBLE ELSE 0.3::DOUBLE END))"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page FROM documents), i AS (SELECT doc_id, page, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS n FROM l),
+it AS (SELECT doc_id, page, n // 3 AS item_idx, string_agg(w, ' ' ORDER BY n) || CASE WHEN n // 3 % 5 = 0 THEN ' 7' ELSE '' END AS item FROM i GROUP BY doc_id, page, n // 3),
+s AS (SELECT doc_id, page, (doc_id + page) % 3 = 0 AS vis, {_PLAIN.format("array_to_string(string_split(text, ' ')[3:7], ' ')")} AS ne, {_PLAIN.format("CASE WHEN doc_id % 4 = 0 THEN text ELSE '' END")} AS wi FROM l),
+j AS (SELECT it.doc_id, it.page, item_idx, item, {_PLAIN.format("item")} AS pi, vis, ne, wi, CASE WHEN vis THEN 2 ELSE 3 END AS sh FROM it JOIN s ON s.doc_id = it.doc_id AND s.page = it.page),
+k AS (SELECT *, list_filter(string_split(pi, ' '), lambda w: length(w) >= sh) AS ws, list_filter(string_split(ne, ' '), lambda w: length(w) >= sh) AS nw, list_filter(string_split(wi, ' '), lambda w: length(w) >= sh) AS ww FROM j)
+SELECT doc_id, page, item_idx, (len(nw) > 0 OR len(ww) > 0) AND ((regexp_matches(item, '\d') AND length(trim(item)) <= 10 AND pi <> '' AND contains(ne, pi)) OR (len(ws) > 0 AND ({_within_sql("ne", "nw", "CASE WHEN vis THEN 3 ELSE 4 END")} OR {_within_sql("wi", "ww", "4")}))) AS marked FROM k""")
 def n10_highlight_items(spark, d):
+    """Items of three words of a line against the line's third to seventh word; a wider text for a quarter of the documents."""
     lines = fx.lines(spark, d).withColumnRenamed("line_no", "page")
-    parts = F.split("text", r"\. ")
-    items = lines.select("doc_id", "page", F.posexplode(parts).alias("item_idx", "item"))
-    return blocks.highlight_items(items, lines.select("doc_id", "page", F.get(parts, F.lit(0)).alias("needle")))
+    group = F.floor(F.col("n") / 3)
+    words = lines.select("doc_id", "page", F.posexplode(F.split("text", " ")).alias("n", "w")).groupBy("doc_id", "page", group.alias("item_idx"))
+    items = words.agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]), " "), F.when(F.first(group) % 5 == 0, " 7").otherwise("")).alias("item"))
+    kind = F.when((F.col("doc_id") + F.col("page")) % 3 == 0, F.when(F.col("doc_id") % 2 == 0, "table").otherwise("figure")).otherwise("text")
+    spans = lines.select("doc_id", "page", F.array_join(F.slice(F.split("text", " "), 3, 5), " ").alias("needle"), kind.alias("kind"), F.when(F.col("doc_id") % 4 == 0, F.col("text")).alias("fallback"))
+    return blocks.highlight_items(items, spans)
 
 
 @query(f"WITH {fx.RESULTS_SQL}, r AS (SELECT DISTINCT answer_id, claim FROM results), a AS (SELECT answer_id, claim, max(score) AS s FROM results GROUP BY 1, 2) SELECT answer_id, claim, s AS score, {fx.CONFIDENCE_SQL.format('s')} AS confidence FROM a")
@@ -82,10 +129,18 @@ def fx_confidence(score):
     return confidence(score)
 
 
-@query("WITH u AS (SELECT event_type AS provider, ts, event_id, sum(value) OVER w AS t, count(*) OVER w AS r FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)), n AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY ts DESC, event_id DESC) AS n FROM u) SELECT provider, round(t, 4) AS tokens, r AS requests, 400 AS tpm FROM n WHERE n = 1")
+@query("""WITH u AS (SELECT event_type AS provider, ts, event_id, sum(value) OVER w AS t, count(*) OVER w AS r, count(*) OVER d AS day FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW), d AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)),
+n AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY ts DESC, event_id DESC) AS n FROM u), c AS (SELECT event_type AS provider, max(epoch_us(ts) / 1e6 + greatest(1.0, (event_id % 5000)::DOUBLE)) AS until_s FROM events WHERE event_id % 7 = 0 GROUP BY 1)
+SELECT n.provider, round(t, 4) AS tokens, CASE WHEN length(n.provider) > 4 THEN length(n.provider) * 100 ELSE 0 END AS max_tokens, r AS requests, CASE WHEN length(n.provider) > 4 THEN 50 ELSE 0 END AS max_requests, CASE WHEN length(n.provider) > 5 THEN day END AS day, CASE WHEN length(n.provider) > 5 THEN 900 END AS max_day,
+coalesce(floor(greatest(0.0, until_s - epoch_us(ts) / 1e6)), 0)::BIGINT AS cooldown_s FROM n LEFT JOIN c ON c.provider = n.provider WHERE n = 1""")
 def e10_usage_summary(spark, d):
-    calls = table(spark, d, "events").select("event_id", F.col("event_type").alias("provider"), "ts", F.col("value").alias("tokens"))
-    return library.usage_summary(library.rolling_usage(calls, window_s=3600)).select("provider", F.round("tokens", 4).alias("tokens"), "requests", F.lit(400).alias("tpm"))
+    """Providers of short names have no limits, and longer ones no limit of the day."""
+    events = table(spark, d, "events").withColumnRenamed("event_type", "provider")
+    calls = events.select("event_id", "provider", "ts", F.col("value").alias("tokens"))
+    size = F.length("provider")
+    limits = events.select("provider").distinct().where(size > 4).select("provider", (size * 100).alias("tpm"), F.lit(50).alias("rpm"), F.when(size > 5, 900).alias("rpd"))
+    waits = library.cooldowns(events.where("event_id % 7 = 0").select("provider", "ts", "event_id", (F.col("event_id") % 5000).cast("double").alias("retry_after")))
+    return library.usage_summary(library.rolling_usage(calls, window_s=3600), limits, waits).withColumn("tokens", F.round("tokens", 4))
 
 
 @query(f"WITH {fx.RESULTS_SQL}, t AS (SELECT CASE WHEN score < 0.4 THEN 'unsupported' ELSE 'other' END AS want, CASE WHEN cross_encoder < 0.4 THEN 'unsupported' ELSE 'other' END AS got FROM results) SELECT count(*) AS cases, round(avg((want = got)::INT::DOUBLE), 6) AS share, avg((want = got)::INT::DOUBLE) >= 0.8 AS calibrated FROM t")

@@ -22,6 +22,8 @@ MD_EDGES = [
     ["plain", "| a | b |", "|---|---|", "| 1 | 2 |", "| x | y |", "end", "| no | table |"], ["before", "1 Introduction", "a", "1.2 More: of it", "b", "2 no capital"],
     ["**1.** **First: of all**", "a", "**II** **Second**", "b"], ["**1. One**", "a", "**B) Two**", "b", "**C lower**", "**D. **"], ["**3. Alone**", "**Related Work**", "a", "**Some of the words here**", "b", "**Results**  ", "c"],
     ["ABSTRACT", "a", "JOHN SMITH", "b", "RELATED WORK", "c", "DATA", "d"], ["ABSTRACT", "a", "MARY ANN SMITH", "b", "RESULTS", "c"], ["**lower case**", "**Ab**", "#no", "##### five", "A", "AB"],
+    ["Table 3: Results of it ", "", "", "| aa | bb |", "|---|---|", "| 1 | 2 |", "mid", "| cc | dd |", "| 3 | 4 |"], ["table 4.", "x", "| 1 | 2 |", "| 3 | 4 |", "", "| ✓ | ok then |", "| ✗ | - |", "|x|"], ["Table 5", "a", "b", "c", "d", "e", "| aa | bb |", "| cc | dd | "],
+    ["Table 6 " + "long " * 70, "| aa | bb |", "| cc | dd |", "text", "| Table 7 | bb |", "| cc | dd |"],
 ]
 MD_SQL = f"md AS (SELECT doc_id, list_concat([{', '.join(_sql_list(e) for e in MD_EDGES)}][doc_id % {len(MD_EDGES)} + 1], string_split(text, chr(10))) AS ls FROM documents), lines AS (SELECT doc_id, unnest(ls) AS text, generate_subscripts(ls, 1) - 1 AS line_no FROM md)"
 
@@ -59,19 +61,39 @@ def d05_split_sections(spark, d):
     return extraction.split_sections(_md(spark, d))
 
 
-@query(rf"""WITH {MD_SQL}, p AS (SELECT * FROM lines WHERE regexp_matches(trim(text), '^\|.*\|$')), i AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM p),
-g AS (SELECT doc_id, min(line_no) AS first_line, count(*) AS n_lines, count(*) FILTER (WHERE NOT regexp_matches(trim(text), '^\|[\s\-:|]+\|$')) AS "rows", len(regexp_extract_all(arg_min(text, line_no), '\|')) - 1 AS cols FROM i GROUP BY doc_id, island)
-SELECT * FROM g WHERE n_lines >= 2 AND "rows" >= 2 AND cols >= 2""")
+_BEFORE = "WINDOW b AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_LAST = "last_value(CASE WHEN {0} THEN {1} END IGNORE NULLS) OVER b"
+
+
+def _content_sql() -> str:
+    filled = f"len(list_filter(cs, lambda c: length(regexp_replace(c, '{extraction.NO_TEXT}', '', 'g')) > 1))"
+    return f"len(cs) > 0 AND {filled} >= 0.15 * len(cs) AND NOT regexp_matches(array_to_string(cs, ' '), '{extraction.ONLY_SIGNS}')"
+
+
+_CAPTION_OF = f"regexp_replace('Table ' || regexp_extract(text, '{extraction.TABLE_CAPTION}', 1) || ': ' || trim(regexp_extract(text, '{extraction.TABLE_CAPTION}', 2)), '[:\\s]+$', '')"
+
+
+@query(rf"""WITH {MD_SQL}, st AS (SELECT *, regexp_matches(text, '{extraction.TABLE_CAPTION}') AS hit, coalesce(sum(length(text) + 1) OVER b, 0) AS start FROM lines {_BEFORE}),
+c AS (SELECT *, {_LAST.format("hit", "line_no")} AS cl, {_LAST.format("hit", f"start + strpos(text, regexp_extract(text, '{extraction.TABLE_CAPTION}')) - 1")} AS ca, {_LAST.format("hit", _CAPTION_OF)} AS cap, {_LAST.format("trim(text) <> ''", "line_no")} AS filled FROM st {_BEFORE}),
+p AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM c WHERE regexp_matches(text, '^\|.+\|[ \t]*$')),
+g AS (SELECT doc_id, min(line_no) AS first_line, list(text ORDER BY line_no) AS ls, first(start ORDER BY line_no) AS start, first(cl ORDER BY line_no) AS cl, first(ca ORDER BY line_no) AS ca, first(cap ORDER BY line_no) AS cap, first(filled ORDER BY line_no) AS filled FROM p GROUP BY doc_id, island),
+t AS (SELECT *, list_filter(ls, lambda x: NOT regexp_matches(trim(x), '{extraction.SEPARATOR_ROW}')) AS data FROM g), u AS (SELECT *, len(data) AS "rows", greatest(1, len(string_split(data[1], '|')) - 2) AS cols, flatten(list_transform(data, lambda r: list_transform(string_split(r, '|')[2:-2], lambda c: trim(c)))) AS cs FROM t),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first_line) AS number FROM u WHERE len(ls) >= 2 AND "rows" >= 2 AND cols >= 2 AND {_content_sql()})
+SELECT doc_id, number, first_line, "rows", cols, CASE WHEN cl > filled - 5 AND start - ca <= 300 THEN cap ELSE 'Table ' || CAST(number AS VARCHAR) END AS caption, trim(array_to_string(ls, chr(10))) AS content FROM k""")
 def x01_extract_md_tables(spark, d):
-    return extraction.table_islands(_md(spark, d))
+    return extraction.extract_md_tables(_md(spark, d))
 
 
-@query("""SELECT o_orderkey AS doc_id, 1 AS number, 0 AS page, '| a | b |' || chr(10) || '| 1 | ' || o_orderpriority || ' |' AS content FROM orders WHERE o_orderkey % 3 > 0""")
+@query("""WITH t AS (SELECT o_orderkey AS doc_id, 0 AS page, 0 AS source, '| a | b |' || chr(10) || '| 1 | ' || o_orderpriority || ' |' AS content FROM orders WHERE o_orderkey % 3 > 0 UNION ALL SELECT o_orderkey, o_orderkey % 2, 2, '| x | y |' || chr(10) || '|---|---|' || chr(10) || '| 1 | word |' FROM orders WHERE o_orderkey % 5 > 0)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, source) AS number, page, content FROM t""")
 def x02_tables_from_boxes(spark, d):
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.concat(F.lit("head\n| a | b |\n| 1 | "), "o_orderpriority", F.lit(" |\ntail")).alias("text"))
+    """A box of a table, one of two letters, and two tables of a raw parser, of which one has digits only."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).cast("long").alias("page"), F.concat(F.lit("head\n| a | b |\n| 1 | "), "o_orderpriority", F.lit(" |\ntail")).alias("text"))
     spans = F.array(F.struct(F.lit(5).alias("pos_start"), (F.length("text") - 5).alias("pos_end")), F.struct(F.lit(0).alias("pos_start"), F.lit(4).alias("pos_end")))
     boxes = orders.select("doc_id", "page", F.when(F.col("doc_id") % 3 > 0, "table").otherwise("text").alias("kind"), F.inline(spans))
-    return extraction.tables_from_boxes(boxes, orders)
+    raw = F.array(F.when(F.col("doc_id") % 5 > 0, "\n| x | y |\n|---|---|\n| 1 | word |\n").otherwise("| a |"), F.lit("| 1 | 2 |\n| 3 | 4.5 |"))
+    others = orders.select("doc_id", (F.col("doc_id") % 2).alias("page"), F.lit(2).alias("source"), F.posexplode(raw).alias("ord", "content"))
+    return extraction.tables_from_boxes(boxes, orders, others)
 
 
 CELLS_SQL = "cells AS (SELECT l_orderkey AS table_id, l_linenumber - 1 AS \"row\", (l_partkey % 100)::DOUBLE AS x0, (l_suppkey % 70)::DOUBLE AS y0, (l_partkey % 100 + l_quantity)::DOUBLE AS x1, (l_suppkey % 70 + 12)::DOUBLE AS y1 FROM lineitem)"
@@ -87,10 +109,15 @@ def x04_row_boxes(spark, d):
     return extraction.row_boxes(cells)
 
 
-@query("""WITH t AS (SELECT l_orderkey AS doc_id, l_partkey % 5 AS content, l_linenumber AS ord, l_suppkey % 3 = 0 AS has_bbox FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, content ORDER BY has_bbox DESC, ord) AS n FROM t) SELECT doc_id, content, ord, has_bbox FROM r WHERE n = 1""")
+@query("""WITH t AS (SELECT l_orderkey AS doc_id, 'c' || CAST(l_partkey % 5 AS VARCHAR) AS content, l_linenumber * 10000000 + l_partkey AS ord, l_suppkey % 2 AS page, CASE WHEN l_suppkey % 3 > 0 THEN (l_partkey % 50)::DOUBLE END AS y0, CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END AS source FROM lineitem),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, content, source ORDER BY ord) AS n FROM t), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, content ORDER BY y0 IS NULL, source, ord) AS best, min(source * 1000000000000 + ord) OVER (PARTITION BY doc_id, content) AS place FROM f WHERE source = 1 OR n = 1)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, coalesce(y0, 0), place) AS number, page, y0, content FROM k WHERE best = 1""")
 def x03_merge_tables(spark, d):
-    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 5).alias("content"), F.col("l_linenumber").alias("ord"), (F.col("l_suppkey") % 3 == 0).alias("has_bbox"))
-    return extraction.first_by_key(t, ["doc_id", "content"], "has_bbox", "ord")
+    t = table(spark, d, "lineitem").select(
+        "l_returnflag", F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("c"), (F.col("l_partkey") % 5).cast("string")).alias("content"), (F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("ord"), (F.col("l_suppkey") % 2).alias("page"),
+        F.when(F.col("l_suppkey") % 3 > 0, (F.col("l_partkey") % 50).cast("double")).alias("y0"),
+    )
+    return extraction.merge_tables(t.where("l_returnflag = 'N'").drop("l_returnflag"), t.where("l_returnflag <> 'N'").drop("l_returnflag"))
 
 
 #: Formulas, and what looks like one, put under the documents' texts.
@@ -213,12 +240,21 @@ def x19_extract_abstract(spark, d):
     return table(spark, d, "orders").select("o_orderkey", extraction.extract_abstract(text).alias("abstract"))
 
 
-@query("""WITH w AS (SELECT l_orderkey AS doc_id, l_linenumber % 2 AS "row", l_linenumber * 10000000 + l_partkey AS word_idx, l_linenumber * 120 + l_quantity AS x0, l_linenumber * 120 + l_quantity + 60 AS x1, l_returnflag || l_linestatus AS text FROM lineitem), n AS (SELECT *, coalesce((x0 - lag(x1) OVER (PARTITION BY doc_id, "row" ORDER BY x0, word_idx) >= 190)::INT, 1) AS new FROM w),
-g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, "row" ORDER BY x0, word_idx) AS name_idx FROM n) SELECT doc_id, "row", name_idx::BIGINT AS name_idx, string_agg(text, ' ' ORDER BY x0, word_idx) AS name FROM g GROUP BY 1, 2, 3 HAVING length(string_agg(text, ' ')) >= 3""")
+@query(rf"""WITH RECURSIVE w AS (SELECT l_orderkey AS doc_id, l_linenumber * 10000000 + l_partkey AS word_idx, (l_linenumber * 70 + l_suppkey % 90)::DOUBLE AS x0, (l_linenumber * 70 + l_suppkey % 90 + 60)::DOUBLE AS x1, (l_partkey % 180 + l_partkey % 180 + 10)::DOUBLE / 2 AS middle,
+CASE l_partkey % 7 WHEN 0 THEN 'Google' WHEN 1 THEN '' WHEN 2 THEN 'Lab' ELSE l_returnflag || l_linestatus END AS text FROM lineitem), ys AS (SELECT doc_id, list_sort(list(DISTINCT middle)) AS ys FROM w GROUP BY 1),
+tops AS (SELECT doc_id, ys, ys[1] AS top, 0 AS r FROM ys UNION ALL SELECT doc_id, ys, list_filter(ys, lambda y: y - top > 50)[1], r + 1 FROM tops WHERE list_filter(ys, lambda y: y - top > 50)[1] IS NOT NULL),
+p AS (SELECT w.doc_id, word_idx, x0, x1, text, max(r) AS "row" FROM w JOIN tops t ON t.doc_id = w.doc_id AND t.top <= w.middle GROUP BY ALL),
+n AS (SELECT *, coalesce((x0 - lag(x1) OVER (PARTITION BY doc_id, "row" ORDER BY x0, word_idx) >= 20)::INT, 1) AS new FROM p), g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, "row" ORDER BY x0, word_idx) AS name_idx FROM n),
+s AS (SELECT doc_id, "row", name_idx::BIGINT AS name_idx, coalesce(string_agg(text, ' ' ORDER BY x0, word_idx) FILTER (WHERE text <> ''), '') AS name FROM g GROUP BY 1, 2, 3)
+SELECT * FROM s WHERE length(name) >= 3 AND NOT regexp_matches(name, '{extraction.COMPANY}') AND NOT regexp_matches(name, '{extraction.AFFILIATION}')""")
 def x22_group_words(spark, d):
-    x = F.col("l_linenumber") * 120 + F.col("l_quantity")
-    words = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 2).alias("row"), (F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("word_idx"), x.alias("x0"), (x + 60).alias("x1"), F.concat("l_returnflag", "l_linestatus").alias("text"))
-    return extraction.group_words(words, 190.0)
+    dbl, n = lambda c: c.cast("double"), F.col("l_partkey") % 7
+    x, y = F.col("l_linenumber") * 70 + F.col("l_suppkey") % 90, F.col("l_partkey") % 180
+    text = F.when(n == 0, "Google*a").when(n == 1, "me@x.org").when(n == 2, "Lab[2]").otherwise(F.concat("l_returnflag", "l_linestatus", F.lit("1†")))
+    words = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("word_idx"), dbl(x).alias("x0"), dbl(x + 60).alias("x1"), dbl(y).alias("y0"), dbl(y + 10).alias("y1"), text.alias("text")
+    )
+    return extraction.group_words(words, 20.0)
 
 
 @query(r"""WITH t AS (SELECT p_partkey, '[' || p_brand || '] [Figure on page ' || CAST(p_size AS VARCHAR) || ', type: ' || p_brand || ']' || CASE WHEN p_partkey % 2 = 0 THEN ' [Caption: ' || p_type || ']' ELSE '' END AS p, CASE WHEN p_partkey % 2 = 0 THEN p_type || chr(10) || p_name ELSE p_name END AS body, p_name FROM part)
@@ -280,9 +316,18 @@ def a09_abstentions(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", answers.is_abstention(text).alias("abstains"))
 
 
-@query()
+@query(rf"""WITH {fx.ANSWERS_SQL}, s AS (SELECT answer_id, unnest(string_split(x, chr(1))) AS s, generate_subscripts(string_split(x, chr(1)), 1) AS n FROM (SELECT answer_id, regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g') AS x FROM answers)),
+g AS (SELECT *, sum(st) OVER (PARTITION BY answer_id ORDER BY n) AS place FROM (SELECT *, (NOT regexp_matches(s, '^(?i)\s*\[(?:[a-z0-9\-_]+_)?[PFTE]\d+\]') OR row_number() OVER (PARTITION BY answer_id ORDER BY n) = 1)::INT AS st FROM s WHERE trim(s) <> '')),
+t AS (SELECT answer_id, place, string_agg(s, ' ' ORDER BY n) AS text FROM g GROUP BY 1, 2), r AS (SELECT *, list_distinct(list_transform(regexp_extract_all(text, '{answers.REF}', 1), lambda x: upper(x))) AS refs FROM t),
+h AS (SELECT answer_id, paragraph_id, string_split(paragraph_id, '_')[2] AS ref, (answer_id * 37 + length(paragraph_id)) % 100 / 100.0::DOUBLE AS score FROM valid WHERE answer_id % 3 > 0),
+b AS (SELECT r.answer_id, place, max(score) AS score, string_agg(DISTINCT ref || '=' || paragraph_id, ',' ORDER BY ref || '=' || paragraph_id) AS items FROM r JOIN h ON h.answer_id = r.answer_id AND list_contains(refs, ref) GROUP BY 1, 2)
+SELECT r.answer_id, r.place::BIGINT AS place, text, array_to_string(list_sort(refs), ',') AS refs, score, CASE WHEN score IS NOT NULL THEN {fx.CONFIDENCE_SQL.format("score")} END AS level, items FROM r LEFT JOIN b ON b.answer_id = r.answer_id AND b.place = r.place""")
 def a10_cited_sentences(spark, d):
-    return answers.cited_sentences(fx.answers(spark, d)[0])
+    said, valid = fx.answers(spark, d)
+    score = (F.col("answer_id") * 37 + F.length("paragraph_id")) % 100 / F.lit(100.0)
+    results = valid.where("answer_id % 3 > 0").select("answer_id", "paragraph_id", F.substring_index("paragraph_id", "_", -1).alias("ref"), score.alias("score"), F.col("paragraph_id").alias("ord"))
+    pairs = F.array_join(F.array_sort(F.transform("items", lambda i: F.concat(i["ref"], F.lit("="), i["paragraph_id"]))), ",")
+    return answers.cited_sentences(said, results).withColumns({"refs": F.array_join(F.array_sort("refs"), ","), "items": pairs})
 
 
 @query(f"WITH {fx.RESULTS_SQL} SELECT answer_id, claim_idx, CASE WHEN score < 0.4 THEN 'unsupported' WHEN string_similarity > 0.75 AND score > 0.8 THEN 'direct_quote' WHEN claim = 'both papers differ' THEN 'synthesis' WHEN score > 0.7 THEN 'paraphrase' WHEN score > 0.4 AND score < 0.7 AND cross_encoder > 0.5 THEN 'inference' ELSE 'uncertain' END AS attribution FROM results")
@@ -300,12 +345,24 @@ def c07_parse_contributions(spark, d):
     return table(spark, d, "orders").select("o_orderkey", parsed.alias("c")).select("o_orderkey", "c.problem", "c.method")
 
 
-@query("""WITH e AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN '' ELSE p_brand END AS dataset, CASE WHEN p_partkey % 4 = 0 THEN 'N/A' ELSE p_type END AS model, CASE WHEN p_partkey % 8 = 0 THEN ' ' ELSE 'v' END AS value FROM part)
-SELECT coalesce(nullif(dataset, ''), 'Unknown') AS dataset, count(*) AS n_results, count(DISTINCT model) AS n_models FROM e WHERE coalesce(trim(model), 'N/A') NOT IN ('N/A', '') OR coalesce(trim(value), 'N/A') NOT IN ('N/A', '') GROUP BY 1""")
+def _papers(spark, d):
+    """Model output with two papers, with one object of a paper, and without JSON."""
+    k, n = F.col("p_partkey"), F.col("p_partkey") % 3
+    row = F.struct(F.when(k % 4 == 0, "N/A").otherwise(F.col("p_type")).alias("model"), F.when(k % 8 == 0, " ").otherwise("v").alias("value"), F.when(k % 10 == 0, "").otherwise(F.col("p_brand")).alias("dataset"))
+    paper = F.concat(F.lit('{"task": "t", "datasets": "d", "metrics": ["f1", "auc"], "results": ['), F.to_json(row), F.lit(', {"model": "m2", "value": '), F.col("p_size").cast("string"), F.lit("}]}"))
+    text = F.when(n == 0, F.concat(F.lit("```json\n["), paper, F.lit(', {"datasets": ["d", "e"], "metrics": "f1", "results": "none"}]\n```'))).when(n == 1, F.concat(F.lit("Found: "), paper, F.lit(" end"))).otherwise("no json {here")
+    return answers.extracted_papers(table(spark, d, "part").select(k.alias("answer_id"), text.alias("text")))
+
+
+@query("""WITH e AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN 'Unknown' ELSE p_brand END AS dataset, CASE WHEN p_partkey % 4 = 0 THEN 'N/A' ELSE p_type END AS model FROM part WHERE p_partkey % 3 < 2 AND p_partkey % 8 > 0 UNION ALL SELECT 'Unknown', 'm2' FROM part WHERE p_partkey % 3 < 2)
+SELECT dataset, count(*) AS n_results, count(DISTINCT model) AS n_models FROM e GROUP BY 1""")
 def c09_evaluation_results(spark, d):
-    k = F.col("p_partkey")
-    rows = table(spark, d, "part").select(F.when(k % 10 == 0, "").otherwise(F.col("p_brand")).alias("dataset"), F.when(k % 4 == 0, "N/A").otherwise(F.col("p_type")).alias("model"), F.when(k % 8 == 0, " ").otherwise("v").alias("value"))
-    return answers.evaluation_results(rows)
+    return answers.results_by_dataset(answers.evaluation_results(_papers(spark, d)))
+
+
+@query("""SELECT p_partkey AS answer_id, n AS paper, CASE n WHEN 0 THEN 'f1,auc' ELSE 'f1' END AS metrics, CASE n WHEN 0 THEN 'd' ELSE 'd,e' END AS datasets FROM part, (VALUES (0), (1)) AS a(n) WHERE p_partkey % 3 + n < 2 AND (n = 0 OR p_partkey % 3 = 0)""")
+def c09_paper_benchmarks(spark, d):
+    return answers.paper_benchmarks(_papers(spark, d)).withColumns({"metrics": F.array_join("metrics", ","), "datasets": F.array_join("datasets", ",")})
 
 
 @query('WITH f AS (SELECT l_orderkey AS comparison_id, l_suppkey AS paper_id, min(l_linenumber) AS ord FROM lineitem GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY comparison_id ORDER BY ord, paper_id) AS "column" FROM f')
@@ -313,23 +370,44 @@ def c06_comparison_columns(spark, d):
     return answers.comparison_columns(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("comparison_id"), F.col("l_suppkey").alias("paper_id"), F.col("l_linenumber").alias("ord")))
 
 
-@query("""WITH r AS (SELECT l_orderkey % 500 AS comparison_id, l_returnflag || l_linestatus AS model, l_returnflag AS paper, l_linestatus || CAST(l_linenumber AS VARCHAR) AS value, l_orderkey * 10 + l_linenumber AS ord FROM lineitem)
-SELECT comparison_id, model, coalesce(arg_min(value, ord) FILTER (WHERE paper = 'A'), 'N/A') AS A, coalesce(arg_min(value, ord) FILTER (WHERE paper = 'N'), 'N/A') AS N, coalesce(arg_min(value, ord) FILTER (WHERE paper = 'R'), 'N/A') AS R FROM r GROUP BY 1, 2""")
+@query("""WITH r AS (SELECT l_orderkey AS answer_id, l_linenumber % 3 AS paper, l_linenumber * 10000000 + l_partkey AS ord, l_returnflag || l_linestatus AS model, CAST(l_suppkey AS VARCHAR) AS value FROM lineitem), p AS (SELECT DISTINCT answer_id, paper FROM r),
+n AS (SELECT answer_id, count(*) AS n FROM p GROUP BY 1 HAVING count(*) > 1), c AS (SELECT n.answer_id, m, x FROM n JOIN p USING (answer_id), (VALUES (3), (5)) AS a(m), (VALUES (1), (2)) AS b(x) WHERE (p.answer_id + p.paper * x) % m > 0 GROUP BY n.answer_id, m, x, n.n HAVING count(*) = n.n),
+ok AS (SELECT answer_id FROM c GROUP BY 1 HAVING count(DISTINCT m) = 2), f AS (SELECT answer_id, model, paper, arg_min(value, ord) AS value, min(ord) AS ord FROM r GROUP BY 1, 2, 3),
+s AS (SELECT answer_id, model, row_number() OVER (PARTITION BY answer_id ORDER BY min(paper * 1000000000000 + ord), model) AS place FROM f GROUP BY 1, 2)
+SELECT s.answer_id, place, s.model, p.paper, coalesce(f.value, 'N/A') AS value FROM s JOIN ok USING (answer_id) JOIN p USING (answer_id) LEFT JOIN f ON f.answer_id = s.answer_id AND f.model = s.model AND f.paper = p.paper""")
 def c10_cross_paper_results(spark, d):
-    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") % 500).alias("comparison_id"), F.concat("l_returnflag", "l_linestatus").alias("model"), F.col("l_returnflag").alias("paper"), F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
-    return answers.cross_paper_results(rows, ["A", "N", "R"])
+    paper = F.col("l_linenumber") % 3
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("answer_id"), paper.alias("paper"), (F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("ord"), F.concat("l_returnflag", "l_linestatus").alias("model"), F.col("l_suppkey").cast("string").alias("value"))
+    some = lambda m: F.filter(F.array(F.lit("1"), F.lit("2")), lambda x: (F.col("answer_id") + F.col("paper") * x.cast("int")) % m > 0)
+    return answers.cross_paper_results(rows, rows.select("answer_id", "paper").distinct().withColumns({"metrics": some(3), "datasets": some(5)}))
 
 
-@query("SELECT o_orderkey, 'What is ' || o_orderpriority || '?|second' AS questions FROM orders")
+@query(r"""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text ELSE replace(text, ' ', chr(10) || ' - ') || chr(10) || '--' END AS text FROM conversations),
+q AS (SELECT conv_id, turn, list_filter(list_transform(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: starts_with(x, '-')), lambda x: regexp_replace(regexp_replace(x, '^-+', ''), '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1:4] AS q FROM t)
+SELECT conv_id, turn, array_to_string(CASE WHEN len(q) > 0 THEN q ELSE """ + _sql_list(answers.DEFAULT_QUESTIONS) + r""" END, '|') AS questions FROM q""")
 def c11_parse_questions(spark, d):
-    raw = F.concat(F.lit("Here:\n - What is "), "o_orderpriority", F.lit("?\n--second\n-\nend"))
-    return table(spark, d, "orders").select("o_orderkey", F.array_join(answers.parse_questions(raw), "|").alias("questions"))
+    """Words as lines with a dash in two of three turns; the third has the default questions."""
+    raw = F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(F.concat(F.replace("text", F.lit(" "), F.lit("\n - ")), F.lit("\n--")))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(answers.parse_questions(raw), "|").alias("questions"))
+
+
+def _formula_line_sql() -> str:
+    slashes = "length(regexp_replace(c, '[^\\\\]', '', 'g'))"
+    long = lambda n: f"len(regexp_extract_all(c, '\\b[A-Za-z]{{{n},}}\\b'))"
+    valid = (
+        f"NOT (c = '' OR contains(c, '##') OR ends_with(c, ':') OR (length(c) > 220 AND NOT contains(c, '=') AND {slashes} = 0)) AND (regexp_matches(c, '{answers.DELIMITED}') OR contains(c, '=') OR ({slashes} >= 2 AND {long(3)} <= 6)"
+        f" OR (length(regexp_replace(c, '[^=<>^_{{}}()\\[\\]+\\-/*]', '', 'g')) >= 4 AND {long(3)} <= 4 AND length(c) <= 120))"
+    )
+    score = f"CASE WHEN regexp_matches(c, '{answers.SIGNAL}') THEN 5 ELSE 0 END + 2 * {slashes} + length(regexp_replace(c, '[^=<>^_{{}}()\\[\\]]', '', 'g')) - CASE WHEN {long(4)} > 5 AND NOT contains(c, '=') THEN 4 ELSE 0 END"
+    return f"""WITH {FORMULA_SQL}, l AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\\s+|\\s+$', '', 'g') AS c, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM fdocs), s AS (SELECT *, {score} AS score FROM l),
+t AS (SELECT doc_id, 3 AS tier, arg_max(c, score * 1000000 - i) AS c FROM s WHERE score > 0 GROUP BY 1 UNION ALL SELECT doc_id, 2, regexp_replace(regexp_extract(text, '{answers.DELIMITED}', 1), '^\\s+|\\s+$', '', 'g') FROM fdocs UNION ALL SELECT doc_id, 1, CASE doc_id % 5 WHEN 0 THEN '$x$' WHEN 1 THEN 'a = b:' ELSE '' END FROM fdocs),
+v AS (SELECT doc_id, arg_min(c, tier) AS line FROM t WHERE {valid} GROUP BY 1) SELECT f.doc_id, coalesce(line, '') AS line FROM fdocs f LEFT JOIN v ON v.doc_id = f.doc_id"""
 
 
-@query("SELECT o_orderkey, 'E_{' || CAST(o_orderkey AS VARCHAR) || '} = m c^2' AS line FROM orders")
+@query(_formula_line_sql())
 def m05_best_formula_line(spark, d):
-    text = F.concat(F.lit("Some words here\nE_{"), F.col("o_orderkey").cast("string"), F.lit("} = m c^2\na = b\n"))
-    return table(spark, d, "orders").select("o_orderkey", answers.best_formula_line(text).alias("line"))
+    given = F.when(F.col("doc_id") % 5 == 0, " $x$").when(F.col("doc_id") % 5 == 1, "a = b:")
+    return _fdocs(spark, d).select("doc_id", answers.best_formula_line(given, F.col("text")).alias("line"))
 
 
 @query("WITH a AS (SELECT l_returnflag AS title, 'P' || CAST(l_suppkey % 9 AS VARCHAR) AS asset_id, l_returnflag || l_linestatus AS kind, l_linestatus AS text, l_orderkey * 10 + l_linenumber AS ord FROM lineitem) SELECT title, asset_id, kind, substr(sha256(asset_id || '|' || kind || '|' || text), 1, 12) AS digest, min(ord) AS ord FROM a GROUP BY 1, 2, 3, 4")
@@ -338,11 +416,6 @@ def m09_dedup_assets(spark, d):
     return answers.dedup_assets(a)
 
 
-@query()
-def m11_chat_blocks(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(answers.split_parts(F.col("text"), 320)).alias("part", "content"))
-
-
 @query()
 def n01_keyword_text(spark, d):
     c = fx.chunks(spark, d).select(F.col("paper_id").alias("doc_id"), "ord", "text", (F.col("ord") % 4 == 1).alias("is_priority"))
@@ -363,12 +436,19 @@ def v05_rerank_candidates(spark, d):
     return verification.rerank_candidates(claims, sources, k=1)
 
 
-@query("""WITH p AS (SELECT event_id, user_id AS paper_id, user_id % 20 AS batch_id, ts, CASE event_id % 4 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'Completed' WHEN 2 THEN 'completed' ELSE 'queued' END AS status FROM events), l AS (SELECT batch_id, paper_id, arg_max(lower(status), struct_pack(t := ts, e := event_id)) AS s FROM p GROUP BY 1, 2)
-SELECT batch_id, count(*) AS total, count(*) FILTER (WHERE s = 'completed') AS completed, count(*) FILTER (WHERE s = 'failed') AS failed, bool_and(s IN ('completed', 'failed')) AS done FROM l GROUP BY 1""")
+@query("""WITH p AS (SELECT event_id, user_id AS paper_id, user_id % 20 AS batch_id, ts, CASE event_id % 4 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'Completed' WHEN 2 THEN 'completed' ELSE 'queued' END AS status FROM events WHERE user_id % 9 > 0),
+b AS (SELECT DISTINCT user_id % 20 AS batch_id, user_id AS paper_id, min(ts) OVER (PARTITION BY user_id % 20) + INTERVAL 1 DAY * (user_id % 20) AS started FROM events),
+l AS (SELECT p.batch_id, p.paper_id, arg_max(lower(status), struct_pack(t := ts, e := event_id)) AS s FROM p JOIN b ON b.batch_id = p.batch_id AND b.paper_id = p.paper_id WHERE epoch_us(ts) <= epoch_us(started) + 660000000 GROUP BY 1, 2),
+c AS (SELECT b.batch_id, count(*) AS total, count(*) FILTER (WHERE s = 'completed') AS n, bool_and(coalesce(s, 'failed') IN ('completed', 'failed')) AS done FROM b LEFT JOIN l ON l.batch_id = b.batch_id AND l.paper_id = b.paper_id GROUP BY 1)
+SELECT batch_id, total, CASE WHEN done THEN n ELSE 0 END AS completed, CASE WHEN done THEN total - n ELSE 0 END AS failed, done, NOT done AS timed_out FROM c""")
 def e04_batch_complete(spark, d):
+    """Batches start a day apart, so that some end before their time is up."""
     status = F.get(F.array(*[F.lit(x) for x in ("FAILED", "Completed", "completed", "queued")]), (F.col("event_id") % 4).cast("int"))
-    events = table(spark, d, "events").select("event_id", F.col("user_id").alias("paper_id"), (F.col("user_id") % 20).alias("batch_id"), "ts", status.alias("status"))
-    return library.batch_complete(events)
+    all_events, batch = table(spark, d, "events"), F.col("user_id") % 20
+    first = all_events.groupBy(batch.alias("batch_id")).agg((F.min("ts") + F.make_dt_interval(F.first(batch).cast("int"))).alias("started"))
+    batches = all_events.select(batch.alias("batch_id"), F.col("user_id").alias("paper_id")).distinct().join(first, "batch_id")
+    events = all_events.where("user_id % 9 > 0").select("event_id", F.col("user_id").alias("paper_id"), batch.alias("batch_id"), "ts", status.alias("status"))
+    return library.batch_complete(events, batches)
 
 
 @query("SELECT conv_id, max(turn) AS last_turn, row_number() OVER (ORDER BY max(turn) DESC, conv_id) AS place FROM conversations GROUP BY conv_id")

@@ -133,12 +133,49 @@ def test_citations(spark):
     v = spark.createDataFrame([(1, "ab_P1"), (1, "ab_P2"), (1, "ab_P9"), (1, "cd_P9")], "answer_id int, paragraph_id string")
     rows = {r["answer_id"]: (r["text"], r["has_citations"]) for r in verification.validate_citations(a, v).collect()}
     assert rows == {1: ("See [ab_P1] and [ab_P2] and .", True), 2: ("None.", False)}
-    found = answers.cited_sentences(spark.createDataFrame([(1, "One. [P1] Two [ab_p2]. [T3] x")], "answer_id int, text string")).orderBy("place").collect()
-    assert [(r["text"], r["refs"]) for r in found] == [("One. [P1] Two [ab_p2]. [T3] x", ["P1", "P2", "T3"])]
+    said = spark.createDataFrame([(1, "One. [P1] Two [ab_p2]. [T3] x"), (2, "No ref.")], "answer_id int, text string")
+    results = spark.createDataFrame([(1, 2, "P1", "ab_P1", 0.9), (1, 1, "P1", "cd_P1", 0.2), (1, 3, "T3", "ab_T3", 0.7), (2, 1, "P1", "x", 1.0), (1, 4, "", "none", 1.0)], "answer_id int, ord int, ref string, paragraph_id string, score double")
+    found = answers.cited_sentences(said, results).orderBy("answer_id").collect()
+    assert [(r["text"], r["refs"], r["score"], r["level"]) for r in found] == [("One. [P1] Two [ab_p2]. [T3] x", ["P1", "P2", "T3"], 0.9, "high"), ("No ref.", [], None, None)]
+    assert [(i["ref"], i["paragraph_id"]) for i in found[0]["items"]] == [("P1", "cd_P1"), ("T3", "ab_T3")] and found[1]["items"] is None
+
+
+def test_model_output_is_read_as_papers(spark):
+    texts = ['[{"metrics": "f1", "results": [{"model": "a", "value": 1.5, "dataset": ""}, {"model": "N/A"}, {"value": " "}]}, {"metrics": ["f1", "x"]}]', 'so {"results": {"model": "b"}} end', "none", None, "[1, 2", ""]
+    papers = answers.extracted_papers(spark.createDataFrame(list(enumerate(texts)), "answer_id int, text string"))
+    got = sorted(tuple(r) for r in answers.evaluation_results(papers).collect())
+    assert got == [(0, 0, 0, "Unknown", "a", "1.5")]  # results that are no list have no rows
+    assert sorted((r["answer_id"], r["paper"], r["metrics"], r["datasets"]) for r in answers.paper_benchmarks(papers).collect()) == [(0, 0, ["f1"], []), (0, 1, ["f1", "x"], []), (1, 0, [], [])]
+
+
+def test_only_answers_with_shared_benchmarks_are_compared(spark):
+    results = spark.createDataFrame([(1, 0, 5, "m", "v1"), (1, 0, 6, "m", "v2"), (1, 1, 1, "n", "w"), (2, 0, 1, "m", "v")], "answer_id int, paper int, ord int, model string, value string")
+    shared = spark.createDataFrame([(1, 0, ["f", "g"], ["d"]), (1, 1, ["g"], ["d", "e"]), (2, 0, ["f"], ["d"])], "answer_id int, paper int, metrics array<string>, datasets array<string>")
+    got = sorted(tuple(r) for r in answers.cross_paper_results(results, shared).collect())
+    assert got == [(1, 1, "m", 0, "v1"), (1, 1, "m", 1, "N/A"), (1, 2, "n", 0, "N/A"), (1, 2, "n", 1, "w")]
+    apart = shared.where("paper = 0").union(spark.createDataFrame([(1, 1, ["h"], ["d"])], shared.schema))
+    assert answers.cross_paper_results(results, apart).count() == 0
+
+
+def test_rows_of_words_hang_on_their_first(spark):
+    words = spark.createDataFrame(
+        [(1, 0, 0.0, 40.0, 0.0, 10.0, "Ann1"), (1, 1, 50.0, 90.0, 45.0, 55.0, "Lee*"), (1, 2, 300.0, 340.0, 0.0, 10.0, "Google"), (1, 3, 0.0, 40.0, 60.0, 70.0, "Bob"), (1, 4, 60.0, 90.0, 60.0, 70.0, "Ray"), (1, 5, 200.0, 230.0, 60.0, 70.0, "AI Lab"), (1, 6, 500.0, 530.0, 60.0, 70.0, "x@y.org")],
+        "doc_id int, word_idx int, x0 double, x1 double, y0 double, y1 double, text string",
+    )
+    assert sorted((r["row"], r["name"]) for r in extraction.group_words(words).collect()) == [(0, "Ann Lee"), (1, "Bob Ray")]
+
+
+def test_tables_need_content_and_take_near_captions(spark):
+    text = "Table 2: Of all\n\n| aa | bb |\n|---|---|\n| 1 | 2 |\n\n| 1 | 2 |\n| 3 | 4 |\n\nx\n| cc | dd |\n| e | ff |"
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(text.split("\n"))], "doc_id int, line_no int, text string")
+    assert [(r["number"], r["first_line"], r["caption"]) for r in extraction.extract_md_tables(lines).orderBy("number").collect()] == [(1, 2, "Table 2: Of all"), (2, 10, "Table 2")]
+    columns = "doc_id int, ord int, page int, y0 double, content string"
+    texts, natives = spark.createDataFrame([(1, 1, 2, None, "a"), (1, 2, 1, None, "b"), (1, 3, 0, 9.0, "b")], columns), spark.createDataFrame([(1, 1, 1, 5.0, "b "), (1, 2, 0, None, "c"), (1, 3, 1, 1.0, "b")], columns)
+    assert [(r["number"], r["page"], r["y0"], r["content"]) for r in extraction.merge_tables(texts, natives).orderBy("number").collect()] == [(1, 0, None, "c"), (2, 1, 5.0, "b "), (3, 2, None, "a")]
 
 
 def test_parts_are_cut_at_blanks(spark):
-    assert one(spark, answers.split_parts(F.lit("aa bb cccccccc d"), 5)) == ["aa bb", "ccccc", "ccc d"]
+    assert one(spark, answers.split_parts(F.lit("aa bb cccccccc d"), 5)) == ["aa", "bb", "ccccc", "ccc d"]
 
 
 def test_formula_signs(spark):
@@ -259,6 +296,7 @@ def test_entry_and_names(spark):
 
 SAMPLE = [
     "x02_tables_from_boxes", "x16_extract_title", "d07_sections_from_boxes", "m01_markdown_blocks", "c05_parse_comparison", "v08_correct_citations", "v13_table_region", "n10_highlight_items", "e08_cooldowns", "f02_noise_reason", "k06_formula_chunks", "r06_paper_boosts",
+    "x01_extract_md_tables", "x14_figure_references", "x22_group_words", "v12_locate_caption", "m04_pipe_table_rows", "m05_best_formula_line", "m06_drop_low_value_messages", "m11_chat_blocks", "m12_paper_fields", "c11_parse_questions", "a10_cited_sentences", "e04_batch_complete", "e10_usage_summary",
     "s03_drop_duplicate_content", "d02_page_of_offset", "d05_split_sections", "r05_classify_query", "r12_add_non_text", "v04_best_source", "a07_attribution_summary", "e05_rolling_usage", "n06_comparison_contexts",
 ]
 
