@@ -5,6 +5,7 @@ import math
 import random
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -313,7 +314,7 @@ def test_queries_equal_their_sql(spark, sf_dir, name):
     assert sorted(a.columns) == sorted(b.columns)
 
     def rows(df):
-        value = lambda v: None if v is None or v != v else round(float(v), 5) if isinstance(v, int | float) or hasattr(v, "dtype") else v
+        value = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 5) if isinstance(v, int | float) or hasattr(v, "dtype") else v
         return sorted((tuple(map(value, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=str)
 
     assert rows(a) == rows(b) and not math.isnan(len(a))
