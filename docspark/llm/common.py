@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -54,6 +55,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Rounds:
+    """Tables that replace each other in the shared checkpoint folder: each is written whole before the one that it was made from goes."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.folder}/{self.n}")
+        if self.n > 1:
+            remove(self.spark, f"{self.folder}/{self.n - 1}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
+
+    def remove(self) -> None:
+        remove(self.spark, self.folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def computed(rows: DataFrame, inputs: list[str], outputs: str, make: Callable[[], Callable[..., tuple]]) -> DataFrame:
     """``rows`` with the columns ``inputs`` replaced by ``outputs`` (DDL), computed row by row in Arrow batches.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docspark.llm import quality_rules, vector_codes
 from docspark.llm.common import UPPER
 from docspark.llm.license_scan import BASE, NOT_WORD, WORDINGS
 from docspark.llm.url_filter import MARKS, RULES
@@ -44,4 +45,58 @@ kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) AS text FROM
 c AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN c.n IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text, coalesce(len(string_split(d.text, chr(10))), 0) AS lines_before, coalesce(c.n, 0) AS lines_removed FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN c USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op1_license_scan": _op1(), "op8_url_filter": _op8(), "op9_line_dedup": OP9}
+def _op11() -> str:
+    parts, entries, rounds = vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS
+    apart = "list_sum(list_transform(generate_series(1, len(p.y)), lambda i: (p.y[i] - b.y[i]) * (p.y[i] - b.y[i])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS MATERIALIZED (SELECT p.id, p.part, b.entry, {apart}::BIGINT AS d FROM p JOIN b{r} b USING (part)),
+a{r} AS MATERIALIZED (SELECT id, part, min(struct_pack(d := d, entry := entry)) AS best FROM d{r} GROUP BY id, part)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT part, best.entry AS entry, unnest(p.y) AS v, generate_subscripts(p.y, 1) AS i FROM a{r} JOIN p USING (id, part)),
+m{r} AS (SELECT part, entry, list(m ORDER BY i) AS y FROM (SELECT part, entry, i, floor(sum(v)::DOUBLE / count(*))::BIGINT AS m FROM s{r} GROUP BY part, entry, i) GROUP BY part, entry),
+b{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.y, b.y) AS y FROM b{r} b LEFT JOIN m{r} m ON m.part = b.part AND m.entry = b.entry)""")
+    return f"""WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS x FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT id, part, x[part * len(x) // {parts} + 1 : (part + 1) * len(x) // {parts}] AS y FROM v, (SELECT unnest(generate_series(0, {parts - 1})) AS part)),
+b0 AS (SELECT part, id AS entry, y FROM p WHERE id < {entries}),
+{",".join(steps)},
+books AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(y) AS v, generate_subscripts(y, 1) AS i FROM b{rounds})),
+coded AS (SELECT id, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN v USING (id), books"""
+
+
+def _op12() -> str:
+    q = quality_rules
+    text = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    count = lambda pattern: f"len(regexp_extract_all(line, {text(pattern)}))"
+    rule = f"""CASE WHEN words = 0 THEN NULL WHEN words <= 20 AND regexp_matches(line, {text(q.BOILERPLATE_LINE)}) THEN 'boilerplate'
+WHEN (bars >= 2 AND words <= 4 * (bars + 1)) OR (words <= 4 AND regexp_matches(line, {text(q.MENU_LINE)}) AND NOT ends) THEN 'navigation' WHEN 2 * marked > words OR (words >= 4 AND NOT ends) THEN 'punctuation' END"""
+    white = r"[\x20\x09-\x0D]"
+    return f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), {text(white + "+")}), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, list_transform(generate_series(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS windows FROM w),
+t AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, joint) AS n FROM (SELECT doc_id, unnest(windows) AS joint, generate_subscripts(windows, 1) AS pos FROM g)),
+r AS (SELECT doc_id, count(DISTINCT pos + k) AS n_repeat_words FROM t, (VALUES (0), (1), (2)) AS o(k) WHERE n > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+c AS (SELECT *, {count(q.WORD)} AS words, {count(q.BAR)} AS bars, {count(q.MARKED_WORD)} AS marked, length(regexp_replace(line, {text(white)}, '', 'g')) AS chars, regexp_matches(line, {text(q.SENTENCE_END)}) AS ends FROM l),
+j AS (SELECT *, {rule} AS rule FROM c),
+s AS (SELECT doc_id, count(*) AS n_lines, count(line) FILTER (words > 0) - count(DISTINCT line) FILTER (words > 0) AS n_dup_lines, {", ".join(f"count(*) FILTER (rule = '{x}') AS {x}_lines" for x in q.RULES)}, coalesce(sum(chars) FILTER (rule IS NOT NULL), 0) AS lost FROM j GROUP BY doc_id),
+a AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(text, {text(white)}, '', 'g')) AS word_chars, length(regexp_replace(text, {text(q.SYMBOL.replace("[", "[^"))}, '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < {q.LEAST_WORDS} OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed, coalesce(lost, 0) AS lost, coalesce(n_lines, 0) AS n_lines, {", ".join(f"coalesce({x}_lines, 0) AS {x}_lines" for x in q.RULES)} FROM w LEFT JOIN r USING (doc_id) LEFT JOIN s USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= {q.MAX_LOST} * word_chars AS kept, n_lines, {", ".join(f"{x}_lines" for x in q.RULES)} FROM a"""
+
+
+#: The CRC is taken bit by bit, since DuckDB has no function for it: a byte is mixed in, then eight shifts (-1).
+OP13 = """WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '') AS k, strlen(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT c FROM t),
+bits AS (SELECT c, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295::BIGINT) % 9 AS h FROM ids),
+r AS (SELECT b.c, t.n, t.k, t.size FROM bits b JOIN t ON t.c = b.c - b.c % 5 AND t.n <= b.h UNION ALL SELECT b.c, b.h + t.n, t.k, t.size FROM bits b JOIN t ON t.c = b.c AND t.n > b.h),
+p AS (SELECT ids.c, coalesce(list(k ORDER BY n) FILTER (k IS NOT NULL), []) AS path, coalesce(list(size ORDER BY n) FILTER (k IS NOT NULL), []) AS sizes FROM ids LEFT JOIN r ON r.c = ids.c GROUP BY ids.c),
+m AS (SELECT c, len(path) AS turns, unnest(generate_series(0, len(path))) AS d, path, sizes FROM p),
+nodes AS (SELECT path[1:d] AS node, d, min(c) AS conv_id, count(*) AS n_convs, CASE WHEN d > 0 THEN (count(*) - 1) * any_value(sizes[d]) ELSE 0 END AS saved, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (turns = d), '')) AS ends_sha256 FROM m GROUP BY path[1:d], d),
+kids AS (SELECT node[1:d - 1] AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+full_ AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (node)),
+sums AS (SELECT node[1:k] AS node, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(generate_series(0, d)) AS k FROM full_) GROUP BY 1)
+SELECT f.conv_id, f.d AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256 FROM full_ f JOIN sums s USING (node) LEFT JOIN full_ up ON f.d > 0 AND up.node = f.node[1:f.d - 1]"""
+
+ORACLES: dict[str, str] = {"op1_license_scan": _op1(), "op8_url_filter": _op8(), "op9_line_dedup": OP9, "op11_vector_codes": _op11(), "op12_quality_rules": _op12(), "op13_prefix_trie": OP13}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import bpe, fingerprint, html_text, license_scan, line_dedup, media, mixing, neighbours, simhash, toxicity, url_filter
+from docspark.llm import bpe, fingerprint, html_text, license_scan, line_dedup, media, mixing, neighbours, prefix_trie, quality_rules, simhash, toxicity, url_filter, vector_codes
 from docspark.llm.common import dealt, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -84,6 +84,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    codes = vector_codes.with_label_errors(made.codes)
+    return codes.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(made.sha256()).alias("codebooks_sha256"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.clean_documents(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), with_text=False).drop("lost")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_nodes(prefix_trie.rebuilt_paths(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,5 +105,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_fingerprint, op3_bpe, op4_media, op5_html_text, op6_mixing, op7_toxicity, op8_url_filter, op9_line_dedup, op10_simhash, pipeline)
+    f.__name__: f for f in (op1_license_scan, op2_fingerprint, op3_bpe, op4_media, op5_html_text, op6_mixing, op7_toxicity, op8_url_filter, op9_line_dedup, op10_simhash, op11_vector_codes, op12_quality_rules, op13_prefix_trie, pipeline)
 }
