@@ -141,14 +141,17 @@ def merge_tables(texts: DataFrame, natives: DataFrame) -> DataFrame:
     """doc_id, number, page, y0, content of the tables of two readers (doc_id, ord, page, y0, content; y0 is null without a box), each once by its first 200 characters.
 
     The first counts, those of the text before the native ones; the first native one with a box replaces one without.  Numbers go by page and y0 (0 without a box), then by the place of the first.
+    Tables of one place follow each other by page, box (those without one last) and content, so the order of the rows never matters.
     """
     key = F.trim(F.substring("content", 1, 200))
     columns = ["ord", "page", "y0", "content"]
-    first = texts.groupBy("doc_id", key.alias("key")).agg(F.min_by(F.struct(*columns), "ord").alias("r")).select("doc_id", "key", "r.*", F.lit(0).alias("source"))
+    no_box = F.col("y0").isNull()
+    first = texts.groupBy("doc_id", key.alias("key")).agg(F.min_by(F.struct(*columns), F.struct("ord", "page", no_box, "y0", "content")).alias("r")).select("doc_id", "key", "r.*", F.lit(0).alias("source"))
     both = first.unionByName(natives.select("doc_id", key.alias("key"), *columns, F.lit(1).alias("source")))
     place = F.struct("source", "ord")
-    merged = both.groupBy("doc_id", "key").agg(F.min_by(F.struct("page", "y0", "content"), F.struct(F.col("y0").isNull(), place)).alias("t"), F.min(place).alias("place")).select("doc_id", "t.*", "place")
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", F.coalesce("y0", F.lit(0.0)), "place"))
+    best = F.min_by(F.struct("page", "y0", "content"), F.struct(no_box, place, "page", "y0", "content"))
+    merged = both.groupBy("doc_id", "key").agg(best.alias("t"), F.min(place).alias("place")).select("doc_id", "t.*", "place")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", F.coalesce("y0", F.lit(0.0)), "place", "content"))
     return merged.select("doc_id", number.alias("number"), "page", "y0", "content")
 
 
@@ -158,8 +161,9 @@ def row_boxes(cells: DataFrame) -> DataFrame:
 
 
 def first_by_key(df: DataFrame, keys: list[str], has_bbox: str, ord_: str) -> DataFrame:
-    """One row per key: the first, unless it has no box and a later one has (tables and figures from two readers)."""
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in df.columns if c not in keys]), F.struct((~F.col(has_bbox)).cast("int"), ord_)).alias("r")).select(*keys, "r.*")
+    """One row per key: the first, unless it has no box and a later one has (tables and figures from two readers); rows of one place go by their other columns, null first."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct((~F.col(has_bbox)).cast("int"), ord_, *rest)).alias("r")).select(*keys, "r.*")
 
 
 def is_formula(c: Column) -> Column:

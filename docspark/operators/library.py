@@ -123,6 +123,27 @@ def batch_complete(events: DataFrame, batches: DataFrame, timeout_s: float = 600
     return counted.select("batch_id", "total", F.when(F.col("done"), F.col("n")).otherwise(0).alias("completed"), F.when(F.col("done"), F.col("total") - F.col("n")).otherwise(0).alias("failed"), "done", (~F.col("done")).alias("timed_out"))
 
 
+def batch_completions(events: DataFrame, batches: DataFrame, timeout_s: float = 600.0, grace_s: float = 60.0) -> DataFrame:
+    """batch_id, at (microseconds), total, completed, failed, done: the first moment at which all papers of a batch are settled, or else its deadline (then completed and failed are 0).
+
+    A paper is settled while its last status is completed or failed, whatever the case, or null (it is gone, and counts as failed); before its first event it is pending.  Events of one time go by
+    event_id; events of papers that are not the batch's do not count.  Only changes of a paper's state are put in order across the batch.
+    """
+    deadline = F.unix_micros(F.min("started").cast("timestamp")) + round((timeout_s + grace_s) * 1e6)
+    known = batches.groupBy("batch_id").agg(F.countDistinct("paper_id").alias("total"), deadline.alias("deadline"))
+    members = batches.select("batch_id", "paper_id").distinct().join(known, "batch_id")
+    timely = events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).join(members, ["batch_id", "paper_id"]).where("at <= deadline")
+    status, of_paper = F.lower("status"), Window.partitionBy("batch_id", "paper_id").orderBy("at", "event_id")
+    state = F.struct((F.isnull(status) | status.isin("completed", "failed")).cast("int").alias("settled"), F.coalesce((status == "completed").cast("int"), F.lit(0)).alias("completed"))
+    changes = timely.withColumn("now", state).withColumn("was", F.coalesce(F.lag("now").over(of_paper), F.struct(F.lit(0).alias("settled"), F.lit(0).alias("completed")))).where("now <> was")
+    running = Window.partitionBy("batch_id").orderBy("at", "event_id", "paper_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = changes.select("batch_id", "at", "event_id", "total", *[F.sum(F.col(f"now.{c}") - F.col(f"was.{c}")).over(running).alias(c) for c in ("settled", "completed")])
+    first = summed.where("settled = total").groupBy("batch_id").agg(F.min(F.struct("at", "event_id", "completed")).alias("f"))
+    found = known.join(first, "batch_id", "left")
+    done = F.col("f").isNotNull()
+    return found.select("batch_id", F.coalesce("f.at", "deadline").alias("at"), "total", F.coalesce("f.completed", F.lit(0)).cast("long").alias("completed"), F.when(done, F.col("total") - F.col("f.completed")).otherwise(0).cast("long").alias("failed"), done.alias("done"))
+
+
 def sessions_recent(sessions: DataFrame, key: str, last: str) -> DataFrame:
     """Adds ``place``: newest first, ties by key. Rows are ranked within each value of ``last``; what stands before it comes from the counts of the values, a small table."""
     counts = sessions.groupBy(last).agg(F.count("*").alias("n"))

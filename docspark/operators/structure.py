@@ -45,20 +45,41 @@ def raw_sentences(text: Column) -> Column:
 #: Stands for a sentence end while fragments are joined; no text has it.
 END = "\x01"
 
-#: Sentence ends that are none, as (pattern, passes): neighbouring matches share a character, so every other one waits for the next pass.
-JOINED = [
-    (rf"(?i)(^|[^\p{{L}}\p{{N}}_])((?:{ABBREVIATIONS})\.|(?:Figure|Table|Equation)\s+\d+\.){END}", 2),  # after an abbreviation or the number of a figure
-    (rf"(^|{END})((?:[^\s{END}]+\s+){{0,2}}[^\s{END}]*\]\.){END}", 3),  # a citation with at most two words before it
-]
+#: Sentence ends that are none, after an abbreviation or the number of a figure, as (pattern, replacement, passes): neighbouring abbreviations share a character, so every other one waits for a second pass.
+JOINED = [(rf"(?i)(^|[^\p{{L}}\p{{N}}_])((?:{ABBREVIATIONS})\.){END}", "$1$2 ", 2), (rf"(?i)((?:Figure|Table|Equation)\s+\d+\.){END}", "$1 ", 1)]
+
+#: A citation ends a sentence only if that has so many words.
+CITED_WORDS = 4
+
+
+def _cited(pieces: Column) -> Column:
+    """Pieces that end in a citation joined to the next while the joined text has fewer than ``CITED_WORDS`` words; its words count from the last end that stands."""
+    words = lambda s: F.size(F.array_remove(F.split(s, r"\s+"), ""))
+    sized = F.transform(pieces, lambda s: F.struct(s.alias("text"), words(s).alias("n"), s.rlike(r"\]\.\s*$").alias("cited")))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("open"), F.lit(0).alias("n"))
+
+    def step(acc: Column, s: Column) -> Column:
+        text = F.when(acc["open"] == "", s["text"]).otherwise(F.concat(acc["open"], F.lit(" "), s["text"]))
+        goes_on = s["cited"] & (acc["n"] + s["n"] < CITED_WORDS)
+        return F.struct(F.when(goes_on, acc["out"]).otherwise(F.array_append(acc["out"], text)).alias("out"), F.when(goes_on, text).otherwise("").alias("open"), F.when(goes_on, acc["n"] + s["n"]).otherwise(0).alias("n"))
+
+    return F.aggregate(sized, start, step, lambda acc: F.when(acc["open"] == "", acc["out"]).otherwise(F.array_append(acc["out"], acc["open"])))
 
 
 def sentences(text: Column) -> Column:
-    """Fragments, those after an abbreviation or the like joined to the next by a blank; each step is one pass over the text."""
+    """Fragments, those after an abbreviation or the like joined to the next by a blank.
+
+    Abbreviations are found by passes over the marked text, as they show at the end of a fragment; a short text that ends in a citation depends on what was joined before, so only texts with such an end are folded.
+    """
     marked = F.regexp_replace(F.translate(text, END, " "), r'(?<=[.!?])\s+(?=[A-Z"])', END)
-    for pattern, passes in JOINED:
+    for pattern, to, passes in JOINED:
         for _ in range(passes):
-            marked = F.regexp_replace(marked, pattern, "$1$2 ")
-    return F.filter(F.transform(F.split(marked, END), lambda s: F.trim(s)), lambda s: s != "")
+            marked = F.regexp_replace(marked, pattern, to)
+
+    def split(joined: Column) -> Column:
+        return F.when(joined.contains(f"].{END}"), _cited(F.split(joined, END))).otherwise(F.split(joined, END))
+
+    return F.filter(F.transform(let(marked, split), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def sentence_map(text: Column, paragraph_id: Column) -> Column:

@@ -1,63 +1,146 @@
-"""Exact search over vectors: query blocks meet vector blocks, each pair of blocks is one matrix product.
+"""Exact search over vectors with bounds.
 
-Neither side is broadcast or collected.  Both are packed into blocks of bounded size, a task multiplies one pair at a time and keeps the best ``k`` of
-each query (and paper), and a window takes the best of those.
+Vectors lie in cells with their distance to the cell's centre.  For a query q, a centre c and a vector x of its cell, q x = q c + q (x - c) is at most q c + |q| |x - c|, and with unit
+vectors the angle between q and x is at least that between q and c less that between c and x; so a cell's radius bounds the scores that it can hold.  Each query first meets its best cells, as many as hold ``k`` vectors; the k-th score found there is a floor, and of the other cells only those meet it whose bound
+reaches the floor.  So the rows are those of a full comparison, ties included, and ``search_share`` tells how much of one was needed.
+
+A cell's queries and vectors meet in blocks of bounded size, one matrix product each, that keep the best ``k`` of each query.  Neither side is broadcast or collected.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.functions.text import confidence
+from docspark.functions.text import confidence, let
+from docspark.operators.cells import BLOCK, Cells, largest, mapped, matrix
+from docspark.sources.scratch import kept
 
-BLOCK = 1024
+#: Scores are rounded to so many places; a bound must be above by ``SLACK`` to stand for a rounded score.
+PLACES, SLACK = 6, 1e-6
+
+FOUND = "query_id long, paper_id long, vec_id long, score double"
 
 
 def normalised(v: Column) -> Column:
     """Unit length in double precision; a zero vector stays."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
-
-
-def packed(df: DataFrame, key: str, columns: list[str], blocks: int) -> DataFrame:
-    """One row per block with an array of each column."""
-    block = F.pmod(F.xxhash64(key), F.lit(blocks))
-    return df.groupBy(block.alias("block")).agg(F.collect_list(F.struct(*columns)).alias("rows")).select("rows")
+    norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    divided = lambda a, n: F.transform(a, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    return let(v, lambda a: let(norm(a), lambda n: divided(a, n)))
+
+
+def _side(df: DataFrame, columns: dict[str, str], key: str, *by: str) -> DataFrame:
+    """Blocks of rows: ``by``, an array for each column, and ``flat``, the vectors one after the other."""
+    counts = kept(df.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("pieces")))
+    dealt = (df.join(counts, list(by)) if by else df.crossJoin(counts)).withColumn("piece", F.pmod(F.xxhash64(key), F.greatest("pieces", F.lit(1))).cast("int"))
+    rows = dealt.groupBy(*by, "piece").agg(F.collect_list(F.struct(*[F.col(c).alias(n) for n, c in columns.items()], F.col("vector").alias("v"))).alias("rows"))
+    field = lambda name: F.transform("rows", lambda r: r[name])
+    return rows.select(*by, *[field(n).alias(n) for n in columns], F.flatten(field("v")).alias("flat"))
+
+
+def _numbers(column: pa.Array, row: int) -> np.ndarray:
+    return column[row].values.to_numpy(zero_copy_only=False)
+
+
+def _products(pairs: DataFrame, k: int, *, unit: bool | None = None, per_paper: bool = False) -> DataFrame:
+    """The best ``k`` of each query (and paper) in each pair of blocks: query_ids, query_flat, and if bounds hold (``unit``: those of unit vectors) near, norms and floors; vec_ids, papers, flat, far."""
+
+    def of(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list[np.ndarray]] = {"query_id": [], "paper_id": [], "vec_id": [], "score": []}
+        column = lambda name, row: _numbers(batch.column(name), row)
+        for row in range(batch.num_rows):
+            queries, ids, papers = column("query_ids", row), column("vec_ids", row), column("papers", row)
+            q, v = column("query_flat", row).reshape(len(queries), -1), column("flat", row).reshape(len(ids), -1)
+            if unit is not None:
+                meets = largest(unit, column("near", row), column("norms", row), batch.column("far")[row].as_py()) + SLACK >= column("floors", row)
+                queries, q = queries[meets], q[meets]
+            scores = np.round(q @ v.T, PLACES)
+            for group in [papers == p for p in np.unique(papers)] if per_paper else [slice(None)]:
+                s, i, p = scores[:, group], ids[group], papers[group]
+                order = np.lexsort((np.broadcast_to(i, s.shape), -s), axis=1)[:, :k]
+                out["query_id"].append(np.repeat(queries, order.shape[1]))
+                out["paper_id"].append(p[order].ravel())
+                out["vec_id"].append(i[order].ravel())
+                out["score"].append(np.take_along_axis(s, order, 1).ravel())
+        return {name: np.concatenate(x) for name, x in out.items()}
+
+    return mapped(pairs, FOUND, of)
+
+
+def _first_cells(near: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """For each query a mask of its nearest cells, as many as hold ``k`` vectors."""
+    order = np.argsort(-near, axis=1, kind="stable")
+    before = np.cumsum(sizes[order], axis=1) - sizes[order]
+    mask = np.zeros(near.shape, bool)
+    np.put_along_axis(mask, order, before < k, axis=1)
+    return mask & (sizes > 0)
+
+
+def _asked(queries: DataFrame, cells: Cells, k: int, *, first: bool) -> DataFrame:
+    """query_id, cell, near, norm, floor, vector of each query and each cell that it meets: first the nearest ones, then those whose bound reaches its floor."""
+    centres, sizes, radii, unit = cells.centres, cells.sizes, cells.radii, cells.unit
+
+    def of(batch: pa.RecordBatch) -> dict:
+        q = matrix(batch.column("vector"))
+        near, norm = q @ centres.T, np.sqrt((q**2).sum(1))
+        chosen = _first_cells(near, sizes, k)
+        floor = np.full(len(q), -np.inf) if first else batch.column("floor").to_numpy(zero_copy_only=False)
+        if not first:
+            chosen = ~chosen & (sizes > 0) & (largest(unit, near, norm[:, None], radii) + SLACK >= floor[:, None])
+        row, cell = np.nonzero(chosen)
+        return {"query_id": batch.column("query_id").take(pa.array(row)), "cell": cell, "near": near[row, cell], "norm": norm[row], "floor": floor[row], "vector": batch.column("vector").take(pa.array(row))}
+
+    return mapped(queries, "query_id long, cell int, near double, norm double, floor double, vector array<double>", of)
+
+
+def _search(queries: DataFrame, vectors: DataFrame, k: int) -> tuple[DataFrame, list[DataFrame], Cells]:
+    """What each query's best ``k`` are among, and the cells that each query met in either round."""
+    queries = kept(queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector")))
+    cells = Cells.fit(vectors.where("vector is not null").select("vec_id", "paper_id", F.col("vector").cast("array<double>").alias("vector")), id_col="vec_id")
+    if not cells.sizes.sum():
+        return queries.sparkSession.createDataFrame([], FOUND), [], cells
+    blocks = kept(cells.blocks({"vec_ids": "vec_id", "papers": "paper_id"}, id_col="vec_id"))
+    columns = {"query_ids": "query_id", "near": "near", "norms": "norm", "floors": "floor"}
+
+    def met(asked: DataFrame) -> DataFrame:
+        return kept(_products(_side(asked, columns, "query_id", "cell").withColumnRenamed("flat", "query_flat").join(blocks, "cell"), k, unit=cells.unit))
+
+    asked = [kept(_asked(queries, cells, k, first=True))]
+    found = met(asked[0])
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    floors = found.withColumn("place", place).where(F.col("place") == k).select("query_id", F.col("score").alias("floor"))
+    floored = queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    asked.append(kept(_asked(floored, cells, k, first=False)))
+    return found.unionByName(met(asked[1])), asked, cells
 
 
 def best_pairs(queries: DataFrame, vectors: DataFrame, k: int, *, per_paper: bool = False) -> DataFrame:
     """query_id, paper_id, vec_id, score (6 places): the best ``k`` of each query, or of each query and paper, by score, then vec_id.
 
-    ``queries`` has query_id and vector, ``vectors`` has vec_id, paper_id and vector.
+    ``queries`` has query_id and vector, ``vectors`` has vec_id (unique), paper_id and vector, all of one length; rows without a vector are left out.  Each query and paper have a row for any k, so
+    ``per_paper`` compares all blocks with all blocks; the rest is searched by bounds.
     """
-    sides = []
-    for side, key in ((queries.select("query_id", "vector"), "query_id"), (vectors.select("vec_id", "paper_id", "vector"), "vec_id")):
-        sides.append(packed(side, key, side.columns, max(1, side.count() // BLOCK)))
-    pairs = sides[0].withColumnRenamed("rows", "q").crossJoin(sides[1].withColumnRenamed("rows", "v"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for q, v in zip(batch["q"], batch["v"], strict=True):
-                a = np.array([r["vector"] for r in q], dtype=np.float64)
-                b = np.array([r["vector"] for r in v], dtype=np.float64)
-                scores, ids = np.round(a @ b.T, 6), np.array([r["vec_id"] for r in v])
-                papers = np.array([r["paper_id"] for r in v])
-                for group in [papers == p for p in np.unique(papers)] if per_paper else [np.ones(len(ids), bool)]:
-                    s, i, p = scores[:, group], ids[group], papers[group]
-                    order = np.lexsort((np.broadcast_to(i, s.shape), -s), axis=1)[:, :k]
-                    n = order.shape[1]
-                    yield pd.DataFrame({"query_id": np.repeat([r["query_id"] for r in q], n), "paper_id": p[order].ravel(), "vec_id": i[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-
-    found = pairs.mapInPandas(run, "query_id long, paper_id long, vec_id long, score double")
+    if per_paper:
+        sides = [_side(side.where("vector is not null").withColumn("vector", F.col("vector").cast("array<double>")), columns, key) for side, columns, key in ((queries, {"query_ids": "query_id"}, "query_id"), (vectors, {"vec_ids": "vec_id", "papers": "paper_id"}, "vec_id"))]
+        found = _products(sides[0].withColumnRenamed("flat", "query_flat").crossJoin(sides[1]), k, per_paper=True)
+    else:
+        found, _, _ = _search(queries, vectors, k)
     w = Window.partitionBy("query_id", *["paper_id"] * per_paper).orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def search_share(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, cells, cells_met, vectors, vectors_met: how much of a full comparison the search of each query needs."""
+    _, asked, cells = _search(queries, vectors, k)
+    sizes = queries.sparkSession.createDataFrame([(c, int(n)) for c, n in enumerate(cells.sizes)], "cell int, n long")
+    met = [a.select("query_id", "cell") for a in asked]
+    of = met[0].unionByName(met[1]).join(F.broadcast(sizes), "cell").groupBy("query_id").agg(F.count("*").alias("cells_met"), F.sum("n").alias("vectors_met"))
+    total = [F.lit(int((cells.sizes > 0).sum())).cast("long").alias("cells"), F.lit(int(cells.sizes.sum())).cast("long").alias("vectors")]
+    return of.select("query_id", total[0], "cells_met", total[1], "vectors_met")
+
+
 def best_source(claims: DataFrame, sources: DataFrame, *, high: float = 0.85, medium: float = 0.65) -> DataFrame:
     """Best source of each claim with its confidence; claims without any source are low with score 0."""
     best = best_pairs(claims, sources, 1).select("query_id", "vec_id", "paper_id", "score")

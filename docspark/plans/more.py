@@ -110,8 +110,8 @@ def x04_row_boxes(spark, d):
 
 
 @query("""WITH t AS (SELECT l_orderkey AS doc_id, 'c' || CAST(l_partkey % 5 AS VARCHAR) AS content, l_linenumber * 10000000 + l_partkey AS ord, l_suppkey % 2 AS page, CASE WHEN l_suppkey % 3 > 0 THEN (l_partkey % 50)::DOUBLE END AS y0, CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END AS source FROM lineitem),
-f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, content, source ORDER BY ord) AS n FROM t), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, content ORDER BY y0 IS NULL, source, ord) AS best, min(source * 1000000000000 + ord) OVER (PARTITION BY doc_id, content) AS place FROM f WHERE source = 1 OR n = 1)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, coalesce(y0, 0), place) AS number, page, y0, content FROM k WHERE best = 1""")
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, content, source ORDER BY ord, page, y0 IS NULL, y0) AS n FROM t), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, content ORDER BY y0 IS NULL, source, ord, page, y0) AS best, min(source * 1000000000000 + ord) OVER (PARTITION BY doc_id, content) AS place FROM f WHERE source = 1 OR n = 1)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, coalesce(y0, 0), place, content) AS number, page, y0, content FROM k WHERE best = 1""")
 def x03_merge_tables(spark, d):
     t = table(spark, d, "lineitem").select(
         "l_returnflag", F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("c"), (F.col("l_partkey") % 5).cast("string")).alias("content"), (F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("ord"), (F.col("l_suppkey") % 2).alias("page"),

@@ -147,15 +147,17 @@ def d09_split_sentences(spark, d):
 
 
 def _sentences_sql() -> str:
-    """``sents``: the sentences of each paragraph as a list; the patterns are those of the operator, in the dialect of the twin."""
-    marked = r"""regexp_replace(text, '([.!?])\s+([A-Z"])', '\1' || chr(1) || '\2', 'g')"""
-    for pattern, passes in structure.JOINED:
-        for _ in range(passes):
-            marked = f"regexp_replace({marked}, '{pattern}', '\\1\\2 ', 'g')"
-    return f"sents AS (SELECT doc_id, para, text, list_filter(list_transform(string_split({marked}, chr(1)), lambda s: trim(s)), lambda s: s <> '') AS ss FROM paras)"
+    """``sents``: the sentences of each paragraph as a list, by a fold over its fragments, one a step: the text since the last sentence grows until it ends in no abbreviation, figure number or short citation. Needs WITH RECURSIVE."""
+    edge = r"(?:^|[^\p{L}\p{N}_])"
+    goes_on = rf"""(regexp_matches(b, '(?i){edge}(?:{structure.ABBREVIATIONS})\.$') OR regexp_matches(b, '(?i)(?:Figure|Table|Equation)\s+\d+\.$') OR (regexp_matches(b, '\]\.\s*$') AND {fx.WORDS_SQL.format("b")} < 4))"""
+    return rf"""fragments AS (SELECT doc_id, para, string_split(regexp_replace(text, '([.!?])\s+([A-Z"])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS fs FROM paras),
+fold(doc_id, para, fs, i, open, made) AS (SELECT doc_id, para, fs, 0, '', NULL::VARCHAR FROM fragments UNION ALL
+SELECT doc_id, para, fs, i + 1, CASE WHEN {goes_on} THEN b ELSE '' END, CASE WHEN {goes_on} THEN NULL ELSE b END FROM (SELECT *, CASE WHEN open = '' THEN fs[i + 1] ELSE open || ' ' || fs[i + 1] END AS b FROM fold WHERE i < len(fs))),
+ended AS (SELECT doc_id, para, i, made AS s FROM fold WHERE made IS NOT NULL UNION ALL SELECT doc_id, para, i, open FROM fold WHERE i = len(fs) AND open <> ''),
+sents AS (SELECT doc_id, para, any_value(text) AS text, coalesce(list(trim(s) ORDER BY i) FILTER (trim(s) <> ''), []) AS ss FROM paras LEFT JOIN ended USING (doc_id, para) GROUP BY doc_id, para)"""
 
 
-@query(f"WITH {fx.PARAS_SQL}, {_sentences_sql()} SELECT doc_id, para, generate_subscripts(ss, 1) - 1 AS place, unnest(ss) AS sentence FROM sents")
+@query(f"WITH RECURSIVE {fx.PARAS_SQL}, {_sentences_sql()} SELECT doc_id, para, generate_subscripts(ss, 1) - 1 AS place, unnest(ss) AS sentence FROM sents")
 def d09_merge_sentences(spark, d):
     return fx.paragraphs(spark, d).select("doc_id", "para", F.posexplode(structure.sentences(F.col("text"))).alias("place", "sentence"))
 

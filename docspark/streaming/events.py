@@ -1,16 +1,12 @@
 """Structured Streaming forms of the progress and usage operators.
 
-Inputs are streams with ``ts`` as event time.  State is bounded by watermarks (windows, duplicates) or by a timeout (admission).
+Inputs are streams with ``ts`` as event time.  State is bounded by watermarks.  Admission and the moment at which a batch is complete depend on the order of events: ``ordered.py``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docspark.operators.library import progress_stage
 
@@ -35,25 +31,3 @@ def batches_done(progress: DataFrame, late: str = "1 hour") -> DataFrame:
 def usage(calls: DataFrame, *, window: str = "60 seconds", slide: str = "10 seconds", late: str = "5 minutes") -> DataFrame:
     """Tokens and requests per provider in sliding windows; a window closes when the watermark passes it."""
     return calls.withWatermark("ts", late).groupBy(F.window("ts", window, slide), "provider").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("requests"))
-
-
-def admitted(requests: DataFrame, max_calls: int, window_s: float = 60.0) -> DataFrame:
-    """client, event_id, admitted: as the batch form; a client's state is the times of its admitted calls within the last window, dropped when it is idle."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = list(state.get[0]) if state.exists else []
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for t in rows["ts"].map(pd.Timestamp.timestamp):
-            seen = [x for x in seen if x > t - window_s]
-            out.append(len(seen) < max_calls)
-            if out[-1]:
-                seen.append(t)
-        state.update((seen,))
-        state.setTimeoutDuration(max(1, int(window_s * 1000)))
-        yield pd.DataFrame({"client": key[0], "event_id": rows["event_id"], "admitted": out})
-
-    return requests.select("client", "event_id", "ts").groupBy("client").applyInPandasWithState(run, "client long, event_id long, admitted boolean", "seen array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
