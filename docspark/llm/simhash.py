@@ -45,6 +45,8 @@ SPREAD = 4.5
 SHORT = 24
 #: Texts of a block when candidates are compared by their shingles.
 VERIFY = 512
+#: Members that all others of a large group meet first.
+CENTRES = 16
 SALTS = np.random.default_rng(1).integers(0, 2**64, 16, dtype=np.uint64)
 
 
@@ -238,47 +240,87 @@ def wide_radius(similarity: float, bits: int = WIDE) -> int:
 def verified(members: DataFrame, similarity: float, radius: int) -> DataFrame:
     """Links (a, b) that span the classes of pairs with at most ``radius`` different bits and at least this Jaccard similarity within each root.
 
-    ``members`` has node, root, bits and the distinct shingle ``hashes`` in order.  A root's members are dealt into blocks of about ``VERIFY``, and every two
-    blocks meet in a group of their own, where pairs that are in one class already are passed over.  Only links leave a group, fewer than it has rows.
+    ``members`` has node, root, bits and the distinct shingle ``hashes`` in order.  A root of up to ``VERIFY`` members is one group.  In a larger one all members first meet some ``CENTRES`` of them, drawn by a hash,
+    which joins what is close to one.  What is then in one class needs no comparison: the members are dealt into blocks of about ``VERIFY``, each of one class or of those in none, and every two blocks that are not of
+    the same class meet in a group of their own, where pairs that are in one class already are passed over.  So a heap of near copies meets only what it is not joined to.  Only links leave a group, fewer than it has rows.
     """
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / VERIFY).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = dealt.select("node", "bits", "hashes", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    grouped = met.select("node", "bits", "hashes", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("group"))
+    sized = cut(members.join(members.groupBy("root").agg(F.count("*").alias("rows")), "root"))
+    none = F.lit(-1).cast("long")  # no class; nodes are not negative
+    small = sized.where(F.col("rows") <= VERIFY).select("node", "bits", "hashes", none.alias("class"), F.col("root").alias("group"))
+    large = sized.where(F.col("rows") > VERIFY)
+    pieces = lambda n: F.ceil(n / VERIFY).cast("int")
+    piece = lambda n: F.pmod(F.xxhash64("node"), pieces(n)).cast("int")
+    drawn = large.where(F.pmod(F.xxhash64("node", F.lit(1)), F.col("rows")) < CENTRES).withColumn("piece", F.explode(F.sequence(F.lit(0), pieces(F.col("rows")) - 1)))
+    columns = ["node", "bits", "hashes", "centre", "group"]
+    own = large.select("*", F.lit(False).alias("centre"), F.xxhash64("root", piece(F.col("rows"))).alias("group")).select(columns)
+    near = cut(_grouped(own.unionByName(drawn.select("*", F.lit(True).alias("centre"), F.xxhash64("root", "piece").alias("group")).select(columns)), "centre", lambda rows: near_centres(rows, similarity, radius)))
+    classes = components(near).select("node", F.col("root").alias("class"))
+    classed = large.join(classes, "node", "left").withColumn("class", F.coalesce("class", none))
+    blocks = classed.groupBy("root", "class").agg(F.count("*").alias("in_class"))
+    of_root = blocks.select("root", F.explode(F.transform(F.sequence(F.lit(0), pieces(F.col("in_class")) - 1), lambda k: F.struct("class", k.alias("piece")))).alias("block")).groupBy("root").agg(F.collect_list("block").alias("blocks"))
+    dealt = classed.join(blocks, ["root", "class"]).join(of_root, "root")
+    dealt = dealt.withColumn("mine", F.struct("class", piece(F.col("in_class")).alias("piece")))
+    met = dealt.withColumn("other", F.explode(F.filter("blocks", lambda o: (o["class"] < 0) | (o["class"] != F.col("class")))))
+    grouped = met.select("node", "bits", "hashes", "class", F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"))
+    return near.unionByName(_grouped(small.unionByName(grouped), "class", lambda rows: linked_pairs(rows, similarity, radius))).distinct()
+
+
+def _grouped(rows: DataFrame, flag: str, linked) -> DataFrame:
+    """``linked`` of the rows (node, bits, hashes, flag) of each group, as (a, b)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, rows = None, []
+        group, held = None, []
         for batch in batches:
             found = []
-            for row in zip(batch["group"], batch["node"], batch["bits"], batch["hashes"], strict=True):
+            for row in zip(batch["group"], batch["node"], batch["bits"], batch["hashes"], batch[flag], strict=True):
                 if row[0] != group:
-                    found += linked_pairs(rows, similarity, radius)
-                    group, rows = row[0], []
-                rows.append(row[1:])
+                    found += linked(held)
+                    group, held = row[0], []
+                held.append(row[1:])
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
-        if found := linked_pairs(rows, similarity, radius):
+        if found := linked(held):
             yield pd.DataFrame(found, columns=["a", "b"])
 
-    return grouped.repartition(F.col("group")).sortWithinPartitions("group", "node").mapInPandas(run, "a long, b long").distinct()
+    return rows.repartition(F.col("group")).sortWithinPartitions("group", "node").mapInPandas(run, "a long, b long")
 
 
-def linked_pairs(rows: list[tuple[int, bytes, np.ndarray]], similarity: float, radius: int) -> list[tuple[int, int]]:
-    """Pairs of nodes that span the classes of the links among (node, bits, hashes in order)."""
+def _like(bits: np.ndarray, sizes: np.ndarray, i: int, among: np.ndarray, similarity: float, radius: int) -> np.ndarray:
+    """Those of ``among`` that can be linked to row i by their sizes and bits."""
+    alike = np.minimum(sizes[among], sizes[i]) >= similarity * np.maximum(sizes[among], sizes[i]) - 1e-9
+    return among[alike & (np.bitwise_count(bits[among] ^ bits[i]).sum(1) <= radius)]
+
+
+def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    x, y = sorted((a, b), key=len)
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return common >= similarity * (len(x) + len(y) - common) - 1e-9
+
+
+def near_centres(rows: list[tuple[int, bytes, np.ndarray, bool]], similarity: float, radius: int) -> list[tuple[int, int]]:
+    """Links between each row and the first centre that it is similar to."""
+    if not rows:
+        return []
+    bits, sizes = np.frombuffer(b"".join(r[1] for r in rows), np.uint64).reshape(len(rows), -1), np.array([len(r[2]) for r in rows])
+    left, found = np.array([k for k, r in enumerate(rows) if not r[3]], np.int64), []
+    for i in [k for k, r in enumerate(rows) if r[3]]:
+        done = [j for j in _like(bits, sizes, i, left, similarity, radius).tolist() if rows[j][0] != rows[i][0] and _similar(rows[i][2], rows[j][2], similarity)]
+        found += [(rows[i][0], rows[j][0]) for j in done]
+        left = np.setdiff1d(left, done)
+    return found
+
+
+def linked_pairs(rows: list[tuple], similarity: float, radius: int) -> list[tuple[int, int]]:
+    """Pairs of nodes that span the classes of the links among (node, bits, hashes in order, class or -1)."""
     if len(rows) < 2:
         return []
     bits = np.frombuffer(b"".join(r[1] for r in rows), np.uint64).reshape(len(rows), -1)
-    sizes, label, found = np.array([len(r[2]) for r in rows]), np.arange(len(rows)), []
+    sizes, found, first = np.array([len(r[2]) for r in rows]), [], {}
+    label = np.array([k if r[3] < 0 else first.setdefault(r[3], k) for k, r in enumerate(rows)])
     for i in range(len(rows) - 1):
-        rest = slice(i + 1, None)
-        alike = np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i]) - 1e-9
-        near = np.flatnonzero(alike & (np.bitwise_count(bits[rest] ^ bits[i]).sum(1) <= radius) & (label[rest] != label[i])) + i + 1
-        for j in near.tolist():
-            if label[j] == label[i]:
-                continue
-            x, y = sorted((rows[i][2], rows[j][2]), key=len)
-            common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            if common >= similarity * (len(x) + len(y) - common) - 1e-9:
+        rest = np.arange(i + 1, len(rows))
+        for j in _like(bits, sizes, i, rest[label[rest] != label[i]], similarity, radius).tolist():
+            if label[j] != label[i] and _similar(rows[i][2], rows[j][2], similarity):
                 found.append((rows[i][0], rows[j][0]))
                 label[label == label[j]] = label[i]
     return found
