@@ -67,21 +67,22 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 
 
 def _op12() -> str:
-    q = quality_rules
+    q, word = quality_rules, r"[^\x20\x09-\x0D]+"
     text = lambda pattern: "'" + pattern.replace("'", "''") + "'"
     count = lambda pattern: f"len(regexp_extract_all(line, {text(pattern)}))"
-    rule = f"""CASE WHEN words = 0 THEN NULL WHEN words <= 20 AND regexp_matches(line, {text(q.BOILERPLATE_LINE)}) THEN 'boilerplate'
-WHEN (bars >= 2 AND words <= 4 * (bars + 1)) OR (words <= 4 AND regexp_matches(line, {text(q.MENU_LINE)}) AND NOT ends) THEN 'navigation' WHEN 2 * marked > words OR (words >= 4 AND NOT ends) THEN 'punctuation' END"""
+    phrases = " OR ".join(f"contains(lower(line), '{p}')" for p in q.BOILERPLATE)
+    rule = f"""CASE WHEN words = 0 THEN NULL WHEN words <= 20 AND ({phrases}) THEN 'boilerplate'
+WHEN (bars >= 2 AND words <= 4 * (bars + 1)) OR (words <= 4 AND regexp_matches(lower(line), {text(q.MENU_LINE)}) AND NOT ends) THEN 'navigation' WHEN 2 * marked > words OR (words >= 4 AND NOT ends) THEN 'punctuation' END"""
     white = r"[\x20\x09-\x0D]"
     return f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), {text(white + "+")}), lambda x: x <> '') AS ws FROM documents),
 g AS (SELECT doc_id, list_transform(generate_series(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS windows FROM w),
 t AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, joint) AS n FROM (SELECT doc_id, unnest(windows) AS joint, generate_subscripts(windows, 1) AS pos FROM g)),
 r AS (SELECT doc_id, count(DISTINCT pos + k) AS n_repeat_words FROM t, (VALUES (0), (1), (2)) AS o(k) WHERE n > 1 GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
-c AS (SELECT *, {count(q.WORD)} AS words, {count(q.BAR)} AS bars, {count(q.MARKED_WORD)} AS marked, length(regexp_replace(line, {text(white)}, '', 'g')) AS chars, regexp_matches(line, {text(q.SENTENCE_END)}) AS ends FROM l),
+c AS (SELECT *, {count(word)} AS words, {count('[' + q.BARS + ']')} AS bars, {count(q.MARKED_WORD)} AS marked, length(regexp_replace(line, {text(white)}, '', 'g')) AS chars, regexp_matches(line, {text(q.SENTENCE_END)}) AS ends FROM l),
 j AS (SELECT *, {rule} AS rule FROM c),
 s AS (SELECT doc_id, count(*) AS n_lines, count(line) FILTER (words > 0) - count(DISTINCT line) FILTER (words > 0) AS n_dup_lines, {", ".join(f"count(*) FILTER (rule = '{x}') AS {x}_lines" for x in q.RULES)}, coalesce(sum(chars) FILTER (rule IS NOT NULL), 0) AS lost FROM j GROUP BY doc_id),
-a AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(text, {text(white)}, '', 'g')) AS word_chars, length(regexp_replace(text, {text(q.SYMBOL.replace("[", "[^"))}, '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+a AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(text, {text(white)}, '', 'g')) AS word_chars, len(regexp_extract_all(text, '[{q.SYMBOLS}]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
 coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < {q.LEAST_WORDS} OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed, coalesce(lost, 0) AS lost, coalesce(n_lines, 0) AS n_lines, {", ".join(f"coalesce({x}_lines, 0) AS {x}_lines" for x in q.RULES)} FROM w LEFT JOIN r USING (doc_id) LEFT JOIN s USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= {q.MAX_LOST} * word_chars AS kept, n_lines, {", ".join(f"{x}_lines" for x in q.RULES)} FROM a"""
 

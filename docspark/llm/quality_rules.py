@@ -16,61 +16,52 @@ without words: it has no lines, fails the base rules and stays null.  An empty t
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import computed
+from docspark.llm.common import computed, split_words
 
 LEAST_WORDS, MOST_REPEATED, MAX_LOST = 50, 0.5, 0.3
 
 # Patterns that both Java's and DuckDB's regular expressions read alike.
-WORD = r"[^\x20\x09-\x0D]+"
-SYMBOL = r"[#*$%&|<>]"
-BAR = "[|»›•]"
-MARKED_WORD = r"[^\x20\x09-\x0D]*(?:[#*$%&|<>]|[!?]{2})[^\x20\x09-\x0D]*"
+SYMBOLS, BARS, WHITE = "#*$%&|<>", "|»›•", " \t\n\x0b\x0c\r"
+#: From the first symbol or repeated mark of a word to its end, so each such word matches once.
+MARKED_WORD = r"(?:[#*$%&|<>]|[!?]{2})[^\x20\x09-\x0D]*"
 SENTENCE_END = r"[.!?:;…。！？][\x22\x27”’»)\]]*(?:[\x20\x09-\x0D]|\z)"
 MENU = ("home", "menu", "contact", "about", "login", "log in", "sign in", "sign up", "search", "next", "previous", "back", "share", "print", "sitemap", "skip to", "read more", "archive", "tags")
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "we use cookies", "accept cookies", "enable javascript", "requires javascript",
     "click here", "subscribe to our", "follow us on", "powered by", "lorem ipsum", "tous droits réservés", "alle rechte vorbehalten", "todos los derechos reservados",
 )
-MENU_LINE = rf"(?i)^[\x20\x09-\x0D]*(?:{'|'.join(MENU)})(?:[\x20\x09-\x0D]|\z)"
-BOILERPLATE_LINE = f"(?i)(?:{'|'.join(BOILERPLATE)})"
+MENU_LINE = rf"^[\x20\x09-\x0D]*(?:{'|'.join(MENU)})(?:[\x20\x09-\x0D]|\z)"
 RULES = ("boilerplate", "navigation", "punctuation")
 
 
-def n_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD))
-
-
-def word_chars(text: Column) -> Column:
-    """Code points in words."""
-    return F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]", ""))
+def without(text: Column, characters: str) -> Column:
+    """Length of the text without these characters."""
+    return F.length(F.translate(text, characters, ""))
 
 
-def rules(line: Column, words: Column) -> list[tuple[str, Column]]:
-    """Name and condition of failing, in the order of trial."""
-    bars, marked = F.regexp_count(line, F.lit(BAR)), F.regexp_count(line, F.lit(MARKED_WORD))
-    ends = line.rlike(SENTENCE_END)
-    return [
-        ("boilerplate", (words <= 20) & line.rlike(BOILERPLATE_LINE)),
-        ("navigation", ((bars >= 2) & (words <= 4 * (bars + 1))) | ((words <= 4) & line.rlike(MENU_LINE) & ~ends)),
-        ("punctuation", (2 * marked > words) | ((words >= 4) & ~ends)),
-    ]
+def rule(x: Column) -> Column:
+    """The first rule that a measured line fails, in the order of trial, or null."""
+    has_phrase = functools.reduce(Column.__or__, [F.contains(x["low"], F.lit(p)) for p in BOILERPLATE])
+    navigation = ((x["bars"] >= 2) & (x["words"] <= 4 * (x["bars"] + 1))) | ((x["words"] <= 4) & x["low"].rlike(MENU_LINE) & ~x["ends"])
+    punctuation = (2 * x["marked"] > x["words"]) | ((x["words"] >= 4) & ~x["ends"])
+    return F.when(x["words"] == 0, None).when((x["words"] <= 20) & has_phrase, "boilerplate").when(navigation, "navigation").when(punctuation, "punctuation")
 
 
 def judged_lines(text: Column) -> Column:
     """Of each line: line, words, chars, rule (that it fails, or null)."""
-
-    def judged(line: Column) -> Column:
-        words = n_words(line)
-        rule = F.lit(None).cast("string")
-        for name, fails in reversed(rules(line, words)):
-            rule = F.when(fails, name).otherwise(rule)
-        return F.struct(line.alias("line"), words.alias("words"), word_chars(line).alias("chars"), F.when(words > 0, rule).alias("rule"))
-
-    return F.transform(F.split(text, "\n", -1), judged)
+    # One step after the other, so that each measure is taken once a line.
+    counted = F.transform(F.split(text, "\n", -1), lambda line: F.struct(line.alias("line"), F.size(split_words(line)).alias("words")))
+    measured = F.transform(counted, lambda x: F.struct(
+        x["line"].alias("line"), x["words"].alias("words"), without(x["line"], WHITE).alias("chars"), (F.length(x["line"]) - without(x["line"], BARS)).alias("bars"),
+        F.regexp_count(x["line"], F.lit(MARKED_WORD)).alias("marked"), x["line"].rlike(SENTENCE_END).alias("ends"), F.when(x["words"] <= 20, F.lower(x["line"])).otherwise("").alias("low"),
+    ))
+    return F.transform(measured, lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"), x["chars"].alias("chars"), rule(x).alias("rule")))
 
 
 def repeated_words(text: bytes | None, width: int = 3) -> int:
@@ -95,16 +86,15 @@ def clean_documents(
     docs: DataFrame, *, max_lost: float = MAX_LOST, least_words: int = LEAST_WORDS, most_repeated: float = MOST_REPEATED, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True
 ) -> DataFrame:
     """The id, the counts of the base rules, base_failed, kept, n_lines, the lines that each rule removed, lost (share of the characters), and ``cleaned``, the text that is left."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), judged_lines(F.col(text_col)).alias("_lines"))
     text = F.coalesce(F.col("_text"), F.lit(""))
+    total = lambda c: F.coalesce(F.aggregate("_lines", F.lit(0).cast("long"), lambda s, x: s + x[c]), F.lit(0))
     with_word = F.transform(F.filter("_lines", lambda x: x["words"] > 0), lambda x: x["line"])
     counted = lines.select(
         "_id", "_lines", F.col("_text").cast("binary").alias("_bytes"),
-        n_words(text).cast("long").alias("n_words"), word_chars(text).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace(text, SYMBOL.replace("[", "[^"), "")).cast("long").alias("n_symbols"),
+        total("words").alias("n_words"), total("chars").alias("word_chars"), (F.length(text) - without(text, SYMBOLS)).cast("long").alias("n_symbols"),
         F.coalesce(F.size(with_word) - F.size(F.array_distinct(with_word)), F.lit(0)).cast("long").alias("n_dup_lines"),
-        F.coalesce(F.aggregate(F.filter("_lines", lambda x: x["rule"].isNotNull()), F.lit(0).cast("long"), lambda s, x: s + x["chars"]), F.lit(0)).alias("_lost"),
+        F.coalesce(F.aggregate("_lines", F.lit(0).cast("long"), lambda s, x: s + F.when(x["rule"].isNotNull(), x["chars"]).otherwise(0)), F.lit(0)).alias("_lost"),
     )
 
     def removed_by(rule: str) -> Column:
