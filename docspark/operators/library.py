@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.sources.scratch import kept
+
 
 def drop_duplicate_content(new: DataFrame, existing: DataFrame, *, scope: str = "session_id") -> DataFrame:
     """Rows whose content hash is new within its scope; the first of several by ``ord``. Counted by hash before any window, so copies do not pile up."""
@@ -145,11 +147,17 @@ def batch_completions(events: DataFrame, batches: DataFrame, timeout_s: float =
 
 
 def sessions_recent(sessions: DataFrame, key: str, last: str) -> DataFrame:
-    """Adds ``place``: newest first, ties by key. Rows are ranked within each value of ``last``; what stands before it comes from the counts of the values, a small table."""
-    counts = sessions.groupBy(last).agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.desc(last)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    own = F.row_number().over(Window.partitionBy(last).orderBy(key))
-    return sessions.withColumn("own", own).join(before, last).withColumn("place", F.col("before") + F.col("own")).drop("own", "before")
+    """Adds ``place``: newest first (null last), ties by key.
+
+    Rows are dealt into ranges and sorted there; a row's place is that in its range after the counts of the ranges before, of which there are as many as partitions.  The sorted rows are written to the shared
+    folder first, as ranges drawn anew would not fit the counts.
+    """
+    order = [F.desc_nulls_last(last), F.asc_nulls_last(key)]
+    rows = kept(sessions.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumns({"_range": F.shiftright("_at", 33), "_own": F.col("_at").bitwiseAND((1 << 33) - 1) + 1})
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")
+    counts = rows.groupBy("_range").agg(F.count("*").alias("n")).select("_range", before)
+    return rows.join(F.broadcast(counts), "_range").withColumn("place", F.col("_before") + F.col("_own")).drop("_at", "_range", "_own", "_before")
 
 
 def _in_slices(df: DataFrame, seconds: float) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docspark.operators import index, keywords, library
+from docspark.operators import chat, index, keywords, layout, library
 from docspark.plans import fixtures as fx
 from docspark.plans.fixtures import table
 from docspark.plans.registry import query
+from docspark.sources import tables
 from docspark.sources.scratch import scratch
 from docspark.sources.versions import Versions
 
@@ -72,3 +74,68 @@ def e04_batch_completions(spark, d):
 def n02_mmr_keywords(spark, d):
     """Spread-out keywords of all documents."""
     return keywords.mmr_keywords(fx.documents(spark, d).select("doc_id", "text"))
+
+
+@query()
+def v11_chat(spark, d):
+    """Questions of the chats whose number is divisible by 100 to the papers of a source, and the answers to them, each citing a chunk of its own source."""
+    docs = fx.documents(spark, d)
+    chunks = fx.chunks(spark, d)
+    papers = docs.select(F.col("source").alias("session_id"), F.col("doc_id").alias("paper_id"), F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 60).alias("title"))
+    turns = table(spark, d, "conversations").where(F.col("conv_id") % 100 == 0)
+    session = F.concat(F.lit("src"), (F.col("conv_id") / 100 % 20).cast("int").cast("string"))
+    number = (F.col("conv_id") * 100 + F.floor(F.col("turn") / 2)).alias("query_id")
+    asked = turns.where("role = 'user'").select(number, session.alias("session_id"), F.concat("text", F.when(F.col("turn") % 4 == 0, " see paper 1").otherwise("")).alias("text"), (F.col("turn") > 0).alias("history"), F.lit(3).alias("paper_count"))
+    cited = chunks.where("ord = 0").groupBy("session_id").agg(F.max("paragraph_id").alias("cited"))
+    answers = turns.where("role = 'assistant'").select(number, session.alias("session_id"), "text").join(cited, "session_id", "left").select("query_id", F.concat("text", F.coalesce(F.concat(F.lit(" Cited is ["), "cited", F.lit("].")), F.lit(""))).alias("text"))
+    chosen, left = chat.contexts(asked, papers, chunks, keywords={"rights": ["rights", "license"]})
+    made = chat.verified_answers(answers, chosen, left, chunks)
+    return made.select("answer_id", "claim_idx", "paper_id", "paragraph_id", F.round("score", 4).alias("score"), "confidence", "method", "attribution", "from_citation", "no_sources")
+
+
+@query("SELECT doc_id, source, n_chars FROM documents")
+def s01_read_table(spark, d):
+    """Written as text files with a header and read back with its types."""
+    folder, schema = scratch(spark), "doc_id long, source string, n_chars long"
+    tables.write_flat_exports(table(spark, d, "documents").select("doc_id", "source", "n_chars"), folder, "csv")
+    return tables.read_table(spark, folder, "csv", schema)
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, quality AS question_number, toxic = 0 AS is_accurate, 'claim ' || CAST(doc_id AS VARCHAR) AS claim FROM labels")
+def l01_load_labels(spark, d):
+    """Labels as annotation files of claims, one a remainder of the id, and read back."""
+    doc, folder = F.col("doc_id").cast("string"), scratch(spark)
+    claim = F.struct(doc.alias("id"), F.col("quality").cast("int").alias("question_number"), F.concat(F.lit("claim "), doc).alias("claim"), (F.col("toxic") == 0).alias("is_accurate"))
+    table(spark, d, "labels").groupBy((F.col("doc_id") % 16).alias("file")).agg(F.collect_list(claim).alias("claims")).write.partitionBy("file").json(folder)
+    return tables.load_labels(spark, folder).select("id", "question_number", "is_accurate", "claim")
+
+
+@query()
+def v12_caption_words(spark, d):
+    """Three lines a page, words in a row with boxes of their length; captions are the fourth line, whole, cut, by number and by keywords."""
+    lines, n = fx.lines(spark, d), F.col("doc_id") % 4
+    page = F.floor(F.col("line_no") / 3)
+    each = lines.select("doc_id", page.alias("page"), F.col("line_no").alias("line"), F.posexplode(F.filter(F.split("text", " "), lambda w: w != "")).alias("k", "text"))
+    idx = (F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("line", "k")) - 1).alias("word_idx")
+    x, y = (F.col("k") * 10).cast("double"), (F.col("line") % 3 * 12).cast("double")
+    words = each.select("doc_id", "page", idx, "text", x.alias("x0"), y.alias("y0"), (x + F.length("text")).alias("x1"), (y + 10).alias("y1"))
+    caption = F.when(n == 0, F.col("text")).when(n == 1, F.concat(F.substring("text", 1, 12), F.lit("zzz"))).otherwise("zz")
+    keys = F.when(n == 3, F.slice(F.split("text", " "), 1, 3)).otherwise(F.array().cast("array<string>"))
+    captions = lines.where("line_no = 3").select("doc_id", F.col("doc_id").alias("caption_id"), (F.col("doc_id") % 2).alias("page"), caption.alias("caption"), F.when(n == 2, F.col("doc_id") % 3).alias("number"), keys.alias("keywords"))
+    return layout.locate_caption_words(captions, words)
+
+
+@query()
+def x16_x17_layout(spark, d):
+    """The first lines of all documents as boxes of a first page, of kinds by turns, with a line of names in some."""
+    names = F.lit("**Jane Doe**, John B. Smith")
+    n = F.col("doc_id") % 5
+    lines = fx.lines(spark, d).where("line_no < 4").select("doc_id", F.col("line_no").alias("k"), F.when((F.col("line_no") == 1) & (n < 3), names).otherwise(F.col("text")).alias("raw"))
+    end = F.sum(F.length("raw") + 1).over(Window.partitionBy("doc_id").orderBy("k"))
+    placed = lines.withColumn("pos_end", (end - 1).cast("int")).withColumn("pos_start", F.col("pos_end") - F.length("raw"))
+    kind = F.when((F.col("k") == 0) & (n == 1), "title").when((F.col("k") == 0) & (n == 2), "section-header").otherwise("text")
+    top = (F.col("k") * 20).cast("double")
+    boxes = placed.select("doc_id", F.lit(1).alias("page"), (10 - F.col("k")).cast("int").alias("box_idx"), kind.alias("kind"), "pos_start", "pos_end", F.lit(0.0).alias("x0"), top.alias("y0"), F.lit(100.0).alias("x1"), (top + 10).alias("y1"))
+    pages = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "raw"))), lambda x: x["raw"]), "\n").alias("text")).select("doc_id", F.lit(1).alias("page"), "text")
+    docs = fx.documents(spark, d).select("doc_id", "text", F.when(n == 0, F.concat(F.lit("Title of file "), F.col("doc_id").cast("string"))).alias("meta_title"), F.lit(None).cast("string").alias("meta_author"))
+    return layout.titles_and_authors(docs, layout.reading_order(boxes), pages)
