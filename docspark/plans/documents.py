@@ -8,7 +8,7 @@ from docspark.operators import blocks, cleaning, documents, extraction
 from docspark.plans import fixtures as fx
 from docspark.plans.fixtures import table
 from docspark.plans.more import BOXES_SQL, _boxes, _sql_list
-from docspark.plans.registry import query
+from docspark.plans.registry import CITED_SQL, query
 
 
 @query(r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(nfc, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS clean FROM (SELECT conv_id, turn, translate(regexp_replace(nfc_normalize(text), '(\w)-\s+(\p{Ll})', '\1\2', 'g'), '‘’“”–—', '''''""--') AS nfc FROM conversations)""")
@@ -74,7 +74,8 @@ def v08_correct_citations(spark, d):
     return made.withColumn("paragraph_id", F.regexp_replace("paragraph_id", "^a", "p"))
 
 
-@query()
+@query(rf"""WITH {fx.ANSWERS_SQL}, {CITED_SQL}, known AS (SELECT answer_id, paragraph_id AS cited FROM valid UNION SELECT answer_id, split_part(paragraph_id, '_', -1) FROM valid), g AS (SELECT answer_id, list(cited) AS gone FROM cited ANTI JOIN known USING (answer_id, cited) GROUP BY answer_id)
+SELECT answer_id, trim(regexp_replace(CASE WHEN gone IS NULL THEN text ELSE list_reduce(list_concat([text], gone), lambda t, x: replace(t, '[' || x || ']', '')) END, '[ \t]{{2,}}', ' ', 'g')) AS text FROM answers LEFT JOIN g USING (answer_id)""")
 def c04_validate_citations_stream(spark, d):
     return documents.validate_citations_stream(*fx.answers(spark, d))
 
@@ -194,3 +195,41 @@ def x13_merge_figures(spark, d):
 def q07_chunks_by_papers(spark, d):
     wanted = table(spark, d, "labels").select(F.col("doc_id").alias("paper_id"))
     return documents.chunks_by_papers(fx.chunks(spark, d).select("paper_id", "paragraph_id"), wanted).select("paper_id", "paragraph_id", "place")
+
+
+def _math_sql(text: str) -> str:
+    for pattern, to in documents.MATH:
+        text = f"regexp_replace({text}, '{pattern}', '{to.replace('$1', chr(92) + '1')}', 'g')"
+    return f"trim({text})"
+
+
+@query(f"SELECT doc_id, {_math_sql(chr(39) + '$$a ' + chr(92) + 'leq ' + chr(39) + ' || text')} AS plain FROM documents")
+def f08_math_documents(spark, d):
+    """Whole texts behind a formula."""
+    return table(spark, d, "documents").select("doc_id", documents.plain_math(F.concat(F.lit("$$a \\leq "), "text")).alias("plain"))
+
+
+#: What stands before and after a document's text, by turns.
+DATED = [("Published 2001, as it says. ", ""), ("", " doi: 10.1234/ab."), ("Seen in March 3, 1987 and later. ", ""), ("", ""), ("Copyright 1875. https://doi.org/10.5555/x.y); ", " 2024")]
+
+
+def _dated_sql() -> str:
+    part = lambda k: "CASE doc_id % 5 " + " ".join(f"WHEN {n} THEN '{x[k]}'" for n, x in enumerate(DATED)) + " END"
+    one = lambda c, p: f"nullif(regexp_extract({c}, '{p}', 1), '')"
+    years = [rf"(?i)(?:©|copyright|published|received|accepted|submitted|\(|,\s*)\s*((?:19|20)\d{{2}})\b", rf"(?i)(?:{extraction.MONTHS})[\s.,]+(?:\d{{1,2}}[\s.,]+)?((?:19|20)\d{{2}})", r"\b((?:19|20)\d{2})\b"]
+    found = ", ".join(f"{one('substr(t, 1, 5000)', p)}::INT" for p in years)
+    doi = extraction.DOI.replace("'", "''")
+    return (
+        f"WITH d AS (SELECT doc_id, ({part(0)}) || text || ({part(1)}) AS t, CASE WHEN doc_id % 7 = 0 THEN 1990 + doc_id % 130 END AS dated FROM documents) "
+        f"SELECT doc_id, coalesce(CASE WHEN dated <= 2100 THEN dated END, {found}) AS year, nullif(regexp_replace(coalesce(regexp_extract(substr(t, 1, 8000), '{doi}', 1), ''), '\\.+$', ''), '') AS doi FROM d"
+    )
+
+
+@query(_dated_sql())
+def x18_x20_documents(spark, d):
+    """Year and DOI of all documents, some with a date of the file."""
+    n = (F.col("doc_id") % 5).cast("int")
+    around = [F.get(F.array(*[F.lit(x[k]) for x in DATED]), n) for k in (0, 1)]
+    text = F.concat(around[0], "text", around[1])
+    meta = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("D:"), (1990 + F.col("doc_id") % 130).cast("string"), F.lit("0102")))
+    return table(spark, d, "documents").select("doc_id", extraction.extract_year(text, meta).alias("year"), extraction.extract_doi(text, meta).alias("doi"))

@@ -416,7 +416,8 @@ def m09_dedup_assets(spark, d):
     return answers.dedup_assets(a)
 
 
-@query()
+@query(rf"""WITH {fx.CHUNKS_SQL}, j AS (SELECT paper_id AS doc_id, substr(string_agg(text, ' ' ORDER BY ord % 4 <> 1, ord), 1, 15000) AS t FROM chunks GROUP BY paper_id)
+SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), 'https?://\S+|www\.\S+', ' ', 'g'), '\S+@\S+\.\S+', ' ', 'g'), '[#*_`|]', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM j""")
 def n01_keyword_text(spark, d):
     c = fx.chunks(spark, d).select(F.col("paper_id").alias("doc_id"), "ord", "text", (F.col("ord") % 4 == 1).alias("is_priority"))
     return answers.keyword_text(c)
