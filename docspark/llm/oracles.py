@@ -31,9 +31,10 @@ def _op8() -> str:
         whens = [f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{getattr(r, column)}'" for r in order]
         return "CASE " + " ".join(whens) + " END"
 
-    return f"""WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{UPPER.lower()}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-j AS (SELECT *, {chain("name")} AS rule, {chain("action")} AS action, regexp_replace(regexp_replace(host, '\\.?(?::[0-9]*)?$', ''), '^(?:www|m)\\.', '') || regexp_replace(regexp_replace(path, '/{{2,}}', '/', 'g'), '(?:/index\\.html?|\\.html?|/)$', '') AS canonical, regexp_matches(host, '(?:^|[.-])(?:{"|".join(MARKS)})(?:$|[.-])') AS marked FROM u)
-SELECT page_id, host, path, rule, coalesce(action, CASE WHEN host <> '' AND canonical IN (SELECT canonical FROM j WHERE marked) THEN 'block' ELSE 'allow' END) AS verdict FROM j"""
+    return f"""WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{UPPER.lower()}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, regexp_extract(coalesce(html, ''), '(?s)<article\\b[^>]*>(.*)</article>', 1) AS article FROM pages),
+j AS (SELECT *, regexp_replace(regexp_replace(host, '\\.?(?::[0-9]*)?$', ''), '^(?:www|m)\\.', '') AS bare, {chain("name")} AS rule, {chain("action")} AS action, regexp_replace(regexp_replace(host, '\\.?(?::[0-9]*)?$', ''), '^(?:www|m)\\.', '') || regexp_replace(regexp_replace(path, '/{{2,}}', '/', 'g'), '(?:/index\\.html?|\\.html?|/)$', '') AS canonical, regexp_matches(host, '(?:^|[.-])(?:{"|".join(MARKS)})(?:$|[.-])') AS marked FROM u),
+f AS (SELECT article, arg_min(bare, page_id) AS first FROM j WHERE article <> '' AND host <> '' GROUP BY article), listed AS (SELECT canonical FROM j WHERE marked UNION SELECT canonical FROM j JOIN f USING (article) WHERE host <> '' AND bare <> first)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN host <> '' AND canonical IN (FROM listed) THEN 'block' ELSE 'allow' END) AS verdict FROM j"""
 
 
 OP9 = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),

@@ -71,8 +71,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.filter_urls(pages, url_filter.marked_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    listed = url_filter.marked_urls(pages).union(url_filter.mirrored_urls(pages))
+    return url_filter.filter_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,10 +59,14 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def bare_host(host: Column) -> Column:
+    """Host without a port, a last dot, ``www.`` or ``m.``."""
+    return F.regexp_replace(F.regexp_replace(host, r"\.?(?::[0-9]*)?$", ""), r"^(?:www|m)\.", "")
+
+
 def canonical(host: Column, path: Column) -> Column:
-    """Host without a port, a last dot, ``www.`` or ``m.``, path without repeated slashes, ``index.html``, a closing slash or ``.html``; null for an empty host."""
-    bare = F.regexp_replace(F.regexp_replace(host, r"\.?(?::[0-9]*)?$", ""), r"^(?:www|m)\.", "")
-    return F.when(host != "", F.concat(bare, F.regexp_replace(F.regexp_replace(path, "/{2,}", "/"), r"(?:/index\.html?|\.html?|/)$", "")))
+    """Bare host, path without repeated slashes, ``index.html``, a closing slash or ``.html``; null for an empty host."""
+    return F.when(host != "", F.concat(bare_host(host), F.regexp_replace(F.regexp_replace(path, "/{2,}", "/"), r"(?:/index\.html?|\.html?|/)$", "")))
 
 
 def rule_for(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column, Column]:
@@ -127,3 +131,16 @@ def marked_urls(pages: DataFrame, *, marks: tuple[str, ...] = MARKS, url_col: st
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     marked = F.col("host").rlike(r"(?:^|[.-])(?:" + "|".join(marks) + r")(?:$|[.-])")
     return pages.select(host.alias("host"), path.alias("path")).where(marked).select(canonical(F.col("host"), F.col("path")).alias("url"))
+
+
+def mirrored_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """A list for ``filter_urls``: the canonical URLs of pages whose article stands, sign for sign, under another bare host at an earlier page (least id, null last, then host).
+
+    Articles meet by 128-bit hashes, and of each the first page is found by an aggregation that sums up before the shuffle.  Pages without an article element or without a host are no mirrors.
+    """
+    host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
+    article = F.regexp_extract(F.col(html_col), r"(?s)<article\b[^>]*>(.*)</article>", 1)
+    parts = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), article.alias("article")).where("article <> '' and host <> ''")
+    parts = cut(parts.select("id", bare_host(F.col("host")).alias("bare"), canonical(F.col("host"), F.col("path")).alias("url"), F.xxhash64("article").alias("h"), F.xxhash64(F.lit(1), "article").alias("h2")))
+    first = parts.groupBy("h", "h2").agg(F.min(F.struct(F.col("id").isNull().alias("null_id"), "id", "bare")).alias("first"), F.min("bare").alias("low"), F.max("bare").alias("high"))
+    return parts.join(first.where("low <> high"), ["h", "h2"]).where(F.col("bare") != F.col("first.bare")).select("url")

@@ -346,3 +346,16 @@ def test_every_stage_equals_brute_force(spark, sf_dir, tmp_path):
         ids = library.encode_ordinary(r[1] or "")
         want[r[0], len(ids), sha(",".join(map(str, ids)).encode()), sha((r[1] or "").encode())] += n
     assert counted(stages["byte-level BPE"](spark, mixed, str(tmp_path))) == want
+
+
+def test_mirrored_pages_are_listed(spark):
+    art = lambda x: f"<nav>{x}</nav><article class=a><p>{x}</p></article>"
+    rows = [
+        (5, "http://first.org/a", art("same")), (7, "https://www.first.org/b", art("same")), (6, "http://mirror.net/x.html", art("same")), (None, "http://late.net/", art("same")),
+        (1, "http://alone.org/", art("other")), (2, None, art("same")), (3, "http://none.org/", "<p>same</p>"), (4, "http://none.net/", None), (8, "http://e.org/", "<article></article>"), (9, "http://f.org/", "<article></article>"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(r["url"] for r in url_filter.mirrored_urls(pages).collect()) == ["late.net", "mirror.net/x"]
+    verdicts = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, url_filter.mirrored_urls(pages), rules=()).collect()}
+    assert verdicts[6] == verdicts[None] == "block" and verdicts[5] == verdicts[7] == verdicts[1] == "allow"
+    assert url_filter.mirrored_urls(pages.limit(0)).collect() == []
