@@ -8,14 +8,12 @@ one document, whose copies share every verdict.  Null texts count as empty.  An
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm import bpe, line_dedup, mixing, simhash, toxicity
-from docspark.llm.common import shared_folder, table
+from docspark.llm.common import Rounds, cut, table
 from docspark.llm.queries import RANKS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -62,19 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; each is written to the session's shared checkpoint folder and read again, and goes once the next one is written."""
-    docs, to = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k + 1 == len(STAGES):
-            return out
-        out.write.parquet(f"{to}/{k}")
-        docs = spark.read.parquet(f"{to}/{k}")
-        if k:
-            _remove(spark, f"{to}/{k - 1}")
-    return docs
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """All stages in turn; each is written to the session's shared checkpoint folder and read again, and goes once the next one is written; the last one is a checkpoint."""
+    docs, written = table(spark, sf_dir, "documents"), Rounds(spark, "pipeline")
+    for _, stage in STAGES[:-1]:
+        docs = written.written(stage(spark, docs, sf_dir))
+    out = cut(STAGES[-1][1](spark, docs, sf_dir))
+    written.remove()
+    return out
