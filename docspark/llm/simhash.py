@@ -244,25 +244,31 @@ def verified(members: DataFrame, similarity: float, radius: int) -> DataFrame:
     which joins what is close to one.  What is then in one class needs no comparison: the members are dealt into blocks of about ``VERIFY``, each of one class or of those in none, and every two blocks that are not of
     the same class meet in a group of their own, where pairs that are in one class already are passed over.  So a heap of near copies meets only what it is not joined to.  Only links leave a group, fewer than it has rows.
     """
-    sized = cut(members.join(members.groupBy("root").agg(F.count("*").alias("rows")), "root"))
     none = F.lit(-1).cast("long")  # no class; nodes are not negative
-    small = sized.where(F.col("rows") <= VERIFY).select("node", "bits", "hashes", none.alias("class"), F.col("root").alias("group"))
-    large = sized.where(F.col("rows") > VERIFY)
+    large = cut(members.groupBy("root").agg(F.count("*").alias("rows")).where(F.col("rows") > VERIFY))
+    columns = ["node", "bits", "hashes", "class", "group"]
+    if large.isEmpty():
+        return _grouped(members.select("node", "bits", "hashes", none.alias("class"), F.col("root").alias("group")), "class", lambda rows: linked_pairs(rows, similarity, radius)).distinct()
     pieces = lambda n: F.ceil(n / VERIFY).cast("int")
     piece = lambda n: F.pmod(F.xxhash64("node"), pieces(n)).cast("int")
-    drawn = large.where(F.pmod(F.xxhash64("node", F.lit(1)), F.col("rows")) < CENTRES).withColumn("piece", F.explode(F.sequence(F.lit(0), pieces(F.col("rows")) - 1)))
-    columns = ["node", "bits", "hashes", "centre", "group"]
-    own = large.select("*", F.lit(False).alias("centre"), F.xxhash64("root", piece(F.col("rows"))).alias("group")).select(columns)
-    near = cut(_grouped(own.unionByName(drawn.select("*", F.lit(True).alias("centre"), F.xxhash64("root", "piece").alias("group")).select(columns)), "centre", lambda rows: near_centres(rows, similarity, radius)))
-    classes = components(near).select("node", F.col("root").alias("class"))
-    classed = large.join(classes, "node", "left").withColumn("class", F.coalesce("class", none))
-    blocks = classed.groupBy("root", "class").agg(F.count("*").alias("in_class"))
-    of_root = blocks.select("root", F.explode(F.transform(F.sequence(F.lit(0), pieces(F.col("in_class")) - 1), lambda k: F.struct("class", k.alias("piece")))).alias("block")).groupBy("root").agg(F.collect_list("block").alias("blocks"))
-    dealt = classed.join(blocks, ["root", "class"]).join(of_root, "root")
-    dealt = dealt.withColumn("mine", F.struct("class", piece(F.col("in_class")).alias("piece")))
-    met = dealt.withColumn("other", F.explode(F.filter("blocks", lambda o: (o["class"] < 0) | (o["class"] != F.col("class")))))
-    grouped = met.select("node", "bits", "hashes", "class", F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"))
-    return near.unionByName(_grouped(small.unionByName(grouped), "class", lambda rows: linked_pairs(rows, similarity, radius))).distinct()
+    sized = cut(members.join(large, "root", "left"))
+    small = sized.where("rows is null").select("node", "bits", "hashes", none.alias("class"), F.col("root").alias("group"))
+    heaps = sized.where("rows is not null")
+    # Each member in its piece of the root, and each drawn one in all pieces.
+    drawn = heaps.where(F.pmod(F.xxhash64("node", F.lit(1)), F.col("rows")) < CENTRES)
+    own = heaps.select("root", "node", "bits", "hashes", F.lit(False).alias("centre"), piece(F.col("rows")).alias("piece"))
+    copies = drawn.select("root", "node", "bits", "hashes", F.lit(True).alias("centre"), F.explode(F.sequence(F.lit(0), pieces(F.col("rows")) - 1)).alias("piece"))
+    near = cut(_grouped(own.unionByName(copies).withColumn("group", F.xxhash64("root", "piece")), "centre", lambda rows: near_centres(rows, similarity, radius)))
+    # A member has one link at most; its class is named by the drawn member that it is linked to.
+    classed = cut(heaps.drop("rows").join(near.select(F.col("b").alias("node"), F.col("a").alias("class")), "node", "left").withColumn("class", F.coalesce("class", none)))
+    blocks = classed.groupBy("root", "class").agg(pieces(F.count("*")).alias("pieces"))
+    of_root = blocks.groupBy("root").agg(F.collect_list(F.struct("class", "pieces")).alias("blocks"))
+    mine = F.element_at(F.filter("blocks", lambda o: o["class"] == F.col("class")), 1)
+    dealt = classed.join(of_root, "root").withColumn("mine", F.struct("class", F.pmod(F.xxhash64("node"), mine["pieces"]).cast("int").alias("piece")))
+    others = F.filter("blocks", lambda o: (o["class"] < 0) | (o["class"] != F.col("class")))
+    every = F.flatten(F.transform(others, lambda o: F.transform(F.sequence(F.lit(0), o["pieces"] - 1), lambda k: F.struct(o["class"].alias("class"), k.alias("piece")))))
+    met = dealt.withColumn("other", F.explode(every)).withColumn("group", F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")))
+    return near.unionByName(_grouped(small.select(columns).unionByName(met.select(columns)), "class", lambda rows: linked_pairs(rows, similarity, radius))).distinct()
 
 
 def _grouped(rows: DataFrame, flag: str, linked) -> DataFrame:
@@ -282,7 +288,7 @@ def _grouped(rows: DataFrame, flag: str, linked) -> DataFrame:
         if found := linked(held):
             yield pd.DataFrame(found, columns=["a", "b"])
 
-    return rows.repartition(F.col("group")).sortWithinPartitions("group", "node").mapInPandas(run, "a long, b long")
+    return rows.select("group", "node", "bits", "hashes", flag).repartition(F.col("group")).sortWithinPartitions("group", "node").mapInPandas(run, "a long, b long")
 
 
 def _like(bits: np.ndarray, sizes: np.ndarray, i: int, among: np.ndarray, similarity: float, radius: int) -> np.ndarray:

@@ -300,3 +300,37 @@ def test_lines_of_documents_without_an_id_of_their_own(spark):
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(None, f"x{k}\ny{k}\nz{k}", 6, 3) for k in range(5)] + [(None, f"u{k}\nv{k}\nw{k}", 3, 0) for k in range(5)] + [(None, "only", 1, 0), (7, rows[11][1], 5, 0), (7, "p\nq\nr", 3, 0), (7, None, 0, 0), (8, "s", 4, 3)]
     assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_a_heap_of_near_copies_meets_only_what_it_is_not_joined_to(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "VERIFY", 8)
+    monkeypatch.setattr(simhash, "CENTRES", 2)
+    rng = np.random.default_rng(2)
+    heap = np.sort(rng.integers(0, 2**60, 60))
+    rows, sets = [], {}
+    for i in range(70):  # most differ from the heap in one hash, the others form a chain away from it
+        own = heap.copy()
+        own[: 1 if i < 50 else min(3 * (i - 49), 50)] = rng.integers(2**61, 2**62, 1 if i < 50 else min(3 * (i - 49), 50))
+        sets[i] = set(own.tolist())
+        rows.append((i, 7, bytes(8), sorted(own.tolist())))
+    members = spark.createDataFrame(rows + [(100, 9, bytes(8), [1, 2, 3, 4, 5]), (101, 9, bytes(8), [1, 2, 3, 4, 5])], "node long, root long, bits binary, hashes array<long>")
+    found = {(r["a"], r["b"]) for r in simhash.verified(members, 0.8, 3).collect()}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    assert all(like(a, b) for a, b in found if a < 100) and (100, 101) in found
+    root = list(range(70))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in found:
+        if a < 100:
+            root[find(a)] = find(b)
+    got = {tuple(sorted(i for i in range(70) if find(i) == find(k))) for k in range(70)}
+    root = list(range(70))
+    for a in range(70):
+        for b in range(a):
+            if like(a, b):
+                root[find(a)] = find(b)
+    assert got == {tuple(sorted(i for i in range(70) if find(i) == find(k))) for k in range(70)} and len(got) > 1
