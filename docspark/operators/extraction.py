@@ -273,7 +273,7 @@ def group_words(words: DataFrame, gap: float = 100.0, height: float = 50.0) -> D
     tops = F.aggregate(F.array_sort(F.collect_set("middle")), F.array().cast("array<double>"), lambda rows, y: F.when((F.size(rows) > 0) & (y - F.element_at(rows, -1) <= height), rows).otherwise(F.array_append(rows, y)))
     rows = each.groupBy("doc_id").agg(tops.alias("tops"))
     placed = each.join(rows, "doc_id").withColumn("row", F.size(F.filter("tops", lambda t: t <= F.col("middle"))) - 1)
-    w = Window.partitionBy("doc_id", "row").orderBy("x0", "word_idx")
+    w = Window.partitionBy("doc_id", "row").orderBy("x0", "word_idx", "text")
     new = F.coalesce((F.col("x0") - F.lag("x1").over(w) >= gap).cast("int"), F.lit(1))
     grouped = placed.withColumn("new", new).withColumn("name_idx", F.sum("new").over(w))
     name = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_idx", "text"))), lambda s: s["text"]), lambda t: t != ""), " ")

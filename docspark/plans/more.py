@@ -244,8 +244,8 @@ def x19_extract_abstract(spark, d):
 CASE l_partkey % 7 WHEN 0 THEN 'Google' WHEN 1 THEN '' WHEN 2 THEN 'Lab' ELSE l_returnflag || l_linestatus END AS text FROM lineitem), ys AS (SELECT doc_id, list_sort(list(DISTINCT middle)) AS ys FROM w GROUP BY 1),
 tops AS (SELECT doc_id, ys, ys[1] AS top, 0 AS r FROM ys UNION ALL SELECT doc_id, ys, list_filter(ys, lambda y: y - top > 50)[1], r + 1 FROM tops WHERE list_filter(ys, lambda y: y - top > 50)[1] IS NOT NULL),
 p AS (SELECT w.doc_id, word_idx, x0, x1, text, max(r) AS "row" FROM w JOIN tops t ON t.doc_id = w.doc_id AND t.top <= w.middle GROUP BY ALL),
-n AS (SELECT *, coalesce((x0 - lag(x1) OVER (PARTITION BY doc_id, "row" ORDER BY x0, word_idx) >= 20)::INT, 1) AS new FROM p), g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, "row" ORDER BY x0, word_idx) AS name_idx FROM n),
-s AS (SELECT doc_id, "row", name_idx::BIGINT AS name_idx, coalesce(string_agg(text, ' ' ORDER BY x0, word_idx) FILTER (WHERE text <> ''), '') AS name FROM g GROUP BY 1, 2, 3)
+n AS (SELECT *, coalesce((x0 - lag(x1) OVER (PARTITION BY doc_id, "row" ORDER BY x0, word_idx, text) >= 20)::INT, 1) AS new FROM p), g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, "row" ORDER BY x0, word_idx, text) AS name_idx FROM n),
+s AS (SELECT doc_id, "row", name_idx::BIGINT AS name_idx, coalesce(string_agg(text, ' ' ORDER BY x0, word_idx, text) FILTER (WHERE text <> ''), '') AS name FROM g GROUP BY 1, 2, 3)
 SELECT * FROM s WHERE length(name) >= 3 AND NOT regexp_matches(name, '{extraction.COMPANY}') AND NOT regexp_matches(name, '{extraction.AFFILIATION}')""")
 def x22_group_words(spark, d):
     dbl, n = lambda c: c.cast("double"), F.col("l_partkey") % 7
