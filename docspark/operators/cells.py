@@ -91,8 +91,7 @@ class Cells:
 
     @classmethod
     def fit(cls, vectors: DataFrame, *, id_col: str, vector_col: str = "vector", most: int = MOST_CELLS) -> Cells:
-        """``vectors`` has unique ids and vectors of one length (array<double>); as many centres as the root of their number, at most ``most``, those of the least hash of the id."""
-        vectors = kept(vectors)
+        """``vectors``, a table that is cheap to read again, has unique ids and vectors of one length (array<double>); as many centres as the root of their number, at most ``most``, those of the least hash of the id."""
         count = min(most, math.isqrt(vectors.count()) or 1)
         sample = vectors.orderBy(F.xxhash64(id_col), id_col).limit(count).select(vector_col).collect()
         centres = np.unique(np.array([r[0] for r in sample], np.float64), axis=0) if sample else np.zeros((0, 0))

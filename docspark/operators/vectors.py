@@ -20,6 +20,8 @@ from docspark.sources.scratch import kept
 
 #: Scores are rounded to so many places; a bound must be above by ``SLACK`` to stand for a rounded score.
 PLACES, SLACK = 6, 1e-6
+#: Blocks of vectors up to which all are compared: an index would cost more than it saves.
+FEW_BLOCKS = 16
 
 FOUND = "query_id long, paper_id long, vec_id long, score double"
 
@@ -95,10 +97,14 @@ def _asked(queries: DataFrame, cells: Cells, k: int, *, first: bool) -> DataFram
     return mapped(queries, "query_id long, cell int, near double, norm double, floor double, vector array<double>", of)
 
 
+def _ready(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows with a vector, in double precision, computed once: what made the vectors may be dear."""
+    return kept(df.where("vector is not null").select(*columns, F.col("vector").cast("array<double>").alias("vector")))
+
+
 def _search(queries: DataFrame, vectors: DataFrame, k: int) -> tuple[DataFrame, list[DataFrame], Cells]:
     """What each query's best ``k`` are among, and the cells that each query met in either round."""
-    queries = kept(queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector")))
-    cells = Cells.fit(vectors.where("vector is not null").select("vec_id", "paper_id", F.col("vector").cast("array<double>").alias("vector")), id_col="vec_id")
+    cells = Cells.fit(vectors, id_col="vec_id")
     if not cells.sizes.sum():
         return queries.sparkSession.createDataFrame([], FOUND), [], cells
     blocks = kept(cells.blocks({"vec_ids": "vec_id", "papers": "paper_id"}, id_col="vec_id"))
@@ -120,11 +126,12 @@ def best_pairs(queries: DataFrame, vectors: DataFrame, k: int, *, per_paper: boo
     """query_id, paper_id, vec_id, score (6 places): the best ``k`` of each query, or of each query and paper, by score, then vec_id.
 
     ``queries`` has query_id and vector, ``vectors`` has vec_id (unique), paper_id and vector, all of one length; rows without a vector are left out.  Each query and paper have a row for any k, so
-    ``per_paper`` compares all blocks with all blocks; the rest is searched by bounds.
+    ``per_paper`` compares all blocks with all blocks, and so is a table of few blocks; the rest is searched by bounds.
     """
-    if per_paper:
-        sides = [_side(side.where("vector is not null").withColumn("vector", F.col("vector").cast("array<double>")), columns, key) for side, columns, key in ((queries, {"query_ids": "query_id"}, "query_id"), (vectors, {"vec_ids": "vec_id", "papers": "paper_id"}, "vec_id"))]
-        found = _products(sides[0].withColumnRenamed("flat", "query_flat").crossJoin(sides[1]), k, per_paper=True)
+    queries, vectors = _ready(queries, "query_id"), _ready(vectors, "vec_id", "paper_id")
+    if per_paper or vectors.limit(FEW_BLOCKS * BLOCK + 1).count() <= FEW_BLOCKS * BLOCK:
+        sides = [_side(queries, {"query_ids": "query_id"}, "query_id").withColumnRenamed("flat", "query_flat"), _side(vectors, {"vec_ids": "vec_id", "papers": "paper_id"}, "vec_id")]
+        found = _products(sides[0].crossJoin(sides[1]), k, per_paper=per_paper)
     else:
         found, _, _ = _search(queries, vectors, k)
     w = Window.partitionBy("query_id", *["paper_id"] * per_paper).orderBy(F.desc("score"), "vec_id")
@@ -136,9 +143,8 @@ def best_of_papers(queries: DataFrame, allowed: DataFrame, vectors: DataFrame, k
 
     Queries and vectors meet by paper, in blocks, so a query meets the vectors of its papers and no others, and a paper that many queries ask for is many pairs of blocks.
     """
-    vector = F.col("vector").cast("array<double>").alias("vector")
-    asked = allowed.join(queries.where("vector is not null").select("query_id", vector), "query_id")
-    sides = _side(asked, {"query_ids": "query_id"}, "query_id", "paper_id").withColumnRenamed("flat", "query_flat"), _side(vectors.where("vector is not null").select("vec_id", "paper_id", vector), {"vec_ids": "vec_id", "papers": "paper_id"}, "vec_id", "paper_id")
+    asked = kept(allowed.join(_ready(queries, "query_id"), "query_id"))
+    sides = _side(asked, {"query_ids": "query_id"}, "query_id", "paper_id").withColumnRenamed("flat", "query_flat"), _side(_ready(vectors, "vec_id", "paper_id"), {"vec_ids": "vec_id", "papers": "paper_id"}, "vec_id", "paper_id")
     found = _products(sides[0].join(sides[1], "paper_id"), k)
     w = Window.partitionBy("query_id", "paper_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -146,7 +152,7 @@ def best_of_papers(queries: DataFrame, allowed: DataFrame, vectors: DataFrame, k
 
 def search_share(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """query_id, cells, cells_met, vectors, vectors_met: how much of a full comparison the search of each query needs."""
-    _, asked, cells = _search(queries, vectors, k)
+    _, asked, cells = _search(_ready(queries, "query_id"), _ready(vectors, "vec_id", "paper_id"), k)
     sizes = queries.sparkSession.createDataFrame([(c, int(n)) for c, n in enumerate(cells.sizes)], "cell int, n long")
     met = [a.select("query_id", "cell") for a in asked]
     of = met[0].unionByName(met[1]).join(F.broadcast(sizes), "cell").groupBy("query_id").agg(F.count("*").alias("cells_met"), F.sum("n").alias("vectors_met"))

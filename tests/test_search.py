@@ -28,9 +28,10 @@ def table(spark, x):
     return spark.createDataFrame([(int(i) * 3, int(i) % 4, [float(c) for c in v]) for i, v in enumerate(x)], SCHEMA)
 
 
-@pytest.mark.parametrize(("seed", "k", "whole"), [(0, 1, True), (1, 5, True), (2, 40, False), (3, 1000, True)])
-def test_search_equals_a_full_comparison(spark, monkeypatch, seed, k, whole):
+@pytest.mark.parametrize(("seed", "k", "whole", "few"), [(0, 1, True, 0), (1, 5, True, 0), (2, 40, False, 0), (3, 1000, True, 0), (1, 5, True, 100)])
+def test_search_equals_a_full_comparison(spark, monkeypatch, seed, k, whole, few):
     monkeypatch.setattr(cells, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "FEW_BLOCKS", few)
     monkeypatch.setattr(vectors, "BLOCK", 16)
     x = clustered(seed)
     x = unit(x) if whole else x
@@ -57,6 +58,10 @@ def test_search_of_nothing(spark):
     none = table(spark, np.zeros((0, 4)))
     queries = table(spark, np.ones((2, 4))).select(F.col("vec_id").alias("query_id"), "vector")
     assert vectors.best_pairs(queries, none, 3).collect() == []
+    for few in (0, 16):
+        vectors.FEW_BLOCKS, before = few, vectors.FEW_BLOCKS
+        assert vectors.best_pairs(queries, none, 3).collect() == []
+        vectors.FEW_BLOCKS = before
     assert vectors.best_pairs(queries.limit(0), table(spark, np.ones((2, 4))), 3).collect() == []
     best = vectors.best_source(queries, none).collect()
     assert [(r["score"], r["confidence"]) for r in best] == [(0.0, "low")] * 2
