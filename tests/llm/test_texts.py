@@ -302,9 +302,8 @@ def test_lines_of_documents_without_an_id_of_their_own(spark):
     assert Counter(map(tuple, got)) == Counter(want)
 
 
-def test_a_heap_of_near_copies_meets_only_what_it_is_not_joined_to(spark, monkeypatch):
+def test_a_heap_of_near_copies_and_a_chain_away_from_it(spark, monkeypatch):
     monkeypatch.setattr(simhash, "VERIFY", 8)
-    monkeypatch.setattr(simhash, "CENTRES", 2)
     rng = np.random.default_rng(2)
     heap = np.sort(rng.integers(0, 2**60, 60))
     rows, sets = [], {}
