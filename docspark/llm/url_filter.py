@@ -136,11 +136,13 @@ def marked_urls(pages: DataFrame, *, marks: tuple[str, ...] = MARKS, url_col: st
 def mirrored_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A list for ``filter_urls``: the canonical URLs of pages whose article stands, sign for sign, under another bare host at an earlier page (least id, null last, then host).
 
-    Articles meet by 128-bit hashes, and of each the first page is found by an aggregation that sums up before the shuffle.  Pages without an article element or without a host are no mirrors.
+    Articles meet by 128-bit hashes, and of each the first page is found by an aggregation that sums up before the shuffle; it is written to the checkpoint folder, so that the
+    join back reads two plain shuffles and a very frequent article is split by the engine's skew join.  Pages without an article element or without a host are no mirrors.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     article = F.regexp_extract(F.col(html_col), r"(?s)<article\b[^>]*>(.*)</article>", 1)
     parts = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), article.alias("article")).where("article <> '' and host <> ''")
     parts = cut(parts.select("id", bare_host(F.col("host")).alias("bare"), canonical(F.col("host"), F.col("path")).alias("url"), F.xxhash64("article").alias("h"), F.xxhash64(F.lit(1), "article").alias("h2")))
     first = parts.groupBy("h", "h2").agg(F.min(F.struct(F.col("id").isNull().alias("null_id"), "id", "bare")).alias("first"), F.min("bare").alias("low"), F.max("bare").alias("high"))
-    return parts.join(first.where("low <> high"), ["h", "h2"]).where(F.col("bare") != F.col("first.bare")).select("url")
+    first = cut(first.where("low <> high").select("h", "h2", "first"))
+    return parts.join(first, ["h", "h2"]).where(F.col("bare") != F.col("first.bare")).select("url")
