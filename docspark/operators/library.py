@@ -160,26 +160,31 @@ def sessions_recent(sessions: DataFrame, key: str, last: str) -> DataFrame:
     return rows.join(F.broadcast(counts), "_range").withColumn("place", F.col("_before") + F.col("_own")).drop("_at", "_range", "_own", "_before")
 
 
-def _in_slices(df: DataFrame, seconds: float) -> DataFrame:
-    """Every row in the time slice of its ``ts``, and once more, as ``_copy``, in the next: all that a frame of this length looks back on is in a row's own slice.
+def _frame_sums(df: DataFrame, seconds: float, sums: dict[str, Column]) -> DataFrame:
+    """Adds the sums over a provider's rows from ``seconds`` before a row's ``ts`` up to it, rows of either moment included.
 
-    A provider with most of the calls is thus many groups, one a slice.
+    Time is cut into slices as long as the frame, and every row comes once more, as ``_copy`` and later by one frame, in the next slice.  So a frame is what its slice's own rows add up to before it and what the
+    copies add up to after it: two running sums, whose cost does not grow with the rows in a frame, and which never subtract.  A provider with most of the calls is many groups, one a slice.
     """
-    micros = int(seconds * 1_000_000)
-    timed = df.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
-    number = F.floor(F.col("_us") / micros)
-    both = F.array(F.struct(number.alias("slice"), F.lit(False).alias("copy")), F.struct((number + 1).alias("slice"), F.lit(True).alias("copy")))
-    return timed.withColumn("_in", F.explode(both)).withColumns({"_slice": F.col("_in.slice"), "_copy": F.col("_in.copy")}).drop("_in")
+    micros, us = int(seconds * 1_000_000), F.unix_micros(F.col("ts").cast("timestamp"))
+    start = us - F.pmod(us, F.lit(micros))
+    place = lambda by, copy: F.struct((start + by).alias("slice"), (us + by).alias("at"), F.lit(copy).alias("copy"))
+    both = F.explode(F.when(us.isNull(), F.array(place(0, False))).otherwise(F.array(place(0, False), place(micros, True))))
+    rows = df.withColumn("_in", both).withColumns({"_slice": F.col("_in.slice"), "_at": F.col("_in.at"), "_copy": F.col("_in.copy")})
+    carried = [F.when(~F.col("_copy"), F.col(c)).alias(c) for c in df.columns if c != "provider"]
+    values = [F.when(F.col("_copy") == copy, c).alias(f"_{name}_{copy}") for name, c in sums.items() for copy in (False, True)]
+    rows = rows.select("provider", "_slice", "_at", "_copy", *carried, *values)
+    upto = lambda order: Window.partitionBy("provider", "_slice").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({f"_{name}_False": F.sum(f"_{name}_False").over(upto(F.asc("_at"))) for name in sums})
+    rows = rows.withColumns({f"_{name}_True": F.sum(f"_{name}_True").over(upto(F.desc("_at"))) for name in sums}).where("not _copy")
+    total = lambda a, b: F.coalesce(a + b, a, b)
+    return rows.select(*df.columns, *[total(F.col(f"_{name}_False"), F.col(f"_{name}_True")).alias(name) for name in sums])
 
 
 def rolling_usage(calls: DataFrame, *, window_s: float = 60.0, day_s: float = 86_400.0) -> DataFrame:
     """Adds tokens and requests of the last window and requests of the last day, per provider; both ends count."""
-    out = calls
-    for seconds, columns in ((window_s, {"tokens_window": F.sum("tokens"), "requests_window": F.count("*")}), (day_s, {"requests_day": F.count("*")})):
-        frame = Window.partitionBy("provider", "_slice").orderBy("_us").rangeBetween(-int(seconds * 1_000_000), 0)
-        sliced = _in_slices(out, seconds)
-        out = sliced.withColumns({name: c.over(frame) for name, c in columns.items()}).where("not _copy").drop("_us", "_slice", "_copy")
-    return out
+    recent = _frame_sums(calls, window_s, {"tokens_window": F.col("tokens"), "requests_window": F.lit(1)})
+    return _frame_sums(recent, day_s, {"requests_day": F.lit(1)})
 
 
 def usage_summary(usage: DataFrame, limits: DataFrame, waits: DataFrame) -> DataFrame:

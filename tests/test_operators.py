@@ -315,3 +315,23 @@ def test_queries_equal_their_sql(spark, sf_dir, name):
         return sorted((tuple(map(value, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=str)
 
     assert rows(a) == rows(b) and not math.isnan(len(a))
+
+
+def test_rolling_usage_adds_each_row_once(spark):
+    """Against a sum over all pairs, ends of the frames and rows without a time included; no frame slides, as each step of one would add up all that it holds."""
+    rnd = random.Random(5)
+    at = [rnd.choice([0, 60, 61, 3600, 86_400, 86_460]) + rnd.randrange(4) * 86_400 + rnd.choice([0, 1e-6, rnd.random()]) for _ in range(150)]
+    rows = [(i, rnd.choice("ab"), None if i % 50 == 0 else dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), rnd.choice([None, rnd.randrange(9) * 1.5])) for i, s in enumerate(at)]
+    calls = spark.createDataFrame(rows, "event_id int, provider string, ts timestamp, tokens double")
+    out = library.rolling_usage(calls)
+    assert out.columns == ["event_id", "provider", "ts", "tokens", "tokens_window", "requests_window", "requests_day"]
+
+    def want(row, seconds):
+        near = [r for r in rows if r[1] == row[1] and ((r[2] is None) == (row[2] is None)) and (row[2] is None or dt.timedelta(0) <= row[2] - r[2] <= dt.timedelta(seconds=seconds))]
+        some = [r[3] for r in near if r[3] is not None]
+        return sum(some) if some else None, len(near)
+
+    got = {r["event_id"]: ((r["tokens_window"], r["requests_window"]), r["requests_day"]) for r in out.collect()}
+    assert got == {r[0]: (want(r, 60), want(r, 86_400)[1]) for r in rows}
+    frames = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.strip(" +-:").startswith("Window ")]
+    assert len(frames) >= 4 and not any("-86400000000" in f or "-60000000" in f for f in frames)
