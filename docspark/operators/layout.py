@@ -19,53 +19,58 @@ def plain_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.regexp_replace(text, r"[*|]", " ")), r"\s+"), "")
 
 
-def phrases(needles: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, page, start: the first place on each page of ``doc_id`` where the words of a needle stand one after the other; the last one only has to begin there.
+def phrase_start(needle: Column, page: Column) -> Column:
+    """The first place (from 0) on a page where the words of a needle stand one after the other, else null; the last one only has to begin there.
 
-    ``needles`` has the keys, doc_id and ``ws``, the words; ``words`` has doc_id, page, word_idx and w.  Words meet by document and word, and every meeting votes for a start, so a page is never read for a needle;
-    a start with all votes but the last word's is then looked up there.
+    ``page`` is the page's words, each behind a line feed, which no word has.
     """
-    sized = needles.where(F.size("ws") > 0).withColumn("n", F.size("ws"))
-    inner = sized.where("n > 1").select(*keys, "doc_id", "n", F.posexplode(F.slice("ws", F.lit(1), F.col("n") - 1)).alias("i", "w"))
-    votes = inner.join(words.select("doc_id", "page", "word_idx", "w"), ["doc_id", "w"])
-    starts = votes.groupBy(*keys, "doc_id", "n", "page", (F.col("word_idx") - F.col("i")).alias("start")).agg(F.count("*").alias("votes")).where("votes = n - 1")
-    last = sized.select(*keys, "doc_id", F.element_at("ws", -1).alias("end"))
-    ended = starts.join(last, [*keys, "doc_id"]).withColumn("word_idx", F.col("start") + F.col("n") - 1).join(words.select("doc_id", "page", "word_idx", "w"), ["doc_id", "page", "word_idx"]).where(F.startswith("w", "end"))
-    # A needle of one word: words that share its first letter.
-    letter = lambda c: F.substring(c, 1, 1)
-    single = last.join(sized.where("n = 1").select(*keys), keys, "left_semi").withColumn("letter", letter("end"))
-    begun = single.join(words.select("doc_id", "page", "word_idx", "w", letter("w").alias("letter")), ["doc_id", "letter"]).where(F.startswith("w", "end"))
-    found = ended.select(*keys, "doc_id", "page", "start").unionByName(begun.select(*keys, "doc_id", "page", F.col("word_idx").alias("start")))
-    return found.groupBy(*keys, "doc_id", "page").agg(F.min("start").alias("start"))
+    at = F.instr(page, F.concat(F.lit("\n"), F.array_join(needle, "\n")))
+    before = F.substring(page, F.lit(1), at)
+    return F.when((F.size(needle) > 0) & (at > 0), F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) - 1)
+
+
+def pages_of_words(words: DataFrame) -> DataFrame:
+    """doc_id, page, words: the words (text and box) of every page in their order."""
+    row = F.struct("word_idx", "text", *BOX)
+    held = words.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(row)).alias("words"))
+    return held.withColumn("words", F.transform("words", lambda w: F.struct(w["text"].alias("text"), *[w[c].alias(c) for c in BOX])))
 
 
 def locate_caption_words(captions: DataFrame, words: DataFrame) -> DataFrame:
+    """``locate_captions`` on words as rows: ``words`` has doc_id, page, word_idx (from 0, without gaps), text and a box."""
+    return locate_captions(captions, pages_of_words(words))
+
+
+def locate_captions(captions: DataFrame, pages: DataFrame) -> DataFrame:
     """caption_id, page, rule, x0, y0, x1, y1: the box round the words of a caption: on its page, else the one before, the one after, the others in order.
 
     On a page: the whole caption (rule 0), its first 12 characters if it is longer (1), "Table n" (2), "Tab. n" (3), else all words that hold one of the keywords of three characters or more, if there are at least two (4).
-    ``captions`` has caption_id (unique), doc_id, page, caption, number and keywords; ``words`` doc_id, page, word_idx (from 0, without gaps), text and a box.
+    ``captions`` has caption_id (unique), doc_id, page, caption, number and keywords; ``pages`` has doc_id, page and words, an array of text and box.  A page is one row and moves once, to the captions of its document; nothing is
+    made of pairs of words.
     """
     # A word of several marks or none after cleaning keeps its number and matches nothing.
-    seen = words.select("doc_id", "page", "word_idx", F.array_join(plain_words(F.col("text")), "").alias("w"), *BOX)
-    whole = F.array_join(plain_words(F.col("caption")), " ")
+    clean = F.transform("words", lambda w: F.struct(F.coalesce(F.array_join(plain_words(w["text"]), ""), F.lit("")).alias("w"), *[w[c].alias(c) for c in BOX]))
     number = F.col("number").cast("string")
+    whole = F.array_join(plain_words(F.col("caption")), " ")
     kinds = [
         plain_words(F.col("caption")), F.when(F.length(whole) > 12, plain_words(F.substring(whole, 1, 12))), F.when(number.isNotNull(), F.array(F.lit("table"), number)), F.when(number.isNotNull(), F.array(F.lit("tab."), number)),
     ]
-    asked = captions.select("caption_id", "doc_id", F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), ws.alias("ws")) for rule, ws in enumerate(kinds)])).alias("n")).select("caption_id", "doc_id", "n.rule", "n.ws").where("ws is not null")
-    found = phrases(asked, seen, ["caption_id", "rule"]).join(asked.select("caption_id", "rule", F.size("ws").alias("n")), ["caption_id", "rule"])
-    first = found.groupBy("caption_id", "doc_id", "page").agg(F.min(F.struct("rule", "start", "n")).alias("f")).select("caption_id", "doc_id", "page", "f.*")
-    placed = first.withColumn("word_idx", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1))).join(seen, ["doc_id", "page", "word_idx"])
-    around = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
-    by_phrase = placed.groupBy("caption_id", "page", "rule").agg(*around)
-    keyed = captions.select("caption_id", "doc_id", F.explode(F.array_distinct(F.filter(F.transform("keywords", lambda k: F.lower(F.trim(F.regexp_replace(k, r"[*|]", "")))), lambda k: F.length(k) >= 3))).alias("k"))
-    hits = keyed.join(seen, "doc_id").where(F.contains("w", "k")).dropDuplicates(["caption_id", "page", "word_idx"])
-    by_keywords = hits.groupBy("caption_id", "page").agg(F.count("*").alias("hits"), *around).where("hits >= 2").select("caption_id", "page", F.lit(4).alias("rule"), *BOX)
+    keys = F.filter(F.transform("keywords", lambda k: F.lower(F.trim(F.regexp_replace(k, r"[*|]", "")))), lambda k: F.length(k) >= 3)
+    asked = captions.select("caption_id", "doc_id", F.col("page").alias("want"), F.array(*kinds).alias("needles"), keys.alias("keys"))
+    pairs = asked.join(pages.select("doc_id", "page", clean.alias("words")), "doc_id")
+    phrase = lambda rule: F.get("needles", F.lit(rule))
+    at = lambda flat, rule: let(phrase_start(phrase(rule), flat), lambda s: F.when(s.isNotNull(), F.struct(F.lit(rule).alias("rule"), F.slice("words", s + 1, F.size(phrase(rule))).alias("held"))))
+    keyed = let(F.filter("words", lambda w: F.exists("keys", lambda k: F.contains(w["w"], k))), lambda held: F.when(F.size(held) >= 2, F.struct(F.lit(len(kinds)).alias("rule"), held.alias("held"))))
+    flat = F.concat(F.lit("\n"), F.array_join(F.transform("words", lambda w: w["w"]), "\n"))
+    # One or no element, so that the place is found once and not again for a filter.
+    first = let(flat, lambda flat: F.coalesce(*[at(flat, rule) for rule in range(len(kinds))], keyed))
+    chosen = pairs.select("caption_id", "want", "page", F.explode(F.array_compact(F.array(first))).alias("f")).select("caption_id", "want", "page", "f.*")
+    edge = lambda f, c: f(F.transform("held", lambda w: w[c])).alias(c)
+    found = chosen.select("caption_id", "want", "page", "rule", edge(F.array_min, "x0"), edge(F.array_min, "y0"), edge(F.array_max, "x1"), edge(F.array_max, "y1"))
     away = F.col("page") - F.col("want")
     near = F.when(away == 0, 0).when(away == -1, 1).when(away == 1, 2).otherwise(3)
-    every = by_phrase.unionByName(by_keywords).join(captions.select("caption_id", F.col("page").alias("want")), "caption_id")
-    order = Window.partitionBy("caption_id").orderBy(near, "page", "rule")
-    return every.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("caption_id", "page", "rule", *BOX)
+    best = found.groupBy("caption_id").agg(F.min_by(F.struct("page", "rule", *BOX), F.struct(near, "page")).alias("b"))
+    return best.select("caption_id", "b.*")
 
 
 def cut_order(boxes: list[tuple[float, float, float, float]], gap: float = 1.0) -> list[int]:

@@ -112,3 +112,31 @@ def test_every_tier_of_titles_and_authors(papers):
     assert got[4][0] == "The first text box is long" and got[4][2] == 3 and got[4][1] is None
     assert got[5][0] == "A line of the text that is long enough" and got[5][2] == 4
     assert got[6] == (None, None, None)
+
+
+def test_caption_words_of_rows_and_pages_by_brute_force(spark):
+    """Pages of few different words, so that words of a caption meet very often; and no plan that joins word with word."""
+    rnd = random.Random(11)
+    pages = {(d, p): [rnd.choice(["aa", "ab", "Table", "tab.", "1", "**", "aab", "x|y"]) for _ in range(rnd.choice([1, 5, 40]))] for d in range(12) for p in range(4)}
+    words = spark.createDataFrame([(d, p, i, w, i * 10.0, p * 1.0, i * 10.0 + 5, p + 1.0) for (d, p), ws in pages.items() for i, w in enumerate(ws)], "doc_id long, page long, word_idx int, text string, x0 double, y0 double, x1 double, y1 double")
+    asked = [(d, d, rnd.randrange(4), rnd.choice(["aa ab aa", "aa aa ab aa aab z", "zz", "", "**", None]), rnd.choice([None, 1, 2]), rnd.choice([[], ["aab", "xy"], ["aa"], None])) for d in range(12)]
+    captions = spark.createDataFrame(asked, "caption_id long, doc_id long, page long, caption string, number int, keywords array<string>")
+    plain = lambda c: c.lower().replace("*", " ").replace("|", " ").split()
+    want = {}
+    for c, d, page, text, number, keys in asked:
+        whole = None if text is None else plain(text)
+        kinds = [whole, plain(text[:12]) if text is not None and len(" ".join(whole)) > 12 else None, ["table", str(number)] if number else None, ["tab.", str(number)] if number else None]
+        for p in sorted(range(4), key=lambda p: ({0: 0, -1: 1, 1: 2}.get(p - page, 3), p)):
+            ws = ["".join(plain(w)) for w in pages[d, p]]
+            starts = [(rule, i, i + len(k)) for rule, k in enumerate(kinds) if k for i in range(len(ws) - len(k) + 1) if ws[i : i + len(k) - 1] == k[:-1] and ws[i + len(k) - 1].startswith(k[-1])]
+            held = [i for i, w in enumerate(ws) if any(len(k) >= 3 and k in w for k in keys or [])]
+            if starts:
+                rule, a, b = min(starts)
+                want[c] = (p, rule, a * 10.0, (b - 1) * 10.0 + 5)
+            elif len(held) >= 2:
+                want[c] = (p, 4, held[0] * 10.0, held[-1] * 10.0 + 5)
+            if c in want:
+                break
+    out = layout.locate_caption_words(captions, words)
+    assert {r["caption_id"]: (r["page"], r["rule"], r["x0"], r["x1"]) for r in out.collect()} == want and len({w[1] for w in want.values()}) > 2
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
