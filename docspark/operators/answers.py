@@ -100,14 +100,14 @@ def comparison_columns(rows: DataFrame) -> DataFrame:
 
 
 def cross_paper_results(results: DataFrame, benchmarks: DataFrame) -> DataFrame:
-    """answer_id, place, model, paper, value: models in the order they are first seen, each with its first value in every paper of its answer, N/A where there is none.
+    """answer_id, place, model, paper, value: models in the order they are first seen, each with its first value (the least of those at one place) in every paper of its answer, N/A where there is none.
 
     Only answers of two papers or more that all share a metric and a dataset (``paper_benchmarks``) are compared.
     """
     papers = benchmarks.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("paper", "metrics", "datasets"))).alias("papers")).where(F.size("papers") > 1)
     common = lambda name: F.aggregate("papers", F.get("papers", F.lit(0))[name], lambda a, p: F.array_intersect(a, p[name]))
     comparable = papers.where((F.size(common("metrics")) > 0) & (F.size(common("datasets")) > 0)).select("answer_id", F.transform("papers", lambda p: p["paper"]).alias("papers"))
-    each = results.groupBy("answer_id", "model", "paper").agg(F.min_by("value", "ord").alias("value"), F.min("ord").alias("ord"))
+    each = results.groupBy("answer_id", "model", "paper").agg(F.min_by("value", F.struct("ord", "value")).alias("value"), F.min("ord").alias("ord"))
     models = each.groupBy("answer_id", "model").agg(F.map_from_entries(F.collect_list(F.struct("paper", "value"))).alias("by_paper"), F.min(F.struct("paper", "ord")).alias("seen"))
     placed = models.withColumn("place", F.row_number().over(Window.partitionBy("answer_id").orderBy("seen", "model")))
     joined = placed.join(comparable, "answer_id").select("answer_id", "place", "model", "by_paper", F.explode("papers").alias("paper"))

@@ -372,7 +372,7 @@ def c06_comparison_columns(spark, d):
 
 @query("""WITH r AS (SELECT l_orderkey AS answer_id, l_linenumber % 3 AS paper, l_linenumber * 10000000 + l_partkey AS ord, l_returnflag || l_linestatus AS model, CAST(l_suppkey AS VARCHAR) AS value FROM lineitem), p AS (SELECT DISTINCT answer_id, paper FROM r),
 n AS (SELECT answer_id, count(*) AS n FROM p GROUP BY 1 HAVING count(*) > 1), c AS (SELECT n.answer_id, m, x FROM n JOIN p USING (answer_id), (VALUES (3), (5)) AS a(m), (VALUES (1), (2)) AS b(x) WHERE (p.answer_id + p.paper * x) % m > 0 GROUP BY n.answer_id, m, x, n.n HAVING count(*) = n.n),
-ok AS (SELECT answer_id FROM c GROUP BY 1 HAVING count(DISTINCT m) = 2), f AS (SELECT answer_id, model, paper, arg_min(value, ord) AS value, min(ord) AS ord FROM r GROUP BY 1, 2, 3),
+ok AS (SELECT answer_id FROM c GROUP BY 1 HAVING count(DISTINCT m) = 2), f AS (SELECT answer_id, model, paper, arg_min(value, struct_pack(o := ord, v := value)) AS value, min(ord) AS ord FROM r GROUP BY 1, 2, 3),
 s AS (SELECT answer_id, model, row_number() OVER (PARTITION BY answer_id ORDER BY min(paper * 1000000000000 + ord), model) AS place FROM f GROUP BY 1, 2)
 SELECT s.answer_id, place, s.model, p.paper, coalesce(f.value, 'N/A') AS value FROM s JOIN ok USING (answer_id) JOIN p USING (answer_id) LEFT JOIN f ON f.answer_id = s.answer_id AND f.model = s.model AND f.paper = p.paper""")
 def c10_cross_paper_results(spark, d):
