@@ -393,7 +393,8 @@ def c11_parse_questions(spark, d):
 
 def _formula_line_sql() -> str:
     slashes = "length(regexp_replace(c, '[^\\\\]', '', 'g'))"
-    long = lambda n: f"len(regexp_extract_all(c, '\\b[A-Za-z]{{{n},}}\\b'))"
+    # Words of letters of any script, as the query's word boundary has it; that of RE2 knows ASCII only and finds words inside them.
+    long = lambda n: f"len(list_filter(regexp_extract_all(c, '[\\p{{L}}\\p{{Mn}}\\p{{Nd}}_]+'), lambda w: regexp_full_match(w, '[A-Za-z]{{{n},}}')))"
     valid = (
         f"NOT (c = '' OR contains(c, '##') OR ends_with(c, ':') OR (length(c) > 220 AND NOT contains(c, '=') AND {slashes} = 0)) AND (regexp_matches(c, '{answers.DELIMITED}') OR contains(c, '=') OR ({slashes} >= 2 AND {long(3)} <= 6)"
         f" OR (length(regexp_replace(c, '[^=<>^_{{}}()\\[\\]+\\-/*]', '', 'g')) >= 4 AND {long(3)} <= 4 AND length(c) <= 120))"

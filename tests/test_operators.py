@@ -335,3 +335,24 @@ def test_rolling_usage_adds_each_row_once(spark):
     assert got == {r[0]: (want(r, 60), want(r, 86_400)[1]) for r in rows}
     frames = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.strip(" +-:").startswith("Window ")]
     assert len(frames) >= 4 and not any("-86400000000" in f or "-60000000" in f for f in frames)
+
+
+def test_first_value_of_a_paper_is_the_least_at_one_place(spark):
+    rows = spark.createDataFrame([(1, p, 5, "m", v) for p in (0, 1) for v in ("9", "10", "2", "31")], "answer_id long, paper int, ord long, model string, value string").repartition(4)
+    shared = spark.createDataFrame([(1, p, ["a"], ["b"]) for p in (0, 1)], "answer_id long, paper int, metrics array<string>, datasets array<string>")
+    assert {r["value"] for r in answers.cross_paper_results(rows, shared).collect()} == {"10"}
+
+
+@pytest.mark.parametrize(("name", "texts"), [
+    # Letters of other scripts inside words, with a sign of formulas, beside a plainer line.
+    ("m05_best_formula_line", ["über<ünder ciónalgo ñalgo óalgo élast álong íwide\na<b", "é" + "a<bé " * 9 + "\n[x]<y", "ówords ñwords íwords {x} [y] úwords öwords\nx>y"]),
+    # Marks of bold text at keywords.
+    ("v12_locate_caption", ["", "", "", "a\nb\nlonger than the others: gami and por here\nEl** gami*** por**\ngami\npor"]),
+])
+def test_queries_equal_their_sql_on_odd_texts(spark, tmp_path, name, texts):
+    rows = pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "lang": "en", "source": "src0", "n_chars": [len(t) for t in texts]})
+    rows.to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    a, b = __spark_entry__.queries()[name](spark, str(tmp_path)).toPandas(), con.sql(__spark_entry__.oracle_sql()[name]).df()
+    assert len(a) and sorted(map(tuple, a.astype(str).values)) == sorted(map(tuple, b[list(a.columns)].astype(str).values))
