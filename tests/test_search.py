@@ -132,3 +132,9 @@ def test_components_of_chains_rings_and_stars(spark):
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(301)}, **{1000 + k: 1000 for k in range(50)}, **{2000 + k: 2000 for k in range(80)}}
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_few_rows_are_worked_on_at_a_time(spark):
+    """However many Spark puts into a batch, and none is lost."""
+    made = cells.mapped(spark.range(0, 1000, 1, 1), "n long, total long", lambda batch: {"n": [batch.num_rows], "total": [sum(batch.column("id").to_pylist())]}).collect()
+    assert max(r["n"] for r in made) <= cells.AT_ONCE and sum(r["n"] for r in made) == 1000 and sum(r["total"] for r in made) == 499_500
