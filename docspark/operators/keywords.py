@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Callable, Iterator
 
@@ -37,28 +36,44 @@ def hashed_texts(texts: pd.Series) -> list[np.ndarray]:
     return hashed_words(pd.Series([np.array(ws, np.uint64).astype(np.int64) for ws in words], dtype=object), DIMS)
 
 
+#: Words whose places are remembered in a task.
+REMEMBERED = 1_000_000
+
+
+def hashed_runs(words: list[str], runs: list[tuple[int, ...]], known: dict[str, list[int]]) -> np.ndarray:
+    """The vectors that ``hashed_texts`` gives the runs of ``words`` (places in it, -1 for none), each word hashed once: counts of a run are the sum of its words' counts."""
+    if len(known) > REMEMBERED:
+        known.clear()
+    places = []
+    for w in words:
+        if w not in known:
+            known[w] = [int(np.int64(np.uint64(xxhash.xxh64_intdigest(p.encode(), 42)))) % DIMS for p in re.split(r"[\W_]+", w.lower()) if p]
+        places.append(known[w])
+    row = np.repeat(np.arange(len(words)), [len(p) for p in places])
+    at = row * DIMS + np.array([x for p in places for x in p], np.int64)
+    counts = np.bincount(at, minlength=(len(words) + 1) * DIMS).reshape(-1, DIMS).astype(np.float64)  # the last row, that of -1, is empty
+    out = np.empty((len(runs), DIMS), np.float64)
+    for k in range(0, len(runs), 4096):
+        v = counts[np.array(runs[k : k + 4096], np.int64)].sum(1)
+        norm = np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+        out[k : k + 4096] = (v / np.where(norm > 0, norm, 1)).astype(np.float32)
+    return out
+
+
 def spread_out(text: np.ndarray, candidates: np.ndarray, most: int, diversity: float) -> list[int]:
     """Greedy maximal marginal relevance: the candidate most like the text, then again and again the one of the largest (1 - d) likeness to the text less d likeness to the nearest chosen one; ties to the lower index.
 
-    A candidate's value only falls as more are chosen, so values wait in a heap and are brought up to date when they reach its top; most candidates are compared with few chosen ones.
+    One product of all candidates with the last chosen one keeps every value up to date.
     """
     if not len(candidates):
         return []
     relevance = np.round(candidates @ text, 6)
-    chosen = [int(relevance.argmax())]
-    nearest = np.round(candidates @ candidates[chosen[0]], 6)
-    value = np.round((1 - diversity) * relevance - diversity * nearest, 9)
-    seen = np.ones(len(candidates), np.int64)
-    heap = [(-v, i) for i, v in enumerate(value.tolist()) if i != chosen[0]]
-    heapq.heapify(heap)
-    while heap and len(chosen) < most:
-        _, i = heapq.heappop(heap)
-        if seen[i] == len(chosen):
-            chosen.append(i)
-            continue
-        nearest[i] = max(nearest[i], np.round(candidates[chosen[seen[i] :]] @ candidates[i], 6).max())
-        seen[i] = len(chosen)
-        heapq.heappush(heap, (-round((1 - diversity) * relevance[i] - diversity * nearest[i], 9), i))
+    nearest, chosen = np.full(len(candidates), -np.inf), [int(relevance.argmax())]
+    while len(chosen) < min(most, len(candidates)):
+        np.maximum(nearest, np.round(candidates @ candidates[chosen[-1]], 6), out=nearest)
+        value = np.round((1 - diversity) * relevance - diversity * nearest, 9)
+        value[chosen] = -np.inf
+        chosen.append(int(value.argmax()))
     return chosen
 
 
@@ -73,21 +88,35 @@ def mmr_keywords(
 
     Candidates are the distinct runs of one to ``most_words`` words of two letters or more once stop words are taken out.  ``over`` times ``top_n`` of them are chosen with ``diversity``, then put in the
     order of their likeness (ties alphabetically), and of those that are neither short, numbers nor general the first ``top_n`` count.  Texts under ``shortest`` characters have none.  Everything about a document happens in
-    the task that holds it, and nothing is shuffled; ``encoder`` maps a series of texts to unit vectors and gets a document's candidates at a time.
+    the task that holds it, and nothing is shuffled; ``encoder`` maps a series of texts to unit vectors and gets a document's candidates at a time.  The built-in one takes a candidate's vector from its words.
     """
     stop = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
     words = F.filter(F.regexp_extract_all(F.lower(text_col), F.lit(r"([\p{L}\p{N}_]{2,})"), 1), lambda w: ~w.isin(stop))
     rows = docs.where(F.length(F.trim(text_col)) >= shortest).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), words.alias("words"))
-    of = encoder or hashed_texts
+
+    def candidates(text: str, ws: list[str], known: dict[str, list[int]]) -> tuple[list[str], np.ndarray]:
+        """The candidates in the order of their text, and the vectors of the text and of them."""
+        if encoder:
+            grams = sorted({" ".join(ws[i : i + n]) for n in range(1, most_words + 1) for i in range(len(ws) - n + 1)})
+            return grams, np.asarray(list(encoder(pd.Series([text, *grams]))), np.float64) if grams else np.zeros((1, DIMS))
+        number = {w: k for k, w in enumerate(dict.fromkeys(ws))}
+        at = [number[w] for w in ws]
+        runs = {}
+        for n in range(1, most_words + 1):
+            rest = (-1,) * (most_words - n)
+            for i in range(len(ws) - n + 1):
+                runs[" ".join(ws[i : i + n])] = (*at[i : i + n], *rest)
+        grams = sorted(runs)
+        return grams, np.vstack([np.asarray(hashed_texts(pd.Series([text]))[0], np.float64)[None], hashed_runs(list(number), [runs[g] for g in grams], known)]) if grams else np.zeros((1, DIMS))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, list[int]] = {}
         for batch in batches:
             out = []
             for id_, text, ws in zip(batch["id"], batch["text"], batch["words"], strict=True):
-                grams = sorted({" ".join(ws[i : i + n]) for n in range(1, most_words + 1) for i in range(len(ws) - n + 1)})
+                grams, vectors = candidates(text, list(ws), known)
                 if not grams:
                     continue
-                vectors = np.asarray(list(of(pd.Series([text, *grams]))), np.float64)
                 chosen = spread_out(vectors[0], vectors[1:], over * top_n, diversity)
                 scored = sorted(((-round(float(vectors[i + 1] @ vectors[0]), 4), grams[i]) for i in chosen))
                 out += [(id_, k, -s, rank) for rank, (s, k) in enumerate([x for x in scored if _wanted(x[1])][:top_n], 1)]

@@ -56,6 +56,16 @@ def test_keywords_of_documents(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want) and {r["doc_id"] for r in got} >= {2, 3, 7}
 
 
+def test_runs_take_their_vectors_from_words_that_are_hashed_once(monkeypatch):
+    words, known, hashed = ["alpha", "a_b", "__", "été", "alpha2"], {}, []
+    runs = [(0, -1, -1), (1, -1, -1), (2, -1, -1), (0, 1, -1), (0, 0, 3), (3, 2, 4)]
+    want = np.asarray(keywords.hashed_texts(pd.Series([" ".join(words[i] for i in r if i >= 0) for r in runs])), float)
+    real = keywords.xxhash.xxh64_intdigest
+    monkeypatch.setattr(keywords.xxhash, "xxh64_intdigest", lambda *a: hashed.append(a[0]) or real(*a))
+    assert np.array_equal(keywords.hashed_runs(words, runs * 2000, known), np.tile(want, (2000, 1)))
+    assert sorted(hashed) == sorted(p.encode() for p in ("alpha", "a", "b", "été", "alpha2"))
+
+
 def test_the_two_built_in_encoders_agree(spark):
     texts = ["Alpha beta, Beta-gamma été", "", "a_b c"]
     rows = flows.embed(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), "text").select(F.col("text"), "vector").collect()
