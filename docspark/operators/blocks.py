@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspark.functions.text import let
 from docspark.operators.answers import split_parts
 
 # What is removed or rewritten before blocks are read, in this order.
@@ -32,59 +33,88 @@ def cells(line: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
 
 
-def markdown_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, block, kind (heading, bullet, table, paragraph), level, text, rows array<array<string>> (headers first) of every document.
+def blocks_of(text: Column) -> Column:
+    """The blocks of a text, array<struct<kind, level, text, rows>>; null for null.
 
     A line that starts with a citation belongs to the one before.  A run of pipe lines is a table if it has a separator; paragraphs are runs of other lines, a hyphen at a line's end is closed up.
+    Everything about a text happens in its own row: places at which something starts are kept, and what lies between two of them is cut out.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split(clean_source(F.col("text")), "\n")).alias("n", "line")).withColumn("line", F.trim("line"))
-    tabs = F.length(F.regexp_replace("line", r"[^\t]", ""))
-    lines = lines.withColumn("line", F.when((tabs >= 2) & ~F.contains("line", F.lit("|")), F.concat(F.lit("|"), F.replace("line", F.lit("\t"), F.lit("|")), F.lit("|"))).otherwise(F.col("line")))
-    w = Window.partitionBy("doc_id").orderBy("n")
-    hangs = F.col("line").rlike(CITATION_START) & (F.coalesce(F.lag("line").over(w), F.lit("")) != "")
-    lines = lines.withColumn("_new", (~hangs).cast("int")).withColumn("_own", F.sum("_new").over(w))
-    joined = lines.groupBy("doc_id", "_own").agg(F.min("n").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), " ").alias("line"))
-    line = F.col("line")
-    kind = F.when(line == "", "blank").when(line.rlike(r"^#{1,6}\s"), "heading").when(line.rlike(r"^(?:[-*+]|\d+\.)\s+"), "bullet").when(line.startswith("|") | (line.rlike(SEPARATOR)), "table").otherwise("paragraph")
-    typed = joined.withColumn("kind", kind)
-    alone = F.col("kind").isin("heading", "bullet")
-    new = F.coalesce((alone | (F.col("kind") != F.lag("kind").over(w))).cast("int"), F.lit(1))
-    grouped = typed.withColumn("_start", new).withColumn("run", F.sum("_start").over(w)).where("kind <> 'blank'")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"])
-    made = grouped.groupBy("doc_id", "run", "kind").agg(ordered.alias("lines"))
-    has_separator = F.exists("lines", lambda x: x.rlike(SEPARATOR))
-    table = (F.col("kind") == "table") & has_separator & (F.size("lines") >= 2)
-    rows = F.transform(F.filter("lines", lambda x: ~x.rlike(SEPARATOR)), lambda x: F.transform(cells(x), lambda c: flat(c)))
-    first = F.get("lines", F.lit(0))
-    text = F.when(F.col("kind") == "heading", F.regexp_replace(first, r"^#{1,6}\s+", "")).when(F.col("kind") == "bullet", F.regexp_replace(first, r"^(?:[-*+]|\d+\.)\s+", "")).otherwise(F.regexp_replace(F.regexp_replace(F.array_join("lines", "\n"), r"-\n(?=\p{Ll})", ""), r"\n", " "))
-    level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract(first, r"^(#{1,6})", 1))).otherwise(0)
-    out = made.select("doc_id", F.when(table, "table").when(F.col("kind") == "table", "paragraph").otherwise(F.col("kind")).alias("kind"), level.alias("level"), F.when(table, "").otherwise(flat(text)).alias("text"), F.when(table, rows).alias("rows"), "run")
-    return out.withColumn("block", F.row_number().over(Window.partitionBy("doc_id").orderBy("run")) - 1).drop("run")
-
-
-def labelled_rows() -> Column:
+    places = lambda xs: F.transform(xs, lambda _, i: i)
+    pieces = lambda xs, starts, of: F.transform(starts, lambda at, k: of(at, F.slice(xs, at + 1, F.coalesce(F.get(starts, k + 1), F.size(xs)) - at)))
+
+    def piped(line: Column) -> Column:
+        tabs = F.length(F.regexp_replace(line, r"[^\t]", ""))
+        return F.when((tabs >= 2) & ~F.contains(line, F.lit("|")), F.concat(F.lit("|"), F.replace(line, F.lit("\t"), F.lit("|")), F.lit("|"))).otherwise(line)
+
+    def joined(lines: Column) -> Column:
+        own = F.filter(places(lines), lambda i: ~((i > 0) & F.get(lines, i).rlike(CITATION_START) & (F.get(lines, i - 1) != "")))
+        return let(own, lambda starts: pieces(lines, starts, lambda _, ls: let(F.array_join(ls, " "), typed)))
+
+    def typed(line: Column) -> Column:
+        kind = F.when(line == "", "blank").when(line.rlike(r"^#{1,6}\s"), "heading").when(line.rlike(r"^(?:[-*+]|\d+\.)\s+"), "bullet").when(line.startswith("|") | line.rlike(SEPARATOR), "table").otherwise("paragraph")
+        return F.struct(kind.alias("kind"), line.alias("line"))
+
+    def runs(typed_lines: Column) -> Column:
+        kind = lambda i: F.get(typed_lines, i)["kind"]
+        first = F.filter(places(typed_lines), lambda i: (i == 0) | kind(i).isin("heading", "bullet") | (kind(i) != kind(i - 1)))
+        run = lambda at, ls: F.struct(kind(at).alias("kind"), F.transform(ls, lambda x: x["line"]).alias("lines"))
+        return F.filter(let(first, lambda starts: pieces(typed_lines, starts, run)), lambda r: r["kind"] != "blank")
+
+    def block(run: Column) -> Column:
+        kind, lines, first = run["kind"], run["lines"], F.get(run["lines"], F.lit(0))
+        table = (kind == "table") & F.exists(lines, lambda x: x.rlike(SEPARATOR)) & (F.size(lines) >= 2)
+        rows = F.transform(F.filter(lines, lambda x: ~x.rlike(SEPARATOR)), lambda x: F.transform(cells(x), lambda c: flat(c)))
+        text = F.when(kind == "heading", F.regexp_replace(first, r"^#{1,6}\s+", "")).when(kind == "bullet", F.regexp_replace(first, r"^(?:[-*+]|\d+\.)\s+", "")).otherwise(F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"-\n(?=\p{Ll})", ""), r"\n", " "))
+        level = F.when(kind == "heading", F.length(F.regexp_extract(first, r"^(#{1,6})", 1))).otherwise(0)
+        made = lambda is_table: F.struct(F.when(is_table, "table").when(kind == "table", "paragraph").otherwise(kind).alias("kind"), level.alias("level"), F.when(is_table, "").otherwise(flat(text)).alias("text"), F.when(is_table, rows).alias("rows"))
+        return let(table, made)
+
+    lines = F.transform(F.split(clean_source(text), "\n"), lambda x: let(F.trim(x), piped))
+    return F.transform(let(let(lines, joined), runs), block)
+
+
+def markdown_blocks(docs: DataFrame) -> DataFrame:
+    """doc_id, block, kind (heading, bullet, table, paragraph), level, text, rows array<array<string>> (headers first) of every document, as ``blocks_of`` reads them; rows of ``docs`` never meet."""
+    return docs.select("doc_id", F.posexplode(blocks_of(F.col("text"))).alias("block", "b")).select("doc_id", "b.*", "block")
+
+
+def labelled_rows(rows: Column | None = None) -> Column:
     """Rows of a table block as ``header: cell`` pairs; a cell beyond the headers is labelled by its column's number."""
-    header = F.get("rows", F.lit(0))
+    rows = F.col("rows") if rows is None else rows
+    header = F.get(rows, F.lit(0))
     label = lambda i: F.coalesce(F.get(header, i), F.concat(F.lit("Column "), (i + 1).cast("string")))
     pairs = lambda row: F.array_join(F.transform(row, lambda c, i: F.concat(label(i), F.lit(": "), c)), " | ")
-    return F.transform(F.slice("rows", 2, F.greatest(F.lit(0), F.size("rows") - 1)), pairs)
+    return F.transform(F.slice(rows, 2, F.greatest(F.lit(0), F.size(rows) - 1)), pairs)
 
 
-def blocks_to_text(blocks: DataFrame, style: str = "plain") -> DataFrame:
-    """One text per document: blocks joined by blank lines, empty ones left out, bullets with a dash.
+def text_of(blocks: Column, style: str = "plain") -> Column:
+    """Blocks in their order joined by blank lines, empty ones left out, bullets with a dash.
 
     Plain: table rows as ``header: cell`` pairs.  Structured: headings of the first two levels in capitals, the header row and rows filled up or cut to its width.
     """
     structured = style == "structured"
-    header = F.get("rows", F.lit(0))
-    filled = lambda row: F.array_join(F.transform(header, lambda h, i: F.coalesce(F.get(row, i), F.lit(""))), " | ")
-    heading = F.when(F.col("level") <= 2, F.upper("text")).otherwise(F.col("text")) if structured else F.col("text")
-    lines = F.when(F.col("kind") == "table", F.transform("rows", filled) if structured else labelled_rows()).otherwise(
-        F.array(F.when(F.col("kind") == "heading", heading).when(F.col("kind") == "bullet", F.concat(F.lit("- "), "text")).otherwise(F.col("text")))
-    )
-    each = F.array_sort(F.collect_list(F.struct("block", lines.alias("t"))))
-    text = F.array_join(F.filter(F.flatten(F.transform(each, lambda x: x["t"])), lambda x: x != ""), "\n\n")
-    return blocks.groupBy("doc_id").agg(F.regexp_replace(text, r"^\s+|\s+$", "").alias("text"))
+
+    def lines(b: Column) -> Column:
+        header = F.get(b["rows"], F.lit(0))
+        filled = lambda row: F.array_join(F.transform(header, lambda h, i: F.coalesce(F.get(row, i), F.lit(""))), " | ")
+        heading = F.when(b["level"] <= 2, F.upper(b["text"])).otherwise(b["text"]) if structured else b["text"]
+        return F.when(b["kind"] == "table", F.transform(b["rows"], filled) if structured else labelled_rows(b["rows"])).otherwise(
+            F.array(F.when(b["kind"] == "heading", heading).when(b["kind"] == "bullet", F.concat(F.lit("- "), b["text"])).otherwise(b["text"]))
+        )
+
+    return F.regexp_replace(F.array_join(F.filter(F.flatten(F.transform(blocks, lines)), lambda x: x != ""), "\n\n"), r"^\s+|\s+$", "")
+
+
+def blocks_to_text(blocks: DataFrame, style: str = "plain") -> DataFrame:
+    """One text per document of ``text_of`` its blocks."""
+    ordered = F.array_sort(F.collect_list(F.struct("block", "kind", "level", "text", "rows")))
+    return blocks.groupBy("doc_id").agg(text_of(ordered, style).alias("text"))
+
+
+def markdown_to_text(docs: DataFrame, style: str = "plain") -> DataFrame:
+    """``blocks_to_text`` of the blocks of each document, which stay in its row; a document without blocks has none."""
+    text = let(blocks_of(F.col("text")), lambda bs: F.when(F.size(bs) > 0, F.array(text_of(bs, style))))
+    return docs.select("doc_id", F.explode(text).alias("text"))
 
 
 def chat_blocks_table(messages: DataFrame, most: int = 320) -> DataFrame:
@@ -97,13 +127,23 @@ def chat_blocks_table(messages: DataFrame, most: int = 320) -> DataFrame:
     return each.select("chat_id", "message", "role", "kind", F.concat_ws(".", (F.col("block") + 1).cast("string"), (F.col("part") + 1).cast("string")).alias("order"), "content")
 
 
+def _told(b: Column) -> Column:
+    tabs = F.length(F.regexp_replace(b["text"], r"[^\t]", ""))
+    return (b["kind"] != "table") & ~F.contains(b["text"], F.lit("|")) & (tabs < 2) & (b["text"] != "")
+
+
 def comparison_narrative(blocks: DataFrame) -> DataFrame:
     """doc_id, narrative: what a comparison says beside its tables; a block with a pipe or two tabs is left out."""
-    tabs = F.length(F.regexp_replace("text", r"[^\t]", ""))
-    told = blocks.where((F.col("kind") != "table") & ~F.contains("text", F.lit("|")) & (tabs < 2) & (F.col("text") != ""))
+    told = blocks.where(_told(F.struct("kind", "text")))
     return told.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n\n").alias("narrative"))
 
 
+def markdown_narrative(docs: DataFrame) -> DataFrame:
+    """``comparison_narrative`` of the blocks of each document, which stay in its row; a document without such blocks has none."""
+    told = F.transform(F.filter(blocks_of(F.col("text")), _told), lambda b: b["text"])
+    return docs.select("doc_id", F.explode(let(told, lambda ts: F.when(F.size(ts) > 0, F.array(F.array_join(ts, "\n\n"))))).alias("narrative"))
+
+
 def parse_comparison(blocks: DataFrame, papers: DataFrame) -> DataFrame:
     """doc_id, row, dimension ("Comparison" if empty), paper_id, content, synthesis: the table with most rows (first on ties), unpivoted; missing cells are empty."""
     size = F.size("rows")

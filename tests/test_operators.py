@@ -209,6 +209,19 @@ def test_labels_and_writers(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/e").count() == 2
 
 
+def test_blocks_of_a_document_stay_in_its_row(spark):
+    texts = ["# Head\n\npara-\ngraph **b**\n[P1]\n- one\n1. two\n|a|b|\n|---|---|\n|1|2|\n\nEnd", "", None, "\n \n", "[P1] first\n[P2] hangs\n\n[P3] not\na\tb\tc\n|x|"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    of = lambda df: {r[0]: r[1] for r in df.collect()}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    made = blocks.markdown_blocks(docs)
+    for style in ("plain", "structured"):
+        assert of(blocks.markdown_to_text(docs, style)) == of(blocks.blocks_to_text(made, style))
+    assert of(blocks.markdown_to_text(docs)) == {0: "Head\n\nparagraph b [P1]\n\n- one\n\n- two\n\na: 1 | b: 2\n\nEnd", 4: "[P1] first [P2] hangs\n\n[P3] not\n\n|a|b|c| |x|"}
+    assert of(blocks.markdown_narrative(docs)) == of(blocks.comparison_narrative(made))
+    assert not any("Exchange" in plan(df) for df in (made, blocks.markdown_to_text(docs), blocks.markdown_narrative(docs)))
+
+
 def test_blocks_of_markdown(spark):
     text = "# Title\nOne two-\nthree\n[P1]\n* item\n\n| a | b |\n|---|---|\n| 1 | **2** |\n\n| lone |\n"
     made = blocks.markdown_blocks(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id int, text string")).orderBy("doc_id", "block").collect()
