@@ -176,21 +176,25 @@ def table_region(captions: DataFrame, images: DataFrame, reach: float = 250.0, m
     return sides.select("doc_id", "page", "caption", F.when(under, F.col("y0") - margin).otherwise(F.greatest(F.lit(0.0), F.col("y0") - reach)).alias("top"), F.when(under, F.col("y1") + reach).otherwise(F.col("y1") + margin).alias("bottom"))
 
 
-def highlight_items(items: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, page, item_idx, marked: items of a page that belong to a span's text; ``spans`` has needle, kind and fallback, a wider text or null.
+def _plain(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\w\s]", " "), r"\s+", " "))
 
-    Marked: an item with a digit and at most 10 characters that the text has; one that is contained, blanks ignored, from 4 characters on (3 for tables and figures); one with at least two words and 30 % of its words in the text
-    (one and 20 % for tables and figures).  Words of under 3 (2) characters and punctuation do not count.  The fallback is searched in the same way, from 4 characters on.
-    """
-    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\w\s]", " "), r"\s+", " "))
+
+def _searched(needle: Column, kind: Column, fallback: Column) -> list[Column]:
+    """What items are held against: visual, short (fewest characters of a word), needle, wide, and the words of both."""
+    uncited = lambda c: _plain(F.regexp_replace(F.coalesce(c, F.lit("")), CITATION_ANY, " "))
+    visual = F.coalesce(kind, F.lit("text")).isin("table", "figure")
+    return [visual.alias("visual"), F.when(visual, 2).otherwise(3).alias("short"), uncited(needle).alias("needle"), uncited(fallback).alias("wide")]
+
+
+def _words(c: str) -> Column:
+    return F.filter(F.split(c, " "), lambda w: F.length(w) >= F.col("short"))
+
+
+def _marked(pairs: DataFrame) -> DataFrame:
+    """doc_id, page, item_idx, marked of items beside what ``_searched`` gives and ``needle_words``, ``wide_words``."""
     closed = lambda c: F.replace(c, F.lit(" "), F.lit(""))
-    uncited = lambda c: plain(F.regexp_replace(F.coalesce(c, F.lit("")), CITATION_ANY, " "))
-    visual = F.coalesce(F.col("kind"), F.lit("text")).isin("table", "figure")
-    short = F.when(visual, 2).otherwise(3)
-    words = lambda c: F.filter(F.split(c, " "), lambda w: F.length(w) >= F.col("short"))
-    texts = spans.select("doc_id", "page", visual.alias("visual"), short.alias("short"), uncited("needle").alias("needle"), uncited("fallback").alias("wide"))
-    texts = texts.withColumns({"needle_words": words("needle"), "wide_words": words("wide")})
-    joined = items.select("doc_id", "page", "item_idx", "item", plain("item").alias("plain")).join(texts, ["doc_id", "page"]).withColumn("ws", words("plain"))
+    joined = pairs.withColumn("plain", _plain(F.col("item"))).withColumn("ws", _words("plain"))
 
     def within(text: str, has: str, least: Column) -> Column:
         found = F.size(F.filter("ws", lambda w: F.array_contains(has, w)))
@@ -201,3 +205,19 @@ def highlight_items(items: DataFrame, spans: DataFrame) -> DataFrame:
     by_words = within("needle", "needle_words", F.when(F.col("visual"), 3).otherwise(4)) | within("wide", "wide_words", F.lit(4))
     searched = (F.size("needle_words") > 0) | (F.size("wide_words") > 0)
     return joined.select("doc_id", "page", "item_idx", F.when(searched, number | F.when(F.size("ws") > 0, by_words).otherwise(False)).otherwise(False).alias("marked"))
+
+
+def highlight_items(items: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, page, item_idx, marked: items of a page that belong to a span's text; ``spans`` has needle, kind and fallback, a wider text or null.
+
+    Marked: an item with a digit and at most 10 characters that the text has; one that is contained, blanks ignored, from 4 characters on (3 for tables and figures); one with at least two words and 30 % of its words in the text
+    (one and 20 % for tables and figures).  Words of under 3 (2) characters and punctuation do not count.  The fallback is searched in the same way, from 4 characters on.
+    """
+    texts = spans.select("doc_id", "page", *_searched(F.col("needle"), F.col("kind"), F.col("fallback"))).withColumns({"needle_words": _words("needle"), "wide_words": _words("wide")})
+    return _marked(items.select("doc_id", "page", "item_idx", "item").join(texts, ["doc_id", "page"]))
+
+
+def highlight_pages(pages: DataFrame) -> DataFrame:
+    """``highlight_items`` where a page and its span are one row: doc_id, page, items array<struct<item_idx, item>>, needle, kind and fallback. Pages never meet, so nothing is shuffled."""
+    texts = pages.select("doc_id", "page", "items", *_searched(F.col("needle"), F.col("kind"), F.col("fallback"))).withColumns({"needle_words": _words("needle"), "wide_words": _words("wide")})
+    return _marked(texts.select("*", F.inline("items")).drop("items"))
