@@ -1,5 +1,7 @@
 """Keywords by maximal marginal relevance against a plain greedy search."""
 
+import collections
+import math
 import random
 
 import numpy as np
@@ -71,3 +73,27 @@ def test_the_two_built_in_encoders_agree(spark):
     rows = flows.embed(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), "text").select(F.col("text"), "vector").collect()
     for r in rows:
         assert np.allclose(keywords.hashed_texts(pd.Series([r["text"]]))[0], r["vector"])
+
+
+def test_hopeful_grams_alone_are_shuffled_and_no_keyword_is_lost(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"word{k}" for k in range(30)] + ["the", "of", "ab", "2024", "été"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice((9, 40, 90)))) for _ in range(60)] + ["a" * 60, "a" * 40 + " " + "b" * 40, "the of " * 20, "short", None, " ".join(f"rare{k}" for k in range(40))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bad = {*flows.retrieval.STOP_WORDS}
+    counts = []
+    for t in texts:
+        ws = [w for w in (t or "").split()] if t and len(t) >= 50 else []
+        runs = [ws[i : i + n] for n in (1, 2, 3) for i in range(max(len(ws) - n + 1, 1))]
+        counts.append(collections.Counter(" ".join(r) for r in runs if r and all(w not in bad and len(w) > 2 and not w.isdigit() for w in r)))
+    df = collections.Counter(g for c in counts for g in c)
+    want = set()
+    for k, c in enumerate(counts):
+        scored = sorted((-round(tf * len(g.split()) * math.log((len(texts) + 1) / df[g]), 4), g) for g, tf in c.items())
+        want |= {(k, g, -s, rank) for rank, (s, g) in enumerate(scored[:10], 1)}
+    for counters in (1 << 4, 1 << 22):  # many grams in a cell, or hardly two
+        monkeypatch.setattr(flows, "COUNTERS", counters)
+        got = flows.candidate_keywords(docs)
+        assert {tuple(r) for r in got.collect()} == want
+    moved = got._jdf.queryExecution().executedPlan().toString()
+    assert "keyword" not in "".join(line for line in moved.splitlines() if "Exchange" in line)
