@@ -138,3 +138,17 @@ def test_few_rows_are_worked_on_at_a_time(spark):
     """However many Spark puts into a batch, and none is lost."""
     made = cells.mapped(spark.range(0, 1000, 1, 1), "n long, total long", lambda batch: {"n": [batch.num_rows], "total": [sum(batch.column("id").to_pylist())]}).collect()
     assert max(r["n"] for r in made) <= cells.AT_ONCE and sum(r["n"] for r in made) == 1000 and sum(r["total"] for r in made) == 499_500
+
+
+def test_only_scores_that_can_count_are_sorted(monkeypatch):
+    rng = np.random.default_rng(5)
+    for shape, k in (((7, 900), 15), ((3, 4), 9), ((0, 5), 2), ((4, 0), 2), ((5, 300), 1)):
+        scores = np.round(rng.random(shape), 2) + rng.choice([0, 4e-7, -4e-7], shape)  # ties once rounded
+        ids = rng.permutation(shape[1]).astype(np.int64)
+        rounded, sizes, real = np.round(scores, vectors.PLACES), [], np.lexsort
+        order = np.lexsort((np.broadcast_to(ids, shape), -rounded), axis=1)[:, :k]
+        with monkeypatch.context() as m:
+            m.setattr(np, "lexsort", lambda keys: sizes.append(len(keys[0])) or real(keys))
+            row, at, score = vectors._best(scores, ids, k)
+        assert row.tolist() == np.repeat(np.arange(shape[0]), order.shape[1]).tolist() and at.tolist() == order.ravel().tolist()
+        assert score.tolist() == np.take_along_axis(rounded, order, 1).ravel().tolist() and (shape[1] < 300 or sum(sizes) < scores.size / 4)
