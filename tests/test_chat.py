@@ -1,9 +1,10 @@
 """The chat flow: each of its steps changes something."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docspark.operators import chat
+from docspark.operators import chat, flows, retrieval
 
 CHUNKS = "paper_id long, session_id string, ord long, text string, paragraph_id string, token_count long, chunk_type string, section string"
 
@@ -51,3 +52,41 @@ def test_cited_passages_count_and_answers_without_sources_are_marked(spark, tabl
     plain = spark.createDataFrame([(1, said)], "query_id long, text string")
     alone = chat.verified_answers(plain, chosen, left, chunks).collect()[0]
     assert alone["paragraph_id"] != lacking and not alone["from_citation"]
+
+
+@pytest.mark.parametrize(("size", "asked_at_once"), [(1 << 15, 1 << 10), (40, 2)])
+def test_a_question_to_many_papers_writes_rows_up_to_its_cap(spark, monkeypatch, size, asked_at_once):
+    """Against a full ranking of the best of each paper, not a row for each question and paper; a session is one slice or many."""
+    monkeypatch.setattr(chat, "SLICE", size)
+    monkeypatch.setattr(chat, "ASKED", asked_at_once)
+    words = "stone bridge river bread price north wind paper copper glass".split()
+    texts = {(p, o): " ".join(words[(p * p + o * i * i + i) % 10] for i in range(5 + (p * o) % 9)) + (" the_price" if p % 5 == 0 else "") for p in range(60) for o in range(1 + p % 7)}
+    chunks = spark.createDataFrame([(p, "a", o, t, f"{p}_P{o}", 3 + (p + o) % 5, "text", "Body") for (p, o), t in texts.items()], CHUNKS).cache()
+    papers = spark.createDataFrame([("a", p, "Copper works" if p in (3, 4) else f"Title {p}") for p in range(60)], "session_id string, paper_id long, title string").cache()
+    queries = asked(spark, (1, "a", "what of bridge and river stone"), (2, "a", "is copper works meant here"), (3, "a", "tell of the_price and wind and glass"), (4, "a", "paper 7 or document 9 on bread")).cache()
+    k, cap = 3, 60
+    named = chat.named_papers(queries, papers, {}).cache()
+    boosts = {(r["query_id"], r["paper_id"]): r["boost"] for r in named.collect()}
+    assert boosts == {(2, 3): 1.5, (2, 4): 1.5, (4, 6): 2.0, (4, 8): 2.0}
+    routed = flows.embed(queries.select("query_id", "session_id", "text", retrieval.query_keywords(F.col("text")).alias("keywords")), "text").drop("text").cache()
+    vectors = flows.embed(chunks, "text").withColumn("vec_id", F.xxhash64("paper_id", "paragraph_id")).cache()
+    want, all_ = set(), 0
+    stored = vectors.collect()
+    for q in routed.collect():
+        of = {}
+        for c in stored:
+            boost = boosts.get((q["query_id"], c["paper_id"]), None if any(i == q["query_id"] for i, _ in boosts) else 1.0)
+            if boost is not None:
+                score = round(float(np.dot(np.array(q["vector"], float), np.array(c["vector"], float))), 6)
+                found = sum(w in c["text"] or w.replace("_", "") in c["text"].replace("_", "") for w in q["keywords"])
+                of.setdefault(c["paper_id"], []).append((-score, c["vec_id"], score * boost * (1 + 0.15 * found), c["ord"], c["token_count"], c["paragraph_id"]))
+        best = [(-raised, p, o, n, pid) for p, rows in of.items() for _, _, raised, o, n, pid in sorted(rows)[:k]]
+        all_, used = all_ + len(best), 0
+        for _, _, _, n, pid in sorted(best):
+            used += n
+            if used <= cap:
+                want.add((q["query_id"], pid))
+    hits = chat.session_hits(routed, named, papers, chunks, vectors.drop("vec_id"), k=k, cap=cap).cache()
+    assert want <= {(r["query_id"], r["paragraph_id"]) for r in hits.collect()} and hits.count() < all_ * (0.3 if size > 40 else 0.9)
+    chosen, _ = chat.contexts(queries, papers, chunks, keywords={}, k=k, cap=cap)
+    assert {(r["query_id"], r["paragraph_id"]) for r in chosen.collect()} == want
