@@ -1,6 +1,7 @@
 """Golden cases, invariants and stream parity of the document-analytics operators."""
 
 import datetime as dt
+import difflib
 import math
 import random
 
@@ -391,3 +392,17 @@ def test_queries_equal_their_sql_on_odd_texts(spark, tmp_path, name, texts):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
     a, b = __spark_entry__.queries()[name](spark, str(tmp_path)).toPandas(), con.sql(__spark_entry__.oracle_sql()[name]).df()
     assert len(a) and sorted(map(tuple, a.astype(str).values)) == sorted(map(tuple, b[list(a.columns)].astype(str).values))
+
+
+def test_ratio_of_paragraphs_is_that_of_difflib_and_moves_no_text(spark, sf_dir, monkeypatch):
+    """Short and long texts, with frequent characters at their starts, copies and parts in another order; what a paragraph is compared with is in its document's row."""
+    rnd = random.Random(3)
+    pairs = [("abc" * 90, "abc" * 90), ("the same " * 30, "the same " * 29 + "end"), ("x", "y"), ("a" * 250 + "q", "a" * 240 + "q")]
+    for n in range(60):
+        a = "".join(rnd.choices("abcdefghij klmnop"[: rnd.choice([2, 6, 17])], k=rnd.choice([5, 80, 230])))
+        b = "".join(rnd.choices("abcdefghij klmnopé0123456789", k=rnd.choice([7, 90, 205, 300])))
+        pairs.append((a, b[: n % 50] + a[len(a) // 3 :] + b[n % 50 :]))
+    want = [difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    assert [2.0 * verification.matched(a, b) / (len(a) + len(b)) for a, b in pairs] == want
+    made = __spark_entry__.queries()["a01_string_similarity"](spark, sf_dir)
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString() and made.count() > 0
