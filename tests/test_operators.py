@@ -406,3 +406,20 @@ def test_ratio_of_paragraphs_is_that_of_difflib_and_moves_no_text(spark, sf_dir,
     assert [2.0 * verification.matched(a, b) / (len(a) + len(b)) for a, b in pairs] == want
     made = __spark_entry__.queries()["a01_string_similarity"](spark, sf_dir)
     assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString() and made.count() > 0
+
+
+def test_sentence_map_cuts_a_text_once_and_joins_neighbouring_abbreviations(spark):
+    texts = ["See e.g. Fig. Eq. No. One here. Next one. In Fig. \"A\" it is. TAB. A", "et al. Et al. ET AL. Now. xFig. Two. éFig. Three. 3Fig. Four. Figure  12. Five. table 3. Six", "a\x01. B", "", "i.e.. A. vs.. B"]
+
+    def old(text):
+        marked = F.regexp_replace(F.translate(text, structure.END, " "), r'(?<=[.!?])\s+(?=[A-Z"])', structure.END)
+        for pattern, to, passes in [(rf"(?i)(^|[^\p{{L}}\p{{N}}_])((?:{structure.ABBREVIATIONS})\.){structure.END}", "$1$2 ", 2), (rf"(?i)((?:Figure|Table|Equation)\s+\d+\.){structure.END}", "$1 ", 1)]:
+            for _ in range(passes):
+                marked = F.regexp_replace(marked, pattern, to)
+        return F.filter(F.transform(F.split(marked, structure.END), lambda s: F.trim(s)), lambda s: s != "")
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    made = df.select(structure.sentences(F.col("t")).alias("new"), old(F.col("t")).alias("old")).collect()
+    assert all(r["new"] == r["old"] for r in made) and len(made[0]["new"]) > 1
+    mapped = df.select(structure.sentence_map(F.col("t"), F.lit("p")).alias("m"))
+    assert str(mapped._jdf.queryExecution().optimizedPlan()).count("[.!?]") == 1  # the sentences are written out once
