@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.functions.text import CITATION, confidence
+from docspark.functions.text import CITATION, confidence, let
 from docspark.operators.blocks import SEPARATOR, cells, flat
 from docspark.operators.extraction import SECTIONS
 from docspark.operators.verification import cited_ids
@@ -97,31 +97,42 @@ def figure_references(words: DataFrame, figures: DataFrame) -> DataFrame:
     return figures.join(places, ["doc_id", "page", "number"], "left")
 
 
-def sections_from_boxes(headings: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, order, title, content between consecutive headings of layout boxes, if at least two are found; a heading is searched from the one before on, else from the start.
+def box_sections(text: Column, raw: Column) -> Column:
+    """Array of struct(order, title, content): what is between consecutive headings, given in order, if at least two are found; a heading is searched from the one before on, else from the start.
 
     Marks and numbers are cut from headings; persons' names and headings of one character are none; a section without content is left out.
     """
     strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    cleaned = strip(F.regexp_replace(strip(F.regexp_replace(F.regexp_replace(strip(F.col("raw")), r"^#+\s*", ""), r"^\*+|\*+$", "")), r"^\d+(?:\.\d+)*[.)\s]+", ""))
-    person = F.col("title").rlike(r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,4}$") & ~F.lower("title").isin(SECTIONS) & ~F.col("title").rlike(r"^(?:[IVXLC]+|[A-Z])[\s.)]+")
-    ordered = headings.withColumn("title", cleaned).where((F.length("title") >= 2) & ~person).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "title"))).alias("hs"))
-    joined = ordered.join(docs.select("doc_id", "text"), "doc_id")
-    kind = "array<struct<at:int,title:string>>"
-    start = F.struct(F.array().cast(kind).alias("out"), F.lit(1).alias("from"))
-
-    def step(acc: Column, h: Column) -> Column:
-        here = F.call_function("locate", h["title"], F.col("text"), acc["from"])
-        at = F.when(here > 0, here).otherwise(F.call_function("locate", h["title"], F.col("text")))
-        item = F.struct(at.alias("at"), h["title"].alias("title"))
-        return F.struct(F.when(at > 0, F.array_append(acc["out"], item)).otherwise(acc["out"]).alias("out"), F.when(at > 0, at).otherwise(acc["from"]).alias("from"))
-
-    found = joined.withColumn("found", F.array_sort(F.aggregate("hs", start, step, lambda a: a["out"]))).where(F.size("found") >= 2)
-    each = found.select("doc_id", "text", "found", F.posexplode("found").alias("order", "h"))
-    begin = F.col("h.at") + F.length("h.title")
-    end = F.coalesce(F.get("found", F.col("order") + 1)["at"], F.length("text") + 1)
-    content = strip(F.substring(F.col("text"), begin, F.greatest(F.lit(0), end - begin)))
-    return each.select("doc_id", "order", F.col("h.title").alias("title"), content.alias("content")).where("content <> ''")
+    cleaned = lambda c: strip(F.regexp_replace(strip(F.regexp_replace(F.regexp_replace(strip(c), r"^#+\s*", ""), r"^\*+|\*+$", "")), r"^\d+(?:\.\d+)*[.)\s]+", ""))
+    person = lambda t: t.rlike(r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,4}$") & ~F.lower(t).isin(SECTIONS) & ~t.rlike(r"^(?:[IVXLC]+|[A-Z])[\s.)]+")
+    start = F.struct(F.array().cast("array<struct<at:int,title:string>>").alias("out"), F.lit(1).alias("from"))
+
+    def step(acc: Column, title: Column) -> Column:
+        here = F.call_function("locate", title, text, acc["from"])
+        put = lambda at: F.struct(F.when(at > 0, F.array_append(acc["out"], F.struct(at.alias("at"), title.alias("title")))).otherwise(acc["out"]).alias("out"), F.when(at > 0, at).otherwise(acc["from"]).alias("from"))
+        return let(F.when(here > 0, here).otherwise(F.call_function("locate", title, text)), put)
+
+    def cut(found: Column) -> Column:
+        def section(h: Column, k: Column) -> Column:
+            begin = h["at"] + F.length(h["title"])
+            end = F.coalesce(F.get(found, k + 1)["at"], F.length(text) + 1)
+            return F.struct(k.alias("order"), h["title"].alias("title"), strip(F.substring(text, begin, F.greatest(F.lit(0), end - begin))).alias("content"))
+
+        return F.when(F.size(found) >= 2, F.filter(F.transform(found, section), lambda s: s["content"] != ""))
+
+    titles = F.filter(F.transform(raw, cleaned), lambda t: (F.length(t) >= 2) & ~person(t))
+    return let(titles, lambda ts: let(F.array_sort(F.aggregate(ts, start, step, lambda acc: acc["out"])), cut))
+
+
+def sections_of(docs: DataFrame) -> DataFrame:
+    """doc_id, order, title, content of documents with doc_id, text and ``headings``, those of their layout boxes in order; all in the document's own row."""
+    return docs.select("doc_id", F.explode(box_sections(F.col("text"), F.col("headings"))).alias("s")).select("doc_id", "s.order", "s.title", "s.content")
+
+
+def sections_from_boxes(headings: DataFrame, docs: DataFrame) -> DataFrame:
+    """As ``sections_of``, with the headings in a table of doc_id, ord and raw."""
+    ordered = headings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "raw"))).alias("hs"))
+    return sections_of(docs.select("doc_id", "text").join(ordered.select("doc_id", F.transform("hs", lambda h: h["raw"]).alias("headings")), "doc_id"))
 
 
 def correct_citations(results: DataFrame, sources: DataFrame, *, scorer: Callable[[Column, Column], Column]) -> DataFrame:

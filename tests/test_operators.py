@@ -423,3 +423,14 @@ def test_sentence_map_cuts_a_text_once_and_joins_neighbouring_abbreviations(spar
     assert all(r["new"] == r["old"] for r in made) and len(made[0]["new"]) > 1
     mapped = df.select(structure.sentence_map(F.col("t"), F.lit("p")).alias("m"))
     assert str(mapped._jdf.queryExecution().optimizedPlan()).count("[.!?]") == 1  # the sentences are written out once
+
+
+def test_sections_of_a_document_come_from_its_own_row(spark, sf_dir):
+    rows = [(1, "x Start one Finish two", ["# Start", "e", "John Smith", "**Finish**", "Missing"]), (2, "Start only", ["Start"]), (3, "B then A and B end", ["A x", "1. Bb", None]), (4, "Two Two  One mid Two end", ["One", "Two"]), (5, "Aa Bb tail", ["Aa", "Bb"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, headings array<string>")
+    want = [(1, 0, "Start", "one"), (1, 1, "Finish", "two"), (4, 0, "One", "mid"), (4, 1, "Two", "end"), (5, 1, "Bb", "tail")]
+    table = docs.select("doc_id", F.posexplode("headings").alias("ord", "raw"))
+    for made in (documents.sections_of(docs), documents.sections_from_boxes(table, docs.drop("headings"))):
+        assert sorted(tuple(r) for r in made.collect()) == want
+    plan = str(__spark_entry__.queries()["d07_sections_from_boxes"](spark, sf_dir)._jdf.queryExecution().optimizedPlan())
+    assert "Aggregate" not in plan and "Join" not in plan
