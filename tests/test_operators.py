@@ -434,3 +434,13 @@ def test_sections_of_a_document_come_from_its_own_row(spark, sf_dir):
         assert sorted(tuple(r) for r in made.collect()) == want
     plan = str(__spark_entry__.queries()["d07_sections_from_boxes"](spark, sf_dir)._jdf.queryExecution().optimizedPlan())
     assert "Aggregate" not in plan and "Join" not in plan
+
+
+def test_claims_without_sources_are_told_once_with_one_sort(spark):
+    claims = spark.createDataFrame([(1, 0, "a"), (1, 0, "a"), (1, 1, None), (1, 1, None), (1, None, None), (2, 0, "a"), (3, 0, "b"), (3, 0, "c"), (None, 0, "n"), (None, 0, "n")], "answer_id long, claim_idx int, claim string").repartition(3)
+    sources = spark.createDataFrame([(2,), (2,), (4,), (None,)], "answer_id long")
+    made = verification.distinct_missing(claims, sources)
+    want = verification.missing_sources(claims, sources).select("answer_id", "claim_idx", "claim").distinct()
+    assert sorted(map(tuple, made.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    plan = str(made._jdf.queryExecution().sparkPlan())
+    assert "Join" not in plan and plan.count("Window [") == 1
