@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +27,10 @@ class Refused(ValueError):
 
 
 class Versions:
-    """``tables``: name and DDL of each table; all have the key column."""
+    """``tables``: name and DDL of each table; all have the key column.  ``few``: there are about as many keys as commits, each with many rows."""
 
-    def __init__(self, spark: SparkSession, folder: str, tables: dict[str, str], *, key: str = "paper_id") -> None:
-        self.spark, self.folder, self.tables, self.key = spark, folder.rstrip("/"), tables, key
+    def __init__(self, spark: SparkSession, folder: str, tables: dict[str, str], *, key: str = "paper_id", few: bool = False) -> None:
+        self.spark, self.folder, self.tables, self.key, self.few = spark, folder.rstrip("/"), tables, key, few
         kind = next(f.dataType.simpleString() for f in spark.createDataFrame([], next(iter(tables.values()))).schema.fields if f.name == key)
         self._papers = f"{key} {kind}, _commit long, _deleted boolean"
 
@@ -46,10 +47,18 @@ class Versions:
         lines = self.spark.read.text([f"{self.folder}/commits/{n}" for n in names if n.isdigit()]).collect() if names else []
         return sorted((json.loads(r["value"]) for r in lines), key=lambda c: c["number"])
 
-    def write(self, rows: dict[str, DataFrame], *, papers: DataFrame | None = None, deleted: bool = False) -> int:
-        """Replaces the papers that the rows hold, and those of ``papers``, in all tables; with ``deleted`` they go.  Returns the number of the commit."""
-        done = self.commits()
-        number, attempt = (done[-1]["number"] if done else 0) + 1, uuid.uuid4().hex
+    def last(self) -> int:
+        """The number of the last commit, 0 if there is none."""
+        return max((c["number"] for c in self.commits()), default=0)
+
+    def write(self, rows: dict[str, DataFrame], *, papers: DataFrame | None = None, deleted: bool = False, after: int | None = None) -> int:
+        """Replaces the papers that the rows hold, and those of ``papers``, in all tables; with ``deleted`` they go.  Returns the number of the commit.
+
+        ``after``: the last commit that the rows take into account; another one since then is a conflict.
+        """
+        number, attempt = self.last() + 1, uuid.uuid4().hex
+        if after is not None and number != after + 1:
+            raise Conflict(f"commit {number - 1} came after {after}")
         stamped = lambda df: df.withColumn("_commit", F.lit(number).cast("long"))
         for name, df in rows.items():
             stamped(df.select([F.col(c) for c in self.spark.createDataFrame([], self.tables[name]).columns])).write.parquet(f"{self.folder}/{name}/{attempt}")
@@ -58,7 +67,7 @@ class Versions:
         for more in named[1:]:
             keys = keys.unionByName(more)
         stamped(keys.distinct()).withColumn("_deleted", F.lit(deleted)).write.parquet(f"{self.folder}/papers_of/{attempt}")
-        self._commit(number, {"number": number, "attempt": attempt, "tables": sorted(rows)})
+        self._commit(number, {"number": number, "attempt": attempt, "tables": sorted(rows), "deleted": deleted})
         return number
 
     def _commit(self, number: int, record: dict) -> None:
@@ -87,10 +96,17 @@ class Versions:
 
     def read(self, name: str) -> DataFrame:
         """The rows of a table as of now."""
-        attempts = [c["attempt"] for c in self.commits() if name in c["tables"]]
+        done = self.commits()
+        attempts = [c["attempt"] for c in done if name in c["tables"]]
         if not attempts:
             return self.spark.createDataFrame([], self.tables[name])
-        return self._stored(name, attempts).join(self.live(), [self.key, "_commit"], "left_semi").drop("_commit")
+        # Nothing has replaced the rows of the last commit, so only older ones are looked up.
+        whole = attempts[-1:] if done[-1]["attempt"] == attempts[-1] and done[-1].get("deleted") is False else []
+        parts = [self._stored(name, whole).where(F.col(self.key).isNotNull())] if whole else []
+        if older := attempts[: len(attempts) - len(whole)]:
+            live = self.live()
+            parts.append(self._stored(name, older).join(F.broadcast(live) if self.few else live, [self.key, "_commit"], "left_semi"))
+        return reduce(DataFrame.unionByName, parts).drop("_commit")
 
     def delete(self, papers: DataFrame) -> int:
         """The papers go from all tables at once; papers that are not there make no difference."""

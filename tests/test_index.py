@@ -132,3 +132,71 @@ def test_an_index_over_its_capacity_is_refused_whole(spark, tmp_path):
     assert store.vectors().count() == 8
     store.add(corpus(spark, [1], extra=" More."), text="text")  # replaces what the paper had
     assert store.vectors().count() == 8
+
+
+def test_papers_that_are_as_they_were_are_not_written_again(spark, tmp_path):
+    (tmp_path / "seen").mkdir()
+    store = index.VectorIndex(spark, f"{tmp_path}/index", encoder=counting(f"{tmp_path}/seen"))
+    first = corpus(spark, [1, 2, 3])
+    assert store.add(first, text="text") == 10
+    assert store.add(first, text="text") == 0 and store.add(first.where("paper_id = 2"), text="text") == 0
+    assert len(store.entries.commits()) == 1 and len(store.codes.commits()) == 1
+    # Paper 2 swaps two texts, paper 3 gets one more, papers 4 and 5 are new and share a text that comes nowhere else.
+    swapped = F.when(F.expr("paper_id = 2 and ord < 2"), F.concat(F.lit("2_P"), (1 - F.col("ord")).cast("string"))).otherwise(F.col("paragraph_id"))
+    more = corpus(spark, [3]).where("ord = 0").withColumns({"paragraph_id": F.lit("3_P4"), "text": F.lit("One more.")})
+    new = corpus(spark, [4, 5]).where("ord in (0, 9)").withColumn("text", F.when(F.col("ord") == 0, "Said in both.").otherwise(F.col("text")))
+    second = first.withColumn("paragraph_id", swapped).unionByName(more).unionByName(new)
+    assert store.add(second, text="text") == 2
+    assert seen(tmp_path / "seen") == sorted({r["text"] for r in second.collect()})
+    assert {r["paper_id"]: r["_commit"] for r in store.entries.live().collect()} == {1: 1, 2: 2, 3: 2, 4: 2, 5: 2}
+    got = store.vectors().join(second.select("paper_id", "paragraph_id", "text"), ["paper_id", "paragraph_id"], "full")
+    length = lambda r: r["vector"][0] / r["vector"][2]
+    rows = got.collect()
+    assert [round(length(r)) for r in rows] == [len(r["text"]) for r in rows] and len(rows) == second.count()
+
+
+@pytest.mark.parametrize("blocks", [1, index.BLOCKS])
+def test_texts_stay_where_they_are_unless_they_may_be_there(spark, tmp_path, monkeypatch, blocks):
+    monkeypatch.setattr(index, "BLOCKS", blocks)  # with one word all texts are marked
+    n = 20_000
+    texts = spark.range(n).select((F.col("id") % 500).alias("paper_id"), F.col("id").cast("string").alias("paragraph_id"), F.concat(F.lit("text "), F.when(F.col("id") % 4 == 0, F.col("id") % 1000).otherwise(F.col("id")).cast("string")).alias("text"))
+    keyed = texts.select(F.xxhash64("text").alias("key"))
+    twice = keyed.groupBy("key").count().where("count > 1").select("key")
+    found = index.marked(keyed, "key", twice, n)
+    assert found.count() == n and found.where("not marked").join(twice, "key").isEmpty()
+    moved = found.where("marked").count()
+    assert moved == n if blocks == 1 else 5000 <= moved < 5300
+    store = index.VectorIndex(spark, f"{tmp_path}/index")
+    assert [store.add(texts, text="text"), store.add(texts.where("paper_id < 9"), text="text")] == [texts.select("text").distinct().count(), 0]
+    more = texts.unionByName(texts.withColumns({"paper_id": F.lit(900).cast("long"), "text": F.concat("text", (F.col("paper_id") % 2).cast("string"))}).where("paper_id < 40"))
+    assert store.add(more, text="text") == more.select("text").distinct().count() - texts.select("text").distinct().count()
+    assert store.vectors().count() == more.count() and store.codes.read("codes").count() == more.select("text").distinct().count()
+
+
+def test_an_addition_that_did_not_see_the_last_commit_is_a_conflict(spark, tmp_path, monkeypatch):
+    store, other = (index.VectorIndex(spark, f"{tmp_path}/index") for _ in range(2))
+    store.add(corpus(spark, [1]), text="text")
+    write = store.codes.write
+
+    def late(rows):
+        other.entries.write({"entries": other.entries.read("entries").where("paragraph_id = '1_P0'")})
+        return write(rows)
+
+    monkeypatch.setattr(store.codes, "write", late)
+    with pytest.raises(versions.Conflict):
+        store.add(corpus(spark, [1, 2]), text="text")
+    assert store.vectors().count() == 1
+    monkeypatch.undo()
+    assert store.add(corpus(spark, [1, 2]), text="text") == 0 and store.vectors().count() == 8
+
+
+def test_only_rows_of_older_commits_are_looked_up(spark, tmp_path):
+    v = versions.Versions(spark, f"{tmp_path}/v", TABLES)
+    nameless = papers(spark, 3).withColumn("paper_id", F.lit(None).cast("long"))
+    v.write({"papers": papers(spark, 1, 2).unionByName(nameless), "chunks": chunks(spark, 2, 1, 2)})
+    plan = lambda: v.read("papers")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan() and counts(v) == {"papers": {1: 1, 2: 1}, "chunks": {1: 2, 2: 2}}
+    v.write({"chunks": chunks(spark, 1, 2)}, papers=papers(spark, 1))
+    assert "Join" in plan() and counts(v) == {"papers": {}, "chunks": {2: 1}}
+    v.write({"papers": papers(spark, 2, 3)}, deleted=True)
+    assert counts(v) == {"papers": {}, "chunks": {}}
