@@ -37,7 +37,7 @@ BLOCK = 2048
 LANES = 16384
 #: Bits of the longer fingerprints; the least number of drawn bits by which they are filed, the fingerprints that a file should hold, and the share of pairs that no file may hold together.
 WIDE, FILE_BITS, PER_FILE, MISSED = 256, 12, 1024, 2.2e-4
-#: Files up to which their sizes are broadcast.
+#: Files up to which the sizes of those of more than one block are broadcast.
 FEW = 1 << 19
 #: Standard deviations of a pair's distance that the wider radius adds to the mean.
 SPREAD = 4.5
@@ -145,14 +145,15 @@ def links(fingerprints: DataFrame, *, radius: int = RADIUS) -> DataFrame:
 def stars(filed: DataFrame, unpacked, radius: int, few: bool = False) -> DataFrame:
     """Stars (a, b) of the nodes that are linked within a file; ``filed`` has node, bits and file, a row for each node and file.
 
-    ``unpacked`` turns a series of ``bits`` into a matrix of 0 and 1.  Files with one node are dropped before anything moves twice.
-    With ``few`` the number of files is at most ``FEW`` and ``filed`` is read from the checkpoint folder already, so the sizes are broadcast and no row moves to find its own.
+    ``unpacked`` turns a series of ``bits`` into a matrix of 0 and 1.  Files with one node are dropped before anything moves twice, but with ``few``.
+    With ``few`` the number of files is at most ``FEW`` and ``filed`` is read from the checkpoint folder already; only files of more than one block need their size then, at most a ``BLOCK``-th of the rows,
+    so these are broadcast, no row moves to find its own, and files with one node go with the rest.
     """
     filed = filed if few else cut(filed)
-    sizes = cut(filed.groupBy("file").agg(F.count("*").alias("rows")).where("rows > 1"))
-    sizes = F.broadcast(sizes) if few else sizes
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    dealt = filed.join(sizes, "file").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = cut(filed.groupBy("file").agg(F.count("*").alias("rows")).where(F.col("rows") > (BLOCK if few else 1)))
+    sized = filed.join(F.broadcast(sizes), "file", "left") if few else filed.join(sizes, "file")
+    blocks = F.coalesce(F.ceil(F.col("rows") / BLOCK), F.lit(1)).cast("int")
+    dealt = sized.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = dealt.select("node", "bits", "file", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     grouped = met.select("node", "bits", F.xxhash64("file", F.least("block", "other"), F.greatest("block", "other")).alias("group"))
 
@@ -184,7 +185,7 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of the edges (a, b); nodes of one component share a root.
 
     Each round points every node to its least neighbour, follows the pointers to their ends by doubling, and contracts the edges to
-    those ends.  What is left shrinks by half of its nodes at least, and in stars at once, so later rounds move little.
+    those ends.  What is left shrinks by half of its nodes at least, and in stars at once, so later rounds move little.  Both sides of its joins are sorted, so no round passes a table through the driver.
     """
     left = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     total = left.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
@@ -194,15 +195,15 @@ def components(edges: DataFrame) -> DataFrame:
         forest = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
         while True:
             ends = forest.select(F.col("node").alias("root"), F.col("root").alias("end"))
-            jumped = cut(forest.join(ends, "root").select("node", "root", "end"))
+            jumped = cut(forest.join(ends.hint("merge"), "root").select("node", "root", "end"))
             forest = jumped.select("node", F.col("end").alias("root"))
             if jumped.where("root <> end").isEmpty():
                 break
         ends = forest.select(F.col("node").alias("root"), F.col("root").alias("end"))
-        total = forest if first else cut(total.join(ends, "root", "left").select("node", F.coalesce("end", "root").alias("root")))
+        total = forest if first else cut(total.join(ends.hint("merge"), "root", "left").select("node", F.coalesce("end", "root").alias("root")))
         first = False
         at_a, at_b = forest.select(F.col("node").alias("a"), F.col("root").alias("x")), forest.select(F.col("node").alias("b"), F.col("root").alias("y"))
-        left = cut(left.join(at_a, "a").join(at_b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        left = cut(left.join(at_a.hint("merge"), "a").join(at_b.hint("merge"), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     return total
 
 

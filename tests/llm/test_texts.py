@@ -220,6 +220,29 @@ def test_large_files_are_split_without_losing_links(spark, monkeypatch):
     assert all(roots.get(p, p) == w for p, w in zip(prints, want, strict=True))
 
 
+def test_the_driver_sends_sizes_of_large_files_only_and_no_round_of_components(spark, monkeypatch):
+    """Near copies in files of several blocks, in files of one block and alone: the same classes, while what is broadcast is a row for a block's worth of filed rows at most."""
+    monkeypatch.setattr(simhash, "BLOCK", 30)
+    sent, plans, broadcast, cut = [], [], simhash.F.broadcast, simhash.cut
+    monkeypatch.setattr(simhash.F, "broadcast", lambda df: sent.append(df) or broadcast(df))
+
+    def watched(df):
+        made = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return made
+
+    nodes = [(7, [7, 1]), (8, [7, 2]), (9, [9])] + [(100 + k, [11, 1000 + k % 2]) for k in range(64)]
+    rows = [(n, (0 if n < 10 else -1 << 20) ^ (n & 1), f) for n, files in nodes for f in files]
+    filed = spark.createDataFrame(rows, "node long, bits long, file long")
+    unpacked = lambda column: np.unpackbits(column.to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    edges = simhash.stars(cut(filed), unpacked, 2, few=True)
+    monkeypatch.setattr(simhash, "cut", watched)
+    roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    assert roots == {7: 7, 8: 7} | dict.fromkeys(range(100, 164), 100)
+    assert [df.count() for df in sent] == [3] and 3 * 30 <= len(rows)
+    assert len(plans) > 3 and not any("BroadcastHashJoin" in p for p in plans[1:])
+
+
 def test_one_document_of_each_class_stays(spark):
     text = " ".join(f"w{k}" for k in range(400))
     rows = [(3, text), (1, text), (1, text), (2, text + " more"), (9, "other words " * 20), (None, text)]
