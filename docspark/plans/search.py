@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.operators import clusters, vectors
-from docspark.plans.fixtures import table
+from docspark.plans.fixtures import documents
 from docspark.plans.registry import query
 
 #: A document's vector counts these letters, so that the twins can make it, too.
@@ -23,7 +23,7 @@ def letter_vectors(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, vector of unit length; zero for texts without letters."""
     low = F.lower(F.coalesce("text", F.lit("")))
     counts = F.array(*[(F.length("low") - F.length(F.replace("low", F.lit(c), F.lit("")))).cast("double") for c in LETTERS])
-    return table(spark, d, "documents").select("doc_id", low.alias("low")).select("doc_id", vectors.normalised(counts).alias("vector"))
+    return documents(spark, d).select("doc_id", low.alias("low")).select("doc_id", vectors.normalised(counts).alias("vector"))
 
 
 def _nearest(spark, d):

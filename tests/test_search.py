@@ -117,6 +117,29 @@ def test_density_clusters_equal_brute_force(spark, monkeypatch, seed, eps, min_p
     assert got == brute_clusters(ids, x, eps, min_pts)
 
 
+@pytest.mark.parametrize(("seed", "sample", "slice_", "eps", "min_pts"), [(0, 20, 40, 0.05, 4), (1, 1, 25, 0.02, 5), (2, 60, 1000, 0.3, 12), (6, 20, 10, 0.008, 3)])
+def test_points_move_once_for_a_slice_and_not_for_each_cell_near_them(spark, monkeypatch, seed, sample, slice_, eps, min_pts):
+    """The same clusters whatever the sample settles, and no table of more vectors than there are points."""
+    monkeypatch.setattr(clusters, "BLOCK", 8)
+    monkeypatch.setattr(clusters, "SAMPLE", sample, raising=False)
+    monkeypatch.setattr(clusters, "SLICE", slice_, raising=False)
+    sizes, real = [], clusters.kept
+    monkeypatch.setattr(clusters, "kept", lambda df: sizes.append((made := real(df)).count() * ("vector" in df.columns)) or made)
+    x = np.vstack([clustered(seed, n=150, dims=5), np.random.default_rng(seed).normal(1, 0.1, (100, 5))])
+    ids = random.Random(seed).sample(range(1000), len(x))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in zip(ids, x, strict=True)], "vec_id long, vector array<double>").repartition(3)
+    got = sorted(map(tuple, clusters.topic_clusters(df, eps=eps, min_pts=min_pts).collect()), key=str)
+    assert got == brute_clusters(ids, x, eps, min_pts)
+    assert max(sizes) <= len(x)
+
+
+def test_rows_that_are_no_numbers_hide_no_neighbours():
+    x = unit(np.random.default_rng(3).normal(1, 0.2, (60, 4)))
+    x[5] = np.nan
+    found = {(int(a), int(b)) for row, col, _ in clusters._pairs(x, x, 0.97, 0.3, 8) for a, b in zip(row, col, strict=True)}
+    assert found == {(int(a), int(b)) for a, b in zip(*np.nonzero(np.round(x @ x.T, 6) >= 0.97), strict=True)}
+
+
 def test_clusters_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, [0.0, 0.0])], "vec_id long, vector array<double>")
     assert sorted(map(tuple, clusters.topic_clusters(df, eps=0.1, min_pts=1).collect())) == [(1, None, "noise"), (2, None, "noise")]
