@@ -90,3 +90,15 @@ def test_a_question_to_many_papers_writes_rows_up_to_its_cap(spark, monkeypatch,
     assert want <= {(r["query_id"], r["paragraph_id"]) for r in hits.collect()} and hits.count() < all_ * (0.3 if size > 40 else 0.9)
     chosen, _ = chat.contexts(queries, papers, chunks, keywords={}, k=k, cap=cap)
     assert {(r["query_id"], r["paragraph_id"]) for r in chosen.collect()} == want
+
+
+def test_texts_of_papers_without_a_hit_do_not_move(spark, monkeypatch):
+    """Retrieval keeps the chunks of the papers that were hit, and whatever comes after meets only these."""
+    words = "stone bridge river bread price north wind paper copper glass".split()
+    chunks = spark.createDataFrame([(p, "a", o, f"{words[p % 10]} {words[p // 10]} {words[o]} number {p}", f"{p}_{'F' if o == 2 else 'P'}{o}", 4, "figure" if o == 2 else "text", "Body") for p in range(100) for o in range(3)], CHUNKS).cache()
+    hits = spark.createDataFrame([(1, 7), (2, 7), (2, 55), (3, None), (3, 777)], "query_id long, paper_id long")
+    assert sorted(r["paper_id"] for r in flows.only(chunks, hits, "paper_id").collect()) == [7, 7, 7, 55, 55, 55]
+    sizes, real = [], flows.kept
+    monkeypatch.setattr(flows, "kept", lambda df: sizes.append((made := real(df)).count() * ("text" in df.columns)) or made)
+    found = flows.retrieve(asked(spark, (1, "a", "copper glass and stone"), (2, "a", "river bread compared to wind")), chunks, k=4)
+    assert found.count() > 4 and 0 < max(sizes) <= 2 * 4 * 3

@@ -46,6 +46,24 @@ def test_search_equals_a_full_comparison(spark, monkeypatch, seed, k, whole, few
     assert {(r["query_id"], r["vec_id"], r["score"], r["rank"]) for r in got} == want and len(got) == len(want)
 
 
+def test_blocks_that_bounds_let_through_give_no_row_below_the_floor(spark, monkeypatch):
+    """Random directions, of which no bound skips any: what is written is near the best of each query, not the best of each query and block; single precision stays."""
+    monkeypatch.setattr(cells, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "FEW_BLOCKS", 0)
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    written, real = [], vectors.kept
+    monkeypatch.setattr(vectors, "kept", lambda df: written.append(made := real(df)) or made)
+    x = unit(np.random.default_rng(2).normal(size=(900, 24))).astype(np.float32)
+    of = spark.createDataFrame([(i, i % 4, v.tolist()) for i, v in enumerate(x)], "vec_id long, paper_id long, vector array<float>")
+    queries = of.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in vectors.best_pairs(queries, of, 5).collect()}
+    s = np.round(x.astype(float) @ x.astype(float).T, 6)
+    assert got == {(q, n + 1): int(i) for q in range(0, 900, 100) for n, i in enumerate(np.lexsort((np.arange(900), -s[q]))[:5])}
+    second = [df.count() for df in written if df.columns == ["query_id", "paper_id", "vec_id", "score"]][1]
+    assert second < 9 * 100  # 9 queries, some 55 blocks, 5 of each before
+    assert {df.schema["vector"].dataType.simpleString() for df in written if "vector" in df.columns} == {"array<float>"}
+
+
 def test_bounds_skip_most_of_a_clustered_table(spark):
     x = unit(clustered(4, n=1500, heaps=20))
     queries = table(spark, x[::100]).select(F.col("vec_id").alias("query_id"), "vector")
