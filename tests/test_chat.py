@@ -1,6 +1,9 @@
 """The chat flow: each of its steps changes something."""
 
+import random
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +95,19 @@ def test_a_question_to_many_papers_writes_rows_up_to_its_cap(spark, monkeypatch,
     assert {(r["query_id"], r["paragraph_id"]) for r in chosen.collect()} == want
 
 
+def test_keywords_are_looked_for_in_different_runs_and_found_as_in_every_text():
+    rng = random.Random(4)
+    texts = pa.array([None if rng.random() < 0.05 else "".join(rng.choice("ab_1é -\nß.") for _ in range(rng.randint(0, 30))) for _ in range(800)] + ["the same_words again"] * 5000)
+    words = ["".join(rng.choice("ab_1") for _ in range(rng.randint(2, 5))) for _ in range(300)] + ["__", "a_", "_b", "same", "samewords", "sam_e", "words"]
+    of = chat.Contained(texts)
+    assert sum(len(runs) for _, _, runs in of.lists) < 2 * 800 * 8  # repeats are looked at once
+    for w in words:
+        bare = w.replace("_", "")
+        assert of(w).tolist() == [t is not None and (w in t or bare in t.replace("_", "")) for t in texts.to_pylist()], w
+    for few in (pa.array([], pa.string()), pa.array([None], pa.string()), pa.array(["", " "])):
+        assert not chat.Contained(few)("ab").any()
+
+
 def test_texts_of_papers_without_a_hit_do_not_move(spark, monkeypatch):
     """Retrieval keeps the chunks of the papers that were hit, and whatever comes after meets only these."""
     words = "stone bridge river bread price north wind paper copper glass".split()
