@@ -97,3 +97,23 @@ def test_hopeful_grams_alone_are_shuffled_and_no_keyword_is_lost(spark, monkeypa
         assert {tuple(r) for r in got.collect()} == want
     moved = got._jdf.queryExecution().executedPlan().toString()
     assert "keyword" not in "".join(line for line in moved.splitlines() if "Exchange" in line)
+
+
+def test_runs_are_told_apart_without_their_texts(monkeypatch):
+    """Count and place of each different run as its texts would give them, each different word hashed once."""
+    hashed, real = [], flows.xxhash.xxh3_128_digest
+    monkeypatch.setattr(flows.xxhash, "xxh3_128_digest", lambda w: hashed.append(w) or real(w))
+    rng, known, seen = random.Random(3), {}, {}
+    for _ in range(60):
+        words = [rng.choice(["ab", "cd", "abcd", "é", None, "x1"]) for _ in range(rng.choice((0, 1, 2, 3, 40)))]
+        want = collections.Counter()
+        for n in (1, 2, 3):
+            for i in range(max(len(words) - n + 1, 1)):
+                if (run := tuple(words[i : i + n])) and None not in run:
+                    want[run] += 1
+        start, size, tf, h = flows._grams(words, 3, known)
+        runs = [tuple(words[a : a + k]) for a, k in zip(start, size, strict=True)]
+        assert dict(zip(runs, tf.tolist(), strict=True)) == want and len(runs) == len(want)
+        for run, x in zip(runs, map(bytes, h), strict=True):
+            assert seen.setdefault(run, x) == x
+    assert len(set(seen.values())) == len(seen) and len(hashed) == 6
